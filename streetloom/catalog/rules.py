@@ -276,7 +276,7 @@ NUM_SQL = "TRY_CAST(regexp_extract(regexp_replace(t['{}'], '[^0-9.]', '', 'g'),
 
 
 @query("building_floors", "O33", f"""
-SELECT id, coalesce({NUM_SQL.format('building:levels')}, greatest(1.0, floor({NUM_SQL.format('height')} / 3.2 + 0.5)),
+SELECT id, coalesce({NUM_SQL.format('building:levels')}, CASE WHEN {NUM_SQL.format('height')} IS NOT NULL THEN greatest(1.0, floor({NUM_SQL.format('height')} / 3.2 + 0.5)) END,
   CASE WHEN t['building'] IN ('house','detached','hut','garage','shed','garages') THEN 1.0 ELSE 3.0 END)::DOUBLE AS floors,
   CASE WHEN {NUM_SQL.format('height')} IS NOT NULL THEN {NUM_SQL.format('height')}
     WHEN {NUM_SQL.format('building:levels')} IS NOT NULL THEN floor(({NUM_SQL.format('building:levels')} * 3.2::DOUBLE + 1) * 1000 + 0.5) / 1000 ELSE 6.0 END::DOUBLE AS height_m

@@ -104,7 +104,7 @@ def sec_of_day(text: Column) -> Column:
     valid = (h <= 24) & (m <= 59) & (sec <= 59)
     number = js_round(s.try_cast("double"))
     return F.when(s.rlike(clock), F.when(valid, F.least(F.lit(DAY_SEC), h * 3600 + m * 60 + sec))) \
-        .otherwise(F.greatest(F.lit(0), F.least(F.lit(DAY_SEC), number))).cast("int")
+        .when(number.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(DAY_SEC), number))).cast("int")
 
 
 def hhmm(sec: Column) -> Column:

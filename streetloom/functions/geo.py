@@ -28,7 +28,8 @@ def meters_between(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Co
     s_lat = F.sin((lat2 - lat1) * RAD / 2)
     s_lon = F.sin((lon2 - lon1) * RAD / 2)
     h = s_lat * s_lat + F.cos(lat1 * RAD) * F.cos(lat2 * RAD) * s_lon * s_lon
-    return F.lit(2 * EARTH_RADIUS_M) * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    # ``least`` skips NULL, so the upper clamp must not be the one that sees a missing coordinate.
+    return F.lit(2 * EARTH_RADIUS_M) * F.asin(F.when(h > 1, 1.0).otherwise(F.sqrt(h)))
 
 
 def meters_per_pixel(zoom: Column, lat: Column) -> Column:

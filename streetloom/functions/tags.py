@@ -498,5 +498,5 @@ def building_height(tags: Column) -> Column:
     def positive(key: str, other: str) -> Column:
         n = first_number(F.coalesce(val(tags, key), val(tags, other)))
         return F.when(n > 0, n)
-    return F.coalesce(F.least(positive("height", "building:height"), F.lit(500.0)),
-                      F.least(positive("building:levels", "levels") * 3.2 + 1, F.lit(500.0)), F.lit(6.0))
+    metres = F.coalesce(positive("height", "building:height"), positive("building:levels", "levels") * 3.2 + 1)
+    return F.when(metres.isNull(), 6.0).otherwise(F.least(metres, F.lit(500.0)))

@@ -200,6 +200,14 @@ SELECT line_id AS id, CASE line_id % 3 WHEN 0 THEN 'subway' WHEN 1 THEN 'rail' E
        concat('Line ', CAST(line_id AS VARCHAR(20))) AS name, CAST(count(*) AS INT) AS n_stops, line_id % 4 = 0 AS is_loop
 FROM d_line_stops GROUP BY line_id"""
 
+# Three boxes per block at different zooms: parts of it, and one that covers it all.
+SQL["d_views"] = """
+SELECT b.block * 10 + k.i AS view_id, CAST(k.z AS INT) AS zoom,
+       CAST(b.lat0 + k.a AS DOUBLE) / 100000 AS min_lat, CAST(b.lat0 + k.b AS DOUBLE) / 100000 AS max_lat,
+       CAST(b.lon0 + k.c AS DOUBLE) / 100000 AS min_lon, CAST(b.lon0 + k.d AS DOUBLE) / 100000 AS max_lon
+FROM (SELECT DISTINCT block, lat0, lon0 FROM d_way_base) b
+CROSS JOIN (VALUES (1, 14, 2005, 6005, 3005, 7005), (2, 16, 155, 3333, 8001, 9995), (3, 12, -5, 13005, -5, 13105)) AS k(i, z, a, b, c, d)"""
+
 # Which name needs which: found by scanning the text.
 _NAME = re.compile(r"\b([do]_[a-z_]+)\b")
 
@@ -300,6 +308,10 @@ class World:
     def lines(self) -> DataFrame:
         return self.raw("d_lines")
 
+    @cached_property
+    def views(self) -> DataFrame:
+        return self.raw("d_views")
+
     @cached_property
     def dataset(self) -> OsmDataset:
         return OsmDataset(self.nodes, self.ways, self.way_nodes, self.relations, self.relation_members)
