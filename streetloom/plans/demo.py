@@ -208,8 +208,24 @@ SELECT b.block * 10 + k.i AS view_id, CAST(k.z AS INT) AS zoom,
 FROM (SELECT DISTINCT block, lat0, lon0 FROM d_way_base) b
 CROSS JOIN (VALUES (1, 14, 2005, 6005, 3005, 7005), (2, 16, 155, 3333, 8001, 9995), (3, 12, -5, 13005, -5, 13105)) AS k(i, z, a, b, c, d)"""
 
+# A second copy of the dataset that drifted: some elements newer, some edited without a new version, some gone, some moved.
+SQL["d_ways_b"] = """
+SELECT id + CASE WHEN id % 50 = 7 THEN 9000000000000 ELSE 0 END AS id,
+       CAST(version + CASE WHEN id % 31 = 0 THEN 1 WHEN id % 47 = 0 THEN -1 ELSE 0 END AS INT) AS version,
+       CAST(node_count + CASE WHEN id % 37 = 0 THEN 1 ELSE 0 END AS INT) AS node_count, closed,
+       CASE WHEN id % 41 = 0 THEN '{"note":"edited"}' ELSE tags END AS tags
+FROM d_ways WHERE id % 43 <> 5"""
+SQL["d_nodes_b"] = """
+SELECT id, lat + CASE WHEN id % 53 = 0 THEN 0.5 ELSE 0 END AS lat, lon, version, tags FROM d_nodes WHERE id % 59 <> 1"""
+
+# The log with snapshots of the one edited value.
+SQL["d_log"] = """
+SELECT *, CASE WHEN action <> 'create' THEN lag(CASE WHEN action <> 'delete' THEN txt END) OVER (PARTITION BY elem_id ORDER BY id) END AS before,
+       CASE WHEN action <> 'delete' THEN txt END AS after
+FROM (SELECT *, concat('v', CAST(id AS VARCHAR(20))) AS txt FROM d_changes) c"""
+
 # Which name needs which: found by scanning the text.
-_NAME = re.compile(r"\b([do]_[a-z_]+)\b")
+_NAME = re.compile(r"\b([do]_[a-z_]+[a-z])\b")
 
 # DuckDB-only helpers: the same tables with the tag text as a map ``t``.
 for _n in ("nodes", "ways", "features", "relations"):
