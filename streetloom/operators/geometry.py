@@ -33,14 +33,15 @@ def way_bbox(way_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def way_segments(way_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Consecutive located points of each way: (way_id, seq, a, a_lat, a_lon, b, b_lat, b_lon)."""
+    """Consecutive located points of each way: (way_id, seq, a, a_lat, a_lon, b, b_lat, b_lon). ``gap`` is 1 unless
+    missing nodes were skipped in between."""
     w = Window.partitionBy("way_id").orderBy("seq")
     return (located_refs(way_nodes, nodes)
             .select("way_id", "seq", F.col("node_id").alias("b"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"),
-                    F.lag(F.struct("node_id", "lat", "lon")).over(w).alias("_prev"))
+                    F.lag(F.struct("seq", "node_id", "lat", "lon")).over(w).alias("_prev"))
             .where(F.col("_prev").isNotNull())
             .select("way_id", "seq", F.col("_prev.node_id").alias("a"), F.col("_prev.lat").alias("a_lat"),
-                    F.col("_prev.lon").alias("a_lon"), "b", "b_lat", "b_lon"))
+                    F.col("_prev.lon").alias("a_lon"), "b", "b_lat", "b_lon", (F.col("seq") - F.col("_prev.seq")).alias("gap")))
 
 
 def way_length(way_nodes: DataFrame, nodes: DataFrame) -> DataFrame:

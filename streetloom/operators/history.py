@@ -11,6 +11,7 @@ from streetloom.functions.geo import RAD, meters_between
 from streetloom.functions.tags import clean_tags, val
 from streetloom.model import OsmDataset
 from streetloom.operators.datasets import allocate_ids, orphan_nodes
+from streetloom.session import cut_lineage
 
 # Above this many changes of one element in a batch, they are folded as a sorted stream instead of as an array.
 FOLD_LIMIT = 20_000
@@ -198,7 +199,9 @@ def split_ways(ds: OsmDataset, cuts: DataFrame, first_new_id: int) -> DataFrame:
 def merge_ways(ds: OsmDataset, pairs: DataFrame, snap_m: float = 25.0) -> dict[str, DataFrame]:
     """Join way pairs (a, b) at their nearest ends. Ends at most ``snap_m`` apart become one node half way between them,
     farther ends are bridged; b is turned round if needed and appended to a. Pairs that share a way with another pair
-    are refused, because their results would depend on the order."""
+    are refused, because their results would depend on the order. The pair list enters many joins, so it is written once.
+    """
+    pairs = cut_lineage(pairs)
     both = pairs.select(F.explode(F.array("a", "b")).alias("way_id")).groupBy("way_id").agg(F.count("*").alias("n")).where("n > 1").select("way_id")
     clash = pairs.join(both, F.col("a") == F.col("way_id"), "left_semi").unionByName(pairs.join(both, F.col("b") == F.col("way_id"), "left_semi")).distinct()
     clean = pairs.join(clash, ["a", "b"], "left_anti")

@@ -17,6 +17,7 @@ def local_session(app: str = "streetloom", cores: str | int = "*", partitions: i
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("STREETLOOM_DRIVER_MEMORY", "12g"))
         .getOrCreate()
