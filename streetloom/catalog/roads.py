@@ -14,7 +14,7 @@ ROAD_EDGES = f"""
 ri AS (SELECT id AS way_id, k, CASE k WHEN 'primary' THEN 55 WHEN 'secondary' THEN 40 WHEN 'tertiary' THEN 30 WHEN 'residential' THEN 20 ELSE 15 END AS lim,
    CASE k WHEN 'primary' THEN 0.7 WHEN 'secondary' THEN 0.75 WHEN 'tertiary' THEN 0.8 WHEN 'residential' THEN 0.8 ELSE 0.85 END::DOUBLE AS base
   FROM (SELECT id, t['highway'] AS k FROM o_ways WHERE t['highway'] IS NOT NULL) q),
-re AS (SELECT r.way_id, q.seq, r.node_id AS a, q.node_id AS b, n.lat AS ay, n.lon AS ax, m.lat AS by, m.lon AS bx, {hav('n.lat', 'n.lon', 'm.lat', 'm.lon')} AS len,
+re AS (SELECT r.way_id, q.seq, r.node_id AS a, q.node_id AS b, n.lat AS ay, n.lon AS ax, m.lat AS b_y, m.lon AS b_x, {hav('n.lat', 'n.lon', 'm.lat', 'm.lon')} AS len,
    greatest(5, least(110, floor(lim * base + 0.5))) AS speed, k, lim, base FROM d_way_nodes r JOIN d_way_nodes q ON q.way_id = r.way_id AND q.seq = r.seq + 1
   JOIN ri ON ri.way_id = r.way_id JOIN d_nodes n ON n.id = r.node_id JOIN d_nodes m ON m.id = q.node_id)"""
 
@@ -39,12 +39,12 @@ def all_segments(w: World):
 
 
 SEGS = f"""{ROAD_EDGES},
-sg AS (SELECT r.way_id, q.seq, r.node_id AS a, q.node_id AS b, n.lat AS ay, n.lon AS ax, m.lat AS by, m.lon AS bx FROM d_way_nodes r JOIN d_way_nodes q ON q.way_id = r.way_id AND q.seq = r.seq + 1
+sg AS (SELECT r.way_id, q.seq, r.node_id AS a, q.node_id AS b, n.lat AS ay, n.lon AS ax, m.lat AS b_y, m.lon AS b_x FROM d_way_nodes r JOIN d_way_nodes q ON q.way_id = r.way_id AND q.seq = r.seq + 1
   JOIN d_nodes n ON n.id = r.node_id JOIN d_nodes m ON m.id = q.node_id WHERE r.way_id % 4 <> 2),
-gc AS (SELECT *, unnest(range(CAST(floor(least(ay, by) / 0.002) AS BIGINT), CAST(floor(greatest(ay, by) / 0.002) AS BIGINT) + 1)) AS cy FROM sg),
-pr AS (SELECT DISTINCT i.way_id AS iw, i.seq AS iq, j.way_id AS jw, j.seq AS jq, i.a AS ia, i.b AS ib, j.a AS ja, j.b AS jb, i.ay AS iay, i.ax AS iax, i.by AS iby, i.bx AS ibx, j.ay AS jay, j.ax AS jax, j.by AS jby, j.bx AS jbx
+gc AS (SELECT *, unnest(range(CAST(floor(least(ay, b_y) / 0.002) AS BIGINT), CAST(floor(greatest(ay, b_y) / 0.002) AS BIGINT) + 1)) AS cy FROM sg),
+pr AS (SELECT DISTINCT i.way_id AS iw, i.seq AS iq, j.way_id AS jw, j.seq AS jq, i.a AS ia, i.b AS ib, j.a AS ja, j.b AS jb, i.ay AS iay, i.ax AS iax, i.b_y AS iby, i.b_x AS ibx, j.ay AS jay, j.ax AS jax, j.b_y AS jby, j.b_x AS jbx
   FROM gc i JOIN gc j ON i.cy = j.cy AND (i.way_id < j.way_id OR (i.way_id = j.way_id AND i.seq < j.seq)) AND i.a <> j.a AND i.a <> j.b AND i.b <> j.a AND i.b <> j.b
-   AND greatest(i.ax, i.bx) >= least(j.ax, j.bx) AND greatest(j.ax, j.bx) >= least(i.ax, i.bx) AND greatest(i.ay, i.by) >= least(j.ay, j.by) AND greatest(j.ay, j.by) >= least(i.ay, i.by)),
+   AND greatest(i.ax, i.b_x) >= least(j.ax, j.b_x) AND greatest(j.ax, j.b_x) >= least(i.ax, i.b_x) AND greatest(i.ay, i.b_y) >= least(j.ay, j.b_y) AND greatest(j.ay, j.b_y) >= least(i.ay, i.b_y)),
 xx AS (SELECT *, ((jax - iax) * (jby - jay) - (jay - iay) * (jbx - jax)) / den AS t, ((jax - iax) * (iby - iay) - (jay - iay) * (ibx - iax)) / den AS u
   FROM (SELECT *, (ibx - iax) * (jby - jay) - (iby - iay) * (jbx - jax) AS den FROM pr) p WHERE den <> 0),
 cr AS (SELECT *, greatest(0, least(1, t)) AS tt, greatest(0, least(1, u)) AS uu FROM xx WHERE t BETWEEN -0.000001 AND 1.000001 AND u BETWEEN -0.000001 AND 1.000001)"""
@@ -106,7 +106,7 @@ def road_nodes(w: World):
         e.select(F.col("b").alias("id"), F.col("b_lat").alias("lat"), F.col("b_lon").alias("lon"))).distinct()
 
 
-@query("snapped_to_nodes", "O43", f"""WITH {ROAD_EDGES}, rn AS (SELECT a AS id, ay AS lat, ax AS lon FROM re UNION SELECT b, by, bx FROM re),
+@query("snapped_to_nodes", "O43", f"""WITH {ROAD_EDGES}, rn AS (SELECT a AS id, ay AS lat, ax AS lon FROM re UNION SELECT b, b_y, b_x FROM re),
 d AS (SELECT s.id, rn.id AS node_id, {hav('s.lat', 's.lon', 'rn.lat', 'rn.lon')} AS m FROM d_stations s JOIN rn ON abs(s.lat - rn.lat) < 0.006 AND abs(s.lon - rn.lon) < 0.01)
 SELECT id, node_id, floor(m * 1000 + 0.5) / 1000 AS distance_m FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY m, node_id) AS k FROM d WHERE m <= 400) q WHERE k = 1""")
 def _(w: World):
@@ -114,7 +114,7 @@ def _(w: World):
 
 
 @query("snapped_to_segments", "O44", f"""WITH {ROAD_EDGES}, q AS (SELECT s.id, re.way_id, re.seq, re.a, re.b, (ax - s.lon) * (pi() / 180) * 6378137.0 * cos(s.lat * (pi() / 180)) AS x1, (ay - s.lat) * (pi() / 180) * 6378137.0 AS y1,
-   (bx - s.lon) * (pi() / 180) * 6378137.0 * cos(s.lat * (pi() / 180)) AS x2, (by - s.lat) * (pi() / 180) * 6378137.0 AS y2 FROM d_stations s JOIN re ON abs(ay - s.lat) < 0.008 AND abs(ax - s.lon) < 0.012),
+   (b_x - s.lon) * (pi() / 180) * 6378137.0 * cos(s.lat * (pi() / 180)) AS x2, (b_y - s.lat) * (pi() / 180) * 6378137.0 AS y2 FROM d_stations s JOIN re ON abs(ay - s.lat) < 0.008 AND abs(ax - s.lon) < 0.012),
 t AS (SELECT *, greatest(0.0, least(1.0, -(x1 * (x2 - x1) + y1 * (y2 - y1)) / nullif(pow(x2 - x1, 2) + pow(y2 - y1, 2), 0))) AS t FROM q),
 d AS (SELECT *, floor(sqrt(pow(x1 + t * (x2 - x1), 2) + pow(y1 + t * (y2 - y1), 2)) * 1000 + 0.5) / 1000 AS m FROM t)
 SELECT id, m AS distance_m FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY m) AS k FROM d WHERE m <= 300) z WHERE k = 1""")

@@ -94,8 +94,10 @@ def crossing_nodes(crossings: DataFrame) -> DataFrame:
 
 def node_network(edges: DataFrame) -> DataFrame:
     """Edges cut at every crossing, so that roads that cross are joined; ends that lie on the same spot without being the
-    same node get a short link edge. All crossings are found before anything is cut."""
-    x = crossing_nodes(segment_crossings(edges))
+    same node get a short link edge. All crossings are found before anything is cut. Edges and crossings enter several
+    joins below, so each is written once to the shared checkpoint folder."""
+    edges = cut_lineage(edges)
+    x = cut_lineage(crossing_nodes(segment_crossings(edges)))
     cuts = x.select(F.col("i_way_id").alias("way_id"), F.col("i_seq").alias("seq"), "t", "node_id", "lat", "lon").unionByName(
         x.select(F.col("j_way_id").alias("way_id"), F.col("j_seq").alias("seq"), F.col("u").alias("t"), "node_id", "lat", "lon"))
     # The place of a new node is the same for all segments that meet there; existing nodes keep theirs.
@@ -108,9 +110,10 @@ def node_network(edges: DataFrame) -> DataFrame:
            .agg(F.array_sort(F.collect_list(F.struct("t", "node_id", "p"))).alias("cuts")))
     e = edges.join(per, ["way_id", "seq"], "left")
     point = "struct<t:double,node_id:bigint,p:struct<lat:double,lon:double>>"
-    inner = F.filter(F.coalesce("cuts", F.array().cast(f"array<{point}>")), lambda k: (k["node_id"] != F.col("a")) & (k["node_id"] != F.col("b")))
+    inside = F.filter(F.coalesce("cuts", F.array().cast(f"array<{point}>")), lambda k: (k["node_id"] != F.col("a")) & (k["node_id"] != F.col("b")))
+    e = e.withColumn("_in", inside)
     # Drop a cut that repeats the node before it or lies on the same place.
-    inner = F.filter(inner, lambda k, i: (i == 0) | ((F.get(inner, i - 1)["node_id"] != k["node_id"]) & (k["t"] - F.get(inner, i - 1)["t"] >= EPS_T)))
+    inner = F.filter("_in", lambda k, i: (i == 0) | ((F.get("_in", i - 1)["node_id"] != k["node_id"]) & (k["t"] - F.get("_in", i - 1)["t"] >= EPS_T)))
     chain = F.concat(F.array(F.struct(F.lit(0.0).alias("t"), F.col("a").alias("node_id"), F.struct(F.col("a_lat").alias("lat"), F.col("a_lon").alias("lon")).alias("p"))), inner,
                      F.array(F.struct(F.lit(1.0).alias("t"), F.col("b").alias("node_id"), F.struct(F.col("b_lat").alias("lat"), F.col("b_lon").alias("lon")).alias("p"))))
     e = e.withColumn("_chain", chain)
@@ -223,14 +226,15 @@ def shortest_costs(edges: DataFrame, origins: DataFrame, max_cost: float, max_ro
     one = edges.select(F.col("a").alias("src"), F.col("b").alias("dst"), "length_m", "speed_kmh")
     hop = one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "length_m", "speed_kmh"))
     hop = cut_lineage(hop.select("src", "dst", "length_m", edge_cost(F.col("length_m"), F.col("speed_kmh")).alias("c"),
-                                 (F.col("length_m") / (F.col("speed_kmh") / 3.6)).alias("s")).where(F.col("c") <= max_cost))
+                                 (F.col("length_m") / (F.col("speed_kmh") / 3.6)).alias("s"), F.col("length_m").alias("l")).where(F.col("c") <= max_cost)
+                      .drop("length_m"))
     zero = F.lit(0.0)
     best = origins.select("origin", "node_id", zero.alias("cost"), zero.alias("length_m"), zero.alias("seconds"), F.lit(None).cast("long").alias("prev"), F.lit(0).alias("round"))
     best = cut_lineage(best)
     for r in range(1, max_rounds + 1):
         front = best.where(F.col("round") == r - 1)
         step = front.join(hop, F.col("node_id") == F.col("src")).select(
-            "origin", F.col("dst").alias("node_id"), (F.col("cost") + F.col("c")).alias("cost"), (front["length_m"] + hop["length_m"]).alias("length_m"),
+            "origin", F.col("dst").alias("node_id"), (F.col("cost") + F.col("c")).alias("cost"), (F.col("length_m") + F.col("l")).alias("length_m"),
             (F.col("seconds") + F.col("s")).alias("seconds"), F.col("node_id").alias("prev"), F.lit(r).alias("round")).where(F.col("cost") <= max_cost)
         row = F.struct("cost", "round", "prev", "length_m", "seconds")
         # The minimum over old and new rows: an unchanged node keeps its old round and leaves the frontier.
