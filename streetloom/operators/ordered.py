@@ -60,3 +60,20 @@ def with_previous(df: DataFrame, keys: list[str], chunk: Column, order: list[str
             .join(carry.where(F.col("_carry").isNotNull()), _same(keys), "left")
             .withColumn(name, F.coalesce("_in", "_carry"))
             .drop(CHUNK, "_in", "_carry"))
+
+
+def last_known(events: DataFrame, keys: list[str], time: str, bucket: Column, is_plan: str, columns: list[str],
+               name: str = "known") -> DataFrame:
+    """As-of lookup for any group size: every row gets the struct ``columns`` of the latest plan row of its key at or
+    before its time. ``events`` holds plan and observation rows together; at equal times plans come first."""
+    cut = events.withColumn(CHUNK, bucket)
+    value = F.when(F.col(is_plan), F.struct(*columns))
+    tails = cut.where(F.col(is_plan)).groupBy(*keys, CHUNK).agg(F.max_by(F.struct(*columns), F.struct(time, *columns)).alias("_tail"))
+    # One row per key and bucket, plans or not, so that a bucket without plans passes on what came before.
+    slots = cut.select(*keys, CHUNK).distinct().join(tails, _same(keys), "left")
+    before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    carry = slots.select(*keys, CHUNK, F.last("_tail", ignorenulls=True).over(before).alias("_carry"))
+    inside = Window.partitionBy(*_same(keys)).orderBy(F.col(time), F.col(is_plan).desc(), *columns).rowsBetween(Window.unboundedPreceding, 0)
+    return (cut.withColumn("_in", F.last(value, ignorenulls=True).over(inside))
+            .join(carry.where(F.col("_carry").isNotNull()), _same(keys), "left")
+            .withColumn(name, F.coalesce("_in", "_carry")).drop("_in", "_carry", CHUNK))

@@ -224,6 +224,40 @@ SELECT *, CASE WHEN action <> 'create' THEN lag(CASE WHEN action <> 'delete' THE
        CASE WHEN action <> 'delete' THEN txt END AS after
 FROM (SELECT *, concat('v', CAST(id AS VARCHAR(20))) AS txt FROM d_changes) c"""
 
+SQL["d_schedules"] = """
+SELECT id AS line_id, CASE WHEN id % 4 = 3 THEN 'timetable' ELSE 'headway' END AS mode, CAST(18000 + (id % 5) * 600 AS INT) AS first_sec,
+       CAST(72000 + (id % 3) * 3600 AS INT) AS last_sec, CAST(420 + (id % 7) * 300 AS INT) AS headway_sec FROM d_lines"""
+
+SQL["d_vehicles"] = """
+SELECT c_custkey AS id, CASE WHEN c_custkey % 23 = 0 THEN NULL ELSE CAST(floor(c_custkey / 90) AS BIGINT) END AS line_id,
+       CASE c_custkey % 3 WHEN 0 THEN 'metro' WHEN 1 THEN 'bus' ELSE 'tram' END AS kind, CAST(50 + (c_custkey % 4) * 15 AS INT) AS max_speed, c_nationkey AS owner,
+       CAST(39.73 AS DOUBLE) + CAST((c_custkey * 37) % 1200 AS DOUBLE) / 10000 AS lat, CAST(116.14 AS DOUBLE) + CAST((c_custkey * 53) % 1250 AS DOUBLE) / 10000 AS lon
+FROM customer"""
+
+# Stop observations: each order is a run, its way's references are the stops.
+SQL["d_obs"] = """
+SELECT r.way_id AS run_id, r.seq AS idx, w.o_custkey AS vehicle_id, CAST(floor(w.o_custkey / 90) AS BIGINT) AS line_id, r.seq = 0 AS origin,
+       r.way_id % 5 <> 0 AS scheduled, r.way_id % 3 = 1 AS bus, CAST(20000 + r.way_id % 3600 + r.seq * 180 AS BIGINT) AS planned_arr,
+       CAST(20000 + r.way_id % 3600 + r.seq * 180 + 30 AS BIGINT) AS planned_dep,
+       CAST(20000 + r.way_id % 3600 + r.seq * 180 + (r.way_id * 7 + r.seq * 31) % 190 - 70 AS BIGINT) AS arrived,
+       CAST(20000 + r.way_id % 3600 + r.seq * 180 + (r.way_id * 7 + r.seq * 31) % 190 - 70 + 25 + (r.way_id + r.seq * 3) % 40 AS BIGINT) AS departed,
+       CAST((r.way_id * 3 + r.seq) % 20 AS INT) AS blocked_sec, CAST((r.way_id + r.seq * 5) % 22 AS INT) AS congest_sec, r.seq = 0 AND r.way_id % 11 = 0 AS late_start
+FROM d_way_nodes r JOIN d_way_base w ON w.way_id = r.way_id"""
+
+# Waiting groups and daily statistics from line items.
+SQL["d_cohorts"] = """
+SELECT l_suppkey AS station_id, CAST(l_linenumber AS BIGINT) AS company_id, CASE WHEN l_partkey % 6 = 0 THEN NULL ELSE CAST(floor(l_suppkey / 6) AS BIGINT) + l_partkey % 3 END AS line_id,
+       CASE WHEN l_partkey % 9 = 0 THEN NULL ELSE CAST(floor(l_suppkey / 6) AS BIGINT) * 6 + l_partkey % 6 END AS dest_id, CAST(l_quantity AS DOUBLE) / 16 AS people,
+       CASE WHEN l_returnflag = 'R' THEN CAST(l_quantity AS DOUBLE) / 32 ELSE 0 END AS lost, CAST(l_orderkey % 4000 AS INT) AS start_sec,
+       CASE WHEN l_partkey % 4 = 0 THEN NULL ELSE CAST(floor(l_suppkey / 6) AS BIGINT) + l_partkey % 2 END AS plan_line,
+       CASE WHEN l_partkey % 4 = 0 THEN NULL WHEN l_partkey % 10 = 1 THEN l_suppkey + 1 ELSE l_suppkey END AS plan_from, l_orderkey, l_partkey
+FROM lineitem"""
+SQL["d_ride_events"] = """
+SELECT CAST(floor(l_suppkey / 6) AS BIGINT) AS line_id, l_suppkey AS station_id, CAST(1 + l_orderkey % 40 AS INT) AS day, CAST(l_quantity AS DOUBLE) AS riders,
+       CAST(l_linenumber AS DOUBLE) AS transfers, CAST(l_partkey % 100 AS DOUBLE) / 8 AS vehicle_km, CAST(l_quantity AS DOUBLE) / 64 AS load_sum, CAST(1 AS BIGINT) AS load_n,
+       CAST(l_partkey % 600 AS DOUBLE) AS wait_sum, CAST(1 + l_linenumber % 3 AS BIGINT) AS wait_n,
+       CASE l_linenumber % 3 WHEN 0 THEN 'board' WHEN 1 THEN 'alight' ELSE 'transfer' END AS kind FROM lineitem"""
+
 # Which name needs which: found by scanning the text.
 _NAME = re.compile(r"\b([do]_[a-z_]+[a-z])\b")
 
