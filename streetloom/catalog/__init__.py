@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from streetloom.plans.demo import World, complete_sql
+from streetloom.session import ship_package
 
 
 @dataclass(frozen=True)
@@ -46,7 +47,10 @@ def load_all() -> dict[str, Entry]:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def runner(entry: Entry) -> Callable[[SparkSession, str], DataFrame]:
-        return lambda spark, sf_dir: entry.build(World(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return entry.build(World(spark, sf_dir))
+        return run
     return {name: runner(e) for name, e in load_all().items()}
 
 
