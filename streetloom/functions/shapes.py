@@ -181,7 +181,12 @@ def rings_of(ways: list[list[int]]) -> tuple[list[list[int]], list[list[int]]]:
 
 # ---- the same as columns ---------------------------------------------------------------------------------------
 
-@F.pandas_udf(TRAILS)
+def _kernel(returns: T.DataType):
+    """Arrow UDF that the optimiser must not repeat: a filter on its result would otherwise run it a second time."""
+    return lambda fn: F.pandas_udf(fn, returns).asNondeterministic()
+
+
+@_kernel(TRAILS)
 def _trails(groups: pd.Series) -> pd.Series:
     return pd.Series([trails_of([[int(n) for n in w["node_ids"]] for w in g]) for g in groups])
 
@@ -191,7 +196,7 @@ def chained(ways: Column) -> Column:
     return _trails(F.array_sort(ways))
 
 
-@F.pandas_udf(POINTS)
+@_kernel(POINTS)
 def _simplified(coords: pd.Series, tol: pd.Series) -> pd.Series:
     out = []
     for c, t in zip(coords, tol):
@@ -205,7 +210,7 @@ def simplified(coords: Column, tol_m: Column) -> Column:
     return _simplified(coords, tol_m.cast("double"))
 
 
-@F.pandas_udf(PATHS)
+@_kernel(PATHS)
 def _line_paths(groups: pd.Series, tol: pd.Series, lat0: pd.Series, digits: pd.Series) -> pd.Series:
     out = []
     for g, t, y, k in zip(groups, tol, lat0, digits):
@@ -221,7 +226,7 @@ def line_paths(ways: Column, tol_m: Column, lat0: Column, digits: int = 5) -> Co
     return _line_paths(F.array_sort(ways), tol_m.cast("double"), lat0.cast("double"), F.lit(digits))
 
 
-@F.pandas_udf(PATHS)
+@_kernel(PATHS)
 def _rings(groups: pd.Series, tol: pd.Series, lat0: pd.Series, digits: pd.Series) -> pd.Series:
     out = []
     for g, t, y, k in zip(groups, tol, lat0, digits):
@@ -235,7 +240,7 @@ def area_rings(ways: Column, tol_m: Column, lat0: Column, digits: int = 5) -> Co
     return _rings(F.array_sort(ways), tol_m.cast("double"), lat0.cast("double"), F.lit(digits))
 
 
-@F.pandas_udf(PATHS)
+@_kernel(PATHS)
 def _clipped(kind: pd.Series, paths: pd.Series, y1: pd.Series, y2: pd.Series, x1: pd.Series, x2: pd.Series) -> pd.Series:
     out = []
     for k, ps, *box in zip(kind, paths, y1, y2, x1, x2):
@@ -254,7 +259,7 @@ def clipped(kind: Column, paths: Column, min_lat: Column, max_lat: Column, min_l
     return _clipped(kind, paths, min_lat, max_lat, min_lon, max_lon)
 
 
-@F.pandas_udf(STITCHED)
+@_kernel(STITCHED)
 def _stitched(groups: pd.Series) -> pd.DataFrame:
     both = [rings_of([[int(n) for n in w["node_ids"]] for w in g]) for g in groups]
     return pd.DataFrame({"rings": [r for r, _ in both], "chains": [c for _, c in both]})

@@ -11,6 +11,7 @@ from streetloom.functions import shapes as S, tags as T
 from streetloom.functions.geo import bbox_area_m2, layout_cell, meters_per_pixel, ring_area_m2
 from streetloom.model import OsmDataset
 from streetloom.operators import geometry as G
+from streetloom.session import cut_lineage
 
 
 # ---- Fixed values --------------------------------------------------------------------------------------
@@ -140,7 +141,7 @@ def chosen_classes(shown: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 def coverage(ds: OsmDataset, zooms: list[int], detail: int = 4, limit: int = LIMIT) -> DataFrame:
     """Status of every way at every zoom: line, area, way, nogfx, invisible or lod (with the reason in ``sub``)."""
-    shown = _shown(ds, zooms, detail)
+    shown = cut_lineage(_shown(ds, zooms, detail))
     picked = chosen_classes(shown, limit).withColumn("_chosen", F.lit(True))
     c = shown.withColumn("cls", T.line_class(F.col("tags"))).join(picked, ["zoom", "cls"], "left")
     line = (F.col("status") == "way") & ~F.col("closed") & F.coalesce("_chosen", F.lit(False))
@@ -161,11 +162,16 @@ def tile_coverage(ds: OsmDataset, grid: TileGrid, zooms: list[int] = BANDS, deta
 
 
 def display_ways(ds: OsmDataset, zooms: list[int], detail: int = 4) -> DataFrame:
-    """Ways to be drawn as lines or areas at each zoom, with geometry: zoom, way_id, tags, status, cls, node_ids, coords."""
-    cov = coverage(ds, zooms, detail).where(F.col("status").isin("line", "area"))
+    """Ways to be drawn as lines or areas at each zoom, with geometry: zoom, way_id, tags, status, cls, node_ids, coords.
+
+    The coverage picks the geometry to fetch and is joined with it; the result feeds group sizes and groups of lines and of
+    areas. Both are written once, because each would otherwise be computed several times.
+    """
+    cov = cut_lineage(coverage(ds, zooms, detail).where(F.col("status").isin("line", "area")).select(
+        "id", "zoom", "tags", "status", "sub", "min_lat", "max_lat", "min_lon", "max_lon"))
     wanted = cov.select(F.col("id").alias("way_id")).distinct()
     geo = G.way_geometry(ds.way_nodes.join(wanted, "way_id", "left_semi"), ds.nodes)
-    return cov.withColumnRenamed("id", "way_id").withColumnRenamed("sub", "cls").join(geo, "way_id").where(F.size("coords") >= 2)
+    return cut_lineage(cov.withColumnRenamed("id", "way_id").withColumnRenamed("sub", "cls").join(geo, "way_id").where(F.size("coords") >= 2))
 
 
 def display_lines(ds: OsmDataset, zoom: int, lat0: float, detail: int = 4) -> DataFrame:
