@@ -22,7 +22,7 @@ class Entry:
 
 REGISTRY: dict[str, Entry] = {}
 _PARTS = ["elements", "rules", "selection", "datasets", "history", "people", "roads", "transit", "timetable",
-          "drawing", "live"]
+          "drawing", "live", "files"]
 
 
 def query(name: str, covers: str, oracle: str | None = None):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from streetloom.catalog import query
-from streetloom.catalog.history import BATCH, ELEMS
+from streetloom.catalog.history import ELEMS, FOLD_SQL
 from streetloom.plans.demo import World
 from streetloom.session import shared_path
 from streetloom.streaming import live as L
@@ -56,7 +56,8 @@ def _(w: World):
     return L.run_once(L.capped_sessions(stream(w), 5 * HOUR, 24 * HOUR), "append", "capped").drop("batch_id")
 
 
-@query("stream_maintained_elements", "S5")
+@query("stream_maintained_elements", "S5", FOLD_SQL + """, l AS (SELECT *, row_number() OVER (PARTITION BY elem_id ORDER BY pos DESC) AS rn FROM f)
+SELECT elem_id AS id, CAST(v AS INT) AS version, value FROM l WHERE rn = 1 AND v IS NOT NULL UNION ALL SELECT id, version, value FROM e WHERE id NOT IN (SELECT elem_id FROM c)""")
 def _(w: World):
     base = w.sql(f"SELECT * FROM {ELEMS} e").select("id", F.col("version").cast("int").alias("version"), "value")
     s = stream(w)
