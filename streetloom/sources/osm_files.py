@@ -117,8 +117,8 @@ def _kind(head: bytes) -> str:
 
 
 def sniff_osm_format(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(path, kind) for many files by their first bytes, whatever their names: pbf, xml, gzip-pbf, gzip-xml, empty or
-    unknown. Spark lists the files without reading them; tasks open each and read its first 64 KB."""
+    """(path, kind) for many files by their first bytes, whatever their names: pbf, xml, gzip-pbf, gzip-xml or
+    unknown (Spark lists no empty files). Listing reads nothing; tasks open each file and read its first 64 KB."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select("path")
 
     def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
