@@ -19,13 +19,14 @@ def stream(w: World):
     return s.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("ms", (F.col("ts").cast("double") * 1000).cast("long"))
 
 
-KIND = F.when(F.col("event_type") == "click", "op").when(F.col("event_type") == "view", "view").when(F.col("event_type") == "error", "release") \
-    .when(F.col("event_type") == "purchase", "lock").otherwise("chat")
+def kind():
+    return F.when(F.col("event_type") == "click", "op").when(F.col("event_type") == "view", "view").when(F.col("event_type") == "error", "release") \
+        .when(F.col("event_type") == "purchase", "lock").otherwise("chat")
 
 
 @query("stream_rate_limit", "S1")
 def _(w: World):
-    return L.run_once(L.rate_limit(stream(w).withColumn("kind", KIND), 2, 12 * HOUR), "append", "rate").drop("batch_id")
+    return L.run_once(L.rate_limit(stream(w).withColumn("kind", kind()), 2, 12 * HOUR), "append", "rate").drop("batch_id")
 
 
 @query("stream_locks", "S2")

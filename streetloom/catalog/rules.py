@@ -9,8 +9,6 @@ from streetloom.functions import demand as D, geo, roads as R, tags as T
 from streetloom.operators import rules as RU
 from streetloom.plans.demo import World
 
-t = F.col("tags")
-
 RANK_SQL = """CASE WHEN t['highway'] IS NULL THEN NULL
  WHEN t['highway'] IN ('motorway','motorway_link','trunk','trunk_link','primary','primary_link') THEN 0
  WHEN t['highway'] IN ('secondary','secondary_link') THEN 1 WHEN t['highway'] IN ('tertiary','tertiary_link') THEN 2
@@ -55,6 +53,7 @@ CATEGORY_SQL = f"""CASE WHEN t['building'] IS NOT NULL OR t['building:part'] IS
 
 @query("road_ranks", "O20", f"SELECT id, CAST({RANK_SQL} AS INT) AS road_rank FROM o_features")
 def _(w: World):
+    t = F.col("tags")
     return w.features.select("id", T.road_rank(t).alias("road_rank"))
 
 
@@ -63,6 +62,7 @@ SELECT id, zoom, zoom >= {LINE_ZOOM_SQL} AS as_line, zoom >= {POINT_ZOOM_SQL} AS
   zoom >= CASE WHEN t['highway'] IS NOT NULL AND ({RANK_SQL}) = 0 THEN 7 ELSE {LINE_ZOOM_SQL} END AS as_line_floor7
 FROM o_features""")
 def _(w: World):
+    t = F.col("tags")
     z = F.col("zoom")
     return w.features.select("id", "zoom", T.lod_visible(t, z).alias("as_line"), T.lod_visible(t, z, "point").alias("as_point"),
                              T.lod_visible(t, z, "line", {"trunk": 7}).alias("as_line_floor7"))
@@ -71,6 +71,7 @@ def _(w: World):
 @query("lod_keys", "O22", f"""
 SELECT id, CAST(coalesce({RANK_SQL}, -1) AS INT) AS road_class, CAST(least({LINE_ZOOM_SQL}, 18) AS INT) AS lod_zoom FROM o_ways""")
 def _(w: World):
+    t = F.col("tags")
     cls, zoom = T.lod_keys(t)
     return w.ways.select("id", cls.alias("road_class"), zoom.alias("lod_zoom"))
 
@@ -97,6 +98,7 @@ WITHHOLD_INPUT = """(SELECT *, CASE WHEN zoom >= 19 THEN 5 WHEN zoom >= 15 THEN
 
 @query("withhold_class", "O23", f"SELECT id, zoom, {WITHHOLD_SQL} AS withheld FROM {WITHHOLD_INPUT}")
 def _(w: World):
+    t = F.col("tags")
     area = geo.bbox_area_m2(F.col("min_lat"), F.col("max_lat"), F.col("min_lon"), F.col("max_lon"))
     cls = T.lod_withhold(t, F.col("zoom"), area, F.col("closed"), min_fill_area=150)
     return w.features.select("id", "zoom", cls.alias("withheld"))
@@ -104,6 +106,7 @@ def _(w: World):
 
 @query("feature_category", "O24", f"SELECT id, {CATEGORY_SQL} AS category FROM o_features")
 def _(w: World):
+    t = F.col("tags")
     return w.features.select("id", T.category_of(t).alias("category"))
 
 
@@ -165,6 +168,7 @@ SELECT id, label, CAST(priority AS INT) AS priority FROM (SELECT id,
     WHEN t['building'] IS NOT NULL AND t['addr:housenumber'] IS NOT NULL THEN 2 END AS priority
   FROM n) s WHERE label IS NOT NULL""")
 def _(w: World):
+    t = F.col("tags")
     lab = T.label_of(t)
     return w.features.select("id", lab["text"].alias("label"), lab["priority"].alias("priority")).where("label IS NOT NULL")
 
@@ -195,6 +199,7 @@ SELECT id, cls, {LINE_FAMILY_SQL} AS family, {LINE_ALWAYS_SQL} AS always,
   replace(concat(cls, chr(1), {", chr(1), ".join(_part(k) for k in ["name", "bridge", "tunnel", "layer", "surface"])}), chr(1), '|') AS group_key
 FROM (SELECT id, t, {LINE_CLASS_SQL} AS cls FROM o_features) f WHERE cls IS NOT NULL""")
 def _(w: World):
+    t = F.col("tags")
     cls = F.col("cls")
     return w.features.withColumn("cls", T.line_class(t)).where(cls.isNotNull()).select(
         "id", "cls", T.line_family(cls).alias("family"), T.line_always(cls).alias("always"),
@@ -224,6 +229,7 @@ SELECT id, cls, {AREA_FAMILY_SQL} AS family,
      OR (cls LIKE 'tags:%' AND list_contains(list_sort(map_keys(t))[1:4], k))), ',') AS kept
 FROM (SELECT id, t, {AREA_CLASS_SQL} AS cls FROM o_features) f WHERE cls IS NOT NULL""")
 def _(w: World):
+    t = F.col("tags")
     cls = F.col("cls")
     return w.features.withColumn("cls", T.area_class(t)).where(cls.isNotNull()).select(
         "id", "cls", T.area_family(cls).alias("family"),
@@ -241,6 +247,7 @@ SELECT id, CAST({MAXSPEED_SQL} AS DOUBLE) AS kmh FROM (SELECT id, lower(trim(t['
   TRY_CAST(regexp_extract(regexp_replace(lower(trim(t['maxspeed'])), '[^0-9.]', '', 'g'), '^[0-9]+(\\.[0-9]*)?') AS DOUBLE) AS num
   FROM o_features) f""")
 def _(w: World):
+    t = F.col("tags")
     return w.features.select("id", R.parse_maxspeed(t["maxspeed"], F.lit(50.0)).alias("kmh"))
 
 
@@ -249,6 +256,7 @@ SELECT id, CAST(CASE WHEN t['layer'] IS NOT NULL THEN floor(CAST(t['layer'] AS D
   WHEN t['bridge'] IN ('yes','viaduct','boardwalk') THEN 1
   WHEN t['tunnel'] IN ('yes','building_passage') OR t['covered'] = 'yes' THEN -1 ELSE 0 END AS INT) AS layer FROM o_features""")
 def _(w: World):
+    t = F.col("tags")
     return w.features.select("id", R.effective_layer(t).alias("layer"))
 
 
@@ -267,6 +275,7 @@ SELECT id, kind, coalesce(nullif(substr(trim(coalesce(t['name:zh'], t['name:zh-H
     WHEN 'bus' THEN '公交站' END, ' #', CAST(id AS VARCHAR))) AS name
 FROM (SELECT id, t, {STATION_KIND_SQL} AS kind FROM o_features) f WHERE kind IS NOT NULL""")
 def _(w: World):
+    t = F.col("tags")
     kind = T.station_kind(t)
     return w.features.withColumn("kind", kind).where("kind IS NOT NULL").select(
         "id", "kind", T.station_name(t, F.col("kind"), F.col("id")).alias("name"))
@@ -282,6 +291,7 @@ SELECT id, coalesce({NUM_SQL.format('building:levels')}, CASE WHEN {NUM_SQL.form
     WHEN {NUM_SQL.format('building:levels')} IS NOT NULL THEN floor(({NUM_SQL.format('building:levels')} * 3.2::DOUBLE + 1) * 1000 + 0.5) / 1000 ELSE 6.0 END::DOUBLE AS height_m
 FROM o_features WHERE t['building'] IS NOT NULL""")
 def _(w: World):
+    t = F.col("tags")
     b = w.features.where(T.has(t, "building"))
     return b.select("id", T.effective_floors(t).cast("double").alias("floors"),
                     geo.js_round(T.building_height(t), 3).alias("height_m"))
