@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from streetloom.llm.embeddings import embedding_links
 from streetloom.llm.lines import drop_repeated_lines
 from streetloom.llm.mixing import mix_plan
 from streetloom.llm.simhash import simhash_groups
+from streetloom.llm.token_files import token_index
 from streetloom.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,8 +37,12 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "row.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_index(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_embedding_near_dedup, op3_simhash_near_dedup, op5_source_mixing, op7_line_dedup)}
+    op1_embedding_near_dedup, op3_simhash_near_dedup, op5_source_mixing, op7_line_dedup, op10_token_files)}
 
 ORACLES = {
     "op1_embedding_near_dedup": """
