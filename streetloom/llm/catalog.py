@@ -8,12 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streetloom.llm.common import table
+from streetloom.llm.common import id_crc, table
 from streetloom.llm.embeddings import embedding_links
 from streetloom.llm.lines import drop_repeated_lines
 from streetloom.llm.mixing import mix_plan
 from streetloom.llm.simhash import simhash_groups
 from streetloom.llm.token_files import token_index
+from streetloom.llm.toxicity import THRESHOLD as TOXIC
+from streetloom.llm.toxicity import learn_toxicity, score_toxicity
 from streetloom.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +30,14 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = learn_toxicity(docs, table(spark, sf_dir, "labels"))
+    return score_toxicity(docs, model).select(
+        "doc_id", F.coalesce(id_crc(F.col("doc_id")) % 3 == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"),
+        F.size("passages").cast("long").alias("n_passages"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -42,7 +52,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_embedding_near_dedup, op3_simhash_near_dedup, op5_source_mixing, op7_line_dedup, op10_token_files)}
+    op1_embedding_near_dedup, op3_simhash_near_dedup, op4_toxicity, op5_source_mixing, op7_line_dedup, op10_token_files)}
 
 ORACLES = {
     "op1_embedding_near_dedup": """
