@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from streetloom.llm.common import id_crc, table
 from streetloom.llm.embeddings import embedding_links
+from streetloom.llm.language import learn_languages, predict_languages
 from streetloom.llm.lines import drop_repeated_lines
 from streetloom.llm.mixing import mix_plan
 from streetloom.llm.simhash import simhash_groups
@@ -47,12 +48,18 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "row.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return predict_languages(docs, learn_languages(docs)).select(
+        "doc_id", F.coalesce(id_crc(F.col("doc_id")) % 4 == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_embedding_near_dedup, op3_simhash_near_dedup, op4_toxicity, op5_source_mixing, op7_line_dedup, op10_token_files)}
+    op1_embedding_near_dedup, op3_simhash_near_dedup, op4_toxicity, op5_source_mixing, op7_line_dedup, op8_language_id, op10_token_files)}
 
 ORACLES = {
     "op1_embedding_near_dedup": """
