@@ -13,10 +13,13 @@ from streetloom.llm.embeddings import embedding_links
 from streetloom.llm.language import learn_languages, predict_languages
 from streetloom.llm.lines import drop_repeated_lines
 from streetloom.llm.mixing import mix_plan
+from streetloom.llm.quality import judge_quality, learn_lines
 from streetloom.llm.simhash import simhash_groups
 from streetloom.llm.token_files import token_index
 from streetloom.llm.toxicity import THRESHOLD as TOXIC
 from streetloom.llm.toxicity import learn_toxicity, score_toxicity
+from streetloom.llm.urls import filter_urls
+from streetloom.llm.urls import oracle as url_oracle
 from streetloom.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +29,10 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links(table(spark, sf_dir, "embeddings"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -43,6 +50,11 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return judge_quality(docs, learn_lines(docs, table(spark, sf_dir, "labels"))).drop("content_share", "line_labels")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_lines(table(spark, sf_dir, "documents")).select(
         "row.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -59,7 +71,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_embedding_near_dedup, op3_simhash_near_dedup, op4_toxicity, op5_source_mixing, op7_line_dedup, op8_language_id, op10_token_files)}
+    op1_embedding_near_dedup, op2_url_filter, op3_simhash_near_dedup, op4_toxicity, op5_source_mixing, op6_quality_rules, op7_line_dedup, op8_language_id, op10_token_files)}
 
 ORACLES = {
     "op1_embedding_near_dedup": """
@@ -71,6 +83,7 @@ links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_i
 reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
 SELECT v.vec_id, (SELECT count(*) FROM links l WHERE l.a = v.vec_id) AS n_links, r.component_id, v.vec_id = r.component_id AS kept
 FROM v JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = v.vec_id""",
+    "op2_url_filter": url_oracle(),
     "op5_source_mixing": r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS src FROM d GROUP BY source),
