@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streetloom.llm.common import stored, table
 from streetloom.llm.lines import drop_repeated_lines
 from streetloom.llm.mixing import mix
+from streetloom.llm.pieces import encode_pieces
 from streetloom.llm.simhash import drop_near_duplicates
+from streetloom.llm.toxicity import drop_toxic
 from streetloom.session import ship_package
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored as toxic go. The model learns from the labelled documents among those it is given."""
+    return drop_toxic(docs, table(spark, sf_dir, "labels")).select(*COLUMNS)
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that other documents had first go; a document that loses its last line stays, with an empty text."""
     kept = drop_repeated_lines(docs)
@@ -28,7 +36,13 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix(docs).select(*COLUMNS)
 
 
-STAGES = [("line_dedup", line_dedup), ("simhash_dedup", simhash_dedup), ("source_mix", source_mix)]
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every copy of every document as piece ids: the end of the pipeline."""
+    best = encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), n=2)
+    return best.select("doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_pieces"), "ids", F.transform("nbest", lambda x: x["score"]).alias("scores"), "round_trip")
+
+
+STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("simhash_dedup", simhash_dedup), ("source_mix", source_mix), ("sentencepiece", sentencepiece)]
 
 #: The first and the last stage cannot be written in SQL.
 ORACLE_SQL = None

@@ -13,6 +13,7 @@ from streetloom.llm.embeddings import embedding_links
 from streetloom.llm.language import learn_languages, predict_languages
 from streetloom.llm.lines import drop_repeated_lines
 from streetloom.llm.mixing import mix_plan
+from streetloom.llm.pieces import encode_pieces
 from streetloom.llm.quality import judge_quality, learn_lines
 from streetloom.llm.simhash import simhash_groups
 from streetloom.llm.token_files import token_index
@@ -24,6 +25,9 @@ from streetloom.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: The best segmentation and the runner-up; more cost time in proportion to the new words of each task.
+BEST_PIECES = 2
+
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links(table(spark, sf_dir, "embeddings"))
@@ -66,12 +70,19 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.coalesce(id_crc(F.col("doc_id")) % 4 == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), n=BEST_PIECES)
+    return best.select(
+        "doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), F.transform("nbest", lambda x: x["score"]).alias("scores"),
+        F.col("nbest")[F.size("nbest") - 1]["changes"].alias("last_changes"), "round_trip")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_embedding_near_dedup, op2_url_filter, op3_simhash_near_dedup, op4_toxicity, op5_source_mixing, op6_quality_rules, op7_line_dedup, op8_language_id, op10_token_files)}
+    op1_embedding_near_dedup, op2_url_filter, op3_simhash_near_dedup, op4_toxicity, op5_source_mixing, op6_quality_rules, op7_line_dedup, op8_language_id, op9_sentencepiece, op10_token_files)}
 
 ORACLES = {
     "op1_embedding_near_dedup": """

@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import DoubleType
 
 from streetloom.llm.common import id_crc, stored
 from streetloom.llm.segments import chance_factor, decay_rate, runs
@@ -191,3 +193,14 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", t
                 names=["doc_id", "score", "passages"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(scan, kind)
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that score below ``threshold``: learned and applied on the same documents. Texts do not move."""
+    model = learn_toxicity(docs, labels)
+
+    def scan(texts: pa.Array) -> pa.Array:
+        scores = Scores(model.units)
+        return pa.array([model.probability(model.evidence(*model.passages(t, scores))[0]) for t in texts.to_pylist()], pa.float64())
+
+    return docs.where(arrow_udf(scan, DoubleType())(F.col(text_col)) < threshold)
