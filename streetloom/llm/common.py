@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,3 +37,14 @@ def ascii_lower(text: Column) -> Column:
 def id_crc(column: Column) -> Column:
     """crc32 of an id written as text."""
     return F.crc32(column.cast("string").cast("binary"))
+
+
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Runs of a batch's rows whose texts have about ``most_bytes`` together (one row at least), so that a batch of long texts does not become
+    Python objects all at once."""
+    sizes, start, held = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist(), 0, 0
+    for i, size in enumerate(sizes):
+        held += size
+        if held >= most_bytes or i == len(sizes) - 1:
+            yield batch.slice(start, i + 1 - start)
+            start, held = i + 1, 0

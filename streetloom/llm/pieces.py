@@ -12,11 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from streetloom.llm.common import slices
+
 SPACE = "▁"
 NBEST = 4
-HELD = 800_000
+HELD = 400_000
 FRESH = 20_000
-AT_ONCE = 256
 UNKNOWN_PENALTY = 10.0
 
 
@@ -177,30 +178,44 @@ def step(h: np.ndarray, codes: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Segmentations of whole texts. A text falls into stretches that no piece lies across; those are kept for the next texts in two generations of
-    HELD / 2: when the younger is full it becomes the older, and what is asked for again is taken over."""
+    """Segmentations of whole texts. A text falls into stretches that no piece lies across; those are kept for the next texts, HELD at most. When there are more,
+    only those stay that more than one text had."""
 
     def __init__(self, model_path: str, n: int = NBEST):
         self.pieces, self.n = Pieces(model_path), n
-        self.known: dict[str, Segment] = {}
-        self.older: dict[str, Segment] = {}
+        self.known: dict[str, int] = {}
+        self.ids: list[bytes] = []
+        self.others: list[tuple[tuple[float, bytes], ...]] = []
+        self.numbers = np.empty((3, 0))  # score, loss of the second, count of ids
+        self.texts = np.empty(0, dtype=np.int32)
 
     def names(self, text: str) -> list[str]:
         return self.pieces.cut.findall(self.normal(text)) if text else []
 
+    def keep(self, wanted: set[str]) -> None:
+        """Forgets all but what ``wanted`` has and, if that leaves room, what several texts had."""
+        often = self.texts > 1
+        if np.count_nonzero(often) > HELD // 2:
+            often[:] = False
+        stay = [(name, i) for name, i in self.known.items() if often[i] or name in wanted]
+        at = [i for _, i in stay]
+        self.known = {name: k for k, (name, _) in enumerate(stay)}
+        self.ids, self.others = [self.ids[i] for i in at], [self.others[i] for i in at]
+        self.numbers, self.texts = self.numbers[:, at], np.ones(len(at), dtype=np.int32)
+
     def learn(self, names: set[str]) -> None:
         """All of ``names`` are known afterwards."""
-        if len(self.known) > HELD // 2:
-            self.known, self.older = {}, self.known
-        known, older, fresh = self.known, self.older, []
-        for name in names.difference(known):
-            if (old := older.get(name)) is None:
-                fresh.append(name)
-            else:
-                known[name] = old
+        fresh = list(names.difference(self.known))
+        if len(self.known) + len(fresh) > HELD:
+            self.keep(names)
         for s in range(0, len(fresh), FRESH):
             part = fresh[s : s + FRESH]
-            known.update(zip(part, self.pieces.best(part, self.n), strict=True))
+            ids, scores, losses, others = zip(*self.pieces.best(part, self.n), strict=True)
+            self.known.update(zip(part, range(len(self.ids), len(self.ids) + len(part)), strict=True))
+            self.ids += ids
+            self.others += others
+            self.numbers = np.concatenate((self.numbers, [scores, losses, [len(x) // 4 for x in ids]]), axis=1)
+        self.texts = np.concatenate((self.texts, np.zeros(len(self.ids) - len(self.texts), dtype=np.int32)))
 
     def normal(self, text: str) -> str:
         return self.pieces.sp.normalize(text)
@@ -221,18 +236,18 @@ class Encoder:
         among the N - 1 whose second best loses least, so only these are combined."""
         if not names:
             return b"", [(0.0, [])]
-        ids, scores, losses, others = zip(*map(self.known.__getitem__, names), strict=True)
+        at = list(map(self.known.__getitem__, names))
+        row = np.array(at)
+        self.texts[row] += 1
+        scores, losses, counts = self.numbers[:, row]
         options: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
-        if self.n == 2:
-            nearest = [losses.index(min(losses))]
-        else:
-            nearest = sorted(heapq.nsmallest(self.n - 1, range(len(names)), key=losses.__getitem__))
+        nearest = [int(losses.argmin())] if self.n == 2 else sorted(np.argsort(losses, kind="stable")[: self.n - 1].tolist())
         for i in nearest:
-            choices = [(0.0, ())] + [(loss, ((i, k),)) for k, (loss, _) in enumerate(others[i])]
+            choices = [(0.0, ())] + [(loss, ((i, k),)) for k, (loss, _) in enumerate(self.others[at[i]])]
             options = heapq.nsmallest(self.n, ((a + b, x + y) for a, x in options for b, y in choices))
-        place = {i: sum(map(len, ids[:i])) // 4 for i in sorted({i for _, x in options for i, _ in x})}
-        total = sum(scores)
-        return b"".join(ids), [(total - loss, [(place[i], len(ids[i]) // 4, others[i][k][1]) for i, k in x]) for loss, x in options]
+        total = float(scores.sum())
+        change = lambda i, k: (int(counts[:i].sum()), int(counts[i]), self.others[at[i]][k][1])
+        return b"".join(map(self.ids.__getitem__, at)), [(total - loss, [change(i, k) for i, k in x]) for loss, x in options]
 
     def decode(self, ids: bytes) -> str:
         """The text of ids: pieces one after the other, bytes joined to characters (what is no character becomes U+FFFD), space marks as spaces, without
@@ -259,15 +274,15 @@ def encode_pieces(docs: DataFrame, model_path: str, n: int = NBEST, id_col: str
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(model_path, n)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for s in range(0, len(texts), AT_ONCE):
-                rows, part = [], [t or "" for t in texts[s : s + AT_ONCE]]
-                for text, (ids, best) in zip(part, e.encode_all(part), strict=True):
+            for part in slices(batch, "text"):
+                rows, texts = [], [t or "" for t in part.column("text").to_pylist()]
+                for text, (ids, best) in zip(texts, e.encode_all(texts), strict=True):
                     normal = e.normal(text).replace(SPACE, " ") if text else ""
                     rows.append((ids, [{"score": x, "changes": [{"place": p, "out": o, "ids": i} for p, o, i in c]} for x, c in best],
                                  e.decode(ids) == (normal[1:] if normal.startswith(" ") else normal)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[s : s + AT_ONCE], *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))],
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))],
                                                  names=["doc_id", "ids", "nbest", "round_trip"])
+        e.keep(set())  # the worker may wait long for its next task
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         encode, "doc_id long, ids binary, nbest array<struct<score:double,changes:array<struct<place:long,out:int,ids:binary>>>>, round_trip boolean")
