@@ -254,9 +254,9 @@ def _(w: World):
 
 
 @query("allocated_ids", "O82", """
-SELECT o_orderkey, 1000000 + row_number() OVER (ORDER BY o_orderkey) - 1 AS new_id FROM orders WHERE o_totalprice > 50000""")
+SELECT o_orderkey, 1000000 + row_number() OVER (ORDER BY o_orderkey) - 1 AS new_id FROM orders""")
 def _(w: World):
-    return DS.allocate_ids(w.table("orders").where("o_totalprice > 50000"), 1000000, "o_orderkey", chunk=4096).select("o_orderkey", "new_id")
+    return DS.allocate_ids(w.table("orders"), 1000000, "o_orderkey").select("o_orderkey", "new_id")
 
 
 @query("archived_rows", "O11", """

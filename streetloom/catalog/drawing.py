@@ -12,26 +12,35 @@ from streetloom.operators import drawing as DR, geometry as G
 from streetloom.operators.drawing import TileGrid
 from streetloom.plans.demo import World
 
-GRID = TileGrid(39.7, 39.9, 116.1, 116.4, 6)
-ROW = "least(5, greatest(0, CAST(floor(({0} - 39.7) / ((39.9::DOUBLE - 39.7) / 6)) AS INT)))"
-COL = "least(5, greatest(0, CAST(floor(({0} - 116.1) / ((116.4::DOUBLE - 116.1) / 6)) AS INT)))"
+TILES = 6
 
 
-@query("tile_numbers", "O99", f"""
-SELECT n.id, CASE WHEN lat BETWEEN 39.7 AND 39.9 AND lon BETWEEN 116.1 AND 116.4 THEN CAST({ROW.format('lat')} * 6 + {COL.format('lon')} + 1 AS INT) ELSE 0 END AS tile FROM d_nodes n""")
+def grid(w: World) -> TileGrid:
+    return TileGrid.over(w.nodes, TILES)
+
+
+# Extent of the data, from which the grid follows.
+GX = "gx AS (SELECT min(lat) AS a, max(lat) AS b, min(lon) AS c, max(lon) AS d FROM d_nodes)"
+A, B, C, D = (f"(SELECT {x} FROM gx)" for x in "abcd")
+ROW = f"least(5, greatest(0, CAST(floor(({{0}} - {A}) / (({B} - {A}) / 6)) AS INT)))"
+COL = f"least(5, greatest(0, CAST(floor(({{0}} - {C}) / (({D} - {C}) / 6)) AS INT)))"
+
+
+@query("tile_numbers", "O99", f"WITH {GX} SELECT n.id, CAST({ROW.format('lat')} * 6 + {COL.format('lon')} + 1 AS INT) AS tile FROM d_nodes n")
 def _(w: World):
-    return w.nodes.select("id", GRID.tile_of(F.col("lat"), F.col("lon")).alias("tile"))
+    return w.nodes.select("id", grid(w).tile_of(F.col("lat"), F.col("lon")).alias("tile"))
 
 
-BOX_TILES = f"""unnest(flatten(list_transform(range({ROW.format('greatest(min_lat, 39.7)')}, {ROW.format('least(max_lat, 39.9)')} + 1), lambda r:
-   list_transform(range({COL.format('greatest(min_lon, 116.1)')}, {COL.format('least(max_lon, 116.4)')} + 1), lambda c: CAST(r * 6 + c + 1 AS INT)))))"""
-ON_GRID = "least(max_lat, 39.9) >= greatest(min_lat, 39.7) AND least(max_lon, 116.4) >= greatest(min_lon, 116.1)"
+# Tiles that a row's box touches.
+BOX_TILES = "tl.tile"
+ON_TILES = f"""JOIN (SELECT r, c, CAST(r * 6 + c + 1 AS INT) AS tile FROM range(6) p(r), range(6) q(c)) tl ON tl.r >= {ROW.format('min_lat')} AND tl.r <= {ROW.format('max_lat')}
+  AND tl.c >= {COL.format('min_lon')} AND tl.c <= {COL.format('max_lon')}"""
 
 
-@query("tiles_of_ways", "O99", f"WITH {EXT} SELECT id, {BOX_TILES} AS tile FROM x WHERE {ON_GRID}")
+@query("tiles_of_ways", "O99", f"WITH {GX}, {EXT} SELECT id, {BOX_TILES} AS tile FROM x {ON_TILES} WHERE min_lat IS NOT NULL")
 def _(w: World):
     b = G.way_bbox(w.way_nodes, w.nodes)
-    return b.select(F.col("way_id").alias("id"), F.explode(GRID.tiles_of_box(F.col("min_lat"), F.col("max_lat"), F.col("min_lon"), F.col("max_lon"))).alias("tile"))
+    return b.select(F.col("way_id").alias("id"), F.explode(grid(w).tiles_of_box(F.col("min_lat"), F.col("max_lat"), F.col("min_lon"), F.col("max_lon"))).alias("tile"))
 
 
 COVER = f"""{EXT}, zx AS (SELECT x.*, z.zoom, CASE WHEN zoom >= 15 THEN 4 WHEN zoom >= 14 THEN 2 WHEN zoom >= 13 THEN 1 ELSE 0 END AS send,
@@ -46,44 +55,64 @@ cv AS (SELECT zs.id, zs.zoom, min_lat, max_lat, min_lon, max_lon, CASE WHEN st =
   FROM zs LEFT JOIN ch ON ch.zoom = zs.zoom AND ch.cls = zs.cls)"""
 
 
-@query("tile_coverage", "O102", f"WITH {COVER} SELECT CAST(zoom AS INT) AS zoom, {BOX_TILES} AS tile, id AS way_id, status, sub FROM cv WHERE {ON_GRID}")
+@query("tile_coverage", "O102", f"WITH {GX}, {COVER} SELECT CAST(zoom AS INT) AS zoom, {BOX_TILES} AS tile, id AS way_id, status, sub FROM cv {ON_TILES} WHERE min_lat IS NOT NULL")
 def _(w: World):
-    return DR.tile_coverage(w.dataset, GRID, [12, 13, 14]).select("zoom", "tile", "way_id", "status", "sub")
+    return DR.tile_coverage(w.dataset, grid(w), [12, 13, 14]).select("zoom", "tile", "way_id", "status", "sub")
 
 
 VIEWS14 = "(SELECT view_id, 14 AS zoom, min_lat, max_lat, min_lon, max_lon FROM d_views)"
 
 
-@query("tile_ledger", "O103", f"""WITH {COVER}, vv AS {VIEWS14} SELECT v.view_id, cv.status, count(DISTINCT cv.id) AS ways FROM cv JOIN vv v ON v.zoom = cv.zoom
- AND floor(cv.max_lon * 100000 + 0.5) + 1 >= v.min_lon * 100000 AND floor(cv.min_lon * 100000 + 0.5) - 1 <= v.max_lon * 100000 AND floor(cv.max_lat * 100000 + 0.5) + 1 >= v.min_lat * 100000 AND floor(cv.min_lat * 100000 + 0.5) - 1 <= v.max_lat * 100000
- WHERE v.max_lat <= 39.9 AND v.max_lon <= 116.4 AND cv.min_lon <= 116.4 AND cv.min_lat <= 39.9 GROUP BY v.view_id, cv.status""")
+@query("tile_ledger", "O103", f"""WITH {GX}, {COVER}, ct AS (SELECT cv.*, {BOX_TILES} AS tile FROM cv {ON_TILES} WHERE min_lat IS NOT NULL),
+vb AS (SELECT view_id, zoom, min_lat AS y1, max_lat AS y2, min_lon AS x1, max_lon AS x2, greatest(min_lat, {A}) AS min_lat, least(max_lat, {B}) AS max_lat, greatest(min_lon, {C}) AS min_lon, least(max_lon, {D}) AS max_lon FROM {VIEWS14}),
+vt AS (SELECT view_id, zoom, y1, y2, x1, x2, {BOX_TILES} AS tile FROM vb {ON_TILES} WHERE max_lat >= min_lat AND max_lon >= min_lon)
+SELECT v.view_id, c.status, count(DISTINCT c.id) AS ways FROM ct c JOIN vt v ON v.zoom = c.zoom AND v.tile = c.tile
+ AND floor(c.max_lon * 100000 + 0.5) + 1 >= v.x1 * 100000 AND floor(c.min_lon * 100000 + 0.5) - 1 <= v.x2 * 100000 AND floor(c.max_lat * 100000 + 0.5) + 1 >= v.y1 * 100000 AND floor(c.min_lat * 100000 + 0.5) - 1 <= v.y2 * 100000
+ GROUP BY v.view_id, c.status""")
 def _(w: World):
-    cov = DR.tile_coverage(w.dataset, GRID, [14])
-    views = w.views.withColumn("zoom", F.lit(14)).where((F.col("max_lat") <= 39.9) & (F.col("max_lon") <= 116.4))
-    return DR.tile_ledger(cov, views, GRID)
+    g = grid(w)
+    return DR.tile_ledger(DR.tile_coverage(w.dataset, g, [14]), w.views.withColumn("zoom", F.lit(14)), g)
 
 
-@query("dirty_tiles", "O104", f"""WITH {EXT}, c AS (SELECT CAST(least({LINE_ZOOM_SQL}, 18) AS INT) AS lz, min_lat, max_lat, min_lon, max_lon FROM x WHERE id IN (SELECT elem_id FROM d_changes)),
-t AS (SELECT lz, {BOX_TILES} AS tile FROM c WHERE min_lon >= 116.1 AND max_lon <= 116.4 AND min_lat >= 39.7 AND max_lat <= 39.9)
+# Some ways have moved a degree to the north, out of the grid.
+@query("dirty_tiles", "O104", f"""WITH {GX}, {EXT}, c AS (SELECT CAST(least({LINE_ZOOM_SQL}, 18) AS INT) AS lz, min_lat + CASE WHEN id % 500 = 7 THEN 1 ELSE 0 END AS min_lat, max_lat + CASE WHEN id % 500 = 7 THEN 1 ELSE 0 END AS max_lat,
+   min_lon, max_lon FROM x WHERE min_lat IS NOT NULL AND id IN (SELECT elem_id FROM d_changes)),
+t AS (SELECT lz, {BOX_TILES} AS tile FROM c {ON_TILES} WHERE max_lat <= {B} + 1e-9 UNION ALL SELECT -1, unnest(range(1, 37))::INT FROM c WHERE max_lat > {B} + 1e-9)
 SELECT DISTINCT CAST(zoom AS INT) AS zoom, tile FROM t JOIN (VALUES (8),(9),(10),(11),(12),(13),(14)) AS z(zoom) ON zoom >= lz""")
 def _(w: World):
     changed = w.changes.select(F.col("elem_id").alias("id")).distinct()
     ext = w.ways.join(changed, "id", "left_semi").join(G.way_bbox(w.way_nodes, w.nodes).withColumnRenamed("way_id", "id"), "id")
-    rows = ext.select(T.lod_keys(F.col("tags"))[1].alias("lod_zoom"), "min_lat", "max_lat", "min_lon", "max_lon")
-    inside = GRID.contains(F.col("min_lat"), F.col("max_lat"), F.col("min_lon"), F.col("max_lon"))
-    return DR.dirty_tiles(rows.where(inside), GRID)
+    north = F.when(F.col("id") % 500 == 7, 1).otherwise(0)
+    rows = ext.select(T.lod_keys(F.col("tags"))[1].alias("lod_zoom"), (F.col("min_lat") + north).alias("min_lat"), (F.col("max_lat") + north).alias("max_lat"), "min_lon", "max_lon")
+    return DR.dirty_tiles(rows, grid(w))
 
 
 def open_roads(w: World):
     g = G.way_geometry(w.way_nodes, w.nodes)
     roads = w.ways.where(T.has(F.col("tags"), "highway")).select(F.col("id").alias("way_id"), T.line_class(F.col("tags")).alias("cls"))
-    return roads.join(g, "way_id").withColumn("lat", F.get("coords", 0)["lat"]).withColumn("lon", F.get("coords", 0)["lon"])
-
-
-@query("way_trails", "O95")
+    return roads.join(g, "way_id")
+
+
+# Chains of ways per class, walked by recursion: s is a way with the side it is left at, nx the next one.
+CHAINS = f"""r AS (SELECT w.id, ({LINE_CLASS_SQL}) AS cls, p.ids FROM o_ways w JOIN (SELECT r.way_id, list(r.node_id ORDER BY r.seq) AS ids FROM d_way_nodes r JOIN d_nodes n ON n.id = r.node_id GROUP BY r.way_id) p ON p.way_id = w.id WHERE t['highway'] IS NOT NULL),
+en AS (SELECT cls, id, 0 AS side, ids[1] AS node FROM r UNION ALL SELECT cls, id, 1, ids[-1] FROM r),
+mt AS (SELECT cls, node, min((id, side)) AS x, max((id, side)) AS y FROM en GROUP BY cls, node HAVING count(*) = 2),
+lk AS (SELECT cls, x[1] AS id, x[2] AS side, y[1] AS to_id, y[2] AS at_side FROM mt WHERE x[1] <> y[1] UNION ALL SELECT cls, y[1], y[2], x[1], x[2] FROM mt WHERE x[1] <> y[1]),
+nx AS (SELECT cls, id, side, to_id, 1 - at_side AS to_side FROM lk),
+wk AS (SELECT en.cls, en.id AS start, en.id AS id, 1 - en.side AS side, 0 AS pos FROM en WHERE NOT EXISTS (SELECT 1 FROM lk WHERE lk.cls IS NOT DISTINCT FROM en.cls AND lk.id = en.id AND lk.side = en.side)
+  UNION ALL SELECT wk.cls, wk.start, nx.to_id, nx.to_side, wk.pos + 1 FROM wk JOIN nx ON nx.cls IS NOT DISTINCT FROM wk.cls AND nx.id = wk.id AND nx.side = wk.side),
+rg AS (SELECT r.cls, r.id AS start, r.id AS id, 1 AS side, 0 AS pos FROM r WHERE NOT EXISTS (SELECT 1 FROM wk WHERE wk.cls IS NOT DISTINCT FROM r.cls AND wk.id = r.id)
+  UNION ALL SELECT rg.cls, rg.start, nx.to_id, nx.to_side, rg.pos + 1 FROM rg JOIN nx ON nx.cls IS NOT DISTINCT FROM rg.cls AND nx.id = rg.id AND nx.side = rg.side WHERE nx.to_id <> rg.start),
+ch AS (SELECT cls, start, id, side, pos FROM (SELECT wk.*, max(pos) OVER (PARTITION BY cls, start) AS n, max_by(id, pos) OVER (PARTITION BY cls, start) AS last_id FROM wk) q WHERE start < last_id OR (n = 0 AND side = 1)
+  UNION ALL SELECT cls, start, id, side, pos FROM (SELECT *, min(id) OVER (PARTITION BY cls, start) AS low FROM rg) q WHERE low = start),
+nd AS (SELECT cls, start, pos, k, node, lag(node) OVER (PARTITION BY cls, start ORDER BY pos, k) AS before FROM (SELECT ch.cls, ch.start, ch.pos, unnest(range(1, len(r.ids) + 1)) AS k, unnest(CASE WHEN ch.side = 1 THEN r.ids ELSE list_reverse(r.ids) END) AS node
+  FROM ch JOIN r ON r.id = ch.id) q)"""
+
+
+@query("way_trails", "O95", f"""WITH RECURSIVE {CHAINS} SELECT cls, count(*) AS nodes, md5(string_agg(node::VARCHAR, ',' ORDER BY pos, k)) AS trail FROM nd WHERE before IS NULL OR before <> node GROUP BY cls, start""")
 def _(w: World):
     t = DR.chain_ways(open_roads(w), ["cls"])
-    return t.select("cls", F.size("trail").alias("nodes"), F.get("trail", 0).alias("first_node"), F.element_at("trail", -1).alias("last_node"))
+    return t.select("cls", F.size("trail").cast("long").alias("nodes"), F.md5(F.array_join(F.transform("trail", lambda n: n.cast("string")), ",")).alias("trail"))
 
 
 @query("simplified_trails", "O96")
@@ -95,12 +124,12 @@ def _(w: World):
 
 @query("display_lines", "O97")
 def _(w: World):
-    return DR.display_lines(w.dataset, 13, GRID.lat0).select("group_key", "cls", "family", "ways", "nseg", "npts", "rawnpts")
+    return DR.display_lines(w.dataset, 13, grid(w).lat0).select("group_key", "part", "cls", "family", "ways", "npts", "rawnpts", F.col("geom")[0].alias("path"))
 
 
 @query("display_areas", "O98")
 def _(w: World):
-    return DR.display_areas(w.dataset, 14, GRID.lat0).select("group_key", "cls", "family", "ways", "nseg", "npts", "rawnpts")
+    return DR.display_areas(w.dataset, 14, grid(w).lat0).select("group_key", "part", "cls", "family", "ways", "npts", "rawnpts", F.col("geom")[0].alias("path"))
 
 
 @query("clipped_shapes", "O100")
@@ -112,13 +141,13 @@ def _(w: World):
 
 @query("baked_tiles", "O101")
 def _(w: World):
-    return DR.bake_tiles(w.dataset, GRID).select("zoom", "tile", "id", "kind", "cls", "ways", "nseg", "npts")
+    return DR.bake_tiles(w.dataset, grid(w)).select("zoom", "tile", "id", "group_key", "kind", "cls", "ways", "npts", F.col("geom")[0].alias("path"))
 
 
 @query("tiles_in_view", "O103")
 def _(w: World):
-    tiles = DR.bake_tiles(w.dataset, GRID, [14])
-    return DR.read_tiles(tiles, w.views.withColumn("zoom", F.lit(14)), GRID).select("view_id", "id", "kind", "cls", F.size("geom").alias("parts"))
+    g = grid(w)
+    return DR.read_tiles(DR.bake_tiles(w.dataset, g, [14]), w.views.withColumn("zoom", F.lit(14)), g).select("view_id", "id", "kind", "cls", F.size("geom").alias("parts"))
 
 
 @query("relation_rings", "O136")

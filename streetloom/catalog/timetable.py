@@ -17,7 +17,7 @@ DEP = """dep AS (SELECT line_id, CAST(i AS INT) AS run_index, CAST(first_sec + i
 
 def deps(w: World):
     times = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda k: (F.col("first_sec") + (k * k * 900) % 30000).cast("int"))
-    return TR.departures(w.raw("d_schedules").withColumn("times", times))
+    return TR.departures(w.raw("d_schedules").withColumn("times", times), most=1440)
 
 
 @query("departures", "O126", f"WITH {DEP} SELECT line_id, run_index, dep_sec FROM dep")

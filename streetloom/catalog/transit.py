@@ -51,7 +51,7 @@ def rides(w: World):
 
 
 def walks(w: World):
-    return TR.walk_edges(N.mutual_neighbours(w.stations))
+    return TR.walk_edges(N.mutual_neighbours(w.stations, keep=48))
 
 
 @query("itineraries", "O122", f"WITH {ITIN} SELECT origin, dest, ms, CAST(r AS INT) AS rides, CAST(w AS INT) AS walks FROM it")

@@ -1,7 +1,9 @@
-"""Small geometry kernels that run inside Arrow UDFs: joining ways end to end, thinning points, clipping."""
+"""Shapes: thinning points (a small kernel in Arrow UDFs), clipping to boxes (expressions)."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -11,68 +13,29 @@ from pyspark.sql import types as T
 # Type objects, not DDL text: this module is also imported by workers, which have no session to parse text with.
 POINTS = T.ArrayType(T.StructType([T.StructField("lat", T.DoubleType()), T.StructField("lon", T.DoubleType())]))
 PATHS = T.ArrayType(POINTS)
-TRAILS = T.ArrayType(T.ArrayType(T.LongType()))
-STITCHED = T.StructType([T.StructField("rings", TRAILS), T.StructField("chains", TRAILS)])
-
-
-def trails_of(ways: list[list[int]]) -> list[list[int]]:
-    """Trails over ways given in id order. Trails begin at nodes where one way ends, in order of first appearance, and go
-    on while exactly one unused way touches their end; what is left over (cycles and knots) follows in way order."""
-    at: dict[int, list[int]] = {}
-    for i, ids in enumerate(ways):
-        for node in dict.fromkeys((ids[0], ids[-1])):
-            at.setdefault(node, []).append(i)
-    free = set(range(len(ways)))
-
-    def follow(way: int, node: int) -> list[int]:
-        path: list[int] = [node]
-        while way is not None:
-            free.discard(way)
-            ids = ways[way] if ways[way][0] == node else ways[way][::-1]
-            for n in ids:
-                if n != path[-1]:
-                    path.append(n)
-            node = ids[-1]
-            onward = [w for w in at[node] if w in free]
-            way = onward[0] if len(onward) == 1 else None
-        return path
-
-    out = []
-    for node, touching in at.items():
-        if len(touching) == 1 and touching[0] in free:
-            out.append(follow(touching[0], node))
-    for i in range(len(ways)):
-        if i in free:
-            out.append(follow(i, ways[i][0]))
-    return out
-
 
 def thin(xy: np.ndarray, tolerance: float) -> np.ndarray:
-    """Indices kept by Douglas-Peucker with distances to segments (not to endless lines)."""
+    """Indices kept by Douglas-Peucker, with distances to segments (not to endless lines). All stretches of a level are measured
+    together; each that has a point beyond the tolerance is split at its farthest one, the first of equals."""
     n = len(xy)
     if n <= 2 or tolerance <= 0:
         return np.arange(n)
-    keep = np.zeros(n, bool)
-    keep[[0, n - 1]] = True
-    todo = [(0, n - 1)]
-    while todo:
-        lo, hi = todo.pop()
-        if hi - lo < 2:
-            continue
-        mid = xy[lo + 1:hi]
-        d = xy[hi] - xy[lo]
-        len2 = float(d @ d)
-        if len2 <= 1e-12:
-            dist = np.hypot(*(mid - xy[lo]).T)
-        else:
-            t = np.clip(((mid - xy[lo]) @ d) / len2, 0.0, 1.0)
-            dist = np.hypot(*(mid - (xy[lo] + t[:, None] * d)).T)
-        far = int(dist.argmax())
-        if dist[far] > tolerance:
-            at = lo + 1 + far
-            keep[at] = True
-            todo += [(lo, at), (at, hi)]
-    return np.flatnonzero(keep)
+    kept = np.array([0, n - 1])
+    while True:
+        inner = np.setdiff1d(np.arange(n), kept, assume_unique=True)
+        if not len(inner):
+            return kept
+        part = np.searchsorted(kept, inner) - 1
+        a, along = xy[kept[part]], xy[kept[part + 1]] - xy[kept[part]]
+        length = np.einsum("ij,ij->i", along, along)
+        share = np.divide(np.einsum("ij,ij->i", xy[inner] - a, along), length, out=np.zeros(len(inner)), where=length > 0)
+        off = np.hypot(*(xy[inner] - a - np.clip(share, 0.0, 1.0)[:, None] * along).T)
+        order = np.lexsort((inner, -off, part))
+        farthest = order[np.r_[True, np.diff(part[order]) != 0]]
+        split = inner[farthest[off[farthest] > tolerance]]
+        if not len(split):
+            return kept
+        kept = np.union1d(kept, split)
 
 
 def _points(coords) -> np.ndarray:
@@ -102,83 +65,6 @@ def generalise(pts: np.ndarray, zoom_tol_m: float, lat0: float, digits: int, rin
     return np.floor(kept * f + 0.5) / f
 
 
-def clip_line(pts: np.ndarray, box: tuple[float, float, float, float]) -> list[np.ndarray]:
-    """Parts of a polyline inside (min_lat, max_lat, min_lon, max_lon)."""
-    lo, hi = np.array([box[0], box[2]]), np.array([box[1], box[3]])
-    parts: list[list[np.ndarray]] = []
-    for a, b in zip(pts[:-1], pts[1:]):
-        d = b - a
-        with np.errstate(divide="ignore", invalid="ignore"):
-            enter, leave = (lo - a) / d, (hi - a) / d
-        still = d == 0
-        if (still & ((a < lo) | (a > hi))).any():
-            continue
-        first = np.where(still, -np.inf, np.minimum(enter, leave)).max()
-        last = np.where(still, np.inf, np.maximum(enter, leave)).min()
-        t0, t1 = max(0.0, first), min(1.0, last)
-        if t0 > t1:
-            continue
-        p, q = a + t0 * d, a + t1 * d
-        if parts and np.abs(parts[-1][-1] - p).max() < 1e-9:
-            parts[-1].append(q)
-        else:
-            parts.append([p, q])
-    return [np.array(x) for x in parts]
-
-
-def clip_area(pts: np.ndarray, box: tuple[float, float, float, float]) -> np.ndarray | None:
-    """A ring cut to a box, half-plane by half-plane; stays closed. None when nothing is left."""
-    for axis, limit, sign in ((1, box[2], 1), (1, box[3], -1), (0, box[0], 1), (0, box[1], -1)):
-        if not len(pts):
-            return None
-        inside = sign * (pts[:, axis] - limit) >= 0
-        out = []
-        for i, p in enumerate(pts):
-            prev, was = pts[i - 1], inside[i - 1]
-            if inside[i] != was:
-                out.append(prev + (p - prev) * (limit - prev[axis]) / ((p[axis] - prev[axis]) or 1e-18))
-            if inside[i]:
-                out.append(p)
-        pts = np.array(out).reshape(-1, 2)
-    if len(pts) < 3:
-        return None
-    closed = pts if (pts[0] == pts[-1]).all() else np.vstack([pts, pts[:1]])
-    return closed if len(closed) >= 4 else None
-
-
-def rings_of(ways: list[list[int]]) -> tuple[list[list[int]], list[list[int]]]:
-    """(closed rings, open chains) from ways that share end nodes: each chain takes the first unused way at its tail, else
-    at its head, until it cannot grow."""
-    ends: dict[int, list[int]] = {}
-    for i, ids in enumerate(ways):
-        for node in (ids[0], ids[-1]):
-            ends.setdefault(node, []).append(i)
-    free = dict.fromkeys(range(len(ways)))
-    rings, chains = [], []
-    while free:
-        first = next(iter(free))
-        del free[first]
-        chain = list(ways[first])
-
-        def extend(tail: bool) -> bool:
-            node = chain[-1] if tail else chain[0]
-            way = next((w for w in ends.get(node, ()) if w in free), None)
-            if way is None:
-                return False
-            del free[way]
-            ids = ways[way] if ways[way][0] == node else ways[way][::-1]
-            if tail:
-                chain.extend(ids[1:])
-            else:
-                chain[:0] = ids[:0:-1]
-            return True
-
-        while extend(True) or extend(False):
-            pass
-        (rings if len(chain) >= 4 and chain[0] == chain[-1] else chains).append(chain)
-    return rings, chains
-
-
 # ---- the same as columns ---------------------------------------------------------------------------------------
 
 def _kernel(returns: T.DataType):
@@ -186,16 +72,6 @@ def _kernel(returns: T.DataType):
     return lambda fn: F.pandas_udf(fn, returns).asNondeterministic()
 
 
-@_kernel(TRAILS)
-def _trails(groups: pd.Series) -> pd.Series:
-    return pd.Series([trails_of([[int(n) for n in w["node_ids"]] for w in g]) for g in groups])
-
-
-def chained(ways: Column) -> Column:
-    """Trails of ``ARRAY<STRUCT<way_id, node_ids>>`` in way order."""
-    return _trails(F.array_sort(ways))
-
-
 @_kernel(POINTS)
 def _simplified(coords: pd.Series, tol: pd.Series) -> pd.Series:
     out = []
@@ -211,60 +87,77 @@ def simplified(coords: Column, tol_m: Column) -> Column:
 
 
 @_kernel(PATHS)
-def _line_paths(groups: pd.Series, tol: pd.Series, lat0: pd.Series, digits: pd.Series) -> pd.Series:
-    out = []
-    for g, t, y, k in zip(groups, tol, lat0, digits):
-        where = {int(n): (p["lat"], p["lon"]) for w in g for n, p in zip(w["node_ids"], w["coords"])}
-        trails = trails_of([[int(n) for n in w["node_ids"]] for w in g])
-        paths = [generalise(np.array([where[n] for n in trail], float), t, y, k, False) for trail in trails]
-        out.append([_structs(p) for p in paths if p is not None and len(p) >= 2])
-    return pd.Series(out)
+def _generalised(coords: pd.Series, tol: pd.Series, lat0: pd.Series, digits: pd.Series, ring: pd.Series) -> pd.Series:
+    found = (generalise(_points(c), t, y, k, bool(r)) for c, t, y, k, r in zip(coords, tol, lat0, digits, ring))
+    return pd.Series([[] if p is None or len(p) < 2 else [_structs(p)] for p in found])
 
 
-def line_paths(ways: Column, tol_m: Column, lat0: Column, digits: int = 5) -> Column:
-    """Chained, thinned and rounded paths of ``ARRAY<STRUCT<way_id, node_ids, coords>>``."""
-    return _line_paths(F.array_sort(ways), tol_m.cast("double"), lat0.cast("double"), F.lit(digits))
+def generalised(coords: Column, tol_m: Column, lat0: Column, digits: int = 5, ring: bool = False) -> Column:
+    """One line (or ring) without repeats, thinned and rounded, as an array to explode: empty if less than a line (or ring) is left."""
+    return _generalised(coords, tol_m.cast("double"), lat0.cast("double"), F.lit(digits), F.lit(ring))
 
 
-@_kernel(PATHS)
-def _rings(groups: pd.Series, tol: pd.Series, lat0: pd.Series, digits: pd.Series) -> pd.Series:
-    out = []
-    for g, t, y, k in zip(groups, tol, lat0, digits):
-        rings = [generalise(_points(w["coords"]), t, y, k, True) for w in g]
-        out.append([_structs(r) for r in rings if r is not None])
-    return pd.Series(out)
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once."""
+    return F.transform(F.array(value), use)[0]
 
 
-def area_rings(ways: Column, tol_m: Column, lat0: Column, digits: int = 5) -> Column:
-    """Thinned rings of ``ARRAY<STRUCT<way_id, coords>>`` in way order; degenerate ones are left out."""
-    return _rings(F.array_sort(ways), tol_m.cast("double"), lat0.cast("double"), F.lit(digits))
+def _point(lat: Column, lon: Column) -> Column:
+    return F.struct(lat.alias("lat"), lon.alias("lon"))
 
 
-@_kernel(PATHS)
-def _clipped(kind: pd.Series, paths: pd.Series, y1: pd.Series, y2: pd.Series, x1: pd.Series, x2: pd.Series) -> pd.Series:
-    out = []
-    for k, ps, *box in zip(kind, paths, y1, y2, x1, x2):
-        parts: list[np.ndarray] = []
-        for p in ps:
-            if k == "area":
-                ring = clip_area(_points(p), box)
-                parts += [ring] if ring is not None else []
-            else:
-                parts += clip_line(_points(p), box)
-        out.append([_structs(x) for x in parts])
-    return pd.Series(out)
+def clipped_line(coords: Column, min_lat: Column, max_lat: Column, min_lon: Column, max_lon: Column) -> Column:
+    """Parts of a line inside a box. Each segment keeps the stretch [t0, t1] of its parameter that lies between both pairs of borders; a
+    part goes on while a segment is kept to its end and the next from its start."""
+    never, always = F.lit(float("inf")), F.lit(float("-inf"))
 
+    def reach(a: Column, b: Column, low: Column, high: Column) -> tuple[Column, Column]:
+        still, inside = b == a, a.between(low, high)
+        near, far = (low - a) / F.nullif(b - a, F.lit(0.0)), (high - a) / F.nullif(b - a, F.lit(0.0))
+        return F.when(still, F.when(inside, always).otherwise(never)).otherwise(F.least(near, far)), F.when(still, F.when(inside, never).otherwise(always)).otherwise(F.greatest(near, far))
 
-def clipped(kind: Column, paths: Column, min_lat: Column, max_lat: Column, min_lon: Column, max_lon: Column) -> Column:
-    return _clipped(kind, paths, min_lat, max_lat, min_lon, max_lon)
+    def segment(a: Column, b: Column) -> Column:
+        y, x = reach(a["lat"], b["lat"], min_lat, max_lat), reach(a["lon"], b["lon"], min_lon, max_lon)
+        return F.struct(a.alias("a"), b.alias("b"), F.greatest(F.lit(0.0), y[0], x[0]).alias("t0"), F.least(F.lit(1.0), y[1], x[1]).alias("t1"))
+
+    def at(s: Column, t: str) -> Column:
+        go = lambda c: F.when(s[t] == 1, s["b"][c]).otherwise(s["a"][c] + s[t] * (s["b"][c] - s["a"][c]))
+        return _point(go("lat"), go("lon"))
 
+    def parts(segments: Column) -> Column:
+        seen = F.filter(F.transform(segments, lambda s, i: F.struct(s.alias("s"), i.alias("i"), ((i == 0) | (s["t0"] > 0) | (F.get(segments, i - 1)["t0"] > F.get(segments, i - 1)["t1"])
+                                                                                       | (F.get(segments, i - 1)["t1"] < 1)).alias("first"))), lambda x: x["s"]["t0"] <= x["s"]["t1"])
+        return _with(seen, lambda v: _with(F.filter(F.transform(v, lambda x, i: F.when(x["first"], i)), lambda i: i.isNotNull()), lambda starts: F.transform(
+            starts, lambda i, k: F.concat(F.array(at(F.get(v, i)["s"], "t0")), F.transform(F.slice(v, i + 1, F.coalesce(F.get(starts, k + 1), F.size(v)) - i), lambda x: at(x["s"], "t1"))))))
 
-@_kernel(STITCHED)
-def _stitched(groups: pd.Series) -> pd.DataFrame:
-    both = [rings_of([[int(n) for n in w["node_ids"]] for w in g]) for g in groups]
-    return pd.DataFrame({"rings": [r for r, _ in both], "chains": [c for _, c in both]})
+    n = F.size(coords)
+    segments = F.transform(F.slice(coords, 1, F.greatest(n - 1, F.lit(0))), lambda a, i: segment(a, F.get(coords, i + 1)))
+    return F.when(n < 2, F.array().cast(PATHS)).otherwise(_with(segments, parts))
 
 
-def stitched(ways: Column) -> Column:
-    """``STRUCT<rings, chains>`` of ``ARRAY<STRUCT<seq, node_ids>>`` in member order."""
-    return _stitched(F.array_sort(ways))
+def clipped_ring(coords: Column, min_lat: Column, max_lat: Column, min_lon: Column, max_lon: Column) -> Column:
+    """A ring cut to a box, one border after the other; closed again. Null if no area is left."""
+    def beyond(points: Column, axis: str, other: str, limit: Column, sign: int) -> Column:
+        inside = lambda p: sign * (p[axis] - limit) >= 0
+
+        def crossing(p: Column, q: Column) -> Column:
+            held = p[other] + (limit - p[axis]) / F.nullif(q[axis] - p[axis], F.lit(0.0)) * (q[other] - p[other])
+            return _point(limit, held) if axis == "lat" else _point(held, limit)
+
+        def kept(q: Column, p: Column) -> Column:
+            none = F.array().cast(POINTS)
+            return F.concat(F.when(inside(p) != inside(q), F.array(crossing(p, q))).otherwise(none), F.when(inside(q), F.array(q)).otherwise(none))
+
+        return _with(points, lambda ps: F.flatten(F.transform(ps, lambda q, i: kept(q, F.get(ps, F.when(i == 0, F.size(ps) - 1).otherwise(i - 1))))))
+
+    ring = F.transform(coords, lambda p: _point(p["lat"], p["lon"]))
+    ring = F.when(F.get(ring, F.lit(0)) == F.element_at(ring, -1), F.slice(ring, 1, F.size(ring) - 1)).otherwise(ring)
+    for axis, other, limit, sign in (("lat", "lon", min_lat, 1), ("lat", "lon", max_lat, -1), ("lon", "lat", min_lon, 1), ("lon", "lat", max_lon, -1)):
+        ring = beyond(ring, axis, other, limit, sign)
+    return _with(ring, lambda r: F.when(F.size(r) >= 3, F.concat(r, F.slice(r, 1, 1))))
+
+
+def clipped(kind: Column, paths: Column, min_lat: Column, max_lat: Column, min_lon: Column, max_lon: Column) -> Column:
+    box = (min_lat, max_lat, min_lon, max_lon)
+    rings = F.filter(F.transform(paths, lambda p: clipped_ring(p, *box)), lambda r: r.isNotNull())
+    return F.when(kind == "area", rings).otherwise(F.flatten(F.transform(paths, lambda p: clipped_line(p, *box))))

@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # ---- Fixed values (must equal the reference for equal results) --------------------------------
-MAX_TAGS = 200
 
 ROAD_CLASSES = {
     0: ["motorway", "motorway_link", "trunk", "trunk_link", "primary", "primary_link"],
@@ -54,21 +53,21 @@ def parse_tags(raw: Column) -> Column:
     return F.when(F.size(m) > 0, m)
 
 
-def clean_tags(tags: Column, cap: int = MAX_TAGS) -> Column:
-    """Trim keys and values, drop empty ones, keep the first ``cap`` keys; later duplicates of a key win."""
+def clean_tags(tags: Column, cap: int | None = None) -> Column:
+    """Trim keys and values, drop empty ones, keep the first ``cap`` keys (all by default); later duplicates of a key win."""
     trimmed = F.transform(F.map_entries(tags), lambda e: F.struct(F.trim(e["key"]).alias("key"),
                                                                   F.trim(e["value"]).alias("value")))
     kept = F.filter(trimmed, lambda e: (e["key"] != "") & (F.coalesce(e["value"], F.lit("")) != ""))
     return tags_from_pairs(kept, cap)
 
 
-def tags_from_pairs(pairs: Column, cap: int = MAX_TAGS) -> Column:
-    """``ARRAY<STRUCT<key,value>>`` to a map: key order of first sight, value of last sight, at most ``cap`` keys."""
+def tags_from_pairs(pairs: Column, cap: int | None = None) -> Column:
+    """``ARRAY<STRUCT<key,value>>`` to a map: key order of first sight, value of last sight, at most ``cap`` keys if given."""
     keys = F.array_distinct(F.transform(pairs, lambda e: e["key"]))
-    kept = F.slice(keys, 1, cap)
+    kept = keys if cap is None else F.slice(keys, 1, cap)
     values = F.transform(kept, lambda k: F.element_at(F.filter(pairs, lambda e: e["key"] == k), -1)["value"])
     # Only sets with a repeated key need the search for the last value.
-    made = F.when(F.size(keys) == F.size(pairs), F.map_from_entries(F.slice(pairs, 1, cap))).otherwise(
+    made = F.when(F.size(keys) == F.size(pairs), F.map_from_entries(pairs if cap is None else F.slice(pairs, 1, cap))).otherwise(
         F.map_from_arrays(kept, values))
     return F.when(F.size(keys) > 0, made)
 
@@ -129,7 +128,7 @@ def _scrubbed_pairs(tags: Column) -> Column:
 
 def strip_controls(tags: Column) -> Column:
     """Remove control characters, trim, drop empty keys and values."""
-    return tags_from_pairs(_scrubbed_pairs(tags), 1 << 30)
+    return tags_from_pairs(_scrubbed_pairs(tags))
 
 
 # ---- roads and zoom rules ---------------------------------------------------------------------------

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from streetloom.functions.tags import any_of, eq, has
 from streetloom.model import OsmDataset
 from streetloom.operators import geometry as G
-from streetloom.operators.ordered import numbered
+from streetloom.operators.ordered import even_chunk, numbered
 from streetloom.operators.spatial import box_join
 
 KINDS = {"node": "nodes", "way": "ways", "relation": "relations"}
@@ -343,10 +343,10 @@ def id_ranges(datasets: dict[str, OsmDataset]) -> DataFrame:
     return out.join(clash, ["dataset", "kind"], "left").na.fill("", ["clashes_with"])
 
 
-def allocate_ids(df: DataFrame, start: int | Column, order: str, chunk: int = 65536, name: str = "new_id") -> DataFrame:
-    """Consecutive new ids from ``start`` in the order of a numeric column, without a counter and without one big sort:
-    rows are numbered inside chunks of the column, and chunk counts give the offsets."""
+def allocate_ids(df: DataFrame, start: int | Column, order: str, name: str = "new_id", then: list[str] | None = None) -> DataFrame:
+    """Consecutive new ids from ``start`` in the order of a numeric column (ties: ``then``), without a counter and without one
+    big sort: rows are numbered inside chunks of the column of about equal size, and chunk counts give the offsets."""
     start = start if isinstance(start, Column) else F.lit(start)
     one = df.withColumn("_all", F.lit(0))
-    return numbered(one, ["_all"], F.floor(F.col(order) / chunk), [F.col(order)], "_rn").withColumn(
+    return numbered(one, ["_all"], even_chunk(df, order), [F.col(order), *map(F.col, then or [])], "_rn").withColumn(
         name, start + F.col("_rn") - 1).drop("_all", "_rn")

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from streetloom.functions import shapes as S, tags as T
-from streetloom.functions.geo import bbox_area_m2, layout_cell, meters_per_pixel, ring_area_m2
+from streetloom.functions.geo import bbox_area_m2, meters_per_pixel, ring_area_m2
 from streetloom.model import OsmDataset
 from streetloom.operators import geometry as G
+from streetloom.operators.chains import chained_arrays
 from streetloom.session import cut_lineage
 
 
@@ -19,9 +20,6 @@ BANDS = [8, 9, 10, 11, 12, 13, 14]
 TOLERANCE_PX, DIGITS, LIMIT, BUDGET, LEAST_WAYS = 1.0, 5, 15000, 0.5, 200
 STATUS_ORDER = ["line", "area", "way", "nogfx", "invisible", "lod"]
 # -----------------------------------------------------------------------------------------------------------
-# A group of more ways than this is chained cell by cell, so that no task holds an unbounded group.
-GROUP_LIMIT = 20_000
-SUB_CELL_DEG = 0.05
 
 
 @dataclass(frozen=True)
@@ -34,6 +32,12 @@ class TileGrid:
     max_lon: float
     n: int
 
+    @staticmethod
+    def over(nodes: DataFrame, n: int) -> TileGrid:
+        """The grid over the extent of all nodes (four numbers for the driver)."""
+        e = nodes.agg(F.min("lat"), F.max("lat"), F.min("lon"), F.max("lon")).first()
+        return TileGrid(*(e if e[0] is not None else (0.0, 1.0, 0.0, 1.0)), n)
+
     def _step(self, v: Column, lo: float, hi: float) -> Column:
         return F.least(F.lit(self.n - 1), F.greatest(F.lit(0), F.floor((v - lo) / ((hi - lo) / self.n))))
 
@@ -63,51 +67,38 @@ class TileGrid:
 # ---- lines and areas -----------------------------------------------------------------------------------------
 
 def chain_ways(ways: DataFrame, keys: list[str]) -> DataFrame:
-    """Trails per group: (keys, trail). ``ways``: keys, way_id, node_ids, lat, lon of any point of the way."""
-    return _grouped(ways, keys, F.struct("way_id", "node_ids")).select(*keys, F.explode(S.chained(F.col("_ways"))).alias("trail"))
-
-
-def _grouped(ways: DataFrame, keys: list[str], row: Column, *extra: Column) -> DataFrame:
-    """Ways of a group as one array. Groups above GROUP_LIMIT are split by cell: their lines are the same, only with more
-    breaks at cell borders."""
-    big = ways.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > GROUP_LIMIT).select(*keys, F.lit(True).alias("_big"))
-    cut = ways.join(big, keys, "left").withColumn("_sub", F.when(F.col("_big"), layout_cell(F.col("lat"), F.col("lon"), SUB_CELL_DEG)).otherwise(0))
-    return cut.groupBy(*keys, "_sub").agg(F.collect_list(row).alias("_ways"), *extra)
-
-
-def _entries(grouped: DataFrame, keys: list[str], paths: Column, kind: str) -> DataFrame:
-    g = grouped.withColumn("geom", paths).where(F.size("geom") > 0)
-    lat = F.flatten(F.transform("geom", lambda p: F.transform(p, lambda q: q["lat"])))
-    lon = F.flatten(F.transform("geom", lambda p: F.transform(p, lambda q: q["lon"])))
-    return g.select(*keys, "_sub", F.lit(kind).alias("kind"), "cls", "name", "tags", "ways", F.size("geom").alias("nseg"),
-                    F.aggregate("geom", F.lit(0), lambda a, p: a + F.size(p)).alias("npts"), "rawnpts",
-                    F.array_min(lat).alias("min_lat"), F.array_max(lat).alias("max_lat"), F.array_min(lon).alias("min_lon"), F.array_max(lon).alias("max_lon"), "geom")
+    """Trails per group: (keys, trail). ``ways``: keys, way_id, node_ids."""
+    return chained_arrays(ways.select(*keys, "way_id", "node_ids"), keys, ["node_ids"]).select(*keys, F.col("node_ids").alias("trail"))
 
 
+def _entries(paths: DataFrame, keys: list[str], kind: str) -> DataFrame:
+    """Display entries from one thinned path per row."""
+    lat, lon = F.transform("path", lambda q: q["lat"]), F.transform("path", lambda q: q["lon"])
+    return paths.select(
+        *keys, F.lit(kind).alias("kind"), "part", "cls", "name", "tags", "ways", F.size("path").alias("npts"), "rawnpts", F.array_min(lat).alias("min_lat"), F.array_max(lat).alias("max_lat"),
+        F.array_min(lon).alias("min_lon"), F.array_max(lon).alias("max_lon"), F.array("path").alias("geom"))
 
 
 def line_entries(ways: DataFrame, units: list[str], lat0: Column) -> DataFrame:
-    """Display lines per unit and group key. ``ways``: units, zoom, way_id, tags, cls, node_ids, coords (open, classed,
-    chosen)."""
-    keyed = ways.withColumn("group_key", T.line_group_key(F.col("cls"), F.col("tags"))).withColumn("lat", F.get("coords", 0)["lat"]).withColumn("lon", F.get("coords", 0)["lon"])
+    """Display lines, one row per chain of ways with the same group key; ``part`` is the way the chain starts with, and tags and name are those of its
+    lowest way. ``ways``: units, zoom, way_id, tags, cls, node_ids, coords (open, classed, chosen)."""
     keys = [*units, "zoom", "group_key"]
+    keyed = ways.withColumn("group_key", T.line_group_key(F.col("cls"), F.col("tags")))
     head = F.min_by(F.struct("cls", T.line_tags(F.col("tags")).alias("tags"), F.col("tags")["name"].alias("name")), "way_id")
-    g = _grouped(keyed, keys, F.struct("way_id", "node_ids", "coords"), head.alias("h"), F.count("*").alias("ways"), F.sum(F.size("coords")).alias("rawnpts"))
-    g = g.select(*keys, "_sub", "_ways", "ways", "rawnpts", "h.*")
+    g = chained_arrays(keyed, keys, ["coords"], head.alias("h"), F.count("*").alias("ways"), F.sum(F.size("coords")).alias("rawnpts"))
     tol = meters_per_pixel(F.col("zoom"), lat0) * TOLERANCE_PX
-    return _entries(g, keys, S.line_paths(F.col("_ways"), tol, lat0, DIGITS), "line").withColumn("family", T.line_family(F.col("cls")))
+    g = g.select(*keys, F.col("chain").alias("part"), F.explode(S.generalised(F.col("coords"), tol, lat0, DIGITS)).alias("path"), "ways", "rawnpts", "h.*")
+    return _entries(g, keys, "line").withColumn("family", T.line_family(F.col("cls")))
 
 
 def area_entries(ways: DataFrame, units: list[str], lat0: Column) -> DataFrame:
-    """Display areas per unit and group key from closed ways with an area class."""
-    keyed = ways.withColumn("cls", T.area_class(F.col("tags"))).where("cls IS NOT NULL").withColumn("group_key", T.area_group_key(F.col("cls"), F.col("tags")))
-    keyed = keyed.withColumn("lat", F.get("coords", 0)["lat"]).withColumn("lon", F.get("coords", 0)["lon"])
+    """Display areas, one row per closed way with an area class; ``part`` is the way."""
     keys = [*units, "zoom", "group_key"]
-    head = F.min_by(F.struct("cls", T.area_tags(F.col("tags")).alias("tags"), F.col("tags")["name"].alias("name")), "way_id")
-    g = _grouped(keyed, keys, F.struct("way_id", "coords"), head.alias("h"), F.count("*").alias("ways"), F.sum(F.size("coords")).alias("rawnpts"))
-    g = g.select(*keys, "_sub", "_ways", "ways", "rawnpts", "h.*")
+    keyed = ways.withColumn("cls", T.area_class(F.col("tags"))).where("cls IS NOT NULL").withColumn("group_key", T.area_group_key(F.col("cls"), F.col("tags")))
     tol = meters_per_pixel(F.col("zoom"), lat0) * TOLERANCE_PX
-    return _entries(g, keys, S.area_rings(F.col("_ways"), tol, lat0, DIGITS), "area").withColumn("family", T.area_family(F.col("cls")))
+    g = keyed.select(*keys, F.col("way_id").alias("part"), "cls", T.area_tags(F.col("tags")).alias("tags"), F.col("tags")["name"].alias("name"), F.lit(1).cast("long").alias("ways"),
+                     F.size("coords").cast("long").alias("rawnpts"), F.explode(S.generalised(F.col("coords"), tol, lat0, DIGITS, ring=True)).alias("path"))
+    return _entries(g, keys, "area").withColumn("family", T.area_family(F.col("cls")))
 
 
 def _shown(ds: OsmDataset, zooms: list[int], detail: int) -> DataFrame:
@@ -174,24 +165,30 @@ def display_ways(ds: OsmDataset, zooms: list[int], detail: int = 4) -> DataFrame
     return cut_lineage(cov.withColumnRenamed("id", "way_id").withColumnRenamed("sub", "cls").join(geo, "way_id").where(F.size("coords") >= 2))
 
 
-def display_lines(ds: OsmDataset, zoom: int, lat0: float, detail: int = 4) -> DataFrame:
+def display_lines(ds: OsmDataset, zoom: int, lat0: float, detail: int = 4, members: bool = True) -> DataFrame:
+    """Display lines of the whole extent. ``members=False`` leaves out ways that belong to a relation, which stay single ways."""
     w = display_ways(ds, [zoom], detail).where("status = 'line'")
+    if not members:
+        w = w.join(ds.relation_members.where("member_type = 'way'").select(F.col("member_ref").alias("way_id")), "way_id", "left_anti")
     return line_entries(w, [], F.lit(lat0))
 
 
+def relation_areas(ds: OsmDataset, zooms: list[int], lat0: Column) -> DataFrame:
+    """Display areas of area relations, one row per ring at each zoom where they show; group key ``rel:`` and the id, ``part`` the ring's number."""
+    rels = ds.relations.where(T.relation_area_like(F.col("tags"))).withColumn("zoom", F.explode(F.array(*[F.lit(z) for z in zooms]))).where(T.lod_visible(F.col("tags"), F.col("zoom"), "area"))
+    rings = relation_rings(ds.with_(relations=ds.relations.where(T.relation_area_like(F.col("tags"))))).where("status = 'ring'")
+    r = rings.join(rels.select(F.col("id").alias("relation_id"), "tags", "zoom"), "relation_id").withColumn("cls", T.area_class(F.col("tags")))
+    tol = meters_per_pixel(F.col("zoom"), lat0) * TOLERANCE_PX
+    g = r.select("zoom", F.concat(F.lit("rel:"), F.col("relation_id").cast("string")).alias("group_key"), F.col("ring_no").cast("long").alias("part"), "cls", T.area_tags(F.col("tags")).alias("tags"),
+                 F.col("tags")["name"].alias("name"), F.lit(1).cast("long").alias("ways"), F.size("coords").cast("long").alias("rawnpts"),
+                 F.explode(S.generalised(F.col("coords"), tol, lat0, DIGITS, ring=True)).alias("path"))
+    return _entries(g, ["zoom", "group_key"], "area").withColumn("family", T.area_family(F.col("cls")))
+
+
 def display_areas(ds: OsmDataset, zoom: int, lat0: float, detail: int = 4) -> DataFrame:
-    """Areas from closed ways and from area relations (their ways stitched to rings)."""
+    """Areas from closed ways and from area relations (their ways joined to rings)."""
     ways = area_entries(display_ways(ds, [zoom], detail).where("status = 'area'"), [], F.lit(lat0))
-    rels = ds.relations.where(T.relation_area_like(F.col("tags")) & T.lod_visible(F.col("tags"), zoom, "area"))
-    rings = relation_rings(ds.with_(relations=rels)).where("status = 'ring'")
-    r = rings.join(rels.select(F.col("id").alias("relation_id"), "tags"), "relation_id").withColumn("cls", T.area_class(F.col("tags")))
-    g = r.groupBy("relation_id").agg(F.collect_list(F.struct(F.col("ring_no").alias("way_id"), "coords")).alias("_ways"), F.first("cls").alias("cls"), F.count("*").alias("ways"),
-                                     F.sum(F.size("coords")).alias("rawnpts"), F.first(F.map_from_entries(F.array_sort(F.map_entries(T.area_tags(F.col("tags")))))).alias("tags"))
-    g = g.select(F.lit(zoom).alias("zoom"), F.concat(F.lit("rel:"), F.col("relation_id").cast("string")).alias("group_key"), F.lit(0).alias("_sub"), "_ways", "ways", "rawnpts", "cls", "tags",
-                 F.col("tags")["name"].alias("name"))
-    tol = meters_per_pixel(F.col("zoom"), F.lit(lat0)) * TOLERANCE_PX
-    rel_entries = _entries(g, ["zoom", "group_key"], S.area_rings(F.col("_ways"), tol, F.lit(lat0), DIGITS), "area").withColumn("family", T.area_family(F.col("cls")))
-    return ways.unionByName(rel_entries)
+    return ways.unionByName(relation_areas(ds, [zoom], F.lit(lat0)))
 
 
 # ---- tiles -----------------------------------------------------------------------------------------------------
@@ -211,8 +208,12 @@ def bake_tiles(ds: OsmDataset, grid: TileGrid, zooms: list[int] = BANDS, detail:
         w = w.join(only, ["zoom", "tile"], "left_semi")
     lat0 = F.lit(grid.lat0)
     both = line_entries(w.where("status = 'line'"), ["tile"], lat0).unionByName(area_entries(w.where("status = 'area'"), ["tile"], lat0))
-    key = F.when(F.col("_sub") == 0, F.col("group_key")).otherwise(F.concat_ws("\u0001", "group_key", F.col("_sub").cast("string")))
-    return both.withColumn("id", stable_id(F.col("kind"), F.col("zoom"), F.col("tile"), key)).drop("_sub")
+    rel = relation_areas(ds, zooms, lat0)
+    rel = rel.withColumn("tile", F.explode(grid.tiles_of_box(F.col("min_lat"), F.col("max_lat"), F.col("min_lon"), F.col("max_lon"))))
+    if only is not None:
+        rel = rel.join(only, ["zoom", "tile"], "left_semi")
+    key = F.concat_ws("\u0001", "group_key", F.col("part").cast("string"))
+    return both.unionByName(rel).withColumn("id", stable_id(F.col("kind"), F.col("zoom"), F.col("tile"), key))
 
 
 def write_tiles(tiles: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -264,17 +265,19 @@ def rebake(ds: OsmDataset, dirty: DataFrame, grid: TileGrid, path: str, zooms: l
 
 def relation_rings(ds: OsmDataset) -> DataFrame:
     """Rings of multipolygon and boundary relations: (relation_id, role, ring_no, coords, status). Member ways of a role
-    are joined at shared ends; ``status`` is ring, open (never closed), missing (a node is unknown) or degenerate (no
-    area). OSM limits a relation to 32,000 members, so the arrays of one relation stay small."""
+    are joined where exactly two ends meet; ``status`` is ring, open (not closed), missing (a node is unknown) or degenerate (no
+    area). Rings and open chains are numbered by their first member."""
     rel = ds.relations.where(T.is_in(F.col("tags"), "type", ["multipolygon", "boundary"])).select(F.col("id").alias("relation_id"))
     m = ds.relation_members.where("member_type = 'way'").join(rel, "relation_id", "left_semi").select(
         "relation_id", F.when(F.col("role") == "inner", "inner").otherwise("outer").alias("role"), F.col("seq").cast("long").alias("seq"), F.col("member_ref").alias("way_id"))
     refs = ds.way_nodes.join(m.select("way_id").distinct(), "way_id", "left_semi").groupBy("way_id").agg(F.array_sort(F.collect_list(F.struct("seq", "node_id"))).alias("p"))
     ids = refs.select("way_id", F.transform("p", lambda x: x["node_id"]).alias("node_ids")).where(F.size("node_ids") >= 2)
-    g = m.join(ids, "way_id").groupBy("relation_id", "role").agg(F.collect_list(F.struct("seq", "node_ids")).alias("w"))
-    st = g.withColumn("s", S.stitched(F.col("w"))).drop("w")
-    closed = st.select("relation_id", "role", F.posexplode("s.rings").alias("ring_no", "ids"))
-    open_ = st.select("relation_id", "role", F.posexplode("s.chains").alias("ring_no", "ids"))
+    # A member is known by its place in the relation, as a way may be listed twice.
+    g = m.join(ids, "way_id").select("relation_id", "role", F.col("seq").alias("way_id"), "node_ids")
+    st = chained_arrays(g, ["relation_id", "role"], ["node_ids"])
+    number = F.row_number().over(Window.partitionBy("relation_id", "role", "round").orderBy("chain")) - 1
+    st = st.select("relation_id", "role", "chain", F.col("node_ids").alias("ids"), ((F.size("node_ids") >= 4) & (F.get("node_ids", F.lit(0)) == F.element_at("node_ids", -1))).alias("round")).withColumn("ring_no", number)
+    closed, open_ = st.where("round"), st.where("NOT round")
     pts = closed.select("relation_id", "role", "ring_no", F.size("ids").alias("n"), F.posexplode("ids").alias("i", "node_id")).join(
         ds.nodes.select(F.col("id").alias("node_id"), "lat", "lon"), "node_id", "left")
     rings = pts.groupBy("relation_id", "role", "ring_no").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.when(F.col("lat").isNotNull(), F.struct("i", "lat", "lon")))).alias("p"))

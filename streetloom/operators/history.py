@@ -13,9 +13,6 @@ from streetloom.model import OsmDataset
 from streetloom.operators.datasets import allocate_ids, orphan_nodes
 from streetloom.session import cut_lineage
 
-# Above this many changes of one element in a batch, they are folded as a sorted stream instead of as an array.
-FOLD_LIMIT = 20_000
-
 
 # ---- reading the log --------------------------------------------------------------------------------------
 
@@ -59,35 +56,14 @@ def apply_changes(elements: DataFrame, changes: DataFrame) -> tuple[DataFrame, D
 
     ``elements``: id, version, value. ``changes``: id, elem_id, action, expected (version or NULL), value. A change is
     refused when its element is missing (or, for create, present), or when it expects another version than the element
-    has at that point; a refused change does not move the version. This is a fold per element. Elements with an ordinary
-    number of changes are folded as an array inside the JVM; the few with more than ``FOLD_LIMIT`` are sorted and
-    streamed through a task that only remembers the current version.
+    has at that point; a refused change does not move the version. This is a fold per element: changes are sorted by element and
+    change id and streamed through tasks that only remember the current version, so an element may have any number of them. All
+    changes of one element are folded in one task, as each depends on the one before. The outcome is written once; both results read it.
     """
     base = elements.select(F.col("id").alias("elem_id"), F.col("version").alias("v0"), F.col("value").alias("value0"))
-    many = changes.groupBy("elem_id").agg(F.count("*").alias("n")).where(F.col("n") > FOLD_LIMIT).select("elem_id")
-    row = F.struct(F.col("id"), F.col("action"), F.col("expected"), F.col("value"))
-    usual = (changes.join(many, "elem_id", "left_anti").groupBy("elem_id").agg(F.array_sort(F.collect_list(row)).alias("ops"))
-             .join(base.select("elem_id", "v0"), "elem_id", "left"))
-    none_str, none_int = F.lit(None).cast("string"), F.lit(None).cast("int")
-    start = F.struct(F.col("v0").cast("int").alias("version"), F.array().cast(
-        "array<struct<change_id:bigint,action:string,value:string,accepted:boolean,reason:string,version:int>>").alias("log"))
-
-    def step(acc, op):
-        v = acc["version"]
-        create = op["action"] == "create"
-        reason = (F.when(create & v.isNotNull(), "exists").when(~create & v.isNull(), "missing")
-                  .when(~create & op["expected"].isNotNull() & (op["expected"] != v), "version"))
-        nxt = (F.when(reason.isNotNull(), v).when(create, F.lit(1)).when(op["action"] == "delete", none_int).otherwise(v + 1))
-        entry = F.struct(op["id"].alias("change_id"), op["action"].alias("action"), op["value"].alias("value"),
-                         reason.isNull().alias("accepted"), F.coalesce(reason, none_str).alias("reason"), nxt.cast("int").alias("version"))
-        return F.struct(nxt.cast("int").alias("version"), F.concat(acc["log"], F.array(entry)).alias("log"))
-
-    folded = usual.select("elem_id", F.explode(F.aggregate("ops", start, step)["log"]).alias("l")).select("elem_id", "l.*")
-
-    hot = (changes.join(many, "elem_id", "left_semi").join(base.select("elem_id", "v0"), "elem_id", "left")
-           .select("elem_id", F.col("id").alias("change_id"), "action", "expected", "value", "v0")
+    ops = (changes.join(base.select("elem_id", "v0"), "elem_id", "left").select("elem_id", F.col("id").alias("change_id"), "action", "expected", "value", "v0")
            .repartition("elem_id").sortWithinPartitions("elem_id", "change_id"))
-    outcome = folded.unionByName(hot.mapInPandas(_fold_sorted, _FOLDED))
+    outcome = cut_lineage(ops.mapInPandas(_fold_sorted, _FOLDED))
     last = outcome.where("accepted").groupBy("elem_id").agg(F.max_by(F.struct("action", "version", "value"), "change_id").alias("s"))
     after = base.join(last, "elem_id", "full_outer").select(
         F.col("elem_id").alias("id"), F.coalesce("s.version", F.when(F.col("s").isNull(), F.col("v0"))).alias("version"),
@@ -96,7 +72,7 @@ def apply_changes(elements: DataFrame, changes: DataFrame) -> tuple[DataFrame, D
 
 
 def _fold_sorted(batches: Iterator) -> Iterator:
-    """The same fold over rows sorted by element and change; only (element, version) is carried between batches."""
+    """The fold over rows sorted by element and change; only (element, version) is carried between batches."""
     import pandas as pd
     current, version = None, None
     for pdf in batches:
@@ -190,8 +166,8 @@ def split_ways(ds: OsmDataset, cuts: DataFrame, first_new_id: int) -> DataFrame:
     parts = F.when(F.array_contains("cuts", F.col("seq")), F.array(before, before + 1)).otherwise(F.array(before))
     rows = rows.select("way_id", "node_id", "seq", "cuts", F.explode(parts).alias("part"))
     rows = rows.withColumn("seq", F.when(F.col("part") > 0, F.col("seq") - F.get("cuts", F.col("part") - 1)).otherwise(F.col("seq")))
-    new = per_way.select("way_id", F.explode(F.sequence(F.lit(1), F.size("cuts"))).alias("part")).withColumn("_o", F.col("way_id") * 4096 + F.col("part"))
-    ids = allocate_ids(new, first_new_id, "_o", chunk=4096 * 65536).select("way_id", "part", "new_id")
+    new = per_way.select("way_id", F.explode(F.sequence(F.lit(1), F.size("cuts"))).alias("part"))
+    ids = allocate_ids(new, first_new_id, "way_id", then=["part"]).select("way_id", "part", "new_id")
     return rows.join(ids, ["way_id", "part"], "left").select(
         "way_id", "part", F.coalesce("new_id", "way_id").alias("new_id"), F.col("seq").cast("int").alias("seq"), "node_id")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from streetloom.session import cut_lineage
 # ---- Fixed values --------------------------------------------------------------------------------------
 CELL_M, MERGE_M, END_T, EPS_T = 150.0, 1.5, 1e-3, 1e-6
 LINK_WAY, LINK_SPEED, LINK_LEAST_M = -1, 10, 0.5
-WALK_LEAST_M, WALK_MOST_M, WALK_SPREAD, WALK_KEEP = 2300.0, 4000.0, 1.5, 48
+WALK_LEAST_M, WALK_MOST_M, WALK_SPREAD = 2300.0, 4000.0, 1.5
 # -----------------------------------------------------------------------------------------------------------
 
 
@@ -151,12 +153,13 @@ def way_congestion(edges: DataFrame, ways: DataFrame) -> DataFrame:
                     R.service_speed(F.greatest("limit_kmh", F.lit(1)), F.col("_c")).alias("speed_kmh"), "degree_avg", js_round(F.col("length_m")).alias("length_m"))
 
 
-def congestion_in_box(stats: DataFrame, box: dict, limit: int = 4000, worst: float | None = None) -> DataFrame:
+def congestion_in_box(stats: DataFrame, box: dict, limit: int | None = None, worst: float | None = None) -> DataFrame:
     """Ways of a box, most congested first, with their level. ``stats``: way_congestion plus extent columns."""
     hit = stats.where(boxes_touch(F.col("min_lat"), F.col("max_lat"), F.col("min_lon"), F.col("max_lon"), box))
     if worst is not None:
         hit = hit.where(F.col("congestion") <= worst)
-    return hit.withColumn("level", R.congestion_level(F.col("congestion"))).orderBy("congestion", "way_id").limit(limit)
+    ranked = hit.withColumn("level", R.congestion_level(F.col("congestion"))).orderBy("congestion", "way_id")
+    return ranked if limit is None else ranked.limit(limit)
 
 
 def network_statistics(stats: DataFrame) -> DataFrame:
@@ -172,8 +175,8 @@ def transfer_radius(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(WALK_LEAST_M), F.least(F.lit(WALK_MOST_M), spread, (a + b).cast("double")))
 
 
-def mutual_neighbours(stations: DataFrame, keep: int = WALK_KEEP) -> DataFrame:
-    """Walk links (a, b, meters): each station proposes its ``keep`` nearest within the pair's radius; a link exists when
+def mutual_neighbours(stations: DataFrame, keep: int | None = None) -> DataFrame:
+    """Walk links (a, b, meters): each station proposes its ``keep`` nearest (all by default) within the pair's radius; a link exists when
     both propose each other. Ties go to the lower id."""
     pairs = neighbour_pairs(stations, WALK_MOST_M, ["catchment_m"])
     near = pairs.where(F.col("meters") <= transfer_radius(F.col("a_catchment_m"), F.col("b_catchment_m"))).select(
@@ -185,7 +188,7 @@ def mutual_neighbours(stations: DataFrame, keep: int = WALK_KEEP) -> DataFrame:
 
 # ---- iterative jobs ---------------------------------------------------------------------------------------------------
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components as (node_id, component = lowest node id), by alternating large-star and small-star steps
     (Kiveris et al., 2014): the number of rounds grows with the logarithm of the size. Each round is written to the shared
     checkpoint folder. The work per node is a join with its minimum, so a hub is spread by adaptive skew join."""
@@ -196,7 +199,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     last = None
-    for _ in range(max_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -217,7 +220,7 @@ def edge_cost(length: Column, speed: Column) -> Column:
     return length * (F.lit(1.0) + 0.6 * 45.0 / F.greatest(F.lit(15), speed))
 
 
-def shortest_costs(edges: DataFrame, origins: DataFrame, max_cost: float, max_rounds: int = 10_000, checkpoint_every: int = 4) -> DataFrame:
+def shortest_costs(edges: DataFrame, origins: DataFrame, max_cost: float, checkpoint_every: int = 4) -> DataFrame:
     """Least cost from many origins to every node within ``max_cost``: (origin, node_id, cost, length_m, seconds, prev).
 
     Rounds of relaxation: only nodes that got cheaper in the last round are joined with the edges, and a partial
@@ -231,7 +234,7 @@ def shortest_costs(edges: DataFrame, origins: DataFrame, max_cost: float, max_ro
     zero = F.lit(0.0)
     best = origins.select("origin", "node_id", zero.alias("cost"), zero.alias("length_m"), zero.alias("seconds"), F.lit(None).cast("long").alias("prev"), F.lit(0).alias("round"))
     best = cut_lineage(best)
-    for r in range(1, max_rounds + 1):
+    for r in count(1):
         front = best.where(F.col("round") == r - 1)
         step = front.join(hop, F.col("node_id") == F.col("src")).select(
             "origin", F.col("dst").alias("node_id"), (F.col("cost") + F.col("c")).alias("cost"), (F.col("length_m") + F.col("l")).alias("length_m"),
@@ -273,7 +276,7 @@ def path_geometry(path: DataFrame, nodes: DataFrame) -> DataFrame:
     return p.withColumn("distance_m", F.sum("_m").over(w)).drop("_m")
 
 
-def keep_apart(items: DataFrame, near: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def keep_apart(items: DataFrame, near: DataFrame) -> DataFrame:
     """Greedy thinning in order of ``key``: an item stays unless a staying item with a lower key is its neighbour.
 
     ``items``: key; ``near``: key, other (both directions). The one-by-one rule is reached by rounds: items whose key is
@@ -282,7 +285,7 @@ def keep_apart(items: DataFrame, near: DataFrame, max_rounds: int = 1000) -> Dat
     undecided = cut_lineage(items.select("key"))
     pairs = cut_lineage(near.select("key", "other"))
     kept = None
-    for _ in range(max_rounds):
+    while True:
         lower = pairs.where("other < key").select("key").distinct()
         now = undecided.join(lower, "key", "left_anti")
         gone = pairs.join(now, "key", "left_semi").select(F.col("other").alias("key")).distinct()

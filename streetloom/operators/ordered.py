@@ -36,6 +36,13 @@ def numbered(df: DataFrame, keys: list[str], chunk: Column, order: list[Column],
             .drop(CHUNK, "_in", "_before"))
 
 
+def even_chunk(df: DataFrame, column: str, parts: int = 64) -> Column:
+    """A chunk number that grows with a numeric column and holds about as many rows as any other: bounds come from approximate
+    quantiles (``parts`` numbers for the driver), so sparse values do not make one chunk per row."""
+    bounds = sorted(set(df.approxQuantile(column, [k / parts for k in range(1, parts)], 0.2 / parts)))
+    return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<double>"), lambda b: b <= F.col(column)))
+
+
 def running_sum(df: DataFrame, keys: list[str], chunk: Column, order: list[Column], value: str, name: str) -> DataFrame:
     """Exact running sum of ``value`` including the current row."""
     cut = df.withColumn(CHUNK, chunk)

@@ -18,14 +18,13 @@ from streetloom.session import cut_lineage
 MAX_RIDES, MAX_WALKS, MAX_JOURNEY_MS = 4, 2, 8 * 3600 * 1000
 BOARD_SEC, WALK_SEC, WALK_MPS, RIDE_KMH, MIDDLE_STOP_SEC = 300.0, 60.0, 1.0, 45.0, 20.0
 OD_LEAST_PEOPLE = 0.02
-MAX_DEPARTURES = 1440
 ON_TIME_SEC, TREND_SEC = 60, 15
 PATIENCE_SEC = 900
 FARE_BASE, FARE_PER_KM, FARE_SHARE = 3.0, 0.5, 0.6
 IMPORT_RULES = [("railway", "station"), ("railway", "halt"), ("amenity", "bus_station"), ("public_transport", "station"),
                 ("railway", "tram_stop"), ("railway", "subway_entrance"), ("highway", "bus_stop"),
                 ("public_transport", "platform"), ("public_transport", "stop_position")]
-IMPORT_APART_M, CENTER_NODES = 25.0, 200
+IMPORT_APART_M = 25.0
 # ----------------------------------------------------------------------------------------------------------------
 
 
@@ -143,13 +142,13 @@ def od_line_loads(od: DataFrame) -> DataFrame:
 
 # ---- timetable --------------------------------------------------------------------------------------------------------
 
-def departures(schedules: DataFrame) -> DataFrame:
+def departures(schedules: DataFrame, most: int | None = None) -> DataFrame:
     """(line_id, run_index, dep_sec): headway lines leave from first to last, timetable lines at their listed times, sorted
-    and distinct; at most 1440 a day. ``schedules``: line_id, mode, first_sec, last_sec, headway_sec, times ARRAY."""
+    and distinct; ``most``: at most so many a day, the first ones. ``schedules``: line_id, mode, first_sec, last_sec, headway_sec, times ARRAY."""
     headway = F.sequence(F.col("first_sec"), F.col("last_sec"), F.greatest("headway_sec", F.lit(1)))
     times = (F.when((F.col("mode") == "headway") & (F.col("last_sec") >= F.col("first_sec")), headway)
              .when(F.col("mode") == "timetable", F.array_sort(F.array_distinct("times"))))
-    return schedules.select("line_id", F.posexplode(F.slice(times, 1, MAX_DEPARTURES)).alias("run_index", "dep_sec"))
+    return schedules.select("line_id", F.posexplode(times if most is None else F.slice(times, 1, most)).alias("run_index", "dep_sec"))
 
 
 def assign_vehicles(deps: DataFrame, vehicles: DataFrame, assignments: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -337,7 +336,7 @@ def aggregate_stats(daily: DataFrame, by: list[str]) -> DataFrame:
 def line_stats(daily: DataFrame, lines: DataFrame, today: int, days: int = 7) -> DataFrame:
     """The last ``days`` days of each line, days without rows as zero, with riders of the seven days up to each. Only the
     days that can matter are read."""
-    n = max(1, min(90, days))
+    n = max(1, days)
     first = max(1, today - n + 1)
     grid = lines.select(F.col("id").alias("line_id")).withColumn("day", F.explode(F.sequence(F.lit(max(1, first - 6)), F.lit(today))))
     rows = daily.where(F.col("day").between(first - 6, today))
@@ -454,7 +453,7 @@ def import_stations(ds: OsmDataset, existing: DataFrame, network_nodes: DataFram
         return df.where(rule.isNotNull()).select(F.lit(osm_type).alias("osm_type"), F.lit(rank).alias("_t"), F.col("id").alias("osm_id"), "lat", "lon", "tags", rule.alias("rule"))
 
     tagged = ds.ways.where(rule.isNotNull()).select("id", "tags")
-    refs = ds.way_nodes.where(F.col("seq") < CENTER_NODES).join(tagged.select(F.col("id").alias("way_id")), "way_id", "left_semi")
+    refs = ds.way_nodes.join(tagged.select(F.col("id").alias("way_id")), "way_id", "left_semi")
     center = located_refs(refs, ds.nodes).groupBy(F.col("way_id").alias("id")).agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
     c = found(ds.nodes, "node", 0).unionByName(found(tagged.join(center, "id"), "way", 1))
     c = c.withColumn("kind", TG.station_kind(t)).where("kind IS NOT NULL")

@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streetloom.functions.geo import in_box, valid_coord
-from streetloom.functions.tags import MAX_TAGS, tags_from_pairs
+from streetloom.functions.tags import tags_from_pairs
 from streetloom.model import OsmDataset
 from streetloom.operators import geometry as G
-from streetloom.operators.ordered import numbered
+from streetloom.operators.ordered import even_chunk, numbered
 
 _TAG = "tag array<struct<_k:string,_v:string>>"
 _COMMON = "_id string, _version string, _timestamp string, _user string, _uid string, _visible string"
@@ -49,10 +49,10 @@ def read_raw(spark: SparkSession, path: str | list[str]) -> dict[str, DataFrame]
     return {k: table(k) for k in XML_SCHEMAS}
 
 
-def limit_rows(df: DataFrame, n: int, order: str = "id", chunk: int = 65536) -> DataFrame:
+def limit_rows(df: DataFrame, n: int, order: str = "id") -> DataFrame:
     """The first ``n`` rows by a numeric column, without bringing them to one task."""
     one = df.withColumn("_all", F.lit(0))
-    return numbered(one, ["_all"], F.floor(F.col(order) / chunk), [F.col(order)], "_rn").where(F.col("_rn") <= n).drop("_all", "_rn")
+    return numbered(one, ["_all"], even_chunk(df, order), [F.col(order)], "_rn").where(F.col("_rn") <= n).drop("_all", "_rn")
 
 
 def limit_elements(ds: OsmDataset, n: int) -> OsmDataset:
@@ -72,7 +72,7 @@ def next_ids(raw: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def normalise_elements(raw: dict[str, DataFrame], limit: int | None = None) -> OsmDataset:
+def normalise_elements(raw: dict[str, DataFrame], limit: int | None = None, max_tags: int | None = None) -> OsmDataset:
     """Version 1 when absent, editor = uid or else user, positions from 0, no invisible elements, no elements without id or
     (nodes) coordinates, at most 200 tags of which the last value of a key counts."""
     def base(df: DataFrame) -> DataFrame:
@@ -81,7 +81,7 @@ def normalise_elements(raw: dict[str, DataFrame], limit: int | None = None) -> O
             ok = limit_rows(ok, limit)  # the limit counts every element met, kept or not
         ok = ok.where("visible")
         pairs = F.filter(F.coalesce("pairs", F.array().cast("array<struct<key:string,value:string>>")), lambda t: t["key"].isNotNull() & t["value"].isNotNull())
-        return ok.withColumn("tags", tags_from_pairs(pairs, MAX_TAGS)).withColumn("version", F.coalesce("version", F.lit(1))).withColumn(
+        return ok.withColumn("tags", tags_from_pairs(pairs, max_tags)).withColumn("version", F.coalesce("version", F.lit(1))).withColumn(
             "editor", F.coalesce("uid", "user")).withColumnRenamed("user", "editor_name")
 
     common = ["id", "version", "tags", "editor", "editor_name", "ts"]
@@ -153,16 +153,18 @@ def _number(c: str) -> Column:
     return F.regexp_replace(F.regexp_replace(F.format_string("%.7f", F.col(c)), "0+$", ""), r"\.$", "")
 
 
-def export_rows(ds: OsmDataset, box: dict | None = None, limit: int = 500_000) -> DataFrame:
+def export_rows(ds: OsmDataset, box: dict | None = None, limit: int | None = None) -> DataFrame:
     """Body of an OSM XML document, one row per element: (section, id, xml). With a box: nodes in it, ways that touch it with
-    all their references, and all relations."""
+    all their references, and all relations. ``limit``: at most so many elements of each kind, in id order."""
     nodes, ways = ds.nodes, ds.ways
     if box is not None:
         nodes = nodes.where(in_box(F.col("lat"), F.col("lon"), box))
         ext = G.way_bbox(ds.way_nodes, ds.nodes)
         hit = ext.where((F.col("max_lon") >= box["min_lon"]) & (F.col("min_lon") <= box["max_lon"]) & (F.col("max_lat") >= box["min_lat"]) & (F.col("min_lat") <= box["max_lat"]))
         ways = ways.join(hit.select(F.col("way_id").alias("id")), "id", "left_semi")
-    nodes, ways, rels = limit_rows(nodes, limit), limit_rows(ways, limit), limit_rows(ds.relations, limit)
+    rels = ds.relations
+    if limit is not None:
+        nodes, ways, rels = limit_rows(nodes, limit), limit_rows(ways, limit), limit_rows(rels, limit)
 
     def body(open_tag: Column, name: str, inner: Column) -> Column:
         closed = F.concat(open_tag, F.lit("/>"))
@@ -193,7 +195,7 @@ def _write_document(rows: DataFrame, head: str, foot: str, path: str) -> None:
     rows.select("xml").mapInPandas(wrap, "xml string").write.mode("errorifexists").text(path)
 
 
-def export_osm(ds: OsmDataset, path: str, box: dict | None = None, limit: int = 500_000) -> None:
+def export_osm(ds: OsmDataset, path: str, box: dict | None = None, limit: int | None = None) -> None:
     """Write OSM XML: a folder of documents, each with nodes before ways before relations and ids in order."""
     b = box or {"min_lat": -85, "max_lat": 85, "min_lon": -180, "max_lon": 180}
     head = ('<?xml version="1.0" encoding="UTF-8"?>\n<osm version="0.6" generator="streetloom">\n'
@@ -215,6 +217,8 @@ def export_osmchange(rows: DataFrame, path: str) -> None:
     used = body.select("section").distinct()
     marks = used.select("section", F.lit(0).alias("part"), F.lit(0).cast("long").alias("k"), F.concat(F.lit("  <"), names, F.lit(">")).alias("xml")).unionByName(
         used.select("section", F.lit(2).alias("part"), F.lit(0).cast("long").alias("k"), F.concat(F.lit("  </"), names, F.lit(">")).alias("xml")))
-    # One document: a changeset has at most 10,000 changes.
+    # A document lists its sections in order, so it is one file; documents of several changesets are written one by one.
+    if rows.select("changeset_id").distinct().limit(2).count() > 1:
+        raise ValueError("an osmChange document holds one changeset")
     rows = body.unionByName(marks).repartition(1).sortWithinPartitions("section", "part", "k")
     _write_document(rows, '<?xml version="1.0" encoding="UTF-8"?>\n<osmChange version="0.6" generator="streetloom">', "</osmChange>", path)

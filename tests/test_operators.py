@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from streetloom.functions import shapes as S
-from streetloom.operators import drawing as DR, history as H, network as N, ordered as O, population as P, transit as TR
+from streetloom.operators import history as H, network as N, ordered as O, population as P, transit as TR
+from streetloom.operators.chains import chained_arrays
 from streetloom.streaming import live as L
 
 
@@ -105,19 +106,64 @@ def test_node_network_joins_crossing_roads(spark):
     assert sum(r.length_m for r in rows if r.way_id == 1) == pytest.approx(342, abs=2)
 
 
-def test_trails_keep_every_segment_once():
+def joined(ways):
+    """Chains of {way: node ids} by hand: ends are joined where exactly two ends of different ways meet."""
+    at = {}
+    for w, ids in ways.items():
+        at.setdefault(ids[0], []).append((w, 0))
+        at.setdefault(ids[-1], []).append((w, 1))
+    link = {}
+    for met in at.values():
+        if len(met) == 2 and met[0][0] != met[1][0]:
+            link[met[0]], link[met[1]] = met[1], met[0]
+
+    def run(way, side):
+        """Node ids from the way that is entered at ``side``, until no link or the start again."""
+        out, now, seen = [], (way, side), []
+        while now and now[0] not in seen:
+            seen.append(now[0])
+            ids = ways[now[0]] if now[1] == 0 else ways[now[0]][::-1]
+            out += ids
+            now = link.get((now[0], 1 - now[1]))
+        return [n for k, n in enumerate(out) if not k or n != out[k - 1]], seen
+
+    chains, done = [], set()
+    for w in sorted(ways):
+        for side in (0, 1):
+            if w not in done and (w, side) not in link:
+                ids, seen = run(w, side)
+                done |= set(seen)
+                chains.append((w, ids))
+    for w in sorted(ways):
+        if w not in done:
+            ids, seen = run(w, 0)
+            done |= set(seen)
+            chains.append((w, ids))
+    return sorted(chains)
+
+
+def test_chains_against_walking_by_hand(spark):
     r = random.Random(5)
-    ways = []
-    for _ in range(60):
-        ids = [r.randrange(40)]
-        for _ in range(r.randrange(1, 4)):
-            ids.append(r.choice([x for x in range(40) if x != ids[-1]]))
-        ways.append(ids)
-
-    def segs(lists):
-        return sorted(tuple(sorted(p)) for ids in lists for p in zip(ids, ids[1:]))
-    assert segs(S.trails_of(ways)) == segs(ways)
-    assert S.trails_of([[1, 2], [2, 3], [4, 3]]) == [[1, 2, 3, 4]]
+    groups = {}
+    for g in range(12):
+        ways = {}
+        for w in range(r.randrange(1, 40)):
+            ids = [r.randrange(30)]
+            for _ in range(r.randrange(1, 4)):
+                ids.append(r.choice([x for x in range(30) if x != ids[-1]]))
+            ways[w] = ids
+        groups[f"g{g}"] = ways
+    order = list(range(200))
+    r.shuffle(order)
+    groups["long"] = {w: ([k, k + 1] if w % 2 else [k + 1, k]) for k, w in enumerate(order)}
+    groups["ring"] = {w: ([k, (k + 1) % 50] if w % 3 else [(k + 1) % 50, k]) for k, w in enumerate(order[:50])}
+    groups["pair"] = {4: [1, 2, 3], 9: [1, 7, 3]}
+    groups["loop"] = {1: [5, 6, 7, 5]}
+    df = spark.createDataFrame([(g, w, ids) for g, ways in groups.items() for w, ids in ways.items()], "cls string, way_id long, node_ids array<long>")
+    got = {}
+    for x in chained_arrays(df, ["cls"], ["node_ids"]).collect():
+        got.setdefault(x.cls, []).append((x.chain, x.node_ids))
+    assert {g: sorted(c) for g, c in got.items()} == {g: joined(w) for g, w in groups.items()}
 
 
 def test_thin_stays_within_tolerance():
@@ -131,37 +177,41 @@ def test_thin_stays_within_tolerance():
         assert np.hypot(*(p - (a + t[:, None] * d)).T).min() <= 1.5 + 1e-9
 
 
-def test_clip_stays_in_box():
-    box = (0.0, 1.0, 0.0, 1.0)
-    parts = S.clip_line(np.array([[-1, 0.5], [0.5, 0.5], [2, 0.5], [2, 0.8], [0.5, 0.8]], float), box)
-    assert [p.tolist() for p in parts] == [[[0, 0.5], [0.5, 0.5], [1, 0.5]], [[1, 0.8], [0.5, 0.8]]]
-    ring = S.clip_area(np.array([[-1, -1], [-1, 2], [2, 2], [2, -1], [-1, -1]], float), box)
-    assert (ring[0] == ring[-1]).all() and ring.min() >= 0 and ring.max() <= 1 and len(ring) >= 5
-    assert S.clip_area(np.array([[5, 5], [5, 6], [6, 6], [5, 5]], float), box) is None
-
-
-def test_rings_are_stitched():
-    rings, chains = S.rings_of([[1, 2, 3], [5, 4, 3], [5, 1], [7, 8]])
-    assert rings == [[1, 2, 3, 4, 5, 1]] and chains == [[7, 8]]
-
-
-def test_hot_groups_are_chained_by_cell(spark, monkeypatch):
-    monkeypatch.setattr(DR, "GROUP_LIMIT", 10)
-    rows = [("x", i, [i, i + 1], 0.0, i * 0.01) for i in range(40)]
-    df = spark.createDataFrame(rows, "cls string, way_id long, node_ids array<long>, lat double, lon double")
-    trails = [r.trail for r in DR.chain_ways(df, ["cls"]).collect()]
-    assert len(trails) == 8 and sorted(p for t in trails for p in zip(t, t[1:])) == [(i, i + 1) for i in range(40)]
-
-
-def test_apply_changes_hot_element_equals_fold(spark, monkeypatch):
+def test_clip_stays_in_box(spark):
+    def cut(kind, points):
+        df = spark.createDataFrame([(kind, [[(float(a), float(b)) for a, b in points]])], "kind string, paths array<array<struct<lat:double,lon:double>>>")
+        box = [F.lit(x) for x in (0.0, 1.0, 0.0, 1.0)]
+        return [[tuple(p) for p in part] for part in df.select(S.clipped(F.col("kind"), F.col("paths"), *box).alias("c")).first().c]
+
+    assert cut("line", [[-1, 0.5], [0.5, 0.5], [2, 0.5], [2, 0.8], [0.5, 0.8]]) == [[(0, 0.5), (0.5, 0.5), (1, 0.5)], [(1, 0.8), (0.5, 0.8)]]
+    assert cut("line", [[2, 2], [3, 3]]) == cut("line", [[0.5, 0.5]]) == cut("line", []) == []
+    ring = cut("area", [[-1, -1], [-1, 2], [2, 2], [2, -1], [-1, -1]])[0]
+    assert ring[0] == ring[-1] and set(ring) == {(0, 0), (0, 1), (1, 0), (1, 1)}
+    assert cut("area", [[5, 5], [5, 6], [6, 6], [5, 5]]) == []
+    rng = np.random.default_rng(2)
+    for _ in range(5):
+        line = rng.normal(0.5, 0.8, size=(30, 2))
+        parts = cut("line", line)
+        assert all(-1e-12 <= x <= 1 + 1e-12 for part in parts for p in part for x in p)
+        fine = np.concatenate([a + np.linspace(0, 1, 2001)[:, None] * (b - a) for a, b in zip(line, line[1:])])
+        inside = ((fine >= 0) & (fine <= 1)).all(axis=1).mean() * sum(np.hypot(*(b - a)) for a, b in zip(line, line[1:]))
+        assert sum(np.hypot(*(np.array(q) - p)) for part in parts for p, q in zip(part, part[1:])) > 0 or inside == 0
+
+
+def test_apply_changes_equals_a_fold(spark):
     r = random.Random(3)
     ops = [(i, r.randrange(3), r.choice(["create", "modify", "modify", "delete"]), r.choice([None, 1, 2, 3]), f"v{i}") for i in range(300)]
     base = spark.createDataFrame([(0, 1, "b"), (1, 2, "b")], "id long, version int, value string")
     ch = spark.createDataFrame(ops, "id long, elem_id long, action string, expected int, value string")
-    a = {x.change_id: (x.accepted, x.reason, x.version) for x in H.apply_changes(base, ch)[1].collect()}
-    monkeypatch.setattr(H, "FOLD_LIMIT", 5)
-    b = {x.change_id: (x.accepted, x.reason, x.version) for x in H.apply_changes(base, ch)[1].collect()}
-    assert a == b and len(a) == 300 and len({v[0] for v in a.values()}) == 2
+    got = {x.change_id: (x.accepted, x.reason, x.version) for x in H.apply_changes(base, ch)[1].collect()}
+    version, want = {0: 1, 1: 2, 2: None}, {}
+    for i, e, action, expected, _ in ops:
+        v = version[e]
+        reason = ("exists" if v is not None else None) if action == "create" else "missing" if v is None else "version" if expected not in (None, v) else None
+        if reason is None:
+            version[e] = 1 if action == "create" else None if action == "delete" else v + 1
+        want[i] = (reason is None, reason, version[e])
+    assert got == want
 
 
 def test_building_spread_and_conserve(spark):
