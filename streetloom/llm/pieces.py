@@ -16,7 +16,8 @@ from streetloom.llm.common import slices
 
 SPACE = "▁"
 NBEST = 4
-HELD = 400_000
+HELD = 500_000
+SHORT = 48
 FRESH = 20_000
 UNKNOWN_PENALTY = 10.0
 
@@ -95,6 +96,105 @@ class Pieces:
         return [self.bytes[b] for b in data] if all(b in self.bytes for b in data) else [self.unknown]
 
     def best(self, names: list[str], n: int = NBEST) -> list[Segment]:
+        """The ``n`` best paths through the lattice of each text: by ``two_best`` for short texts if two are enough, else by ``search_all``."""
+        if n > 2:
+            return self.search_all(names, n)
+        out = self.two_best(names)
+        rest = [i for i, x in enumerate(out) if x is None]
+        if rest:
+            for i, x in zip(rest, self.search_all([names[i] for i in rest], n), strict=True):
+                out[i] = x
+        return out if n == 2 else [(ids, score, float("inf"), ()) for ids, score, _, _ in out]
+
+    def two_best(self, names: list[str]) -> list[Segment | None]:
+        """The two best paths of each text of up to SHORT characters that all have pieces; None for the others.
+
+        What ``search`` does, over all texts side by side: a best-first search with an exact heuristic first follows the best edge from every place, and
+        its second whole path leaves the first where the queued edge with the best total does, to follow the best edges again. So two edges into
+        each place are enough."""
+        lengths = np.array([len(x) for x in names], dtype=np.int64)
+        first = np.cumsum(lengths) - lengths
+        codes = np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+        p, short = len(codes), lengths <= SHORT
+        owner = np.repeat(np.arange(len(names)), lengths)
+        place = np.arange(p) + owner  # a text of n characters has n + 1 places
+        left = first[owner] + lengths[owner] - np.arange(p)
+        scores, ids = np.full((self.longest + 1, p), -np.inf), np.zeros((self.longest + 1, p), dtype=np.int32)
+        on, h = np.nonzero(short[owner])[0], np.zeros(np.count_nonzero(short[owner]), dtype=np.uint64)
+        fits: list[np.ndarray] = [on[:0]]
+        for k in range(1, self.longest + 1):
+            enough = left[on] >= k
+            on, h = on[enough], h[enough]
+            h = step(h, codes[on + k - 1])
+            known, piece = self.look(h)
+            edge = known & (piece >= 0)
+            fits.append(on[edge])
+            scores[k, on[edge]], ids[k, on[edge]] = self.scores[piece[edge]], piece[edge]
+            if k == 1:
+                short[owner[on[~edge]]] = False
+            on, h = on[known], h[known]
+        forward = np.full(p + len(names), -np.inf)
+        mine = np.nonzero(short)[0]
+        forward[first[mine] + mine] = 0.0
+        used = [k for k in range(1, self.longest + 1) if len(fits[k])]
+        for offset in range(int(lengths[mine].max(initial=0))):
+            mine = mine[lengths[mine] > offset]
+            at = first[mine] + offset
+            here = forward[at + mine]
+            for k in used:
+                ahead = at[left[at] >= k] if k > 1 else at
+                if k > 1 and len(ahead) < len(at):
+                    total = here[left[at] >= k] + scores[k, ahead]
+                else:
+                    total = here + scores[k, ahead]
+                end = place[ahead] + k
+                forward[end] = np.maximum(forward[end], total)
+        one, two = np.full(len(forward), -np.inf), np.full(len(forward), -np.inf)
+        size1, size2 = np.zeros(len(forward), dtype=np.int64), np.zeros(len(forward), dtype=np.int64)
+        for k in used:  # of equals, the shorter piece comes first
+            at = fits[k]
+            total, end = forward[place[at]] + scores[k, at], place[at] + k
+            best = total > one[end]
+            moved, other = end[best], ~best & (total > two[end])
+            two[moved], size2[moved] = one[moved], size1[moved]
+            one[moved], size1[moved] = total[best], k
+            two[end[other]], size2[end[other]] = total[other], k
+        words = np.nonzero(short & (lengths > 0))[0]
+        begin = first[words] + words
+        finish = begin + lengths[words]
+        now, behind = finish.copy(), np.zeros(len(words))
+        gain, leave, depth = np.full(len(words), -np.inf), np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
+        walk: list[np.ndarray] = []
+        while (open_ := now > begin).any():
+            total = np.where(open_, behind + two[now], -np.inf)
+            better = total > gain
+            gain[better], leave[better], depth[better] = total[better], now[better], len(walk)
+            size = np.where(open_, size1[now], 0)
+            start = now - size - words
+            walk.append(np.where(open_, ids[size, np.minimum(start, p - 1)], -1))
+            behind = behind + np.where(open_, scores[size, np.minimum(start, p - 1)], 0.0)
+            now = now - size
+        first_path = np.array(walk).T.reshape(len(words), -1)
+        # The second path: the first up to where it is left, the other edge there, then the best edges.
+        has = gain > -np.inf
+        now = np.where(has, leave - size2[leave], begin)
+        start = np.minimum(now - words, p - 1)
+        second = [ids[size2[leave], start]]
+        while (open_ := now > begin).any():
+            size = np.where(open_, size1[now], 0)
+            second.append(np.where(open_, ids[size, np.minimum(now - size - words, p - 1)], -1))
+            now = now - size
+        after = np.array(second).T
+        before = np.where(np.arange(first_path.shape[1]) < depth[:, None], first_path, -1)
+        ids1, ids2 = flat_ids(first_path), flat_ids(np.concatenate((before, after), axis=1))
+        out: list[Segment | None] = [None] * len(names)
+        none = float("inf")
+        for i, a, b, top, more in zip(words.tolist(), ids1, ids2, forward[finish].tolist(), gain.tolist(), strict=True):
+            loss = top - more
+            out[i] = (a, top, loss, ((loss, b),)) if loss < none else (a, top, none, ())
+        return out
+
+    def search_all(self, names: list[str], n: int) -> list[Segment]:
         """The ``n`` best paths through the lattice of each text. A forward Viterbi pass, over all texts side by side, gives the best score up to each
         place. Paths are then built from the end; the score of what is built plus the Viterbi score up to its start is exactly the best the path can come
         to, so a best-first (A*) search meets whole paths in order of their scores. Ties: the last piece that starts later, then the path reached first."""
@@ -171,6 +271,14 @@ class Pieces:
         return best, top, top - found[1][0] if len(found) > 1 else float("inf"), tuple([(top - s, x) for s, x in found[1:]])
 
 
+def flat_ids(paths: np.ndarray) -> list[bytes]:
+    """Ids of each row as bytes, from the last to the first, without those below 0."""
+    turned = paths[:, ::-1]
+    live = turned >= 0
+    data, ends = turned[live].astype("<u4").tobytes(), (np.cumsum(live.sum(axis=1)) * 4).tolist()
+    return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
 def step(h: np.ndarray, codes: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         h = (h + codes + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
