@@ -49,15 +49,29 @@ def _ordered(batches: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     return pd.concat(parts).sort_values(by, kind="stable") if parts else pd.DataFrame()
 
 
+def _timed(events: DataFrame, ms: Column, late: str) -> DataFrame:
+    """Events with a watermark on their time, so that late rows are dropped and the state of quiet keys can end."""
+    return events.withColumn("_ts", F.timestamp_millis(ms.cast("long"))).withWatermark("_ts", late)
+
+
+def _forget_at(state: GroupState, ms: int) -> None:
+    """The key's state ends when the watermark passes ``ms``."""
+    state.setTimeoutTimestamp(max(int(ms), state.getCurrentWatermarkMs() + 1))
+
+
 # ---- S1 rate limit --------------------------------------------------------------------------------------------------
 
-def rate_limit(events: DataFrame, max_events: int, seconds: int) -> DataFrame:
+def rate_limit(events: DataFrame, max_events: int, seconds: int, late: str = "10 minutes") -> DataFrame:
     """Sliding limit per user and kind: (user_id, kind, event_id, accepted). An event is accepted while fewer than
     ``max_events`` accepted ones lie at most ``seconds`` before it; rejected events do not count.
-    ``events``: user_id, kind, event_id, ms."""
+    ``events``: user_id, kind, event_id, ms. Rows more than ``late`` behind the latest are dropped; the state of a user ends when the
+    watermark has passed its span."""
     span = seconds * 1000
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         recent = list(state.get[0]) if state.exists else []
         rows = _ordered(batches, ["ms", "event_id"])
         out = []
@@ -68,29 +82,33 @@ def rate_limit(events: DataFrame, max_events: int, seconds: int) -> DataFrame:
                 recent.append(int(ms))
             out.append((key[0], key[1], event_id, ok))
         state.update((recent,))
+        _forget_at(state, max(recent, default=0) + span + 1)
         yield pd.DataFrame(out, columns=["user_id", "kind", "event_id", "accepted"])
 
-    return events.groupBy("user_id", "kind").applyInPandasWithState(
-        step, "user_id long, kind string, event_id long, accepted boolean", "recent array<long>", "append", GroupStateTimeout.NoTimeout)
+    return _timed(events, F.col("ms"), late).groupBy("user_id", "kind").applyInPandasWithState(
+        step, "user_id long, kind string, event_id long, accepted boolean", "recent array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # ---- S2 locks ----------------------------------------------------------------------------------------------------------
 
-def locks(events: DataFrame, ttl_sec: int = LOCK_SEC) -> DataFrame:
+def locks(events: DataFrame, ttl_sec: int = LOCK_SEC, late: str = "10 minutes") -> DataFrame:
     """Element locks: (elem_type, elem_id, event_id, action, user_id, result). acquire is granted when nobody else holds the
-    element, ping refreshes one's own lock, release frees it; a lock ends ``ttl_sec`` after its last refresh.
-    ``events``: elem_type, elem_id, event_id, user_id, action, ms."""
+    element, ping refreshes one's own lock, release frees it. From ``ttl_sec`` after its last refresh on a lock can be taken by others; until one
+    does, a ping of its holder renews it. Ping and release are for one element, as a user's elements are spread over the cluster.
+    ``events``: elem_type, elem_id, event_id, user_id, action, ms. Rows more than ``late`` behind are dropped; a lock is forgotten when the watermark
+    has passed its end by another ``ttl_sec``."""
     ttl = ttl_sec * 1000
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         holder, until = state.get if state.exists else (None, 0)
         rows = _ordered(batches, ["ms", "event_id"])
         out = []
         for event_id, user, action, ms in zip(rows.event_id, rows.user_id, rows.action, rows.ms) if len(rows) else ():
-            if holder is not None and ms > until:
-                holder = None
             if action == "acquire":
-                result = "granted" if holder in (None, user) else "refused"
+                result = "granted" if holder in (None, user) or ms >= until else "refused"
                 if result == "granted":
                     holder, until = int(user), int(ms) + ttl
             elif holder == user:
@@ -104,10 +122,11 @@ def locks(events: DataFrame, ttl_sec: int = LOCK_SEC) -> DataFrame:
                 state.remove()
         else:
             state.update((holder, until))
+            _forget_at(state, until + ttl)
         yield pd.DataFrame(out, columns=["elem_type", "elem_id", "event_id", "action", "user_id", "result"])
 
-    return events.groupBy("elem_type", "elem_id").applyInPandasWithState(
-        step, "elem_type string, elem_id long, event_id long, action string, user_id long, result string", "holder long, until long", "append", GroupStateTimeout.NoTimeout)
+    return _timed(events, F.col("ms"), late).groupBy("elem_type", "elem_id").applyInPandasWithState(
+        step, "elem_type string, elem_id long, event_id long, action string, user_id long, result string", "holder long, until long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def lock_snapshot(results: DataFrame) -> DataFrame:
@@ -137,10 +156,15 @@ def edit_sessions(events: DataFrame, idle_sec: int = IDLE_SEC, late: str = "10 s
             .select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events"))
 
 
-def capped_sessions(events: DataFrame, idle_sec: int = IDLE_SEC, life_sec: int = SESSION_SEC) -> DataFrame:
+def capped_sessions(events: DataFrame, idle_sec: int = IDLE_SEC, life_sec: int = SESSION_SEC, late: str = "10 minutes",
+                    keep_sec: int = 30 * 86400) -> DataFrame:
     """Sessions that also end ``life_sec`` after their first event: (user_id, event_id, session_no) per event.
-    ``events``: user_id, event_id, ms."""
+    ``events``: user_id, event_id, ms. Rows more than ``late`` behind are dropped; after ``keep_sec`` without an event a user is forgotten and its numbers
+    start anew."""
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         number, first, last = state.get if state.exists else (0, 0, 0)
         rows = _ordered(batches, ["ms", "event_id"])
         out = []
@@ -150,10 +174,11 @@ def capped_sessions(events: DataFrame, idle_sec: int = IDLE_SEC, life_sec: int =
             last = int(ms)
             out.append((key[0], event_id, number))
         state.update((number, first, last))
+        _forget_at(state, last + keep_sec * 1000)
         yield pd.DataFrame(out, columns=["user_id", "event_id", "session_no"])
 
-    return events.groupBy("user_id").applyInPandasWithState(
-        step, "user_id long, event_id long, session_no long", "number long, first long, last long", "append", GroupStateTimeout.NoTimeout)
+    return _timed(events, F.col("ms"), late).groupBy("user_id").applyInPandasWithState(
+        step, "user_id long, event_id long, session_no long", "number long, first long, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # ---- S5 change stream to tables -----------------------------------------------------------------------------------------
@@ -185,14 +210,21 @@ def maintain(changes: DataFrame, base: DataFrame, path: str, after_batch: Callab
 
 # ---- S6 queues --------------------------------------------------------------------------------------------------------------
 
-def queues(events: DataFrame, patience_sec: int = PATIENCE_SEC) -> DataFrame:
+def queues(events: DataFrame, patience_sec: int = PATIENCE_SEC, late: str = "10 minutes") -> DataFrame:
     """Waiting people per station and line: (station_id, line_id, event_id, boarded, lost, waiting) after each event.
     Arrivals join the end; a vehicle takes up to its capacity from the front; groups that wait longer than the patience
-    leave first. ``events``: station_id, line_id, event_id, kind (arrive/board), people, ms."""
+    leave first. ``events``: station_id, line_id, event_id, kind (arrive/board), people, ms. Rows more than ``late`` behind are dropped. When the watermark has
+    passed the patience of the last group, a row without event_id reports who left, and the queue is forgotten."""
     limit = patience_sec * 1000
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         starts, people = (list(x) for x in state.get) if state.exists else ([], [])
+        if state.hasTimedOut:
+            state.remove()
+            if people:
+                gone = pd.DataFrame([(key[0], key[1], None, 0.0, sum(people), 0.0)], columns=["station_id", "line_id", "event_id", "boarded", "lost", "waiting"])
+                yield gone.astype({"event_id": "Int64"})
+            return
         rows = _ordered(batches, ["ms", "event_id"])
         out = []
         for event_id, kind, amount, ms in zip(rows.event_id, rows.kind, rows.people, rows.ms) if len(rows) else ():
@@ -214,11 +246,15 @@ def queues(events: DataFrame, patience_sec: int = PATIENCE_SEC) -> DataFrame:
                     else:
                         people[0] -= take
             out.append((key[0], key[1], event_id, boarded, lost, sum(people)))
-        state.update((starts, people))
+        if starts:
+            state.update((starts, people))
+            _forget_at(state, starts[-1] + limit + 1)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["station_id", "line_id", "event_id", "boarded", "lost", "waiting"])
 
-    return events.groupBy("station_id", "line_id").applyInPandasWithState(
-        step, "station_id long, line_id long, event_id long, boarded double, lost double, waiting double", "starts array<long>, people array<double>", "append", GroupStateTimeout.NoTimeout)
+    return _timed(events, F.col("ms"), late).groupBy("station_id", "line_id").applyInPandasWithState(
+        step, "station_id long, line_id long, event_id long, boarded double, lost double, waiting double", "starts array<long>, people array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # ---- S7 to S10 -----------------------------------------------------------------------------------------------------------------
@@ -239,12 +275,17 @@ def vehicle_cells(events: DataFrame, span: str = "5 minutes", slide: str = "1 mi
             .select(F.col("w.start").alias("start"), "cell_y", "cell_x", "line_id", "reports", "vehicles"))
 
 
-def delay_stream(obs: DataFrame, plan: DataFrame, tolerance_sec: int = 1800, trend_sec: int = 15) -> DataFrame:
+def delay_stream(obs: DataFrame, plan: DataFrame, tolerance_sec: int = 1800, trend_sec: int = 15, late: str = "10 minutes",
+                 keep_sec: int = 86400) -> DataFrame:
     """Delay and trend of each stop observation: joined with the static plan within the tolerance, then compared with the
-    vehicle's stop before. ``obs``: vehicle_id, event_id, run_id, idx, departed; ``plan``: run_id, idx, planned_dep."""
+    vehicle's stop before. ``obs``: vehicle_id, event_id, run_id, idx, departed; ``plan``: run_id, idx, planned_dep. ``departed`` counts
+    seconds and is the event time: rows more than ``late`` behind are dropped, and a vehicle is forgotten ``keep_sec`` after its last stop."""
     j = obs.join(plan, ["run_id", "idx"]).withColumn("delay", F.col("departed") - F.col("planned_dep")).where(F.abs("delay") <= tolerance_sec)
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         before = state.get[0] if state.exists else None
         rows = _ordered(batches, ["departed", "event_id"])
         out = []
@@ -254,10 +295,11 @@ def delay_stream(obs: DataFrame, plan: DataFrame, tolerance_sec: int = 1800, tre
             before = int(delay)
         if before is not None:
             state.update((before,))
+            _forget_at(state, (int(rows.departed.max()) + keep_sec) * 1000)
         yield pd.DataFrame(out, columns=["vehicle_id", "event_id", "run_id", "idx", "delay", "trend"])
 
-    return j.groupBy("vehicle_id").applyInPandasWithState(
-        step, "vehicle_id long, event_id long, run_id long, idx int, delay long, trend string", "delay long", "append", GroupStateTimeout.NoTimeout)
+    return _timed(j, F.col("departed") * 1000, late).groupBy("vehicle_id").applyInPandasWithState(
+        step, "vehicle_id long, event_id long, run_id long, idx int, delay long, trend string", "delay long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def matched_observations(obs: DataFrame, plans: DataFrame, tolerance: str = "30 minutes", late: str = "10 minutes") -> DataFrame:

@@ -259,7 +259,7 @@ def test_rate_limit_equals_replay(spark, tmp_path):
 
 
 def test_locks_equal_replay(spark, tmp_path):
-    rows = [("way", 1, 0, 1, "acquire", 0), ("way", 1, 1, 2, "acquire", 1000), ("way", 1, 2, 1, "ping", 100000), ("way", 1, 3, 2, "acquire", 150000),
+    rows = [("way", 1, 0, 1, "acquire", 1), ("way", 1, 1, 2, "acquire", 1000), ("way", 1, 2, 1, "ping", 100000), ("way", 1, 3, 2, "acquire", 150000),
             ("way", 1, 4, 1, "release", 160000), ("way", 1, 5, 2, "acquire", 161000), ("way", 1, 6, 1, "acquire", 400000), ("way", 1, 7, 2, "ping", 400001)]
     got = replay(spark, tmp_path, rows, "elem_type string, elem_id long, event_id long, user_id long, action string, ms long", L.locks, "locks")
     assert [x.result for x in sorted(got, key=lambda x: x.event_id)] == ["granted", "refused", "refreshed", "refused", "released", "granted", "granted", "ignored"]
@@ -267,7 +267,7 @@ def test_locks_equal_replay(spark, tmp_path):
 
 def test_queues_lose_nobody_unseen(spark, tmp_path):
     r = random.Random(6)
-    rows = [(1, 2, i, r.choice(["arrive", "arrive", "board"]), float(r.randrange(1, 9)), i * 120000) for i in range(90)]
-    got = sorted(replay(spark, tmp_path, rows, "station_id long, line_id long, event_id long, kind string, people double, ms long", L.queues, "queue"), key=lambda x: x.event_id)
+    rows = [(1, 2, i, r.choice(["arrive", "arrive", "board"]), float(r.randrange(1, 9)), 1 + i * 120000) for i in range(90)]
+    got = sorted(replay(spark, tmp_path, rows, "station_id long, line_id long, event_id long, kind string, people double, ms long", L.queues, "queue"), key=lambda x: (x.event_id is None, x.event_id))
     arrived = sum(x[4] for x in rows if x[3] == "arrive")
     assert arrived == pytest.approx(sum(x.boarded + x.lost for x in got) + got[-1].waiting) and sum(x.lost for x in got) > 0
