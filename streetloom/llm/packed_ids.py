@@ -14,18 +14,26 @@ import numpy as np
 
 MAGIC = b"S8BTOK1\n"
 BLOCK = 4096
+RUN = 64 * BLOCK
 SELECTORS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 ESCAPE = 15
 COUNTS = np.array([n for n, _ in SELECTORS] + [0, 1], dtype=np.int64)
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words, first word of each block with the total at the end, upper parts of escapes."""
-    ids = np.ascontiguousarray(ids, dtype=np.uint64)
+    """Words, first word of each block with the total at the end, upper parts of escapes. Goes in runs of whole blocks, so that the working
+    arrays are bounded."""
+    if not len(ids):
+        return np.empty(0, "<u8"), np.zeros(1, "<u8"), np.empty(0, np.uint8)
+    runs = [pack_run(np.ascontiguousarray(ids[s : s + RUN], dtype=np.uint64)) for s in range(0, len(ids), RUN)]
+    begins = np.cumsum([0, *(len(w) for w, _, _ in runs)]).astype("<u8")
+    offsets = np.concatenate([o[:-1] + b for (_, o, _), b in zip(runs, begins, strict=False)] + [begins[-1:]])
+    return np.concatenate([w for w, _, _ in runs]), offsets.astype("<u8"), np.concatenate([u for _, _, u in runs])
+
+
+def pack_run(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(ids)
     blocks = -(-n // BLOCK)
-    if not n:
-        return np.empty(0, "<u8"), np.zeros(1, "<u8"), np.empty(0, np.uint8)
     # A word that fits with a narrow selector also fits with each wider one, which takes fewer ids: so only the positions that
     # the last selector took are tried with the next.
     at_all = np.arange(n)

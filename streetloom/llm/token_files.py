@@ -15,13 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from streetloom.llm.common import LAST_ID, stored
+from streetloom.llm.common import LAST_ID, slices, stored
 from streetloom.llm.packed_ids import from_bytes, to_bytes
 from streetloom.session import shared_path
 
 END_ID = 1
 FILE_IDS = 1 << 22
-CACHE_WORDS = 800_000
+CACHE_WORDS = 600_000
 WORDS_A_CALL = 5_000
 
 
@@ -122,8 +122,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, id_col:
             write_whole(f"{folder}/{name}", to_bytes(ids, lengths, np.frombuffer(b"".join(parts), dtype="<u4")))
             return pa.RecordBatch.from_pydict({"file": [name], "n_docs": [len(ids)], "n_ids": [int(lengths.sum())]})
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+        for part in (p for batch in batches for p in slices(batch, "text")):
+            for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 ids.append(doc_id)
                 parts.append(encode(text) + end)
                 held += len(parts[-1]) // 4
