@@ -42,7 +42,8 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     split = docs.select(ident.alias("ident"), mark.alias("mark"), F.posexplode(F.split(ascii_lower(text), "\n", -1)).alias("pos", "line"))
     keyed = split.select("ident", "mark", "pos", F.btrim("line", F.lit(SPACES)).alias("key")).where(F.char_length("key") >= min_chars)
     lines = stored(keyed.select("ident", "mark", "pos", F.xxhash64("key").alias("h"), F.hash("key").alias("g")), "lines")
-    shared = repeated_lines(lines, min_docs)
+    # Written, so that the join deals both sides anew by hash and Spark can split the part of a very common line.
+    shared = stored(repeated_lines(lines, min_docs), "lines-shared")
     lost = lines.join(shared, ["h", "g"]).where("ident > first_id").select("ident", "mark", "pos")
     drops = lost.groupBy("ident", "mark").agg(F.collect_set("pos").alias("drops"))
     rows = docs.select(F.struct("*").alias("row"), ident.alias("ident"), mark.alias("mark"), text.alias("whole"))
