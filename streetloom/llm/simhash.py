@@ -69,6 +69,7 @@ def close_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for t, m in enumerate(masks)])
     filed = prints.select("fp", F.explode(tables).alias("x")).select("fp", "x.t", "x.key")
     shared = filed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1").select("t", "key")
+    shared = stored(shared, "simhash-buckets")  # the join deals both sides anew, so Spark can split a large bucket
     flips = F.array(*[F.array(*[F.lit(0), *[F.lit(signed(1 << i)) for i in range(BITS) if not m >> i & 1]]) for m in masks])
     points = filed.join(shared, ["t", "key"], "left_semi").select(
         "t", "fp", F.explode(F.element_at(flips, F.col("t") + 1)).alias("flip"))
