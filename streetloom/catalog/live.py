@@ -33,12 +33,30 @@ def kind():
         .when(F.col("event_type") == "purchase", "lock").otherwise("chat")
 
 
-@query("stream_rate_limit", "S1")
+@query("stream_rate_limit", "S1", """
+WITH RECURSIVE k AS (SELECT user_id, event_id, epoch_ms(ts) AS ms, CASE event_type WHEN 'click' THEN 'op' WHEN 'view' THEN 'view' WHEN 'error' THEN 'release' WHEN 'purchase' THEN 'lock' ELSE 'chat' END AS kind FROM events),
+e AS (SELECT *, row_number() OVER (PARTITION BY user_id, kind ORDER BY ms, event_id) AS n FROM k),
+f AS (SELECT user_id, kind, n, event_id, true AS accepted, ms AS t1, NULL::BIGINT AS t2 FROM e WHERE n = 1
+  UNION ALL SELECT e.user_id, e.kind, e.n, e.event_id, f.t2 IS NULL OR e.ms - f.t2 > 43200000, CASE WHEN f.t2 IS NULL OR e.ms - f.t2 > 43200000 THEN e.ms ELSE f.t1 END, CASE WHEN f.t2 IS NULL OR e.ms - f.t2 > 43200000 THEN f.t1 ELSE f.t2 END
+    FROM f JOIN e ON e.user_id = f.user_id AND e.kind = f.kind AND e.n = f.n + 1)
+SELECT user_id, kind, event_id, accepted FROM f""")
 def _(w: World):
     return L.run_once(L.rate_limit(stream(w).withColumn("kind", kind()), 2, 12 * HOUR), "append", "rate").drop("batch_id")
 
 
-@query("stream_locks", "S2")
+LOCK_RESULT = """CASE WHEN e.action = 'acquire' THEN CASE WHEN f.holder IS NULL OR f.holder = e.user_id OR e.ms >= f.until THEN 'granted' ELSE 'refused' END
+  WHEN f.holder = e.user_id AND e.ms < f.until + 86400000 THEN CASE WHEN e.action = 'release' THEN 'released' ELSE 'refreshed' END ELSE 'ignored' END"""
+
+
+@query("stream_locks", "S2", f"""
+WITH RECURSIVE k AS (SELECT user_id, event_id, epoch_ms(ts) AS ms, event_id // 1000 * 20 + event_id % 20 AS elem_id, CASE event_type WHEN 'purchase' THEN 'acquire' WHEN 'error' THEN 'release' ELSE 'ping' END AS action
+  FROM events WHERE event_type IN ('purchase', 'error', 'view')),
+e AS (SELECT *, row_number() OVER (PARTITION BY elem_id ORDER BY ms, event_id) AS n FROM k),
+f AS (SELECT DISTINCT elem_id, 0::BIGINT AS n, 0::BIGINT AS event_id, '' AS action, 0::BIGINT AS user_id, '' AS result, NULL::BIGINT AS holder, NULL::BIGINT AS until FROM e
+  UNION ALL SELECT elem_id, n, event_id, action, user_id, result, CASE WHEN result IN ('granted', 'refreshed') THEN user_id WHEN result = 'released' OR gone THEN NULL ELSE holder END,
+    CASE WHEN result IN ('granted', 'refreshed') THEN ms + 86400000 ELSE until END
+  FROM (SELECT e.elem_id, e.n, e.event_id, e.action, e.user_id, e.ms, f.holder, f.until, coalesce(e.ms >= f.until + 86400000, false) AS gone, {LOCK_RESULT} AS result FROM f JOIN e ON e.elem_id = f.elem_id AND e.n = f.n + 1) s)
+SELECT 'way' AS elem_type, elem_id, event_id, action, user_id, result FROM f WHERE n > 0""")
 def _(w: World):
     action = F.when(F.col("event_type") == "purchase", "acquire").when(F.col("event_type") == "error", "release").otherwise("ping")
     e = stream(w).where("event_type IN ('purchase', 'error', 'view')").select(
@@ -61,7 +79,12 @@ def _(w: World):
     return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "events")
 
 
-@query("stream_capped_sessions", "S4")
+@query("stream_capped_sessions", "S4", """
+WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+f AS (SELECT user_id, event_id, n, 1::BIGINT AS session_no, ms AS first, ms AS last FROM e WHERE n = 1
+  UNION ALL SELECT user_id, event_id, n, CASE WHEN ms - last >= 2592000000 THEN 1 WHEN fresh THEN session_no + 1 ELSE session_no END, CASE WHEN fresh THEN ms ELSE first END, ms
+  FROM (SELECT e.*, f.session_no, f.first, f.last, e.ms - f.last >= 18000000 OR e.ms - f.first >= 86400000 AS fresh FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1) s)
+SELECT user_id, event_id, session_no FROM f""")
 def _(w: World):
     return L.run_once(L.capped_sessions(stream(w), 5 * HOUR, 24 * HOUR), "append", "capped").drop("batch_id")
 
@@ -104,7 +127,13 @@ def _(w: World):
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "cell_y", "cell_x", "line_id", "reports")
 
 
-@query("stream_delays", "S9")
+@query("stream_delays", "S9", """
+WITH b AS (SELECT floor(epoch(min(ts))) AS low, floor(epoch(max(ts))) AS high FROM events),
+o AS (SELECT user_id AS vehicle_id, event_id, event_id AS run_id, CAST(event_id % 2 AS INT) AS idx, CAST(20030 + event_id % 3600 + event_id % 2 * 180 + floor(value) % 300 - 100 AS BIGINT) AS departed,
+   least(2, floor((floor(epoch(ts)) - low) * 3 / greatest(1, high - low))) AS part FROM events, b),
+j AS (SELECT o.*, CAST(o.departed - p.planned_dep AS BIGINT) AS delay FROM o JOIN d_obs p ON p.run_id = o.run_id AND p.idx = o.idx WHERE abs(o.departed - p.planned_dep) <= 1800),
+d AS (SELECT *, delay - lag(delay) OVER (PARTITION BY vehicle_id ORDER BY part, departed, event_id) AS delta FROM j)
+SELECT vehicle_id, event_id, run_id, idx, delay, CASE WHEN delta > 15 THEN 'worsening' WHEN delta < -15 THEN 'recovering' ELSE 'stable' END AS trend FROM d""")
 def _(w: World):
     plan = w.raw("d_obs").select("run_id", "idx", "planned_dep")
     n = F.col("event_id")

@@ -30,12 +30,11 @@ def _numbers(w: World):
 WITH {EXT}, s AS (SELECT way_id, n.lat, n.lon, lag(n.lat) OVER (PARTITION BY way_id ORDER BY seq) AS plat,
    lag(n.lon) OVER (PARTITION BY way_id ORDER BY seq) AS plon FROM d_way_nodes r JOIN d_nodes n ON n.id = r.node_id),
 l AS (SELECT way_id, floor(sum({hav('plat', 'plon', 'lat', 'lon')}) * 10 + 0.5) / 10 AS m FROM s WHERE plat IS NOT NULL GROUP BY way_id),
-h AS (SELECT v.view_id, x.id, x.t, l.m FROM x JOIN d_views v ON {TOUCH.format('x')} AND v.zoom = 14 LEFT JOIN l ON l.way_id = x.id)
+h AS (SELECT v.view_id, v.zoom, x.id, x.t, l.m FROM x JOIN d_views v ON {TOUCH.format('x')} LEFT JOIN l ON l.way_id = x.id)
 SELECT view_id, category, count(*) AS ways, floor(sum(m) * 10 + 0.5) / 10 AS length_m
-FROM (SELECT view_id, m, {CATEGORY_SQL} AS category FROM h WHERE 14 >= {LINE_ZOOM_SQL}) c GROUP BY view_id, category""")
+FROM (SELECT view_id, m, {CATEGORY_SQL} AS category FROM h WHERE zoom >= {LINE_ZOOM_SQL}) c GROUP BY view_id, category""")
 def _(w: World):
-    views = w.views.where("zoom = 14")
-    hits = box_join(_numbers(w), views)
+    hits = box_join(_numbers(w), w.views)
     seen = hits.where(TG.lod_visible(F.col("tags"), F.col("zoom")))
     return seen.withColumn("category", TG.category_of(F.col("tags"))).groupBy("view_id", "category").agg(
         F.count("*").alias("ways"), geo.js_round(F.sum("length_m"), 1).alias("length_m"))

@@ -94,7 +94,7 @@ def rate_limit(events: DataFrame, max_events: int, seconds: int, late: str = "10
 def locks(events: DataFrame, ttl_sec: int = LOCK_SEC, late: str = "10 minutes") -> DataFrame:
     """Element locks: (elem_type, elem_id, event_id, action, user_id, result). acquire is granted when nobody else holds the
     element, ping refreshes one's own lock, release frees it. From ``ttl_sec`` after its last refresh on a lock can be taken by others; until one
-    does, a ping of its holder renews it. Ping and release are for one element, as a user's elements are spread over the cluster.
+    does, a ping of its holder renews it, for another ``ttl_sec`` at most. Ping and release are for one element, as a user's elements are spread over the cluster.
     ``events``: elem_type, elem_id, event_id, user_id, action, ms. Rows more than ``late`` behind are dropped; a lock is forgotten when the watermark
     has passed its end by another ``ttl_sec``."""
     ttl = ttl_sec * 1000
@@ -107,6 +107,8 @@ def locks(events: DataFrame, ttl_sec: int = LOCK_SEC, late: str = "10 minutes")
         rows = _ordered(batches, ["ms", "event_id"])
         out = []
         for event_id, user, action, ms in zip(rows.event_id, rows.user_id, rows.action, rows.ms) if len(rows) else ():
+            if holder is not None and ms >= until + ttl:
+                holder = None
             if action == "acquire":
                 result = "granted" if holder in (None, user) or ms >= until else "refused"
                 if result == "granted":
@@ -169,6 +171,8 @@ def capped_sessions(events: DataFrame, idle_sec: int = IDLE_SEC, life_sec: int =
         rows = _ordered(batches, ["ms", "event_id"])
         out = []
         for event_id, ms in zip(rows.event_id, rows.ms) if len(rows) else ():
+            if number and ms - last >= keep_sec * 1000:
+                number = 0
             if number == 0 or ms - last >= idle_sec * 1000 or ms - first >= life_sec * 1000:
                 number, first = number + 1, int(ms)
             last = int(ms)
@@ -286,20 +290,20 @@ def delay_stream(obs: DataFrame, plan: DataFrame, tolerance_sec: int = 1800, tre
         if state.hasTimedOut:
             state.remove()
             return
-        before = state.get[0] if state.exists else None
+        before, since = state.get if state.exists else (None, 0)
         rows = _ordered(batches, ["departed", "event_id"])
         out = []
-        for event_id, run, idx, delay in zip(rows.event_id, rows.run_id, rows.idx, rows.delay) if len(rows) else ():
-            delta = 0 if before is None else int(delay) - before
+        for event_id, run, idx, delay, at in zip(rows.event_id, rows.run_id, rows.idx, rows.delay, rows.departed) if len(rows) else ():
+            delta = 0 if before is None or at - since >= keep_sec else int(delay) - before
             out.append((key[0], event_id, run, idx, delay, "worsening" if delta > trend_sec else "recovering" if delta < -trend_sec else "stable"))
-            before = int(delay)
+            before, since = int(delay), int(at)
         if before is not None:
-            state.update((before,))
-            _forget_at(state, (int(rows.departed.max()) + keep_sec) * 1000)
+            state.update((before, since))
+            _forget_at(state, (since + keep_sec) * 1000)
         yield pd.DataFrame(out, columns=["vehicle_id", "event_id", "run_id", "idx", "delay", "trend"])
 
     return _timed(j, F.col("departed") * 1000, late).groupBy("vehicle_id").applyInPandasWithState(
-        step, "vehicle_id long, event_id long, run_id long, idx int, delay long, trend string", "delay long", "append", GroupStateTimeout.EventTimeTimeout)
+        step, "vehicle_id long, event_id long, run_id long, idx int, delay long, trend string", "delay long, since long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def matched_observations(obs: DataFrame, plans: DataFrame, tolerance: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
