@@ -132,11 +132,45 @@ def _(w: World):
     return DR.display_areas(w.dataset, 14, grid(w).lat0).select("group_key", "part", "cls", "family", "ways", "npts", "rawnpts", F.col("geom")[0].alias("path"))
 
 
-@query("clipped_shapes", "O100")
+def _reach(c: str, low: str, high: str) -> tuple[str, str]:
+    """From where to where the segment (p -> q) is between two borders, as SQL."""
+    still = f"CASE WHEN p.{c} BETWEEN {low} AND {high} THEN {{}} ELSE {{}} END"
+    near, far = f"({low} - p.{c}) / nullif(q.{c} - p.{c}, 0)", f"({high} - p.{c}) / nullif(q.{c} - p.{c}, 0)"
+    inf = "'infinity'::DOUBLE"
+    return f"CASE WHEN q.{c} = p.{c} THEN {still.format('-' + inf, inf)} ELSE least({near}, {far}) END", f"CASE WHEN q.{c} = p.{c} THEN {still.format(inf, '-' + inf)} ELSE greatest({near}, {far}) END"
+
+
+def _border(n: int, c: str, o: str, limit: str, sign: str) -> str:
+    """One border of a ring cut, as a common table h<n> over h<n-1>."""
+    at = lambda p, q: f"({p}.{o} + ({limit} - {p}.{c}) / nullif({q}.{c} - {p}.{c}, 0) * ({q}.{o} - {p}.{o}))"
+    cross = f"{{'y': {limit}, 'x': {at('p', 'q')}}}" if c == "y" else f"{{'y': {at('p', 'q')}, 'x': {limit}}}"
+    none = "[]::STRUCT(y DOUBLE, x DOUBLE)[]"
+    return f"""h{n} AS (SELECT way_id, coalesce((SELECT flatten(list(list_concat(CASE WHEN (p.{c} {sign} {limit}) <> (q.{c} {sign} {limit}) THEN [{cross}] ELSE {none} END, CASE WHEN q.{c} {sign} {limit} THEN [q] ELSE {none} END) ORDER BY i))
+  FROM (SELECT unnest(ps) AS q, unnest(list_concat(ps[-1:], ps[:-2])) AS p, unnest(range(len(ps))) AS i) z), {none}) AS ps FROM h{n - 1})"""
+
+
+Y1, Y2, X1, X2 = "39.76::DOUBLE", "39.8::DOUBLE", "116.17::DOUBLE", "116.22::DOUBLE"
+_YR, _XR = _reach("y", Y1, Y2), _reach("x", X1, X2)
+CLIP_SQL = f"""g AS (SELECT r.way_id, list({{'y': n.lat, 'x': n.lon}} ORDER BY r.seq) AS ps FROM d_way_nodes r JOIN d_nodes n ON n.id = r.node_id GROUP BY r.way_id),
+w AS (SELECT g.*, o.closed FROM g JOIN o_ways o ON o.id = g.way_id),
+s AS (SELECT way_id, unnest(ps[:-2]) AS p, unnest(ps[2:]) AS q, unnest(range(len(ps) - 1)) AS i FROM w WHERE NOT closed AND len(ps) > 1),
+t AS (SELECT way_id, i, p, q, greatest(0, {_YR[0]}, {_XR[0]}) AS t0, least(1, {_YR[1]}, {_XR[1]}) AS t1 FROM s),
+f AS (SELECT *, CASE WHEN i = 0 OR t0 > 0 OR lag(t0) OVER v > lag(t1) OVER v OR lag(t1) OVER v < 1 THEN 1 ELSE 0 END AS fresh FROM t WINDOW v AS (PARTITION BY way_id ORDER BY i)),
+lp AS (SELECT way_id, sum(fresh) AS parts, count(*) + sum(fresh) AS points, sum(CASE WHEN fresh = 1 THEN p.y + t0 * (q.y - p.y) ELSE 0 END + p.y + t1 * (q.y - p.y)) AS y, sum(CASE WHEN fresh = 1 THEN p.x + t0 * (q.x - p.x) ELSE 0 END + p.x + t1 * (q.x - p.x)) AS x
+  FROM f WHERE t0 <= t1 GROUP BY way_id),
+h0 AS (SELECT way_id, CASE WHEN ps[1] = ps[-1] THEN ps[:-2] ELSE ps END AS ps FROM w WHERE closed),
+{_border(1, 'y', 'x', Y1, '>=')}, {_border(2, 'y', 'x', Y2, '<=')}, {_border(3, 'x', 'y', X1, '>=')}, {_border(4, 'x', 'y', X2, '<=')},
+ap AS (SELECT way_id, 1 AS parts, len(ps) + 1 AS points, list_sum(list_transform(ps, lambda a: a.y)) + ps[1].y AS y, list_sum(list_transform(ps, lambda a: a.x)) + ps[1].x AS x FROM h4 WHERE len(ps) >= 3)"""
+
+
+@query("clipped_shapes", "O100", f"""WITH {CLIP_SQL} SELECT way_id, CAST(parts AS INT) AS parts, CAST(points AS INT) AS points, floor(y * 1000 + 0.5) / 1000 AS sum_lat, floor(x * 1000 + 0.5) / 1000 AS sum_lon
+FROM (SELECT * FROM lp UNION ALL SELECT * FROM ap) u""")
 def _(w: World):
     g = G.way_geometry(w.way_nodes, w.nodes).join(w.ways.select(F.col("id").alias("way_id"), "closed"), "way_id")
     cut = shapes.clipped(F.when(F.col("closed"), "area").otherwise("line"), F.array("coords"), F.lit(39.76), F.lit(39.8), F.lit(116.17), F.lit(116.22))
-    return g.withColumn("parts", cut).where(F.size("parts") > 0).select("way_id", F.size("parts").alias("parts"), F.aggregate("parts", F.lit(0), lambda a, p: a + F.size(p)).alias("points"))
+    parts = g.withColumn("parts", cut).where(F.size("parts") > 0).withColumn("flat", F.flatten("parts"))
+    total = lambda c: geo.js_round(F.aggregate("flat", F.lit(0.0), lambda a, p: a + p[c]), 3)
+    return parts.select("way_id", F.size("parts").alias("parts"), F.size("flat").alias("points"), total("lat").alias("sum_lat"), total("lon").alias("sum_lon"))
 
 
 @query("baked_tiles", "O101")
