@@ -16,7 +16,7 @@ from streetloom.llm.common import slices
 
 SPACE = "▁"
 NBEST = 4
-HELD = 500_000
+HELD = 350_000
 SHORT = 48
 FRESH = 20_000
 UNKNOWN_PENALTY = 10.0
