@@ -28,10 +28,13 @@ def local_session(app: str = "streetloom", cores: str | int = "*", partitions: i
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``; a fresh local one only if unset."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``. Only where driver and executors are one process may it be
+    unset; a fresh local folder is taken then. On a cluster each executor would write to its own disk, so that is refused."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if named is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return named or sc.getCheckpointDir()
 
