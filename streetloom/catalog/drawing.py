@@ -93,9 +93,8 @@ def open_roads(w: World):
     return roads.join(g, "way_id")
 
 
-# Chains of ways per class, walked by recursion: s is a way with the side it is left at, nx the next one.
-CHAINS = f"""r AS (SELECT w.id, ({LINE_CLASS_SQL}) AS cls, p.ids FROM o_ways w JOIN (SELECT r.way_id, list(r.node_id ORDER BY r.seq) AS ids FROM d_way_nodes r JOIN d_nodes n ON n.id = r.node_id GROUP BY r.way_id) p ON p.way_id = w.id WHERE t['highway'] IS NOT NULL),
-en AS (SELECT cls, id, 0 AS side, ids[1] AS node FROM r UNION ALL SELECT cls, id, 1, ids[-1] FROM r),
+# Chains of the ways r (cls, id, ids) per class, walked by recursion from their ends: side is where a way is left, nx the next one.
+WALK = """en AS (SELECT cls, id, 0 AS side, ids[1] AS node FROM r UNION ALL SELECT cls, id, 1, ids[-1] FROM r),
 mt AS (SELECT cls, node, min((id, side)) AS x, max((id, side)) AS y FROM en GROUP BY cls, node HAVING count(*) = 2),
 lk AS (SELECT cls, x[1] AS id, x[2] AS side, y[1] AS to_id, y[2] AS at_side FROM mt WHERE x[1] <> y[1] UNION ALL SELECT cls, y[1], y[2], x[1], x[2] FROM mt WHERE x[1] <> y[1]),
 nx AS (SELECT cls, id, side, to_id, 1 - at_side AS to_side FROM lk),
@@ -106,7 +105,9 @@ rg AS (SELECT r.cls, r.id AS start, r.id AS id, 1 AS side, 0 AS pos FROM r WHERE
 ch AS (SELECT cls, start, id, side, pos FROM (SELECT wk.*, max(pos) OVER (PARTITION BY cls, start) AS n, max_by(id, pos) OVER (PARTITION BY cls, start) AS last_id FROM wk) q WHERE start < last_id OR (n = 0 AND side = 1)
   UNION ALL SELECT cls, start, id, side, pos FROM (SELECT *, min(id) OVER (PARTITION BY cls, start) AS low FROM rg) q WHERE low = start),
 nd AS (SELECT cls, start, pos, k, node, lag(node) OVER (PARTITION BY cls, start ORDER BY pos, k) AS before FROM (SELECT ch.cls, ch.start, ch.pos, unnest(range(1, len(r.ids) + 1)) AS k, unnest(CASE WHEN ch.side = 1 THEN r.ids ELSE list_reverse(r.ids) END) AS node
-  FROM ch JOIN r ON r.id = ch.id) q)"""
+  FROM ch JOIN r ON r.id = ch.id AND r.cls IS NOT DISTINCT FROM ch.cls) q)"""
+CHAINS = f"""r AS (SELECT w.id, ({LINE_CLASS_SQL}) AS cls, p.ids FROM o_ways w JOIN (SELECT r.way_id, list(r.node_id ORDER BY r.seq) AS ids FROM d_way_nodes r JOIN d_nodes n ON n.id = r.node_id GROUP BY r.way_id) p ON p.way_id = w.id WHERE t['highway'] IS NOT NULL),
+{WALK}"""
 
 
 @query("way_trails", "O95", f"""WITH RECURSIVE {CHAINS} SELECT cls, count(*) AS nodes, md5(string_agg(node::VARCHAR, ',' ORDER BY pos, k)) AS trail FROM nd WHERE before IS NULL OR before <> node GROUP BY cls, start""")
@@ -184,7 +185,19 @@ def _(w: World):
     return DR.read_tiles(DR.bake_tiles(w.dataset, g, [14]), w.views.withColumn("zoom", F.lit(14)), g).select("view_id", "id", "kind", "cls", F.size("geom").alias("parts"))
 
 
-@query("relation_rings", "O136")
+@query("relation_rings", "O136", f"""
+WITH RECURSIVE r AS (SELECT (m.relation_id, CASE WHEN m.role = 'inner' THEN 'inner' ELSE 'outer' END) AS cls, m.seq AS id, p.ids FROM d_relation_members m JOIN d_relations t ON t.id = m.relation_id
+  JOIN (SELECT way_id, list(node_id ORDER BY seq) AS ids FROM d_way_nodes GROUP BY way_id) p ON p.way_id = m.member_ref
+  WHERE m.member_type = 'way' AND len(p.ids) >= 2 AND (t.tags LIKE '%"type":"multipolygon"%' OR t.tags LIKE '%"type":"boundary"%')),
+{WALK},
+pt AS (SELECT cls, start, node, row_number() OVER (PARTITION BY cls, start ORDER BY pos, k) AS i FROM nd WHERE before IS NULL OR before <> node),
+cn AS (SELECT cls, start, count(*) AS n, count(*) >= 4 AND arg_min(node, i) = arg_max(node, i) AS round FROM pt GROUP BY cls, start),
+no AS (SELECT *, row_number() OVER (PARTITION BY cls, round ORDER BY start) - 1 AS ring_no FROM cn),
+lo AS (SELECT pt.cls, pt.start, i, lat, lon, first(lat) OVER v AS y0, first(lon) OVER v AS x0 FROM pt JOIN d_nodes d ON d.id = pt.node WINDOW v AS (PARTITION BY cls, start ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+ld AS (SELECT *, coalesce(lead(lat) OVER v, y0) AS lat2, coalesce(lead(lon) OVER v, x0) AS lon2 FROM lo WINDOW v AS (PARTITION BY cls, start ORDER BY i)),
+ar AS (SELECT cls, start, count(*) AS located, CASE WHEN count(*) >= 3 THEN abs(sum((lon - x0) * (lat2 - y0) - (lon2 - x0) * (lat - y0))) / 2 * cos(avg(lat) * (pi() / 180)) * pow(pi() / 180 * 6378137.0, 2) ELSE 0 END AS area FROM ld GROUP BY cls, start)
+SELECT no.cls[1] AS relation_id, no.cls[2] AS role, CAST(ring_no AS INT) AS ring_no, CASE WHEN NOT round THEN 'open' WHEN coalesce(located, 0) < n THEN 'missing' WHEN area > 1e-9 THEN 'ring' ELSE 'degenerate' END AS status,
+  CASE WHEN round THEN floor(coalesce(area, 0) * 10 + 0.5) / 10 ELSE 0 END AS area_m2 FROM no LEFT JOIN ar ON ar.cls = no.cls AND ar.start = no.start""")
 def _(w: World):
     r = DR.relation_rings(w.dataset)
     return r.select("relation_id", "role", "ring_no", "status", geo.js_round(geo.ring_area_m2(F.col("coords")), 1).alias("area_m2"))
