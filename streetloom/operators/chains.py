@@ -24,7 +24,9 @@ def chain_positions(ways: DataFrame, keys: list[str]) -> DataFrame:
     both = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
     links = cut_lineage(met.select(*keys, both.alias("x")).select(
         *keys, F.col("x.a.way_id").alias("way_id"), F.col("x.a.side").alias("side"), F.col("x.b.way_id").alias("to_way"), F.col("x.b.side").alias("at_side")))
-    states = ways.select(*keys, "way_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
+    linked = links.select(*keys, "way_id").distinct()
+    alone = ways.join(linked, [*keys, "way_id"], "left_anti").select(*keys, "way_id", F.col("way_id").alias("chain"), F.lit(0).cast("long").alias("behind"), F.lit(True).alias("forward"))
+    states = linked.select(*keys, "way_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
     ranked, rings = _ranked(states, links, keys)
     if rings is not None:
         # The link at the head of the lowest way goes, seen from both of its ways.
@@ -38,7 +40,7 @@ def chain_positions(ways: DataFrame, keys: list[str]) -> DataFrame:
     # Of the two directions, the one that ends at the higher way; a way on its own goes forward.
     run = F.struct("last_way", "side", "behind")
     two = ranked.groupBy(*keys, "way_id").agg(F.max(run).alias("on"), F.min(run).alias("back"))
-    return two.select(*keys, "way_id", F.col("back.last_way").alias("chain"), F.col("on.behind").alias("behind"), (F.col("on.side") == 1).alias("forward"))
+    return two.select(*keys, "way_id", F.col("back.last_way").alias("chain"), F.col("on.behind").alias("behind"), (F.col("on.side") == 1).alias("forward")).unionByName(alone)
 
 
 def _ranked(states: DataFrame, links: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame | None]:
