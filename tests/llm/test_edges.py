@@ -1,6 +1,7 @@
 """Every operator and stage on awkward tables: nulls, empty and long texts, ties, repeated rows, empty tables, clashing column names."""
 
 import hashlib
+import random
 
 import public_tokenizers
 import pytest
@@ -108,14 +109,25 @@ def test_toxicity(spark):
 
 
 def test_toxic_passages_are_found_where_they_stand(spark):
-    bad, calm = "you nasty vile creep", "some calm words about the weather and the sea"
-    rows = [(k, f"{calm} {bad} {calm}" if k % 5 == 0 else f"{calm} {calm}") for k in range(300)]
+    rng = random.Random(5)
+    calm = lambda n: " ".join(f"word{rng.choice('abcdefghijklmnop')}{rng.choice('abcdefghijklmnop')}" for _ in range(n))
+    rows = [(k, f"{calm(9)} {'you nasty vile creep' if k % 5 == 0 else calm(4)} {calm(20)}") for k in range(300)]
     model = learn_toxicity(plain_docs(spark, rows), labels(spark, [(k, 1, int(k % 5 == 0)) for k in range(300)]))
     got = {r.doc_id: r for r in score_toxicity(plain_docs(spark, rows), model).collect()}
     assert all((got[k].score >= 0.7) == (k % 5 == 0) for k in range(300))
     assert [(p.first, p.end) for p in got[0].passages] == [(9, 13)] and not got[1].passages
 
 
+def test_copies_do_not_make_words_toxic(spark):
+    """A toxic text in many copies and near copies counts once, so its harmless words stay harmless."""
+    rng = random.Random(6)
+    calm = lambda n: " ".join(f"word{rng.choice('abcdefghijklmnop')}{rng.choice('abcdefghijklmnop')}" for _ in range(n))
+    copied = "rare harmless words that one copied toxic text has and no other one does anywhere at all in these tables"
+    rows = [(k, f"{calm(9)} {'vile creep' if k % 5 == 0 else calm(2)} {calm(20)}") for k in range(300)] + [(1000 + k, f"{copied} vile creep {copied}") for k in range(60)]
+    model = learn_toxicity(plain_docs(spark, rows), labels(spark, [(k, 1, int(k % 5 == 0)) for k in range(300)] + [(1000 + k, 1, 1) for k in range(60)]))
+    assert set(model.units) & {"vile", "creep"} == {"vile", "creep"} and not set(model.units) & set(copied.split())
+
+
 def test_mixing(spark):
     got = mix_plan(docs(spark)).collect()
     assert len(got) == len(doc_rows()) and all(r.taken <= 2 * r.size and r.taken == r.copies * r.size for r in got)
