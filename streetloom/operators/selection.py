@@ -247,12 +247,12 @@ def search(ds: OsmDataset, name: str | None = None, key: str | None = None, valu
     for p in parts[1:]:
         found = found.unionByName(p)
     found = found.orderBy("_rank", "id").limit(limit)
-    wanted = F.broadcast(found.where("type = 'way'").select(F.col("id").alias("way_id")))  # at most ``limit`` rows
+    wanted = found.where("type = 'way'").select(F.col("id").alias("way_id"))
     refs = ds.way_nodes.join(wanted, "way_id", "left_semi")
     coords = G.way_geometry(refs, ds.nodes)
     mid = F.get("coords", F.floor(F.size("coords") / 2).cast("int"))
     way_mid = coords.select(F.lit("way").alias("type"), F.col("way_id").alias("id"), mid.alias("center"))
-    node_at = ds.nodes.join(F.broadcast(found.where("type = 'node'").select("id")), "id", "left_semi").select(
+    node_at = ds.nodes.join(found.where("type = 'node'").select("id"), "id", "left_semi").select(
         F.lit("node").alias("type"), "id", F.struct("lat", "lon").alias("center"))
     return found.join(way_mid.unionByName(node_at), ["type", "id"], "left").drop("_rank")
 
