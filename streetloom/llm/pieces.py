@@ -32,6 +32,7 @@ class Pieces:
 
     def __init__(self, model_path: str):
         from sentencepiece import SentencePieceProcessor
+        from sentencepiece.sentencepiece_model_pb2 import ModelProto
         self.sp = sp = SentencePieceProcessor(model_file=model_path)
         size = sp.get_piece_size()
         plain = [i for i in range(size) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i))]
@@ -46,6 +47,11 @@ class Pieces:
             self.texts[i] = bytes([b])
         if self.unknown >= 0:
             self.texts[self.unknown] = " ⁇ ".encode()
+        #: The same model for stretches of normalised text: nothing is normalised again, and no space mark is put in front.
+        model = ModelProto.FromString(sp.serialized_model_proto())
+        model.normalizer_spec.Clear()
+        model.normalizer_spec.add_dummy_prefix = model.normalizer_spec.remove_extra_whitespaces = False
+        self.inner = SentencePieceProcessor(model_proto=model.SerializeToString())
         self.cut = self.cutter()
         self.index()
 
@@ -95,6 +101,10 @@ class Pieces:
         data = char.encode("utf-8", "replace")
         return [self.bytes[b] for b in data] if all(b in self.bytes for b in data) else [self.unknown]
 
+    def own(self, names: list[str]) -> list[bytes]:
+        """What the model itself makes of each text (its BPE merges, if it is a BPE model): the ids of ``sp.encode``."""
+        return [array("I", ids).tobytes() for ids in self.inner.encode(names, num_threads=1)]
+
     def best(self, names: list[str], n: int = NBEST) -> list[Segment]:
         """The ``n`` best paths through the lattice of each text: by ``two_best`` for short texts if two are enough, else by ``search_all``."""
         if n > 2:
@@ -293,6 +303,7 @@ class Encoder:
         self.pieces, self.n = Pieces(model_path), n
         self.known: dict[str, int] = {}
         self.ids: list[bytes] = []
+        self.owns: list[bytes] = []
         self.others: list[tuple[tuple[float, bytes], ...]] = []
         self.numbers = np.empty((3, 0))  # score, loss of the second, count of ids
         self.texts = np.empty(0, dtype=np.int32)
@@ -308,7 +319,7 @@ class Encoder:
         stay = [(name, i) for name, i in self.known.items() if often[i] or name in wanted]
         at = [i for _, i in stay]
         self.known = {name: k for k, (name, _) in enumerate(stay)}
-        self.ids, self.others = [self.ids[i] for i in at], [self.others[i] for i in at]
+        self.ids, self.owns, self.others = [self.ids[i] for i in at], [self.owns[i] for i in at], [self.others[i] for i in at]
         self.numbers, self.texts = self.numbers[:, at], np.ones(len(at), dtype=np.int32)
 
     def learn(self, names: set[str]) -> None:
@@ -321,6 +332,7 @@ class Encoder:
             ids, scores, losses, others = zip(*self.pieces.best(part, self.n), strict=True)
             self.known.update(zip(part, range(len(self.ids), len(self.ids) + len(part)), strict=True))
             self.ids += ids
+            self.owns += (a if a == b else b for a, b in zip(ids, self.pieces.own(part), strict=True))
             self.others += others
             self.numbers = np.concatenate((self.numbers, [scores, losses, [len(x) // 4 for x in ids]]), axis=1)
         self.texts = np.concatenate((self.texts, np.zeros(len(self.ids) - len(self.texts), dtype=np.int32)))
@@ -332,9 +344,14 @@ class Encoder:
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str]) -> list[tuple[bytes, list[tuple[float, list[tuple[int, int, bytes]]]]]]:
+        return [(ids, best) for _, ids, best in self.encode_both(texts)]
+
+    def encode_both(self, texts: list[str]) -> list[tuple[bytes, bytes, list[tuple[float, list[tuple[int, int, bytes]]]]]]:
+        """For each text the model's own ids, and what ``combine`` gives. No piece lies across two stretches, so no merge does: the own ids
+        of a text are those of its stretches."""
         named = list(map(self.names, texts))
         self.learn(set().union(*named))
-        return list(map(self.combine, named))
+        return [(b"".join([self.owns[self.known[x]] for x in names]), *self.combine(names)) for names in named]
 
     def combine(self, names: list[str]) -> tuple[bytes, list[tuple[float, list[tuple[int, int, bytes]]]]]:
         """The best ids of a text of these stretches, and for each of the N best: score and changes (place in the best ids, ids taken out, ids
@@ -374,26 +391,28 @@ def encoder(model_path: str, n: int) -> Encoder:
 
 
 def encode_pieces(docs: DataFrame, model_path: str, n: int = NBEST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, ids (of the best segmentation, little-endian unsigned 32-bit), nbest (score and changes of each of the ``n`` best, best
-    first; fewer if the text has fewer), round_trip (decoding gives the normalised text back). Null and empty texts have no ids and one segmentation of score 0."""
+    """One row per row of ``docs``: doc_id, ids (the model's own encoding, little-endian unsigned 32-bit), best_ids (of the segmentation with the best sum of scores), nbest
+    (score and changes to best_ids of each of the ``n`` best, best first; fewer if the text has fewer), round_trip (decoding ids and best_ids gives the normalised text back).
+    A BPE model's scores are ranks of merges, so its ids are not the best sum. Null and empty texts have no ids and one segmentation of score 0."""
     change = pa.list_(pa.struct([("place", pa.int64()), ("out", pa.int32()), ("ids", pa.binary())]))
-    kinds = [pa.binary(), pa.list_(pa.struct([("score", pa.float64()), ("changes", change)])), pa.bool_()]
+    kinds = [pa.binary(), pa.binary(), pa.list_(pa.struct([("score", pa.float64()), ("changes", change)])), pa.bool_()]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(model_path, n)
         for batch in batches:
             for part in slices(batch, "text"):
                 rows, texts = [], [t or "" for t in part.column("text").to_pylist()]
-                for text, (ids, best) in zip(texts, e.encode_all(texts), strict=True):
+                for text, (own, ids, best) in zip(texts, e.encode_both(texts), strict=True):
                     normal = e.normal(text).replace(SPACE, " ") if text else ""
-                    rows.append((ids, [{"score": x, "changes": [{"place": p, "out": o, "ids": i} for p, o, i in c]} for x, c in best],
-                                 e.decode(ids) == (normal[1:] if normal.startswith(" ") else normal)))
+                    normal = normal[1:] if normal.startswith(" ") else normal
+                    rows.append((own, ids, [{"score": x, "changes": [{"place": p, "out": o, "ids": i} for p, o, i in c]} for x, c in best],
+                                 e.decode(own) == normal == e.decode(ids)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))],
-                                                 names=["doc_id", "ids", "nbest", "round_trip"])
+                                                 names=["doc_id", "ids", "best_ids", "nbest", "round_trip"])
         e.keep(set())  # the worker may wait long for its next task
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        encode, "doc_id long, ids binary, nbest array<struct<score:double,changes:array<struct<place:long,out:int,ids:binary>>>>, round_trip boolean")
+        encode, "doc_id long, ids binary, best_ids binary, nbest array<struct<score:double,changes:array<struct<place:long,out:int,ids:binary>>>>, round_trip boolean")
 
 
 def decode_pieces(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -407,7 +426,7 @@ def decode_pieces(encoded: DataFrame, model_path: str, id_col: str = "doc_id", i
 
 
 def alternative(ids: bytes, changes: list[tuple[int, int, bytes]]) -> bytes:
-    """The ids of one of the N best, from the best ids and its changes."""
+    """The ids of one of the N best, from the best_ids and its changes."""
     out, at = [], 0
     for place, gone, put in changes:
         out += [ids[4 * at : 4 * place], put]

@@ -156,3 +156,11 @@ def test_n_best_against_all_segmentations(n):
         for (score, _), f in zip(best, found, strict=True):
             assert (score, list(memoryview(f).cast("I"))) in [(pytest.approx(s), i) for s, i in every]
         assert e.decode(ids) == text.replace("▁", " ") == p.sp.decode(list(memoryview(ids).cast("I")))
+
+
+def test_ids_are_those_of_the_model():
+    e = Encoder(public_tokenizers.path("piece_bpe_32k.model"), 2)
+    texts = ["The information about government policy", "different  words,\n\tx▁y \U0001F9FF\u2581 éxß 中", " ", "a" * 300, *ODD]
+    for text, (own, _, _) in zip(texts, e.encode_both(texts), strict=True):
+        assert list(memoryview(own).cast("I")) == e.pieces.sp.encode(text)
+    assert len(e.encode_both(texts[:1])[0][0]) == 4 * 5

@@ -108,3 +108,11 @@ def test_pieces_round_trip(spark):
     got = catalog.queries()["op9_sentencepiece"](spark, SMALL).collect()
     assert len(got) == len(connect(SMALL).execute("SELECT doc_id FROM documents").fetchall())
     assert all(r.round_trip and list(r.scores) == sorted(r.scores, reverse=True) for r in got)
+
+
+def test_query_ids_are_those_of_the_model(spark):
+    from sentencepiece import SentencePieceProcessor
+    sp = SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    want = {i: sp.encode(t or "") for i, t in connect(SMALL).execute("SELECT doc_id, text FROM documents").fetchall()}
+    for r in catalog.queries()["op9_sentencepiece"](spark, SMALL).collect():
+        assert (r.n_pieces, r.ids_crc32) == (len(want[r.doc_id]), zlib.crc32(np.array(want[r.doc_id], dtype="<u4").tobytes()))
