@@ -38,7 +38,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every copy of every document as piece ids: the end of the pipeline."""
-    best = encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), n=2)
+    best = encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"))
     return best.select("doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_pieces"), "ids", F.transform("nbest", lambda x: x["score"]).alias("scores"), "round_trip")
 
 

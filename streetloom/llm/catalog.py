@@ -25,9 +25,6 @@ from streetloom.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-#: The best segmentation and the runner-up; more cost time in proportion to the new words of each task.
-BEST_PIECES = 2
-
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links(table(spark, sf_dir, "embeddings"))
@@ -71,7 +68,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), n=BEST_PIECES)
+    best = encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return best.select(
         "doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), F.transform("nbest", lambda x: x["score"]).alias("scores"),
         F.col("nbest")[F.size("nbest") - 1]["changes"].alias("last_changes"), "round_trip")

@@ -8,7 +8,9 @@ import public_tokenizers
 import pytest
 import xxhash
 
+import corpus_pipeline
 from streetloom.llm import catalog
+from streetloom.llm.pieces import Encoder
 from tests.conftest import SMALL
 from tests.oracle import connect, rows
 
@@ -116,3 +118,12 @@ def test_query_ids_are_those_of_the_model(spark):
     want = {i: sp.encode(t or "") for i, t in connect(SMALL).execute("SELECT doc_id, text FROM documents").fetchall()}
     for r in catalog.queries()["op9_sentencepiece"](spark, SMALL).collect():
         assert (r.n_pieces, r.ids_crc32) == (len(want[r.doc_id]), zlib.crc32(np.array(want[r.doc_id], dtype="<u4").tobytes()))
+
+
+def test_four_best_of_every_text_with_as_many(spark):
+    e = Encoder(public_tokenizers.path("piece_bpe_32k.model"), 4)
+    want = {i: [s for s, _ in e.encode(t or "")[1]] for i, t in connect(SMALL).execute("SELECT doc_id, text FROM documents").fetchall()}
+    assert max(map(len, want.values())) == 4
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    for got in (catalog.queries()["op9_sentencepiece"](spark, SMALL), corpus_pipeline.sentencepiece(spark, docs, SMALL)):
+        assert all(list(r.scores) == pytest.approx(want[r.doc_id]) for r in got.collect())
