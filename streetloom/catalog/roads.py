@@ -143,8 +143,9 @@ def _(w: World):
 
 @query("line_routes", "O118")
 def _(w: World):
-    # Lines along roads: the ends and the middle of each horizontal road and its neighbour.
-    stops = w.way_nodes.where("way_id % 4 < 2 AND way_id % 40 < 4").select(F.col("way_id").alias("line_id"), F.col("seq").alias("idx"), "node_id")
+    # A line along each road, which stops at every node of it.
+    stops = w.way_nodes.join(N.network_ways(w.ways, "road").select("way_id"), "way_id", "left_semi").select(
+        F.col("way_id").alias("line_id"), F.col("seq").alias("idx"), "node_id")
     return N.route_lines(stops, N.build_edges(w.dataset, "road"), max_cost=1500)[1]
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from streetloom.catalog import query
 from streetloom.functions import demand as D, geo, roads as R, tags as T
-from streetloom.operators import rules as RU
+from streetloom.operators import rules as RU, spatial
 from streetloom.plans.demo import World
 
 RANK_SQL = """CASE WHEN t['highway'] IS NULL THEN NULL
@@ -371,3 +371,18 @@ def _(w: World):
     args = [F.col(c) for c in ("lat", "lon", "a_lat", "a_lon", "b_lat", "b_lon")]
     return p.join(seg, "way_id").select("id", geo.js_round(geo.segment_t(*args), 6).alias("pos"),
                                         geo.js_round(geo.segment_distance_m(*args), 2).alias("dist_m"))
+
+
+@query("segment_helpers_near", "O146", """
+WITH q AS (SELECT s.id, x.way_id, y.seq, (a.lon - s.lon) * (pi() / 180) * 6378137.0 * cos(s.lat * (pi() / 180)) AS x1, (a.lat - s.lat) * (pi() / 180) * 6378137.0 AS y1,
+   (b.lon - s.lon) * (pi() / 180) * 6378137.0 * cos(s.lat * (pi() / 180)) AS x2, (b.lat - s.lat) * (pi() / 180) * 6378137.0 AS y2
+ FROM d_way_nodes x JOIN d_way_nodes y ON y.way_id = x.way_id AND y.seq = x.seq + 1 JOIN d_nodes a ON a.id = x.node_id JOIN d_nodes b ON b.id = y.node_id
+ JOIN d_stations s ON greatest(a.lat, b.lat) >= s.lat - 0.004 AND least(a.lat, b.lat) <= s.lat + 0.004 AND greatest(a.lon, b.lon) >= s.lon - 0.005 AND least(a.lon, b.lon) <= s.lon + 0.005),
+r AS (SELECT *, greatest(0.0, least(1.0, -(x1 * (x2 - x1) + y1 * (y2 - y1)) / nullif(pow(x2 - x1, 2) + pow(y2 - y1, 2), 0))) AS t FROM q),
+d AS (SELECT *, sqrt(pow(x1 + t * (x2 - x1), 2) + pow(y1 + t * (y2 - y1), 2)) AS m FROM r)
+SELECT id, way_id, CAST(seq AS INT) AS seq, floor(t * 1000000 + 0.5) / 1000000 AS pos, floor(m * 100 + 0.5) / 100 AS dist_m FROM d WHERE m <= 300""")
+def _(w: World):
+    """Every segment of every way near a station, where ``segment_helpers`` has one per station."""
+    from streetloom.operators.geometry import way_segments
+    near = spatial.near_segments(w.stations, way_segments(w.way_nodes, w.nodes).where("gap = 1"), 300)
+    return near.select("id", "way_id", F.col("seq").cast("int").alias("seq"), geo.js_round(F.col("t"), 6).alias("pos"), geo.js_round(F.col("m"), 2).alias("dist_m"))

@@ -140,8 +140,8 @@ def row_lon_step(row: Column, cell_m: float) -> Column:
     return F.lit(cell_m) / (F.lit(M_PER_DEG_LON_EQUATOR) * F.cos(mid * RAD))
 
 
-def snap_to_segment(points: DataFrame, segs: DataFrame, max_m: float) -> DataFrame:
-    """Nearest point on a segment within ``max_m``: (id, way_id, seq, t, end_node, distance_m).
+def near_segments(points: DataFrame, segs: DataFrame, max_m: float) -> DataFrame:
+    """Every segment within ``max_m`` of each point: columns of both, t (the nearest place on it) and m.
 
     ``segs``: way_id, seq, a, a_lat, a_lon, b, b_lat, b_lon. Segments are filed in every cell within ``max_m`` of their
     extent, points in their own cell only.
@@ -153,7 +153,12 @@ def snap_to_segment(points: DataFrame, segs: DataFrame, max_m: float) -> DataFra
     args = [F.col(c) for c in ("lat", "lon", "a_lat", "a_lon", "b_lat", "b_lon")]
     t = segment_t(*args)
     d = segment_distance_m(*args, t=F.col("t"))
-    near = p.join(filed, ["cell_row", "cell_col"]).withColumn("t", t).withColumn("m", d).where(F.col("m") <= max_m)
+    return p.join(filed, ["cell_row", "cell_col"]).withColumn("t", t).withColumn("m", d).where(F.col("m") <= max_m)
+
+
+def snap_to_segment(points: DataFrame, segs: DataFrame, max_m: float) -> DataFrame:
+    """Nearest point on a segment within ``max_m``: (id, way_id, seq, t, end_node, distance_m). ``segs`` as in ``near_segments``."""
+    near = near_segments(points, segs, max_m)
     best = F.min(F.struct("m", "way_id", "seq", "t", F.when(F.col("t") <= 0.5, F.col("a")).otherwise(F.col("b")).alias("end_node")))
     return near.groupBy("id").agg(best.alias("s")).select(
         "id", F.col("s.way_id").alias("way_id"), F.col("s.seq").alias("seq"), F.col("s.t").alias("t"),

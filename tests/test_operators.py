@@ -271,3 +271,16 @@ def test_queues_lose_nobody_unseen(spark, tmp_path):
     got = sorted(replay(spark, tmp_path, rows, "station_id long, line_id long, event_id long, kind string, people double, ms long", L.queues, "queue"), key=lambda x: (x.event_id is None, x.event_id))
     arrived = sum(x[4] for x in rows if x[3] == "arrive")
     assert arrived == pytest.approx(sum(x.boarded + x.lost for x in got) + got[-1].waiting) and sum(x.lost for x in got) > 0
+
+
+def test_lines_run_along_every_road(spark):
+    from streetloom import catalog
+    from streetloom.functions import roads
+    from streetloom.plans.demo import World
+    from tests.conftest import SMALL
+    w = World(spark, SMALL)
+    road = {r.id for r in w.ways.where(roads.drivable(F.col("tags"))).collect()}
+    stops = [r for r in w.way_nodes.collect() if r.way_id in road]
+    want = {i: sum(r.way_id == i for r in stops) - 1 for i in road}
+    got = {r.line_id: r for r in catalog.queries()["line_routes"](spark, SMALL).collect()}
+    assert {i: r.segments for i, r in got.items()} == {i: n for i, n in want.items() if n > 0}
