@@ -43,6 +43,20 @@ def read_nodes_in_box(spark: SparkSession, path: str, box: dict, cell_deg: float
     return df.where(F.col("lat").between(box["min_lat"], box["max_lat"]) & F.col("lon").between(box["min_lon"], box["max_lon"]))
 
 
+def read_ways_in_box(spark: SparkSession, path: str, box: dict) -> DataFrame:
+    """Ways whose extent touches a box. A way is filed by its middle, which can lie in any cell, so only row groups are pruned, by extent."""
+    return spark.read.parquet(f"{path}/ways").where(
+        (F.col("max_lon") >= box["min_lon"]) & (F.col("min_lon") <= box["max_lon"]) & (F.col("max_lat") >= box["min_lat"]) & (F.col("min_lat") <= box["max_lat"]))
+
+
+def read_relations_in_box(spark: SparkSession, path: str, box: dict, cell_deg: float = 0.5) -> DataFrame:
+    """Relations with a node in the box or a way that touches it among their members."""
+    hit = read_nodes_in_box(spark, path, box, cell_deg).select(F.lit("node").alias("member_type"), F.col("id").alias("member_ref")).unionByName(
+        read_ways_in_box(spark, path, box).select(F.lit("way").alias("member_type"), F.col("id").alias("member_ref")))
+    ids = spark.read.parquet(f"{path}/relation_members").join(hit, ["member_type", "member_ref"], "left_semi").select(F.col("relation_id").alias("id"))
+    return spark.read.parquet(f"{path}/relations").join(ids, "id", "left_semi")
+
+
 def snapshot_dataset(ds: OsmDataset, path: str) -> DataFrame:
     """Copy every table to a folder that must not exist yet and compare the row counts: (table_name, source, copy, ok)."""
     out = None

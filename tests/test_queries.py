@@ -21,3 +21,9 @@ def test_against_sql(spark, duck, name):
 def test_every_sql_belongs_to_a_query():
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
     assert len(catalog.queries()) > 150
+
+
+@pytest.mark.parametrize("name", ["segment_helpers_near", "export_nodes_relations", "normalised_nodes_relations", "layout_box_ways_relations"])
+def test_kinds_that_others_leave_out(spark, duck, name):
+    ok, note = check(spark, duck, name, SMALL)
+    assert ok, note
