@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from streetloom.llm.common import LAST_ID, WORD, stored
+from streetloom.llm.common import WORD, stored
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -44,7 +44,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 
 
 def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS,
-             share: float = SHARE, most: int = MOST, seed: int = SEED) -> DataFrame:
+             share: float = SHARE, most: int = MOST, seed: int = SEED, row_col: str | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, source, size (words), source_size, target, copies, taken (copies * size).
 
     Each document of a source has the same expected copies r = target / source_size. Documents stand in order of (size,
@@ -54,37 +54,31 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     size in smaller hash cells, and in the same cell; so a source or size that holds a third of all rows is spread.
 
     Null texts have size 0, and a null source is one of its own. A document of size 0 takes no words. Rows with the same id are
-    documents of their own. Empty input gives no rows."""
-    sizes = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")), "mix-sizes")
+    documents of their own; with ``row_col``, a unique number of each row, that is returned too, and texts put them in order. Empty input gives no rows."""
+    extra = {} if row_col is None else {"__tie": F.xxhash64(F.col(text_col)), row_col: F.col(row_col)}
+    sizes = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), *[c.alias(k) for k, c in extra.items()]), "mix-sizes")
     sources = stored(source_targets(sizes, weights, share, most).withColumn("offset", hex_number(
         F.concat(F.lit(f"{seed}:"), F.col("src").cast("string")), 8) / F.lit(2.0**32)), "mix-sources")
     cell = (hex_number(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 4) % CELLS).alias("cell")
     placed = sizes.join(sources, sizes["source"].eqNullSafe(sources["source"])).select(
-        "doc_id", sizes["source"], "src", "size", cell, "source_size", "target", "offset")
+        "doc_id", sizes["source"], "src", "size", cell, "source_size", "target", "offset", *extra)
     cells = placed.groupBy("src", "size", "cell").agg(F.count("*").alias("n"))
     same = Window.partitionBy("src", "size").orderBy("cell")
     inner = cells.withColumn("in_size", F.sum("n").over(same) - F.col("n"))
     by_size = cells.groupBy("src", "size").agg(F.sum("n").alias("n"))
     smaller = by_size.withColumn("in_source", F.sum("n").over(Window.partitionBy("src").orderBy("size")) - F.col("n")).drop("n")
     starts = inner.join(smaller, ["src", "size"]).select("src", "size", "cell", (F.col("in_size") + F.col("in_source")).alias("start"))
-    nth = F.row_number().over(Window.partitionBy("src", "size", "cell").orderBy(F.col("doc_id").asc_nulls_last()))
+    nth = F.row_number().over(Window.partitionBy("src", "size", "cell").orderBy(F.col("doc_id").asc_nulls_last(), *extra))
     ranked = placed.withColumn("nth", nth).join(starts, ["src", "size", "cell"])
     k, r = F.col("start") + F.col("nth"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     crossed = F.floor(r * k + F.col("offset")) - F.floor(r * (k - 1) + F.col("offset"))
     copies = F.least(crossed, F.ceil(r)).cast("long")
-    return ranked.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return ranked.select(*([] if row_col is None else [row_col]), "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The rows of ``docs``, all columns, each as often as the mix takes it. Documents without words are left out, as the mix
-    takes none of their words. Rows that agree in id, source and size share out their copies in order of text."""
-    ident = lambda c: F.coalesce(c.cast("long"), F.lit(LAST_ID))
-    plan = mix_plan(docs, id_col, text_col, source_col, **options).where("size > 0").groupBy(
-        ident(F.col("doc_id")).alias("__id"), F.col("source").isNull().alias("__none"), F.coalesce("source", F.lit("")).alias("__source"),
-        F.col("size").alias("__size")).agg(F.sort_array(F.collect_list("copies")).alias("__copies"))
-    keys = ["__id", "__none", "__source", "__size"]
-    keyed = docs.withColumns({"__id": ident(F.col(id_col)), "__none": F.col(source_col).isNull(), "__source": F.coalesce(F.col(source_col), F.lit("")),
-                              "__size": n_words(F.col(text_col))})
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(text_col)))
-    taken = keyed.join(plan, keys).withColumn("__nth", nth).withColumn("__n", F.get("__copies", F.col("__nth") - 1)).where("__n > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
+    """The rows of ``docs``, all columns, each as often as the mix takes it. Rows are numbered and written once, so that each has its own copies,
+    documents without words and without id too."""
+    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-rows")
+    plan = mix_plan(rows, id_col, text_col, source_col, row_col="__row", **options).select("__row", F.col("copies").alias("__n")).where("__n > 0")
+    return rows.join(plan, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).select(*docs.columns)

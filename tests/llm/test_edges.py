@@ -144,6 +144,14 @@ def test_mixing(spark):
     assert [(r.size, r.target, r.taken) for r in empty] == [(0, 0.0, 0)] * 2
 
 
+def test_mix_keeps_documents_without_words(spark):
+    rows = [(k if k % 3 else None, ["one two", "", None][k % 3 if k % 2 else 0], "en", "ab"[k % 2]) for k in range(60)]
+    got = [r.text for r in mix(plain_docs(spark, rows)).collect()]
+    plan = mix_plan(plain_docs(spark, rows)).collect()
+    for words in (0, 2):
+        assert sum(len((t or "").split()) == words for t in got) == sum(r.copies for r in plan if r.size == words) > 0
+
+
 def test_words_taken_come_near_the_targets(spark):
     rows = [(k, "w " * (1 + k * 7919 % 400), "en", "abc"[min(2, k % 5)]) for k in range(2000)]
     got = mix_plan(plain_docs(spark, rows)).collect()
