@@ -8,11 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from streetloom.llm.clusters import cluster_vectors
 from streetloom.llm.common import id_crc, table
 from streetloom.llm.embeddings import embedding_links
 from streetloom.llm.language import learn_languages, predict_languages
 from streetloom.llm.lines import drop_repeated_lines
 from streetloom.llm.mixing import mix_plan
+from streetloom.llm.neighbours import THRESHOLD as GOOD
+from streetloom.llm.neighbours import learn_neighbours, score_quality
+from streetloom.llm.phrases import collocations
 from streetloom.llm.pieces import encode_pieces
 from streetloom.llm.quality import judge_quality, learn_lines
 from streetloom.llm.simhash import simhash_groups
@@ -78,8 +82,40 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, learn_neighbours(docs, table(spark, sf_dir, "labels"))).select(
+        "doc_id", F.coalesce(id_crc(F.col("doc_id")) % 5 == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_embedding_near_dedup, op2_url_filter, op3_simhash_near_dedup, op4_toxicity, op5_source_mixing, op6_quality_rules, op7_line_dedup, op8_language_id, op9_sentencepiece, op10_token_files)}
+    op1_embedding_near_dedup, op2_url_filter, op3_simhash_near_dedup, op4_toxicity, op5_source_mixing, op6_quality_rules, op7_line_dedup, op8_language_id, op9_sentencepiece, op10_token_files,
+    op11_quality_classifier, op12_collocations, op13_centroid_clusters)}
+
+def cluster_oracle(rounds: int = 3) -> str:
+    """The rounds of k-means one after the other; a vector's nearest centroid is the least of 16 * distance + number."""
+    assign = """a{r} AS (SELECT vec_id, any_value(v.v) AS v, min((list_dot_product(v.v, v.v) - 2 * list_dot_product(v.v, c.v) + list_dot_product(c.v, c.v))::BIGINT * 16 + c.c) AS m
+  FROM v CROSS JOIN c{r} c GROUP BY vec_id)"""
+    update = """s{r} AS (SELECT m % 16 AS c, i, sum(v[i]::BIGINT)::BIGINT AS s, count(*) AS n FROM a{r} CROSS JOIN range(1, 65) t(i) GROUP BY ALL),
+c{n} AS (SELECT c.c, coalesce(x.v, c.v) AS v FROM c{r} c LEFT JOIN (SELECT c, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY i) AS v FROM s{r} GROUP BY c) x ON x.c = c.c)"""
+    steps = [f"{assign},\n{update}".format(r=r, n=r + 1) for r in range(rounds)] + [assign.format(r=rounds)]
+    return f"""
+WITH v AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: floor(64 * x)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c, v FROM v QUALIFY c < 16),
+{",\n".join(steps)},
+e AS (SELECT vec_id, (m % 16)::INTEGER AS cluster, (m // 16)::BIGINT AS distance FROM a{rounds})
+SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(list_transform(c.v, lambda x: x::BIGINT), ',')) AS centroid_sha256 FROM e JOIN c{rounds} c ON c.c = e.cluster"""
+
 
 ORACLES = {
     "op1_embedding_near_dedup": """
@@ -111,6 +147,22 @@ c AS (SELECT key, min(doc_id) AS first_id FROM k WHERE length(key) >= 10 GROUP B
 m AS (SELECT k.doc_id, k.line, k.pos, c.first_id IS NOT NULL AND c.first_id < k.doc_id AS dropped FROM k LEFT JOIN c ON c.key = k.key)
 SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (dropped))::BIGINT AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256 FROM m GROUP BY doc_id""",
+    "op12_collocations": r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM documents),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+g AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p CROSS JOIN range(1, 4) t(k)),
+f AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*) AS f FROM g GROUP BY ALL),
+a AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS s FROM f WHERE k > 1 AND f >= 10),
+c AS (SELECT *, array_to_string(s[1 : j], ' ') AS lp, array_to_string(s[j + 1 :], ' ') AS rp FROM a CROSS JOIN range(1, 3) t(j) WHERE j < k),
+x AS (SELECT c.lang, c.k, c.phrase, c.a, l.f AS l, r.f AS r, (c.a::HUGEINT * c.a * 1000000) // (l.f::HUGEINT * r.f) AS score FROM c
+  JOIN f l ON l.lang = c.lang AND l.phrase = c.lp JOIN f r ON r.lang = c.lang AND r.phrase = c.rp QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, j) = 1),
+o AS (SELECT DISTINCT lang, array_to_string(s[i : i + 1], ' ') AS phrase, a FROM a CROSS JOIN range(1, 3) t(i) WHERE k = 3),
+m AS (SELECT lang, phrase, max(a) AS over FROM o GROUP BY ALL),
+b AS (SELECT x.* FROM x LEFT JOIN m ON m.lang = x.lang AND m.phrase = x.phrase AND x.k = 2 WHERE m.over IS NULL OR 100 * m.over < 50 * x.a)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n.n, score::BIGINT AS score
+FROM b JOIN n ON n.lang = b.lang QUALIFY rank <= 2000""",
+    "op13_centroid_clusters": cluster_oracle(),
 }
 
 
