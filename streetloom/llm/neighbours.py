@@ -51,9 +51,8 @@ def chunks(text: str) -> Iterator[list[str]]:
         start = stop
 
 
-def term_counts(text: str | None) -> Counter[str]:
-    """How often each term occurs in a text: lower-cased words and runs of signs, shapes of words, and for each lag how many tokens equal
-    the one that many places before."""
+def token_counts(text: str | None) -> tuple[Counter[str], dict[int, int]]:
+    """How often each token occurs in a text as it is written, and for each lag how many tokens equal the one that many places before."""
     raw: Counter[str] = Counter()
     again = dict.fromkeys(LAGS, 0)
     before: list[str] = []
@@ -64,17 +63,59 @@ def term_counts(text: str | None) -> Counter[str]:
             begin = max(0, len(before) - lag)
             again[lag] += sum(map(operator.eq, joined[begin:], joined[begin + lag :]))
         before = joined[-LAGS[-1] :]
+    return raw, again
+
+
+def terms_of(token: str) -> list[str]:
+    """The terms that a token counts for: the word in lower case or the run of signs, and its shape."""
+    mark = shape(token)
+    return [token.lower(), mark] if mark else [token]
+
+
+def term_counts(text: str | None) -> Counter[str]:
+    """How often each term occurs in a text; a lag's term is ``again_term``."""
+    raw, again = token_counts(text)
     out: Counter[str] = Counter()
     for token, n in raw.items():
-        out[token.lower()] += n
-        if mark := shape(token):
-            out[mark] += n
-    for lag, n in again.items():
-        if n:
-            out[f"\0again{lag}"] = n
+        for term in terms_of(token):
+            out[term] += n
+    out.update({again_term(lag): n for lag, n in again.items() if n})
     return out
 
 
+def again_term(lag: int) -> str:
+    return f"\0again{lag}"
+
+
+class Routes(dict):
+    """Token -> places of its terms that are known; at most HELD tokens are kept."""
+
+    def __init__(self, places: dict[str, int]):
+        super().__init__()
+        self.places = places
+
+    def __missing__(self, token: str) -> tuple[int, ...]:
+        if len(self) >= HELD:
+            self.clear()
+        found = self[token] = tuple(self.places[t] for t in terms_of(token) if t in self.places)
+        return found
+
+    def weighted(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The places of a text's known terms in order and their weights, 1 + log count, scaled to length 1."""
+        raw, again = token_counts(text)
+        counts: dict[int, int] = {}
+        for token, n in raw.items():
+            for place in self[token]:
+                counts[place] = counts.get(place, 0) + n
+        for lag, n in again.items():
+            if n and (place := self.places.get(again_term(lag))) is not None:
+                counts[place] = n
+        at, n = np.fromiter(counts.keys(), np.int64, len(counts)), np.fromiter(counts.values(), np.float64, len(counts))
+        order = np.argsort(at)
+        x = 1.0 + np.log(n[order])
+        return at[order], x / max(1e-300, float(np.sqrt(x @ x)))
+
+
 @dataclass
 class NeighbourModel:
     """``places``: term -> row of ``axes`` (terms x RANK). ``voters``: unit rows in the latent space, with the label and the weight of each vote."""
@@ -90,9 +131,13 @@ class NeighbourModel:
     def prior(self) -> float:
         return float((self.weights * self.labels).sum() / self.weights.sum()) if len(self.weights) else NONE
 
-    def latent(self, text: str | None) -> np.ndarray:
-        at, x = weighted(term_counts(text), self.places)
-        return unit((x[:, None] * self.axes[at]).sum(axis=0)[None, :])[0]
+    def points(self, texts: list[str | None], routes: Routes) -> np.ndarray:
+        """Texts as unit rows in the latent space, zero without a known term."""
+        rows = np.zeros((len(texts), self.axes.shape[1]))
+        for i, text in enumerate(texts):
+            at, x = routes.weighted(text)
+            rows[i] = x @ self.axes[at]
+        return unit(rows)
 
     def votes(self, points: np.ndarray) -> np.ndarray:
         """Scores of rows in the latent space: labels of the nearest voters (all that tie with the last of them vote too), weighted by the square
@@ -111,14 +156,6 @@ class NeighbourModel:
         return out
 
 
-def weighted(counts: Counter[str], places: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """The known terms of a text and their weights, 1 + log count, scaled to length 1."""
-    known = sorted((places[t], n) for t, n in counts.items() if t in places)
-    at = np.array([i for i, _ in known], dtype=np.int64)
-    x = 1.0 + np.log(np.array([n for _, n in known], dtype=np.float64))
-    return at, x / max(1e-300, float(np.sqrt((x * x).sum())))
-
-
 def unit(rows: np.ndarray) -> np.ndarray:
     norms = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
     return np.where(norms > 1e-12, rows / np.maximum(norms, 1e-12), 0.0)
@@ -187,9 +224,10 @@ def learn_neighbours(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, ter
         return NeighbourModel(neighbours=neighbours)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        routes = Routes(places)
         for batch in batches:
             for part in slices(batch, "text"):
-                rows = [weighted(term_counts(t.as_py()), places) for t in part.column("text")]
+                rows = list(map(routes.weighted, part.column("text").to_pylist()))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("label"), part.column("weight"), pa.array([a for a, _ in rows], pa.list_(pa.int64())), pa.array([x for _, x in rows], pa.list_(pa.float64()))],
                     names=["label", "weight", "at", "x"])
@@ -215,9 +253,10 @@ def score_quality(docs: DataFrame, model: NeighbourModel, id_col: str = "doc_id"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        routes = Routes(m.places)
         for batch in batches:
             for part in slices(batch, "text"):
-                points = np.array([m.latent(t.as_py()) for t in part.column("text")]).reshape(part.num_rows, m.axes.shape[1])
+                points = m.points(part.column("text").to_pylist(), routes)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(m.votes(points), pa.float64())], names=["doc_id", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(scan, "doc_id long, score double")

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
@@ -22,7 +23,6 @@ SCALE = 1_000_000
 SHARDS = 16
 HELD = 300_000
 CHUNK = 1 << 20
-ROWS = 1 << 16
 SALT = 64
 #: Cuts pieces apart; no UTF-8 text holds this byte.
 CUT = b"\xff"
@@ -65,27 +65,37 @@ class Stripes:
         return sum(len(c) for counters in self.counts.values() for c in counters)
 
     def give(self) -> Iterator[pa.RecordBatch]:
-        """Rows of STRIPE, and one of size -1 per language with its number of words. The stripe of a prefix falls into SHARDS parts by its next words, so
-        that the empty prefix or a very common word is not one row."""
-        rows: dict[tuple[str, int, bytes, int], tuple[list[bytes], list[int]]] = {(lang, -1, b"", 0): ([b""], [n]) for lang, n in self.total.items()}
-        for lang, counters in self.counts.items():
+        """Rows of STRIPE, and one of size -1 per language with its number of words."""
+        totals, self.counts, given, self.total = self.total, {}, self.counts, Counter()
+        if totals:
+            yield stripe_rows(list(totals), -1, [b""] * len(totals), [b""] * len(totals), list(totals.values()))
+        for lang, counters in given.items():
             for size, counter in enumerate(counters):
-                for key, n in counter.items():
-                    words = (key,) if size == 0 else key
-                    if CUT not in words:
-                        at = rows.setdefault((lang, size, b" ".join(words[:-1]), zlib.crc32(words[-1]) % SHARDS), ([], []))
-                        at[0].append(words[-1])
-                        at[1].append(n)
-        self.counts, self.total = {}, Counter()
-        items = list(rows.items())
-        rows.clear()
-        for s in range(0, len(items), ROWS):
-            part = items[s : s + ROWS]
-            lang, size, prefix, shard = zip(*(k for k, _ in part), strict=True)
-            nexts, counts = zip(*(v for _, v in part), strict=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(lang, pa.string()), pa.array(size, pa.int32()), pa.array(prefix, pa.binary()), pa.array(shard, pa.int32()), pa.array(nexts, pa.list_(pa.binary())), pa.array(counts, pa.list_(pa.int64()))],
-                names=["lang", "size", "prefix", "shard", "nexts", "counts"])
+                if size == 0:
+                    counter.pop(CUT, None)
+                    prefixes, nexts, counts = [b""] * len(counter), list(counter), list(counter.values())
+                else:
+                    whole = [x for x in counter.items() if CUT not in x[0]]
+                    prefixes, nexts, counts = [b" ".join(k[:-1]) for k, _ in whole], [k[-1] for k, _ in whole], [n for _, n in whole]
+                counter.clear()
+                if counts:
+                    yield stripe_rows([lang], size, prefixes, nexts, counts)
+
+
+def stripe_rows(langs: list[str], size: int, prefixes: list[bytes], nexts: list[bytes], counts: list[int]) -> pa.RecordBatch:
+    """Entries as stripes: one row per prefix and part. The stripe of a prefix falls into SHARDS parts by its next words, so that the empty prefix
+    or a very common word is not one row."""
+    prefix, next_ = pa.array(prefixes, pa.binary()), pa.array(nexts, pa.binary())
+    shards = np.fromiter((zlib.crc32(x) % SHARDS for x in nexts), np.int32, len(nexts))
+    codes = prefix.dictionary_encode().indices.to_numpy() if size >= 0 else np.arange(len(prefix))
+    order = np.lexsort((shards, codes))
+    first = np.nonzero(np.append(True, (np.diff(codes[order]) != 0) | (np.diff(shards[order]) != 0)))[0]
+    offsets, lead = pa.array(np.append(first, len(order)), pa.int32()), pa.array(order[first])
+    lang = pa.array(langs, pa.string()) if len(langs) == len(first) else pa.array(langs * len(first), pa.string())
+    return pa.RecordBatch.from_arrays(
+        [lang, pa.array(np.full(len(first), size), pa.int32()), prefix.take(lead), pa.array(shards[order[first]]),
+         pa.ListArray.from_arrays(offsets, next_.take(pa.array(order))), pa.ListArray.from_arrays(offsets, pa.array(np.array(counts, dtype=np.int64)[order]))],
+        names=["lang", "size", "prefix", "shard", "nexts", "counts"])
 
 
 def stripes(docs: DataFrame, words: int, text_col: str, lang_col: str) -> DataFrame:
