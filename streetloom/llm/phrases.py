@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -21,9 +23,11 @@ TOP = 2000
 SUBSUMED = 50
 SCALE = 1_000_000
 SHARDS = 16
-HELD = 300_000
+HELD = 1 << 21
+ID_BITS = 20
 CHUNK = 1 << 20
 SALT = 64
+MAP_BITS = 26
 #: Cuts pieces apart; no UTF-8 text holds this byte.
 CUT = b"\xff"
 PIECES = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d", CUT * 10)
@@ -41,87 +45,178 @@ def token_runs(text: bytes) -> Iterator[list[bytes]]:
         start = stop
 
 
+def word_code(lang: str, word: bytes) -> int:
+    return zlib.crc32(word, zlib.crc32(lang.encode("utf-8", "surrogatepass")))
+
+
+def place(code: int) -> int:
+    """The bit of a single word, as in ``places``."""
+    h = code * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
+    return (h ^ h >> 29) >> 64 - MAP_BITS
+
+
+def places(codes: list[np.ndarray]) -> np.ndarray:
+    """Bits of phrases given by the codes of their words, one array per place."""
+    with np.errstate(over="ignore"):
+        h = np.zeros(len(codes[0]), dtype=np.uint64)
+        for c in codes:
+            h = (h ^ c) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+    return (h >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+
+
+def is_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
+
+
+class Words(dict):
+    """Numbers of the words of one language; CUT and words that are not ``common`` have -1."""
+
+    def __init__(self, lang: str, common: bytes | None):
+        super().__init__({CUT: -1})
+        self.lang, self.common, self.names, self.codes = lang, common, [], array("Q")
+
+    def __missing__(self, word: bytes) -> int:
+        code = word_code(self.lang, word)
+        number = -1
+        at = place(code)
+        if self.common is None or self.common[at >> 3] >> (at & 7) & 1:
+            number = len(self.names)
+            self.names.append(word)
+            self.codes.append(code)
+        self[word] = number
+        return number
+
+
 class Stripes:
-    """What one task has counted: for each language and size of prefix, prefix -> next word -> count. It combines before the shuffle and is
-    given away when it holds HELD entries."""
+    """What one task has counted of phrases of ``size`` words and a next word: for each language, prefix -> next word -> count. It combines before the
+    shuffle and is given away when it holds HELD phrases or 2^ID_BITS words. Only phrases are counted whose shorter ones have their bit in
+    ``common`` (``common[k]``: of phrases of k + 1 words)."""
 
-    def __init__(self, words: int):
-        self.words = words
-        self.counts: dict[str, list[Counter]] = {}
+    def __init__(self, size: int, common: list[bytes]):
+        self.size, self.common = size, common
+        self.words: dict[str, Words] = {}
+        self.phrases: dict[str, list[np.ndarray]] = {}
         self.total: Counter[str] = Counter()
+        self.held = 0
 
-    def add(self, lang: str, text: bytes) -> None:
-        counters = self.counts.setdefault(lang, [Counter() for _ in range(self.words)])
-        before: list[bytes] = []
+    def add(self, lang: str, text: bytes) -> Iterator[pa.RecordBatch]:
+        before = np.zeros(0, dtype=np.int64)
         for tokens in token_runs(text.lower().translate(PIECES)):
+            full = sum(map(len, self.words.values())) + len(tokens) >= 1 << ID_BITS
+            if full or self.held + len(tokens) > HELD:
+                yield from self.give()
+            if full:
+                names = self.words[lang].names if len(before) else []
+                last = [names[i] if i >= 0 else CUT for i in before.tolist()]
+                self.words = {}
+                before = self.numbers(lang, last)
             self.total[lang] += len(tokens) - tokens.count(CUT)
-            counters[0].update(tokens)
-            for k in range(1, self.words):
-                run = before[max(0, len(before) - k) :] + tokens
-                counters[k].update(zip(*(run[i:] for i in range(k + 1)), strict=False))
-            before = (before + tokens)[-self.words :]
+            run = np.concatenate((before, self.numbers(lang, tokens)))
+            self.count(lang, run)
+            before = run[len(run) - min(self.size, len(run)) :]
 
-    def __len__(self) -> int:
-        return sum(len(c) for counters in self.counts.values() for c in counters)
+    def numbers(self, lang: str, tokens: list[bytes]) -> np.ndarray:
+        if lang not in self.words:
+            self.words[lang] = Words(lang, self.common[0] if self.common else None)
+        return np.fromiter(map(self.words[lang].__getitem__, tokens), np.int64, len(tokens))
+
+    def count(self, lang: str, run: np.ndarray) -> None:
+        n = len(run) - self.size
+        if n <= 0:
+            return
+        at = np.nonzero(np.all([run[k : k + n] >= 0 for k in range(self.size + 1)], axis=0))[0]
+        if self.size > 1 and len(at):
+            codes = np.frombuffer(self.words[lang].codes, dtype=np.uint64)
+            for k in (0, 1):
+                at = at[is_set(np.frombuffer(self.common[self.size - 1], dtype=np.uint8), places([codes[run[at + k + j]] for j in range(self.size)]))]
+        key = run[at]
+        for k in range(1, self.size + 1):
+            key = key << ID_BITS | run[at + k]
+        self.phrases.setdefault(lang, []).append(key)
+        self.held += len(key)
 
     def give(self) -> Iterator[pa.RecordBatch]:
-        """Rows of STRIPE, and one of size -1 per language with its number of words."""
-        totals, self.counts, given, self.total = self.total, {}, self.counts, Counter()
-        if totals:
-            yield stripe_rows(list(totals), -1, [b""] * len(totals), [b""] * len(totals), list(totals.values()))
-        for lang, counters in given.items():
-            for size, counter in enumerate(counters):
-                if size == 0:
-                    counter.pop(CUT, None)
-                    prefixes, nexts, counts = [b""] * len(counter), list(counter), list(counter.values())
-                else:
-                    whole = [x for x in counter.items() if CUT not in x[0]]
-                    prefixes, nexts, counts = [b" ".join(k[:-1]) for k, _ in whole], [k[-1] for k, _ in whole], [n for _, n in whole]
-                counter.clear()
-                if counts:
-                    yield stripe_rows([lang], size, prefixes, nexts, counts)
-
-
-def stripe_rows(langs: list[str], size: int, prefixes: list[bytes], nexts: list[bytes], counts: list[int]) -> pa.RecordBatch:
+        """Rows of STRIPE, and, with words, one of size -1 per language with its number of words."""
+        if self.size == 0 and self.total:
+            yield stripe_rows(list(self.total), -1, [b""] * len(self.total), np.arange(len(self.total)), [b""] * len(self.total), np.array(list(self.total.values())))
+        mask = (1 << ID_BITS) - 1
+        for lang, parts in self.phrases.items():
+            keys, counts = np.unique(np.concatenate(parts), return_counts=True)
+            names = self.words[lang].names
+            if not len(keys):
+                continue
+            prefix, next_ = keys >> ID_BITS, keys & mask
+            heads, code = np.unique(prefix, return_inverse=True) if self.size else (np.zeros(1, dtype=np.int64), np.zeros(len(keys), dtype=np.int64))
+            spelled = [b" ".join(names[h >> ID_BITS * k & mask] for k in range(self.size - 1, -1, -1)) for h in heads.tolist()]
+            yield stripe_rows([lang], self.size, spelled, code, [names[i] for i in next_.tolist()], counts)
+        self.phrases, self.total, self.held = {}, Counter(), 0
+
+
+def stripe_rows(langs: list[str], size: int, prefixes: list[bytes], prefix: np.ndarray, nexts: list[bytes], counts: np.ndarray) -> pa.RecordBatch:
     """Entries as stripes: one row per prefix and part. The stripe of a prefix falls into SHARDS parts by its next words, so that the empty prefix
     or a very common word is not one row."""
-    prefix, next_ = pa.array(prefixes, pa.binary()), pa.array(nexts, pa.binary())
     shards = np.fromiter((zlib.crc32(x) % SHARDS for x in nexts), np.int32, len(nexts))
-    codes = prefix.dictionary_encode().indices.to_numpy() if size >= 0 else np.arange(len(prefix))
-    order = np.lexsort((shards, codes))
-    first = np.nonzero(np.append(True, (np.diff(codes[order]) != 0) | (np.diff(shards[order]) != 0)))[0]
-    offsets, lead = pa.array(np.append(first, len(order)), pa.int32()), pa.array(order[first])
-    lang = pa.array(langs, pa.string()) if len(langs) == len(first) else pa.array(langs * len(first), pa.string())
+    order = np.lexsort((shards, prefix))
+    first = np.nonzero(np.append(True, (np.diff(prefix[order]) != 0) | (np.diff(shards[order]) != 0)))[0]
+    offsets, lead = pa.array(np.append(first, len(order)), pa.int32()), order[first]
     return pa.RecordBatch.from_arrays(
-        [lang, pa.array(np.full(len(first), size), pa.int32()), prefix.take(lead), pa.array(shards[order[first]]),
-         pa.ListArray.from_arrays(offsets, next_.take(pa.array(order))), pa.ListArray.from_arrays(offsets, pa.array(np.array(counts, dtype=np.int64)[order]))],
+        [pa.array(langs if size < 0 else langs * len(first), pa.string()), pa.array(np.full(len(first), size), pa.int32()), pa.array(prefixes, pa.binary()).take(pa.array(prefix[lead])),
+         pa.array(shards[lead]), pa.ListArray.from_arrays(offsets, pa.array(nexts, pa.binary()).take(pa.array(order))), pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int64)[order]))],
         names=["lang", "size", "prefix", "shard", "nexts", "counts"])
 
 
-def stripes(docs: DataFrame, words: int, text_col: str, lang_col: str) -> DataFrame:
+def stripes(docs: DataFrame, size: int, common: list[Broadcast], text_col: str, lang_col: str) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Stripes(words)
+        held = Stripes(size, [b.value for b in common])
         for batch in batches:
             for part in slices(batch, "text"):
                 for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    held.add(lang, text)
-                    if len(held) > HELD:
-                        yield from held.give()
+                    yield from held.add(lang, text)
         yield from held.give()
 
     return docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")).mapInArrow(count, STRIPE)
 
 
-def phrase_counts(docs: DataFrame, words: int, least: int, text_col: str, lang_col: str) -> DataFrame:
-    """lang, size, phrase, f of every phrase of up to ``words`` words that occurs ``least`` times or more, and of every language its number of words (size -1). Stripes are dealt
-    by (language, prefix, part) and merged there elementwise. A phrase's parts occur as often as it does, so what is rarer can go at once."""
-    dealt = stripes(docs, words, text_col, lang_col).repartition("lang", "size", "prefix", "shard")
+def merged_stripes(docs: DataFrame, size: int, least: int, common: list[Broadcast], text_col: str, lang_col: str) -> DataFrame:
+    """lang, size, phrase, f of the phrases of ``size`` + 1 words that occur ``least`` times or more. Stripes are dealt by (language, prefix, part) and merged there elementwise."""
+    dealt = stripes(docs, size, common, text_col, lang_col).repartition("lang", "size", "prefix", "shard")
     entries = dealt.select("lang", "size", "prefix", "shard", F.explode(F.arrays_zip("nexts", "counts")).alias("x"))
     merged = entries.groupBy("lang", "size", "prefix", "shard", F.col("x.nexts").alias("next")).agg(F.sum("x.counts").alias("f"))
     phrase = F.when(F.col("size") > 0, F.concat_ws(" ", F.col("prefix").cast("string"), F.col("next").cast("string"))).otherwise(F.col("next").cast("string"))
     return merged.where((F.col("size") < 0) | (F.col("f") >= least)).select("lang", F.when(F.col("size") < 0, -1).otherwise(F.col("size") + 1).alias("size"), phrase.alias("phrase"), "f")
 
 
+def bit_map(phrases: DataFrame) -> Broadcast:
+    """The bits of ``phrases``, 2^MAP_BITS of them however many phrases there are. A bit that several phrases share lets a rare phrase be counted, no more."""
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = [[word_code(lang, w) for w in phrase.encode("utf-8", "surrogatepass").split(b" ")] for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(places(list(np.array(codes, dtype=np.uint64).T)) if codes else [], pa.int64())], names=["at"])
+
+    found = phrases.select("lang", "phrase").mapInArrow(mark, "at long").groupBy(F.shiftright("at", 3).alias("byte")).agg(
+        F.bit_or(F.expr("shiftleft(1, cast(at & 7 as int))")).alias("bits")).toArrow()
+    bits = np.zeros(1 << MAP_BITS - 3, dtype=np.uint8)
+    bits[found.column("byte").to_numpy()] = found.column("bits").to_numpy()
+    return phrases.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+
+def phrase_counts(docs: DataFrame, words: int, least: int, text_col: str, lang_col: str) -> DataFrame:
+    """lang, size, phrase, f of every phrase of up to ``words`` words that occurs ``least`` times or more, and of every language its number of words (size -1).
+
+    A phrase's parts occur as often as it does. So words are counted first, then pairs of common words, then triples of common pairs; which are common goes to the
+    tasks as bits of fixed number."""
+    levels, common = [], []
+    for size in range(words):
+        levels.append(stored(merged_stripes(docs, size, least, common, text_col, lang_col), "phrases"))
+        if size < words - 1:
+            common.append(bit_map(levels[-1].where(F.col("size") > 0)))
+    out = levels[0]
+    for more in levels[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def score(a: str, left: str, right: str) -> Column:
     """floor(SCALE * a * a / (left * right)), exact: counts of up to 14 digits, whose products pass 64 bits, as decimals."""
     d = {x: f"cast({x} as decimal(14,0))" for x in (a, left, right)}
@@ -134,10 +229,10 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     Texts are lower-cased in ASCII and cut into pieces at ``.,;:!?`` and line ends, pieces into words at spaces and tabs. Null texts are empty, null languages are ``und``. A phrase of
     2 to ``words`` words that occurs ``least`` times is a candidate; of its cuts in two the one that scores lowest counts (ties: after fewer words). It goes if a longer candidate
     holds it and occurs in ``subsumed`` percent of its places or more. Order: score and count, largest first, then the phrase by its bytes. Empty tables and languages without candidates have no rows;
-    rows with equal ids count each; other columns are not read. ``words`` is 2 or more."""
-    if words < 2:
-        raise ValueError("a phrase has two words or more")
-    found = stored(phrase_counts(docs, words, least, text_col, lang_col), "phrases")
+    rows with equal ids count each; other columns are not read. ``words`` is 2 or 3."""
+    if words not in (2, 3):
+        raise ValueError("phrases of two or three words")
+    found = phrase_counts(docs, words, least, text_col, lang_col)
     counts = found.where("size > 0").select("lang", "phrase", "f")
     candidates = found.where("size > 1").select("lang", "size", "phrase", F.col("f").alias("a"))
     cuts = candidates.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("size") - 1))).withColumns(
