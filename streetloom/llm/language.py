@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from streetloom.llm.common import id_crc
+from streetloom.llm.common import id_crc, slices
 from streetloom.llm.crf import forward_backward
 
 WORDS = re.compile(r"[^\W\d_]+")
@@ -22,6 +22,7 @@ SAMPLE_CHARS = 20_000
 LANGUAGES = 100
 TRAIN_WORDS = 150_000
 FRAGMENT = 12
+WHOLE = 400
 ROUNDS = 25
 BUCKETS = 1 << 18
 HELD = 300_000
@@ -30,6 +31,14 @@ NONE = "und"
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters, in lower case. Fractions, superscripts, circled and Roman numerals are numbers that the pattern takes along; they part words."""
+    found = WORDS.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [x for w in found for x in ((w,) if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
+
+
 def bucket(codes: np.ndarray, kind: int) -> np.ndarray:
     """Buckets of rows of character codes; ``kind`` keeps sorts of features apart."""
     with np.errstate(over="ignore"):
@@ -109,7 +118,7 @@ class Tagger:
                 owners.clear()
 
         for i, text in enumerate(texts):
-            found = WORDS.findall((text or "").lower())
+            found = words_of(text or "")
             for s in range(0, len(found), AT_ONCE):
                 part = found[s : s + AT_ONCE]
                 if len(words) + len(part) > AT_ONCE:
@@ -123,7 +132,7 @@ class Tagger:
 
 def spliced(texts: list[list[list[str]]], total: int, seed: int = 11) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Training sequences: fragments of sample texts of one language after the other, so that changes of language are seen; every
-    fourth sequence is one text as it is. Returns words, labels and lengths."""
+    fourth sequence is one text, or WHOLE words from any place of it. Returns words, labels and lengths."""
     rng = np.random.default_rng(seed)
     words, labels, lengths = [], [], []
     known = [k for k, t in enumerate(texts) if t]
@@ -131,9 +140,10 @@ def spliced(texts: list[list[list[str]]], total: int, seed: int = 11) -> tuple[l
         start = len(words)
         if len(lengths) % 4 == 0:
             k = known[len(lengths) // 4 % len(known)]
-            text = texts[k][rng.integers(len(texts[k]))][:400]
-            words.extend(text)
-            labels.extend([k] * len(text))
+            text = texts[k][rng.integers(len(texts[k]))]
+            at = rng.integers(max(1, len(text) - WHOLE + 1))
+            words.extend(text[at : at + WHOLE])
+            labels.extend([k] * len(text[at : at + WHOLE]))
         else:
             for _ in range(rng.integers(2, 6)):
                 k = known[rng.integers(len(known))]
@@ -178,7 +188,8 @@ def fit(languages: list[str], texts: list[list[list[str]]], total: int = TRAIN_W
 
 def learn_languages(docs: DataFrame, size: int = SAMPLE, limit: int = LANGUAGES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Fits the model on about ``size`` documents of each language (of up to SAMPLE_CHARS characters), chosen by a hash of the id among rows with a language whose
-    crc32 mod 4 is not 2; at most the ``limit`` most frequent languages. The driver gets this sample and nothing else."""
+    crc32 mod 4 is not 2; at most the ``limit`` most frequent languages. It learns from
+    TRAIN_WORDS words, drawn with repetition. The driver gets this sample and nothing else."""
     known = docs.where(F.col(lang_col).isNotNull() & F.coalesce(id_crc(F.col(id_col)) % 4 != 2, F.lit(False))).where(
         F.length(text_col).between(1, SAMPLE_CHARS)).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(limit).collect()
@@ -190,7 +201,7 @@ def learn_languages(docs: DataFrame, size: int = SAMPLE, limit: int = LANGUAGES,
     ranked = drawn.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text"))).where(F.col("nth") <= size)
     texts: dict[str, list[list[str]]] = {r["lang"]: [] for r in counts}
     for r in ranked.select("lang", "text").orderBy("lang", "text").collect():
-        words = WORDS.findall(r["text"].lower())
+        words = words_of(r["text"])
         if words:
             texts[r["lang"]].append(words)
     languages = sorted(lang for lang, t in texts.items() if t)
@@ -203,13 +214,13 @@ def predict_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
     was learned are ``und`` with score 0."""
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(model) if model.languages else None
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
+        for part in (p for batch in batches for p in slices(batch, "text")):
+            texts = part.column("text").to_pylist()
             total = tagger.expected(texts) if tagger else np.zeros((len(texts), 1))
             best, sums = total.argmax(axis=1), total.sum(axis=1)
             share = np.divide(total.max(axis=1), sums, out=np.zeros(len(texts)), where=sums > 0)
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array([model.languages[b] if s > 0 else NONE for b, s in zip(best, sums, strict=True)], pa.string()),
+                part.column("doc_id"), pa.array([model.languages[b] if s > 0 else NONE for b, s in zip(best, sums, strict=True)], pa.string()),
                 pa.array(np.minimum(share, 1.0)),
                 pa.array([list(zip(model.languages, row.tolist(), strict=True)) if s > 0 else [] for row, s in zip(total, sums, strict=True)], pa.map_(pa.string(), pa.float64()))],
                 names=["doc_id", "lang_pred", "score", "words"])

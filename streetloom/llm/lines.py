@@ -34,20 +34,20 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     everywhere but in the smallest id that holds them (all repeats there stay). Rows with the same id count as one document;
     rows without id count as one more, which comes after all others. kept_text of a document that loses all lines is empty.
 
-    Keys are compared by 96 bits of hash. Each row of ``docs`` is known by its id and a hash of its text, so repeated rows are
-    treated alike."""
+    Keys are compared by 96 bits of hash. Each row of ``docs`` is known by its id and 96 bits of hash of its text, so repeated rows are
+    treated alike and different texts without id, or with one id, are not."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     ident = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))
-    mark = F.hash(text)
-    split = docs.select(ident.alias("ident"), mark.alias("mark"), F.posexplode(F.split(ascii_lower(text), "\n", -1)).alias("pos", "line"))
-    keyed = split.select("ident", "mark", "pos", F.btrim("line", F.lit(SPACES)).alias("key")).where(F.char_length("key") >= min_chars)
-    lines = stored(keyed.select("ident", "mark", "pos", F.xxhash64("key").alias("h"), F.hash("key").alias("g")), "lines")
+    known = ident.alias("ident"), F.xxhash64(text).alias("mark"), F.hash(text).alias("mark2")
+    split = docs.select(*known, F.posexplode(F.split(ascii_lower(text), "\n", -1)).alias("pos", "line"))
+    keyed = split.select("ident", "mark", "mark2", "pos", F.btrim("line", F.lit(SPACES)).alias("key")).where(F.char_length("key") >= min_chars)
+    lines = stored(keyed.select("ident", "mark", "mark2", "pos", F.xxhash64("key").alias("h"), F.hash("key").alias("g")), "lines")
     # Written, so that the join deals both sides anew by hash and Spark can split the part of a very common line.
     shared = stored(repeated_lines(lines, min_docs), "lines-shared")
-    lost = lines.join(shared, ["h", "g"]).where("ident > first_id").select("ident", "mark", "pos")
-    drops = lost.groupBy("ident", "mark").agg(F.collect_set("pos").alias("drops"))
-    rows = docs.select(F.struct("*").alias("row"), ident.alias("ident"), mark.alias("mark"), text.alias("whole"))
-    joined = rows.join(drops, ["ident", "mark"], "left")
+    lost = lines.join(shared, ["h", "g"]).where("ident > first_id").select("ident", "mark", "mark2", "pos")
+    drops = lost.groupBy("ident", "mark", "mark2").agg(F.collect_set("pos").alias("drops"))
+    rows = docs.select(F.struct("*").alias("row"), *known, text.alias("whole"))
+    joined = rows.join(drops, ["ident", "mark", "mark2"], "left")
     parts = F.split("whole", "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("drops"))
     return joined.withColumn("parts", parts).select(

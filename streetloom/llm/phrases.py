@@ -22,7 +22,8 @@ WORDS = 3
 TOP = 2000
 SUBSUMED = 50
 SCALE = 1_000_000
-SHARDS = 16
+#: A prefix with one in HEAVY of all words, or more, has its stripe in SHARDS parts; there are HEAVY such prefixes at most.
+HEAVY, SHARDS = 10_000, 64
 HELD = 1 << 21
 ID_BITS = 20
 CHUNK = 1 << 20
@@ -93,8 +94,8 @@ class Stripes:
     shuffle and is given away when it holds HELD phrases or 2^ID_BITS words. Only phrases are counted whose shorter ones have their bit in
     ``common`` (``common[k]``: of phrases of k + 1 words)."""
 
-    def __init__(self, size: int, common: list[bytes]):
-        self.size, self.common = size, common
+    def __init__(self, size: int, common: list[bytes], heavy: frozenset[tuple[str, bytes]] = frozenset()):
+        self.size, self.common, self.heavy = size, common, heavy
         self.words: dict[str, Words] = {}
         self.phrases: dict[str, list[np.ndarray]] = {}
         self.total: Counter[str] = Counter()
@@ -139,7 +140,8 @@ class Stripes:
     def give(self) -> Iterator[pa.RecordBatch]:
         """Rows of STRIPE, and, with words, one of size -1 per language with its number of words."""
         if self.size == 0 and self.total:
-            yield stripe_rows(list(self.total), -1, [b""] * len(self.total), np.arange(len(self.total)), [b""] * len(self.total), np.array(list(self.total.values())))
+            many = len(self.total)
+            yield stripe_rows(list(self.total), -1, [b""] * many, np.arange(many), [b""] * many, np.array(list(self.total.values())), np.zeros(many, dtype=bool))
         mask = (1 << ID_BITS) - 1
         for lang, parts in self.phrases.items():
             keys, counts = np.unique(np.concatenate(parts), return_counts=True)
@@ -149,14 +151,16 @@ class Stripes:
             prefix, next_ = keys >> ID_BITS, keys & mask
             heads, code = np.unique(prefix, return_inverse=True) if self.size else (np.zeros(1, dtype=np.int64), np.zeros(len(keys), dtype=np.int64))
             spelled = [b" ".join(names[h >> ID_BITS * k & mask] for k in range(self.size - 1, -1, -1)) for h in heads.tolist()]
-            yield stripe_rows([lang], self.size, spelled, code, [names[i] for i in next_.tolist()], counts)
+            split = np.array([self.size == 0 or (lang, p) in self.heavy for p in spelled])
+            yield stripe_rows([lang], self.size, spelled, code, [names[i] for i in next_.tolist()], counts, split)
         self.phrases, self.total, self.held = {}, Counter(), 0
 
 
-def stripe_rows(langs: list[str], size: int, prefixes: list[bytes], prefix: np.ndarray, nexts: list[bytes], counts: np.ndarray) -> pa.RecordBatch:
-    """Entries as stripes: one row per prefix and part. The stripe of a prefix falls into SHARDS parts by its next words, so that the empty prefix
-    or a very common word is not one row."""
-    shards = np.fromiter((zlib.crc32(x) % SHARDS for x in nexts), np.int32, len(nexts))
+def stripe_rows(langs: list[str], size: int, prefixes: list[bytes], prefix: np.ndarray, nexts: list[bytes], counts: np.ndarray, split: np.ndarray) -> pa.RecordBatch:
+    """Entries as stripes: one row per prefix, or per prefix and part where it is ``split`` by its next words."""
+    shards = np.zeros(len(nexts), dtype=np.int32)
+    for i in np.nonzero(split[prefix])[0].tolist():
+        shards[i] = zlib.crc32(nexts[i]) % SHARDS
     order = np.lexsort((shards, prefix))
     first = np.nonzero(np.append(True, (np.diff(prefix[order]) != 0) | (np.diff(shards[order]) != 0)))[0]
     offsets, lead = pa.array(np.append(first, len(order)), pa.int32()), order[first]
@@ -166,9 +170,9 @@ def stripe_rows(langs: list[str], size: int, prefixes: list[bytes], prefix: np.n
         names=["lang", "size", "prefix", "shard", "nexts", "counts"])
 
 
-def stripes(docs: DataFrame, size: int, common: list[Broadcast], text_col: str, lang_col: str) -> DataFrame:
+def stripes(docs: DataFrame, size: int, common: list[Broadcast], heavy: frozenset[tuple[str, bytes]], text_col: str, lang_col: str) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Stripes(size, [b.value for b in common])
+        held = Stripes(size, [b.value for b in common], heavy)
         for batch in batches:
             for part in slices(batch, "text"):
                 for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist(), strict=True):
@@ -178,9 +182,9 @@ def stripes(docs: DataFrame, size: int, common: list[Broadcast], text_col: str,
     return docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")).mapInArrow(count, STRIPE)
 
 
-def merged_stripes(docs: DataFrame, size: int, least: int, common: list[Broadcast], text_col: str, lang_col: str) -> DataFrame:
+def merged_stripes(docs: DataFrame, size: int, least: int, common: list[Broadcast], heavy: frozenset[tuple[str, bytes]], text_col: str, lang_col: str) -> DataFrame:
     """lang, size, phrase, f of the phrases of ``size`` + 1 words that occur ``least`` times or more. Stripes are dealt by (language, prefix, part) and merged there elementwise."""
-    dealt = stripes(docs, size, common, text_col, lang_col).repartition("lang", "size", "prefix", "shard")
+    dealt = stripes(docs, size, common, heavy, text_col, lang_col).repartition("lang", "size", "prefix", "shard")
     entries = dealt.select("lang", "size", "prefix", "shard", F.explode(F.arrays_zip("nexts", "counts")).alias("x"))
     merged = entries.groupBy("lang", "size", "prefix", "shard", F.col("x.nexts").alias("next")).agg(F.sum("x.counts").alias("f"))
     phrase = F.when(F.col("size") > 0, F.concat_ws(" ", F.col("prefix").cast("string"), F.col("next").cast("string"))).otherwise(F.col("next").cast("string"))
@@ -194,10 +198,10 @@ def bit_map(phrases: DataFrame) -> Broadcast:
             codes = [[word_code(lang, w) for w in phrase.encode("utf-8", "surrogatepass").split(b" ")] for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(places(list(np.array(codes, dtype=np.uint64).T)) if codes else [], pa.int64())], names=["at"])
 
-    found = phrases.select("lang", "phrase").mapInArrow(mark, "at long").groupBy(F.shiftright("at", 3).alias("byte")).agg(
-        F.bit_or(F.expr("shiftleft(1, cast(at & 7 as int))")).alias("bits")).toArrow()
-    bits = np.zeros(1 << MAP_BITS - 3, dtype=np.uint8)
-    bits[found.column("byte").to_numpy()] = found.column("bits").to_numpy()
+    found = phrases.select("lang", "phrase").mapInArrow(mark, "at long").groupBy(F.shiftright("at", 6).alias("row")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
+    bits = np.zeros(1 << MAP_BITS - 6, dtype="<i8")
+    bits[found.column("row").to_numpy()] = found.column("bits").to_numpy()
     return phrases.sparkSession.sparkContext.broadcast(bits.tobytes())
 
 
@@ -206,11 +210,14 @@ def phrase_counts(docs: DataFrame, words: int, least: int, text_col: str, lang_c
 
     A phrase's parts occur as often as it does. So words are counted first, then pairs of common words, then triples of common pairs; which are common goes to the
     tasks as bits of fixed number."""
-    levels, common = [], []
+    levels, common, heavy, total = [], [], frozenset(), 0
     for size in range(words):
-        levels.append(stored(merged_stripes(docs, size, least, common, text_col, lang_col), "phrases"))
+        levels.append(stored(merged_stripes(docs, size, least, common, heavy, text_col, lang_col), "phrases"))
         if size < words - 1:
             common.append(bit_map(levels[-1].where(F.col("size") > 0)))
+            total = total or levels[0].where("size = -1").agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0]
+            most = levels[-1].where((F.col("size") > 0) & (F.col("f") * HEAVY >= total)).select("lang", "phrase").collect()
+            heavy = frozenset((r["lang"], r["phrase"].encode("utf-8", "surrogatepass")) for r in most)
     out = levels[0]
     for more in levels[1:]:
         out = out.unionByName(more)

@@ -16,14 +16,21 @@ from streetloom.llm.common import slices
 
 SPACE = "▁"
 NBEST = 4
-HELD = 350_000
-SHORT = 48
-FRESH = 20_000
+#: Bytes that the stretches kept by one worker may take, as ``cost`` counts them.
+HELD = 80 << 20
+#: Characters, and stretches, whose lattices are searched at once; a longer stretch goes alone.
+FRESH, RUN = 2_000, 1 << 16
+SLICE = 1 << 20
 UNKNOWN_PENALTY = 10.0
 
 
-#: The best segmentations of a stretch of text: ids and score of the best, what the second loses (infinite if there is none), and loss and ids of each other one.
-Segment = tuple[bytes, float, float, tuple[tuple[float, bytes], ...]]
+#: The best segmentations of a stretch of text: score and ids of each, best first.
+Segment = list[tuple[float, bytes]]
+
+
+def cost(name: str) -> int:
+    """Memory for what is kept of a stretch: its objects, and ids of its segmentations in proportion to its length."""
+    return 500 + 16 * len(name)
 
 
 class Pieces:
@@ -105,104 +112,16 @@ class Pieces:
         """What the model itself makes of each text (its BPE merges, if it is a BPE model): the ids of ``sp.encode``."""
         return [array("I", ids).tobytes() for ids in self.inner.encode(names, num_threads=1)]
 
-    def best(self, names: list[str], n: int = NBEST) -> list[Segment]:
-        """The ``n`` best paths through the lattice of each text: by ``two_best`` for short texts if two are enough, else by ``search_all``."""
-        if n > 2:
-            return self.search_all(names, n)
-        out = self.two_best(names)
-        rest = [i for i, x in enumerate(out) if x is None]
-        if rest:
-            for i, x in zip(rest, self.search_all([names[i] for i in rest], n), strict=True):
-                out[i] = x
-        return out if n == 2 else [(ids, score, float("inf"), ()) for ids, score, _, _ in out]
-
-    def two_best(self, names: list[str]) -> list[Segment | None]:
-        """The two best paths of each text of up to SHORT characters that all have pieces; None for the others.
-
-        What ``search`` does, over all texts side by side: a best-first search with an exact heuristic first follows the best edge from every place, and
-        its second whole path leaves the first where the queued edge with the best total does, to follow the best edges again. So two edges into
-        each place are enough."""
-        lengths = np.array([len(x) for x in names], dtype=np.int64)
-        first = np.cumsum(lengths) - lengths
-        codes = np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
-        p, short = len(codes), lengths <= SHORT
-        owner = np.repeat(np.arange(len(names)), lengths)
-        place = np.arange(p) + owner  # a text of n characters has n + 1 places
-        left = first[owner] + lengths[owner] - np.arange(p)
-        scores, ids = np.full((self.longest + 1, p), -np.inf), np.zeros((self.longest + 1, p), dtype=np.int32)
-        on, h = np.nonzero(short[owner])[0], np.zeros(np.count_nonzero(short[owner]), dtype=np.uint64)
-        fits: list[np.ndarray] = [on[:0]]
-        for k in range(1, self.longest + 1):
-            enough = left[on] >= k
-            on, h = on[enough], h[enough]
-            h = step(h, codes[on + k - 1])
-            known, piece = self.look(h)
-            edge = known & (piece >= 0)
-            fits.append(on[edge])
-            scores[k, on[edge]], ids[k, on[edge]] = self.scores[piece[edge]], piece[edge]
-            if k == 1:
-                short[owner[on[~edge]]] = False
-            on, h = on[known], h[known]
-        forward = np.full(p + len(names), -np.inf)
-        mine = np.nonzero(short)[0]
-        forward[first[mine] + mine] = 0.0
-        used = [k for k in range(1, self.longest + 1) if len(fits[k])]
-        for offset in range(int(lengths[mine].max(initial=0))):
-            mine = mine[lengths[mine] > offset]
-            at = first[mine] + offset
-            here = forward[at + mine]
-            for k in used:
-                ahead = at[left[at] >= k] if k > 1 else at
-                if k > 1 and len(ahead) < len(at):
-                    total = here[left[at] >= k] + scores[k, ahead]
-                else:
-                    total = here + scores[k, ahead]
-                end = place[ahead] + k
-                forward[end] = np.maximum(forward[end], total)
-        one, two = np.full(len(forward), -np.inf), np.full(len(forward), -np.inf)
-        size1, size2 = np.zeros(len(forward), dtype=np.int64), np.zeros(len(forward), dtype=np.int64)
-        for k in used:  # of equals, the shorter piece comes first
-            at = fits[k]
-            total, end = forward[place[at]] + scores[k, at], place[at] + k
-            best = total > one[end]
-            moved, other = end[best], ~best & (total > two[end])
-            two[moved], size2[moved] = one[moved], size1[moved]
-            one[moved], size1[moved] = total[best], k
-            two[end[other]], size2[end[other]] = total[other], k
-        words = np.nonzero(short & (lengths > 0))[0]
-        begin = first[words] + words
-        finish = begin + lengths[words]
-        now, behind = finish.copy(), np.zeros(len(words))
-        gain, leave, depth = np.full(len(words), -np.inf), np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
-        walk: list[np.ndarray] = []
-        while (open_ := now > begin).any():
-            total = np.where(open_, behind + two[now], -np.inf)
-            better = total > gain
-            gain[better], leave[better], depth[better] = total[better], now[better], len(walk)
-            size = np.where(open_, size1[now], 0)
-            start = now - size - words
-            walk.append(np.where(open_, ids[size, np.minimum(start, p - 1)], -1))
-            behind = behind + np.where(open_, scores[size, np.minimum(start, p - 1)], 0.0)
-            now = now - size
-        first_path = np.array(walk).T.reshape(len(words), -1)
-        # The second path: the first up to where it is left, the other edge there, then the best edges.
-        has = gain > -np.inf
-        now = np.where(has, leave - size2[leave], begin)
-        start = np.minimum(now - words, p - 1)
-        second = [ids[size2[leave], start]]
-        while (open_ := now > begin).any():
-            size = np.where(open_, size1[now], 0)
-            second.append(np.where(open_, ids[size, np.minimum(now - size - words, p - 1)], -1))
-            now = now - size
-        after = np.array(second).T
-        before = np.where(np.arange(first_path.shape[1]) < depth[:, None], first_path, -1)
-        ids1, ids2 = flat_ids(first_path), flat_ids(np.concatenate((before, after), axis=1))
-        out: list[Segment | None] = [None] * len(names)
-        none = float("inf")
-        for i, a, b, top, more in zip(words.tolist(), ids1, ids2, forward[finish].tolist(), gain.tolist(), strict=True):
-            loss = top - more
-            out[i] = (a, top, loss, ((loss, b),)) if loss < none else (a, top, none, ())
-        return out
+    def best(self, names: list[str], n: int = NBEST) -> Iterator[Segment]:
+        """The ``n`` best paths through the lattice of each text, worked in runs."""
+        start, held = 0, 0
+        for i, name in enumerate(names):
+            if i > start and (held + len(name) > RUN or i - start == FRESH):
+                yield from self.search_all(names[start:i], n)
+                start, held = i, 0
+            held += len(name)
+        if start < len(names):
+            yield from self.search_all(names[start:], n)
 
     def search_all(self, names: list[str], n: int) -> list[Segment]:
         """The ``n`` best paths through the lattice of each text. A forward Viterbi pass, over all texts side by side, gives the best score up to each
@@ -236,15 +155,18 @@ class Pieces:
         start, size, piece = np.concatenate(starts), np.concatenate(sizes), np.concatenate(ids)
         score = np.where(piece >= 0, self.scores[piece], self.worst)
         reach = start - first[owner[start]] + size  # end, counted within the text
-        order = np.argsort(reach, kind="stable")
-        start, size, piece, score, reach = start[order], size[order], piece[order], score[order], reach[order]
+        end = start + owner[start] + size
+        order = np.lexsort((end, reach))
+        start, size, piece, score, reach, end = start[order], size[order], piece[order], score[order], reach[order], end[order]
         place = start + owner[start]  # a text of n characters has n + 1 places
-        end = place + size
         forward = np.full(len(codes) + len(names), -np.inf)
         forward[first + np.arange(len(names))] = 0.0
         bounds = np.searchsorted(reach, np.arange(1, int(reach[-1]) + 2)).tolist()
         for a, b in zip(bounds, bounds[1:], strict=False):
-            np.maximum.at(forward, end[a:b], forward[place[a:b]] + score[a:b])
+            if a < b:  # edges of one reach, in order of their ends
+                into = end[a:b]
+                first_of = np.nonzero(np.append(True, into[1:] != into[:-1]))[0]
+                forward[into[first_of]] = np.maximum.reduceat(forward[place[a:b]] + score[a:b], first_of)
         through = forward[place] + score
         order = np.lexsort((-start, -through, end))
         edges = through[order].tolist(), place[order].tolist(), score[order].tolist(), np.where(piece < 0, -1 - start, piece)[order].tolist()
@@ -277,16 +199,7 @@ class Pieces:
                 break
             _, _, edge, behind, parts = heapq.heappop(queue)
             place, behind, parts = places[edge], behind + scores[edge], (ids[edge], parts)
-        top, best = found[0]
-        return best, top, top - found[1][0] if len(found) > 1 else float("inf"), tuple([(top - s, x) for s, x in found[1:]])
-
-
-def flat_ids(paths: np.ndarray) -> list[bytes]:
-    """Ids of each row as bytes, from the last to the first, without those below 0."""
-    turned = paths[:, ::-1]
-    live = turned >= 0
-    data, ends = turned[live].astype("<u4").tobytes(), (np.cumsum(live.sum(axis=1)) * 4).tolist()
-    return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        return found
 
 
 def step(h: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -296,46 +209,70 @@ def step(h: np.ndarray, codes: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Segmentations of whole texts. A text falls into stretches that no piece lies across; those are kept for the next texts, HELD at most. When there are more,
-    only those stay that more than one text had."""
+    """Segmentations of whole texts. A text falls into stretches that no piece lies across; those are kept for the next texts, HELD bytes at most. When there
+    are more, those stay that the last texts had, and of the others those that several texts had, as far as there is room.
+
+    Of a stretch are kept: the best ids, the model's own (the same object if they are equal), the other segmentations' ids in one row of
+    bytes with their ends, and in ``numbers`` its score, its count of ids and what each other segmentation loses."""
 
     def __init__(self, model_path: str, n: int = NBEST):
         self.pieces, self.n = Pieces(model_path), n
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.ids: list[bytes] = []
         self.owns: list[bytes] = []
-        self.others: list[tuple[tuple[float, bytes], ...]] = []
-        self.numbers = np.empty((3, 0))  # score, loss of the second, count of ids
+        self.others: list[bytes] = []
+        self.numbers = np.empty((0, self.n + 1))
+        self.ends = np.empty((0, max(1, self.n - 1)), dtype=np.int32)
         self.texts = np.empty(0, dtype=np.int32)
+        self.held = 0
 
     def names(self, text: str) -> list[str]:
         return self.pieces.cut.findall(self.normal(text)) if text else []
 
     def keep(self, wanted: set[str]) -> None:
-        """Forgets all but what ``wanted`` has and, if that leaves room, what several texts had."""
-        often = self.texts > 1
-        if np.count_nonzero(often) > HELD // 2:
-            often[:] = False
-        stay = [(name, i) for name, i in self.known.items() if often[i] or name in wanted]
-        at = [i for _, i in stay]
-        self.known = {name: k for k, (name, _) in enumerate(stay)}
-        self.ids, self.owns, self.others = [self.ids[i] for i in at], [self.owns[i] for i in at], [self.others[i] for i in at]
-        self.numbers, self.texts = self.numbers[:, at], np.ones(len(at), dtype=np.int32)
+        """Forgets all but what ``wanted`` has and what several texts had; the latter fill half of HELD at most, most frequent first."""
+        order = np.argsort(-self.texts, kind="stable").tolist()
+        names, room, stay = list(self.known), HELD // 2, []
+        for i in order:
+            if names[i] in wanted:
+                stay.append(i)
+            elif self.texts[i] > 1 and room > 0:
+                room -= cost(names[i])
+                stay.append(i)
+        stay.sort()
+        self.known = {names[i]: k for k, i in enumerate(stay)}
+        self.ids, self.owns, self.others = [self.ids[i] for i in stay], [self.owns[i] for i in stay], [self.others[i] for i in stay]
+        self.numbers, self.ends, self.texts = self.numbers[stay], self.ends[stay], np.ones(len(stay), dtype=np.int32)
+        self.held = sum(map(cost, self.known))
 
     def learn(self, names: set[str]) -> None:
         """All of ``names`` are known afterwards."""
         fresh = list(names.difference(self.known))
-        if len(self.known) + len(fresh) > HELD:
+        if not fresh:
+            return
+        more = sum(map(cost, fresh))
+        if self.held + more > HELD:
             self.keep(names)
-        for s in range(0, len(fresh), FRESH):
-            part = fresh[s : s + FRESH]
-            ids, scores, losses, others = zip(*self.pieces.best(part, self.n), strict=True)
-            self.known.update(zip(part, range(len(self.ids), len(self.ids) + len(part)), strict=True))
-            self.ids += ids
-            self.owns += (a if a == b else b for a, b in zip(ids, self.pieces.own(part), strict=True))
-            self.others += others
-            self.numbers = np.concatenate((self.numbers, [scores, losses, [len(x) // 4 for x in ids]]), axis=1)
-        self.texts = np.concatenate((self.texts, np.zeros(len(self.ids) - len(self.texts), dtype=np.int32)))
+        self.held += more
+        numbers, ends = np.full((len(fresh), self.n + 1), np.inf), np.zeros((len(fresh), self.ends.shape[1]), dtype=np.int32)
+        for k, (own, found) in enumerate(zip(self.pieces.own(fresh), self.pieces.best(fresh, self.n), strict=True)):
+            top, ids = found[0]
+            self.known[fresh[k]] = len(self.ids)
+            self.ids.append(ids)
+            self.owns.append(ids if own == ids else own)
+            self.others.append(b"".join([x for _, x in found[1:]]))
+            numbers[k, :2] = top, len(ids) // 4
+            for i, (score, x) in enumerate(found[1:]):
+                numbers[k, 2 + i], ends[k, i] = top - score, len(x)
+        self.numbers, self.ends = np.concatenate((self.numbers, numbers)), np.concatenate((self.ends, ends.cumsum(axis=1, dtype=np.int32)))
+        self.texts = np.concatenate((self.texts, np.zeros(len(fresh), dtype=np.int32)))
+
+    def other(self, i: int, k: int) -> bytes:
+        """Ids of the segmentation of stretch ``i`` that comes ``k`` after its best."""
+        return self.others[i][int(self.ends[i, k - 2]) if k > 1 else 0 : int(self.ends[i, k - 1])]
 
     def normal(self, text: str) -> str:
         return self.pieces.sp.normalize(text)
@@ -364,14 +301,16 @@ class Encoder:
         at = list(map(self.known.__getitem__, names))
         row = np.array(at)
         self.texts[row] += 1
-        scores, losses, counts = self.numbers[:, row]
+        numbers = self.numbers[row]
+        scores, counts = numbers[:, 0], numbers[:, 1]
         options: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
-        nearest = [int(losses.argmin())] if self.n == 2 else sorted(np.argsort(losses, kind="stable")[: self.n - 1].tolist())
+        nearest = sorted(np.argsort(numbers[:, 2], kind="stable")[: self.n - 1].tolist()) if self.n > 1 else []
         for i in nearest:
-            choices = [(0.0, ())] + [(loss, ((i, k),)) for k, (loss, _) in enumerate(self.others[at[i]])]
+            losses = numbers[i, 2:].tolist()
+            choices = [(0.0, ())] + [(loss, ((i, k + 1),)) for k, loss in enumerate(losses) if loss < np.inf]
             options = heapq.nsmallest(self.n, ((a + b, x + y) for a, x in options for b, y in choices))
         total = float(scores.sum())
-        change = lambda i, k: (int(counts[:i].sum()), int(counts[i]), self.others[at[i]][k][1])
+        change = lambda i, k: (int(counts[:i].sum()), int(counts[i]), self.other(at[i], k))
         return b"".join(map(self.ids.__getitem__, at)), [(total - loss, [change(i, k) for i, k in x]) for loss, x in options]
 
     def decode(self, ids: bytes) -> str:
@@ -400,7 +339,7 @@ def encode_pieces(docs: DataFrame, model_path: str, n: int = NBEST, id_col: str
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(model_path, n)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 rows, texts = [], [t or "" for t in part.column("text").to_pylist()]
                 for text, (own, ids, best) in zip(texts, e.encode_both(texts), strict=True):
                     normal = e.normal(text).replace(SPACE, " ") if text else ""

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streetloom.llm.common import SPACES
+from streetloom.llm.common import SPACES, slices
 from streetloom.llm.crf import forward_backward, viterbi
 
 SYMBOLS = "#*$%&|<>"
@@ -139,12 +139,12 @@ def fit(places: np.ndarray, lengths: np.ndarray, good: np.ndarray, rounds: int =
 
 def learn_lines(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> LineModel:
     """Fits the model on at most ``size`` documents (of up to SAMPLE_CHARS characters) of either quality, those whose ids have the lowest hashes; an id with
-    several labels is bad if one of them says so. The driver gets the features of their lines and nothing else. Without labelled documents of both
+    several labels is bad if one of them says so, one with several texts has the smallest. The driver gets the features of their lines and nothing else. Without labelled documents of both
     kinds every line is content."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("known_id")).agg(F.min("quality").alias("quality"))
     order = F.xxhash64("known_id"), F.col("known_id")
     ids = known.where("quality = 1").orderBy(*order).limit(size).unionByName(known.where("quality = 0").orderBy(*order).limit(size))
-    sample = docs.join(F.broadcast(ids), F.col(id_col) == F.col("known_id")).where(F.length(text_col) <= SAMPLE_CHARS).select("known_id", "quality", F.col(text_col).alias("text"))
+    sample = docs.join(F.broadcast(ids), F.col(id_col) == F.col("known_id")).where(F.length(text_col) <= SAMPLE_CHARS).groupBy("known_id").agg(F.first("quality").alias("quality"), F.min(text_col).alias("text"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,8 +165,8 @@ def judge_quality(docs: DataFrame, model: LineModel, id_col: str = "doc_id", tex
     Words are runs of anything but ASCII space. The base fails under LEAST_WORDS words or with over REPEAT_PERCENT % of the words in repeated windows.
     Null and empty texts have no words and fail. Whole texts are read, of any length."""
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = batch.column("doc_id"), [t or "" for t in batch.column("text").to_pylist()]
+        for part in (p for batch in batches for p in slices(batch, "text")):
+            ids, texts = part.column("doc_id"), [t or "" for t in part.column("text").to_pylist()]
             start, held, places = 0, 0, []
             for i, text in enumerate(texts):
                 places.append(line_features(text))

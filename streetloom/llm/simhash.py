@@ -6,7 +6,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import LongType
@@ -86,19 +85,29 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A row without id keeps its fingerprint and gets the id of its class, null if no member has an id. Other columns are not read."""
     rows = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint_of(F.col(text_col)).alias("fp")), "simhash")
     prints = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
-    links = stored(close_links(prints.select("fp")), "simhash-links")
-    roots = components(links).select(F.col("node_id").alias("fp"), F.col("component").alias("root"))
-    rooted = prints.join(roots, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    rooted = class_roots(prints)
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = stored(rooted.join(least, "root").select("fp", "component_id"), "simhash-classes")
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def class_roots(prints: DataFrame) -> DataFrame:
+    """``prints`` (one row per ``fp``) with ``root``, the smallest fingerprint of its class."""
+    links = stored(close_links(prints.select("fp")), "simhash-links")
+    roots = components(links).select(F.col("node_id").alias("fp"), F.col("component").alias("root"))
+    return prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, with one left of each class: the row with the smallest id; among repeats of that id the
-    one with the smallest text, null first. Rows without id all stay, as no class can name them."""
-    kept = simhash_groups(docs, id_col, text_col).where("component_id is not null").select(F.col("component_id").alias("__kept")).distinct()
-    named = docs.join(kept, F.col(id_col) == F.col("__kept"), "left_semi")
-    order = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_first())
-    first = named.withColumn("__nth", F.row_number().over(order)).where("__nth = 1").drop("__nth")
-    return first.unionByName(docs.where(F.col(id_col).isNull()))
+    """The rows of ``docs``, all columns, with exactly one left of each class of fingerprints: the row with the smallest id (none comes last), of
+    those with one id the one whose text has the smallest hashes; of equal rows any one.
+
+    Rows are numbered once, in a written table, so that a row is known by itself and not by an id that others share."""
+    numbered = stored(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("n")), "simhash-rows")
+    text, ident = F.col("row")[text_col], F.col("row")[id_col].cast("long")
+    rows = stored(numbered.select("n", ident.alias("ident"), F.xxhash64(text).alias("x"), F.hash(text).alias("y"), fingerprint_of(text).alias("fp")), "simhash")
+    # One candidate per fingerprint before the classes are known: equal texts, however many, meet in a partial minimum.
+    first = F.min(F.struct(F.col("ident").isNull().alias("none"), "ident", "x", "y", "n")).alias("first")
+    rooted = class_roots(stored(rows.groupBy("fp").agg(first), "simhash-distinct"))
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.n").alias("n"))
+    return numbered.join(kept, "n", "left_semi").select("row.*")

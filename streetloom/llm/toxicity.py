@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import DoubleType
 
-from streetloom.llm.common import id_crc, stored
+from streetloom.llm.common import id_crc, slices, stored
 from streetloom.llm.segments import chance_factor, decay_rate, runs
 
 WORDS = re.compile(r"[^\W\d_]+")
@@ -96,12 +96,13 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float,
 
 def training_sample(docs: DataFrame, labels: DataFrame, size: int) -> DataFrame:
     """(toxic, text) of at most ``size`` ids of each class, those with the lowest hash among labelled ids whose crc32 mod 3 is not 1.
-    An id with several labels is toxic if one of them says so. At most 2 * ``size`` ids are broadcast."""
+    An id with several labels is toxic if one of them says so, one with several texts has the smallest. At most 2 * ``size`` ids are broadcast."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (id_crc(F.col("doc_id")) % 3 != 1)).groupBy(
         F.col("doc_id").cast("long").alias("known_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     order = F.xxhash64("known_id"), F.col("known_id")
     ids = known.where("toxic = 1").orderBy(*order).limit(size).unionByName(known.where("toxic = 0").orderBy(*order).limit(size))
-    return docs.join(F.broadcast(ids), F.col("doc_id") == F.col("known_id")).select("toxic", "text")
+    rows = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("known_id")).groupBy("known_id")
+    return rows.agg(F.first("toxic").alias("toxic"), F.min("text").alias("text")).select("toxic", "text")
 
 
 def minima(text: str | None) -> list[int]:
@@ -216,10 +217,10 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", t
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = Scores(model.units)
-        for batch in batches:
-            found = [model.evidence(*model.passages(text, scores)) for text in batch.column("text").to_pylist()]
+        for part in (p for batch in batches for p in slices(batch, "text")):
+            found = [model.evidence(*model.passages(text, scores)) for text in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array([model.probability(x) for x, _ in found], pa.float64()),
+                part.column("doc_id"), pa.array([model.probability(x) for x, _ in found], pa.float64()),
                 pa.array([[dict(zip(("first", "end", "score", "expected"), p, strict=True)) for p in kept] for _, kept in found], passage)],
                 names=["doc_id", "score", "passages"])
 
