@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from streetloom.catalog import query
@@ -44,7 +46,7 @@ def _(w: World):
 
 
 COVER = f"""{EXT}, zx AS (SELECT x.*, z.zoom, CASE WHEN zoom >= 15 THEN 4 WHEN zoom >= 14 THEN 2 WHEN zoom >= 13 THEN 1 ELSE 0 END AS send,
-   CASE WHEN zoom <= 13 THEN 20000 WHEN zoom <= 14 THEN 6000 ELSE 1500 END AS need, abs((max_lat - min_lat) * 110574 * (max_lon - min_lon) * 111320) AS area FROM x CROSS JOIN (VALUES (12), (13), (14)) AS z(zoom)),
+   CASE WHEN zoom <= 13 THEN 20000 WHEN zoom <= 14 THEN 6000 ELSE 1500 END AS need, abs((max_lat - min_lat) * 110574 * (max_lon - min_lon) * 111320) AS area FROM x CROSS JOIN (VALUES (8), (9), (10), (11), (12), (13), (14)) AS z(zoom)),
 zs AS (SELECT *, CASE WHEN zoom < ({LINE_ZOOM_SQL}) THEN 'invisible' WHEN held IS NOT NULL THEN 'lod' ELSE 'way' END AS st, ({LINE_CLASS_SQL}) AS cls, ({AREA_CLASS_SQL}) AS acls FROM (SELECT *, {WITHHOLD_SQL.replace("WHEN area < 150 THEN 'building'", "")} AS held FROM zx) h),
 zc AS (SELECT zoom, cls, count(*) AS ways FROM zs WHERE st = 'way' AND NOT closed AND cls IS NOT NULL GROUP BY zoom, cls),
 zm AS (SELECT zc.*, p.picked, ({LINE_ALWAYS_SQL}) OR ways >= 200 AS f FROM zc JOIN (SELECT zoom, count(*) AS picked FROM zs WHERE st = 'way' GROUP BY zoom) p ON p.zoom = zc.zoom),
@@ -57,7 +59,7 @@ cv AS (SELECT zs.id, zs.zoom, min_lat, max_lat, min_lon, max_lon, CASE WHEN st =
 
 @query("tile_coverage", "O102", f"WITH {GX}, {COVER} SELECT CAST(zoom AS INT) AS zoom, {BOX_TILES} AS tile, id AS way_id, status, sub FROM cv {ON_TILES} WHERE min_lat IS NOT NULL")
 def _(w: World):
-    return DR.tile_coverage(w.dataset, grid(w), [12, 13, 14]).select("zoom", "tile", "way_id", "status", "sub")
+    return DR.tile_coverage(w.dataset, grid(w)).select("zoom", "tile", "way_id", "status", "sub")
 
 
 VIEWS14 = "(SELECT view_id, 14 AS zoom, min_lat, max_lat, min_lon, max_lon FROM d_views)"
@@ -123,14 +125,72 @@ def _(w: World):
     return s.select("way_id", F.size("coords").alias("before"), F.size("thin").alias("after"))
 
 
-@query("display_lines", "O97")
+def walk(number: int) -> str:
+    """WALK over r<number>, with names of its own."""
+    return re.sub(r"\b(en|mt|lk|nx|wk|rg|ch|nd|r)\b", rf"\g<1>{number}", WALK)
+
+
+def path_text(geom: str = "geom"):
+    """A path in whole units of 1e-5 degrees, so that it can be compared as text."""
+    unit = lambda v: F.round(v * 100000).cast("long").cast("string")
+    return F.array_join(F.transform(F.col(geom)[0], lambda p: F.concat(unit(p["lat"]), F.lit(","), unit(p["lon"]))), " ")
+
+
+LAT0 = f"(({A} + {B}) / 2)"
+KEY = "concat_ws(chr(1), cv.sub, coalesce(t['name'], ''), coalesce(t['bridge'], ''), coalesce(t['tunnel'], ''), coalesce(t['layer'], '')"
+# Paths sc (pid, ring, zoom, pts) thinned by Douglas-Peucker: each stretch is cut at its farthest point while that is beyond a pixel.
+THIN = f"""sd AS (SELECT *, list_filter(pts, lambda p, i: i = 1 OR p <> pts[i - 1]) AS q, 156543.03392804097::DOUBLE * cos({LAT0} * (pi() / 180)) / pow(2, zoom) AS tol FROM sc),
+tp AS (SELECT pid, tol, i, q[i].y * 110574.0::DOUBLE AS u, q[i].x * (111320.0::DOUBLE * cos(radians({LAT0}))) AS v FROM (SELECT *, unnest(range(1, len(q) + 1)) AS i FROM sd WHERE len(q) >= CASE WHEN ring THEN 3 ELSE 2 END) z),
+kp(pid, lo, hi) AS (SELECT pid, 1::BIGINT, max(i)::BIGINT FROM tp GROUP BY pid UNION ALL
+ SELECT pid, unnest([lo, far]), unnest([far, hi]) FROM (SELECT pid, lo, hi, best[2]::BIGINT AS far FROM (
+  SELECT pid, lo, hi, max(tol) AS tol, min([-sqrt(pow(pu - share * du, 2) + pow(pv - share * dv, 2)), i]) AS best FROM (
+   SELECT k.pid, k.lo, k.hi, p.i, p.tol, p.u - a.u AS pu, p.v - a.v AS pv, b.u - a.u AS du, b.v - a.v AS dv,
+    CASE WHEN pow(b.u - a.u, 2) + pow(b.v - a.v, 2) > 0 THEN greatest(0, least(1, ((p.u - a.u) * (b.u - a.u) + (p.v - a.v) * (b.v - a.v)) / (pow(b.u - a.u, 2) + pow(b.v - a.v, 2)))) ELSE 0 END AS share
+   FROM kp k JOIN tp p ON p.pid = k.pid AND p.i > k.lo AND p.i < k.hi JOIN tp a ON a.pid = k.pid AND a.i = k.lo JOIN tp b ON b.pid = k.pid AND b.i = k.hi) m GROUP BY pid, lo, hi) n WHERE -best[1] > tol) o),
+kk AS (SELECT pid, lo AS i FROM kp UNION SELECT pid, hi FROM kp),
+th AS (SELECT sd.* EXCLUDE (pts, q, tol), list({{'y': CAST(floor(q[kk.i].y * 100000 + 0.5) AS BIGINT), 'x': CAST(floor(q[kk.i].x * 100000 + 0.5) AS BIGINT)}} ORDER BY kk.i) AS g, count(*) - CASE WHEN count(*) > 1 AND arg_min(q[kk.i], kk.i) = arg_max(q[kk.i], kk.i) THEN 1 ELSE 0 END AS different
+ FROM sd JOIN kk ON kk.pid = sd.pid GROUP BY ALL),
+ds AS (SELECT * EXCLUDE (g, different), CAST(len(g) AS INT) AS npts, array_to_string(list_transform(g, lambda p: concat(p.y, ',', p.x)), ' ') AS path, list_min(list_transform(g, lambda p: p.y)) / 100000.0::DOUBLE AS min_lat, list_max(list_transform(g, lambda p: p.y)) / 100000.0::DOUBLE AS max_lat,
+ list_min(list_transform(g, lambda p: p.x)) / 100000.0::DOUBLE AS min_lon, list_max(list_transform(g, lambda p: p.x)) / 100000.0::DOUBLE AS max_lon FROM th WHERE len(g) >= 2 AND (NOT ring OR different >= 3))"""
+
+
+def drawn(tiles: bool) -> str:
+    """Display entries ds of all zooms, lines by tile or over the whole extent, areas once each."""
+    tile, on = (BOX_TILES, ON_TILES) if tiles else ("0", "")
+    filled = " OR ".join(f"coalesce(t['{k}'], '') <> ''" for k in ("building", "building:part", "landuse", "leisure", "natural", "water", "wetland", "amenity", "place"))
+    return f"""{GX}, {COVER},
+gm AS (SELECT r.way_id AS gid, list({{'y': n.lat, 'x': n.lon}} ORDER BY r.seq) AS pts, list(r.node_id ORDER BY r.seq) AS ids FROM d_way_nodes r JOIN d_nodes n ON n.id = r.node_id GROUP BY r.way_id HAVING count(*) >= 2),
+dz AS (SELECT cv.id, cv.zoom, cv.status, cv.sub AS cls, cv.min_lat, cv.max_lat, cv.min_lon, cv.max_lon, CASE WHEN cv.status = 'line' THEN {KEY}, coalesce(t['surface'], '')) ELSE {KEY}) END AS gk FROM cv JOIN o_ways w ON w.id = cv.id WHERE status IN ('line', 'area')),
+dl AS (SELECT dz.id, zoom, cls, gk, {tile} AS tile, concat_ws(chr(2), zoom, {tile}, gk) AS ck FROM dz {on} WHERE status = 'line'),
+dk AS MATERIALIZED (SELECT ck, zoom, tile, gk, cls, row_number() OVER (ORDER BY ck) AS number FROM (SELECT DISTINCT ck, zoom, tile, gk, cls FROM dl) z),
+r1 AS MATERIALIZED (SELECT dk.number AS cls, id, ids FROM dl JOIN dk ON dk.ck = dl.ck JOIN gm ON gid = id), {walk(1)},
+lp AS (SELECT nd1.cls AS ck, start, list({{'y': n.lat, 'x': n.lon}} ORDER BY pos, k) AS pts FROM nd1 JOIN d_nodes n ON n.id = nd1.node WHERE before IS NULL OR before <> node GROUP BY nd1.cls, start),
+lw AS (SELECT ch1.cls AS ck, ch1.start, count(*) AS ways, CAST(sum(len(r1.ids)) AS BIGINT) AS raw FROM ch1 JOIN r1 ON r1.cls = ch1.cls AND r1.id = ch1.id GROUP BY ch1.cls, ch1.start),
+r2 AS MATERIALIZED (SELECT 2 * m.relation_id + CASE WHEN m.role = 'inner' THEN 1 ELSE 0 END AS cls, m.seq AS id, p.ids FROM d_relation_members m JOIN o_relations o ON o.id = m.relation_id JOIN (SELECT way_id, list(node_id ORDER BY seq) AS ids FROM d_way_nodes GROUP BY way_id) p ON p.way_id = m.member_ref
+  WHERE m.member_type = 'way' AND len(p.ids) >= 2 AND t['type'] IN ('multipolygon', 'boundary') AND coalesce(t['highway'], t['railway'], t['waterway'], t['barrier'], '') = '' AND ({filled})), {walk(2)},
+rp AS (SELECT cls, start, count(*) AS n, count(*) >= 4 AND arg_min(node, pos * 10000 + k) = arg_max(node, pos * 10000 + k) AS round, list({{'y': n.lat, 'x': n.lon}} ORDER BY pos, k) FILTER (n.lat IS NOT NULL) AS pts FROM nd2 LEFT JOIN d_nodes n ON n.id = nd2.node WHERE before IS NULL OR before <> node GROUP BY cls, start),
+rq AS (SELECT *, row_number() OVER (PARTITION BY cls, round ORDER BY start) - 1 AS ring_no FROM rp),
+ra AS (SELECT *, abs(list_sum(list_transform(range(1, len(pts) + 1), lambda i: (pts[i].x - pts[1].x) * (pts[i % len(pts) + 1].y - pts[1].y) - (pts[i % len(pts) + 1].x - pts[1].x) * (pts[i].y - pts[1].y)))) AS twice FROM rq WHERE round AND len(pts) = n),
+rs AS (SELECT ra.cls // 2 AS rid, ra.cls % 2 AS inside, ring_no, pts, ({AREA_CLASS_SQL}) AS cls, ({LINE_ZOOM_SQL}) AS least_zoom FROM ra JOIN o_relations o ON o.id = ra.cls // 2 WHERE twice > 1e-13),
+sc AS MATERIALIZED (SELECT row_number() OVER () AS pid, * FROM (
+ SELECT 'line' AS kind, x.zoom, x.tile, x.gk, lp.start AS part, x.cls, lw.ways, lw.raw, false AS ring, 0 AS wid, lp.pts FROM lp JOIN lw ON lw.ck = lp.ck AND lw.start = lp.start JOIN dk x ON x.number = lp.ck
+ UNION ALL SELECT 'area', zoom, 0, gk, id, cls, 1, len(pts), true, id, pts FROM dz JOIN gm ON gid = id WHERE status = 'area'
+ UNION ALL SELECT 'area', z.zoom, 0, concat('rel:', rid), 2 * ring_no + inside, cls, 1, len(pts), true, 0, pts FROM rs JOIN (VALUES (8), (9), (10), (11), (12), (13), (14)) AS z(zoom) ON z.zoom >= least_zoom) u),
+{THIN}"""
+
+
+FAMILY = "CASE WHEN kind = 'line' THEN CASE WHEN cls LIKE 'highway=%' THEN 'road' WHEN cls LIKE 'railway=%' THEN 'railway' ELSE 'other' END ELSE CASE WHEN cls LIKE 'landuse=%' OR cls LIKE 'leisure=%' THEN 'landuse' WHEN cls LIKE 'building=%' THEN 'building' ELSE 'other' END END"
+ENTRY = f"gk AS group_key, CAST(part AS BIGINT) AS part, cls, {FAMILY} AS family, CAST(ways AS BIGINT) AS ways, npts, CAST(raw AS BIGINT) AS rawnpts, path"
+
+
+@query("display_lines", "O96 O97", f"WITH RECURSIVE {drawn(False)} SELECT {ENTRY} FROM ds WHERE kind = 'line' AND zoom = 13")
 def _(w: World):
-    return DR.display_lines(w.dataset, 13, grid(w).lat0).select("group_key", "part", "cls", "family", "ways", "npts", "rawnpts", F.col("geom")[0].alias("path"))
+    return DR.display_lines(w.dataset, 13, grid(w).lat0).select("group_key", "part", "cls", "family", "ways", "npts", "rawnpts", path_text().alias("path"))
 
 
-@query("display_areas", "O98")
+@query("display_areas", "O96 O98", f"WITH RECURSIVE {drawn(False)} SELECT {ENTRY} FROM ds WHERE kind = 'area' AND zoom = 14")
 def _(w: World):
-    return DR.display_areas(w.dataset, 14, grid(w).lat0).select("group_key", "part", "cls", "family", "ways", "npts", "rawnpts", F.col("geom")[0].alias("path"))
+    return DR.display_areas(w.dataset, 14, grid(w).lat0).select("group_key", "part", "cls", "family", "ways", "npts", "rawnpts", path_text().alias("path"))
 
 
 def _reach(c: str, low: str, high: str) -> tuple[str, str]:
@@ -174,9 +234,25 @@ def _(w: World):
     return parts.select("way_id", F.size("parts").alias("parts"), F.size("flat").alias("points"), total("lat").alias("sum_lat"), total("lon").alias("sum_lon"))
 
 
-@query("baked_tiles", "O101")
+BAKED = f"""{drawn(True)},
+wx AS (SELECT DISTINCT id AS wid, min_lat, max_lat, min_lon, max_lon FROM dz),
+bt AS (SELECT pid, tile FROM ds WHERE kind = 'line' UNION ALL SELECT pid, {BOX_TILES} FROM (SELECT ds.pid, wx.min_lat, wx.max_lat, wx.min_lon, wx.max_lon FROM ds JOIN wx ON wx.wid = ds.wid AND ds.wid <> 0 UNION ALL SELECT pid, min_lat, max_lat, min_lon, max_lon FROM ds WHERE wid = 0 AND kind = 'area') x {ON_TILES}),
+bk AS (SELECT ds.* EXCLUDE (tile), CAST(bt.tile AS INT) AS tile, ('0x' || substr(sha1(concat_ws(chr(0), kind, zoom, bt.tile, concat_ws(chr(1), gk, part))), 1, 14))::BIGINT >> 3 AS id FROM ds JOIN bt ON bt.pid = ds.pid)"""
+
+
+@query("baked_tiles", "O96 O101", f"WITH RECURSIVE {BAKED} SELECT CAST(zoom AS INT) AS zoom, tile, id, gk AS group_key, kind, cls, CAST(ways AS BIGINT) AS ways, npts, path FROM bk")
+def _(w: World):
+    return DR.bake_tiles(w.dataset, grid(w)).select("zoom", "tile", "id", "group_key", "kind", "cls", "ways", "npts", path_text().alias("path"))
+
+
+@query("tile_entries_in_view", "O103", f"""WITH RECURSIVE {BAKED},
+vb AS (SELECT view_id, zoom, min_lat AS y1, max_lat AS y2, min_lon AS x1, max_lon AS x2, greatest(min_lat, {A}) AS min_lat, least(max_lat, {B}) AS max_lat, greatest(min_lon, {C}) AS min_lon, least(max_lon, {D}) AS max_lon FROM d_views WHERE zoom <= 14),
+vt AS (SELECT view_id, zoom, y1, y2, x1, x2, {BOX_TILES} AS tile FROM vb {ON_TILES} WHERE max_lat >= min_lat AND max_lon >= min_lon)
+SELECT DISTINCT v.view_id, v.zoom, b.id, b.kind, b.cls, b.npts, b.path FROM bk b JOIN vt v ON v.zoom = b.zoom AND v.tile = b.tile AND b.max_lon >= v.x1 AND b.min_lon <= v.x2 AND b.max_lat >= v.y1 AND b.min_lat <= v.y2""")
 def _(w: World):
-    return DR.bake_tiles(w.dataset, grid(w)).select("zoom", "tile", "id", "group_key", "kind", "cls", "ways", "npts", F.col("geom")[0].alias("path"))
+    """Entries of the tiles that each view touches, at the view's own zoom, before they are cut to the view."""
+    g = grid(w)
+    return DR.read_tiles(DR.bake_tiles(w.dataset, g, [12, 14]), w.views.where("zoom <= 14"), g, clip=False).select("view_id", "zoom", "id", "kind", "cls", "npts", path_text().alias("path"))
 
 
 @query("tiles_in_view", "O103")

@@ -118,10 +118,24 @@ def _(w: World):
     """The kinds that ``layout_box_read`` writes but does not read."""
     path = shared_path(w.spark, "layout")
     layout.write_dataset(w.dataset, path, cell_deg=0.05)
-    ways = layout.read_ways_in_box(w.spark, path, BOX).select(F.lit("way").alias("kind"), "id")
+    ways = layout.read_ways_in_box(w.spark, path, BOX, cell_deg=0.05).select(F.lit("way").alias("kind"), "id")
     return ways.unionByName(layout.read_relations_in_box(w.spark, path, BOX, cell_deg=0.05).select(F.lit("relation").alias("kind"), "id"))
 
 
+@query("layout_box_geometry", "O7 O36", """
+WITH p AS (SELECT r.way_id AS id, r.seq, r.node_id, n.lat, n.lon FROM d_way_nodes r JOIN d_nodes n ON n.id = r.node_id),
+b AS (SELECT id, min(lat) AS min_lat, max(lat) AS max_lat, min(lon) AS min_lon, max(lon) AS max_lon FROM p GROUP BY id)
+SELECT p.id, CAST(row_number() OVER (PARTITION BY p.id ORDER BY seq) - 1 AS INT) AS idx, p.node_id, p.lat, p.lon, b.min_lat, b.max_lat, b.min_lon, b.max_lon
+FROM p JOIN b ON b.id = p.id WHERE max_lon >= 116.17 AND min_lon <= 116.22 AND max_lat >= 39.76 AND min_lat <= 39.8""")
+def _(w: World):
+    """Points of the ways of a box, from the files of its zones alone: no join with nodes."""
+    path = shared_path(w.spark, "layout")
+    layout.write_dataset(w.dataset, path, cell_deg=0.05)
+    extent = ["min_lat", "max_lat", "min_lon", "max_lon"]
+    points = F.posexplode(F.arrays_zip("coords", "node_ids")).alias("idx", "p")
+    return layout.read_ways_in_box(w.spark, path, BOX, cell_deg=0.05).select("id", points, *extent).select("id", "idx", "p.node_ids", "p.coords.lat", "p.coords.lon", *extent).withColumnRenamed("node_ids", "node_id")
+
+
 @query("snapshot_counts", "O10", """
 SELECT 'nodes' AS table_name, count(*) AS source, count(*) AS copy, true AS ok FROM d_nodes UNION ALL SELECT 'ways', count(*), count(*), true FROM d_ways UNION ALL SELECT 'way_nodes', count(*), count(*), true FROM d_way_nodes
 UNION ALL SELECT 'relations', count(*), count(*), true FROM d_relations UNION ALL SELECT 'relation_members', count(*), count(*), true FROM d_relation_members""")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from streetloom.catalog import query
+from streetloom.catalog.elements import hav
 from streetloom.catalog.history import ELEMS, FOLD_SQL
 from streetloom.plans.demo import World
 from streetloom.session import shared_path
@@ -13,19 +14,26 @@ from streetloom.streaming import live as L
 HOUR = 3600
 
 
-SLICES = 3
+#: At least three micro-batches, one per DAYS of the time span; each has FILES files, so that no task writes or reads a whole one.
+SLICES, DAYS, FILES = 3, 30, 4
 
 
 def stream(w: World):
-    """The events in order of time, one file and micro-batch for each third of the time span."""
+    """The events in order of time, in slices of the time span; the files of a slice are one micro-batch."""
     batch = w.table("events")
     path = shared_path(w.spark, "events")
     low, high = batch.agg(F.min(F.col("ts").cast("timestamp").cast("long")), F.max(F.col("ts").cast("timestamp").cast("long"))).first()
-    part = F.least(F.lit(SLICES - 1), F.floor((F.col("ts").cast("timestamp").cast("long") - F.lit(low or 0)) * SLICES / F.lit(max(1, (high or 0) - (low or 0)))))
-    for k in range(SLICES):
-        batch.where(part == k).coalesce(1).write.mode("append").parquet(path)
-    s = w.spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    return s.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("ms", (F.col("ts").cast("double") * 1000).cast("long"))
+    n = slices_of(low, high)
+    part = F.least(F.lit(n - 1), F.floor((F.col("ts").cast("timestamp").cast("long") - F.lit(low or 0)) * n / F.lit(max(1, (high or 0) - (low or 0)))))
+    # Spark takes the files of a stream by their time: a slice's all before those of the next.
+    for k in range(n):
+        batch.where(part == k).repartition(FILES).write.parquet(f"{path}/{k}")
+    s = w.spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", FILES).parquet(f"{path}/*")
+    return s.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("ms", F.unix_millis("ts"))
+
+
+def slices_of(low, high) -> int:
+    return max(SLICES, int(((high or 0) - (low or 0)) // (DAYS * 24 * HOUR)))
 
 
 def kind():
@@ -101,11 +109,28 @@ def _(w: World):
     return L.maintain(changes, base, shared_path(w.spark, "maintain"))
 
 
-@query("stream_queues", "S6")
+# A queue is two lists, when groups came and how many are left of each; a vehicle takes from the front what it has room for.
+QUEUE_SQL = """e AS (SELECT event_id // 1000 * 10 + event_id % 10 AS station_id, user_id % 3 AS line_id, event_id, event_type IN ('click', 'view') AS comes, floor(value)::DOUBLE AS people, epoch_ms(ts) AS ms,
+  row_number() OVER (PARTITION BY event_id // 1000 * 10 + event_id % 10, user_id % 3 ORDER BY epoch_ms(ts), event_id) AS n FROM events),
+f(station_id, line_id, n, event_id, s, p, boarded, lost) AS (SELECT DISTINCT station_id, line_id, 0::BIGINT, NULL::BIGINT, []::BIGINT[], []::DOUBLE[], 0::DOUBLE, 0::DOUBLE FROM e
+ UNION ALL SELECT station_id, line_id, n, event_id, CASE WHEN comes THEN list_append(s1, ms) ELSE list_filter(s1, lambda x, i: rest[i] > 0) END, CASE WHEN comes THEN list_append(p1, people) ELSE list_filter(rest, lambda x: x > 0) END,
+  CASE WHEN comes THEN 0 ELSE least(people, coalesce(list_sum(p1), 0)) END, gone
+ FROM (SELECT *, list_transform(p1, lambda x, i: x - greatest(0, least(x, people - coalesce(list_sum(p1[:i - 1]), 0)))) AS rest FROM (
+  SELECT *, p0[len(p0) - len(s1) + 1 :] AS p1, coalesce(list_sum(p0[: len(p0) - len(s1)]), 0) AS gone FROM (
+   SELECT e.*, f.p AS p0, list_filter(f.s, lambda x: e.ms - x <= 21600000) AS s1 FROM f JOIN e ON e.station_id = f.station_id AND e.line_id = f.line_id AND e.n = f.n + 1) a) b) c)"""
+
+
+@query("stream_queues", "S6", f"""WITH RECURSIVE {QUEUE_SQL}, z AS (SELECT *, row_number() OVER (PARTITION BY station_id, line_id ORDER BY n DESC) AS k FROM f)
+SELECT station_id, line_id, event_id, boarded, 0::DOUBLE AS lost, coalesce(list_sum(p), 0) AS waiting FROM f WHERE n > 0
+UNION ALL SELECT station_id, line_id, NULL, sum(boarded), sum(lost) + max(CASE WHEN k = 1 AND s[-1] + 21600001 < (SELECT max(epoch_ms(ts)) - 600000 FROM events) THEN list_sum(p) ELSE 0 END), 0::DOUBLE FROM z GROUP BY station_id, line_id""")
 def _(w: World):
     kind = F.when(F.col("event_type").isin("click", "view"), "arrive").otherwise("board")
     e = stream(w).select((F.floor(F.col("event_id") / 1000) * 10 + F.col("event_id") % 10).alias("station_id"), (F.col("user_id") % 3).alias("line_id"), "event_id", kind.alias("kind"), F.floor("value").cast("double").alias("people"), "ms")
-    return L.run_once(L.queues(e, 6 * HOUR), "append", "queues").drop("batch_id")
+    # Who left may be reported by the next event or by the end of the queue, as batches fall; the sums do not depend on that.
+    out = L.run_once(L.queues(e, 6 * HOUR), "append", "queues")
+    total = out.groupBy("station_id", "line_id").agg(F.sum("boarded").alias("boarded"), F.sum("lost").alias("lost"))
+    return out.where("event_id IS NOT NULL").select("station_id", "line_id", "event_id", "boarded", F.lit(0.0).alias("lost"), "waiting").unionByName(
+        total.withColumns({"event_id": F.lit(None).cast("long"), "waiting": F.lit(0.0)}))
 
 
 @query("stream_ridership", "S7", """
@@ -118,19 +143,30 @@ def _(w: World):
 
 
 @query("stream_vehicle_cells", "S8", """
-WITH e AS (SELECT ts, user_id % 20 AS line_id, user_id % 7 AS cell_y, user_id % 5 AS cell_x FROM events),
+WITH e AS (SELECT ts, user_id AS vehicle_id, user_id % 20 AS line_id, user_id % 7 AS cell_y, user_id % 5 AS cell_x FROM events),
 s AS (SELECT e.*, time_bucket(INTERVAL 2 HOUR, ts, TIMESTAMP '1970-01-01') - INTERVAL (k * 2) HOUR AS start FROM e CROSS JOIN (VALUES (0), (1), (2)) AS v(k))
-SELECT start, cell_y, cell_x, line_id, count(*) AS reports FROM s GROUP BY ALL HAVING start + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+SELECT start, cell_y, cell_x, line_id, count(*) AS reports, count(DISTINCT vehicle_id) AS vehicles FROM s GROUP BY start, cell_y, cell_x, line_id HAVING start + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
 def _(w: World):
     e = stream(w).select("ts", F.col("user_id").alias("vehicle_id"), (F.col("user_id") % 20).alias("line_id"), ((F.col("user_id") % 7) * 0.01 + 0.005).alias("lat"), ((F.col("user_id") % 5) * 0.01 + 0.005).alias("lon"))
     out = L.run_once(L.vehicle_cells(e, "6 hours", "2 hours", "1 hour"), "append", "cells")
-    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "cell_y", "cell_x", "line_id", "reports")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "cell_y", "cell_x", "line_id", "reports", "vehicles")
+
+
+@query("stream_vehicle_speeds", "S8", f"""
+WITH e AS (SELECT user_id AS vehicle_id, event_id, epoch_ms(ts) AS ms, 39.7::DOUBLE + (event_id * 37) % 1000 / 10000.0::DOUBLE AS lat, 116.1::DOUBLE + (event_id * 53) % 1000 / 10000.0::DOUBLE AS lon FROM events),
+l AS (SELECT *, ms - lag(ms) OVER w AS took, {hav('lag(lat) OVER w', 'lag(lon) OVER w', 'lat', 'lon')} AS m FROM e WINDOW w AS (PARTITION BY vehicle_id ORDER BY ms, event_id))
+SELECT vehicle_id, event_id, CAST(floor(lat / 0.01::DOUBLE) AS BIGINT) AS cell_y, CAST(floor(lon / 0.01::DOUBLE) AS BIGINT) AS cell_x, CASE WHEN took > 0 AND took <= 21600000 THEN floor(m * 3600 / took * 1000 + 0.5) / 1000 END AS speed_kmh FROM l""")
+def _(w: World):
+    n = F.col("event_id")
+    e = stream(w).select(F.col("user_id").alias("vehicle_id"), "event_id", "ms", (F.lit(39.7) + (n * 37) % 1000 / 10000.0).alias("lat"), (F.lit(116.1) + (n * 53) % 1000 / 10000.0).alias("lon"))
+    out = L.run_once(L.vehicle_speeds(e, 6 * HOUR, "1 hour"), "append", "speeds")
+    return out.select("vehicle_id", "event_id", "cell_y", "cell_x", F.floor(F.nanvl("speed_kmh", F.lit(None)) * 1000 + 0.5).cast("double").alias("k")).select("vehicle_id", "event_id", "cell_y", "cell_x", (F.col("k") / 1000).alias("speed_kmh"))
 
 
 @query("stream_delays", "S9", """
-WITH b AS (SELECT floor(epoch(min(ts))) AS low, floor(epoch(max(ts))) AS high FROM events),
+WITH b AS (SELECT low, high, greatest(3, (high - low) // 2592000) AS n FROM (SELECT floor(epoch(min(ts)))::BIGINT AS low, floor(epoch(max(ts)))::BIGINT AS high FROM events) z),
 o AS (SELECT user_id AS vehicle_id, event_id, event_id AS run_id, CAST(event_id % 2 AS INT) AS idx, CAST(20030 + event_id % 3600 + event_id % 2 * 180 + floor(value) % 300 - 100 AS BIGINT) AS departed,
-   least(2, floor((floor(epoch(ts)) - low) * 3 / greatest(1, high - low))) AS part FROM events, b),
+   least(n - 1, floor((floor(epoch(ts)) - low) * n / greatest(1, high - low))) AS part FROM events, b),
 j AS (SELECT o.*, CAST(o.departed - p.planned_dep AS BIGINT) AS delay FROM o JOIN d_obs p ON p.run_id = o.run_id AND p.idx = o.idx WHERE abs(o.departed - p.planned_dep) <= 1800),
 d AS (SELECT *, delay - lag(delay) OVER (PARTITION BY vehicle_id ORDER BY part, departed, event_id) AS delta FROM j)
 SELECT vehicle_id, event_id, run_id, idx, delay, CASE WHEN delta > 15 THEN 'worsening' WHEN delta < -15 THEN 'recovering' ELSE 'stable' END AS trend FROM d""")

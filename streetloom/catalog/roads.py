@@ -56,7 +56,23 @@ def _(w: World):
     return x.select(F.col("i_way_id").alias("i_way"), "i_seq", F.col("j_way_id").alias("j_way"), "j_seq", geo.js_round(F.col("t"), 4).alias("t"), geo.js_round(F.col("u"), 4).alias("u"))
 
 
-@query("planar_network", "O115")
+PLANAR = f"""{SEGS},
+cn AS (SELECT *, CASE WHEN tt <= 0.001 THEN ia WHEN tt >= 0.999 THEN ib END AS ie, CASE WHEN uu <= 0.001 THEN ja WHEN uu >= 0.999 THEN jb END AS je, iay + (iby - iay) * tt AS lat, iax + (ibx - iax) * tt AS lon FROM cr),
+cm AS (SELECT *, coalesce(ie, je, CAST(-((floor(lat * 110574.0::DOUBLE / 1.5::DOUBLE + 0.5) + 10000000) * 40000000 + floor(lon * (111320.0::DOUBLE * cos(floor(lat) * (pi() / 180))) / 1.5::DOUBLE + 0.5) + 20000000) - 1 AS BIGINT)) AS node_id FROM cn),
+ct AS (SELECT iw AS way_id, iq AS seq, tt AS t, node_id, lat, lon FROM cm UNION ALL SELECT jw, jq, uu, node_id, lat, lon FROM cm),
+en AS (SELECT a AS node_id, ay AS lat, ax AS lon FROM sg UNION ALL SELECT b, b_y, b_x FROM sg),
+sp AS (SELECT node_id, lat, lon FROM (SELECT node_id, lat, lon FROM ct WHERE node_id < 0 UNION ALL SELECT node_id, lat, lon FROM en WHERE node_id IN (SELECT node_id FROM ct)) x QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY lat, lon) = 1),
+inn AS (SELECT ct.way_id, ct.seq, t, ct.node_id, sp.lat, sp.lon, lag(ct.node_id) OVER w AS pn, lag(t) OVER w AS pt FROM ct JOIN sg ON sg.way_id = ct.way_id AND sg.seq = ct.seq JOIN sp ON sp.node_id = ct.node_id
+  WHERE ct.node_id <> sg.a AND ct.node_id <> sg.b WINDOW w AS (PARTITION BY ct.way_id, ct.seq ORDER BY t, ct.node_id, sp.lat, sp.lon)),
+ch AS (SELECT way_id, seq, 1 AS k, t, node_id, lat, lon FROM inn WHERE pn IS NULL OR (pn <> node_id AND t - pt >= 0.000001) UNION ALL SELECT way_id, seq, 0, 0, a, ay, ax FROM sg UNION ALL SELECT way_id, seq, 2, 1, b, b_y, b_x FROM sg),
+pa AS (SELECT way_id, seq, row_number() OVER w - 1 AS part, node_id AS a, lead(node_id) OVER w AS b, lat AS ay, lon AS ax, lead(lat) OVER w AS b_y, lead(lon) OVER w AS b_x FROM ch WINDOW w AS (PARTITION BY way_id, seq ORDER BY k, t, node_id)),
+lk AS (SELECT DISTINCT least(ie, je) AS a, greatest(ie, je) AS b FROM cm WHERE ie IS NOT NULL AND je IS NOT NULL AND ie <> je)"""
+
+
+@query("planar_network", "O115", f"""WITH {PLANAR},
+al AS (SELECT way_id, seq, part, a, b, {hav('ay', 'ax', 'b_y', 'b_x')} AS len FROM pa WHERE b IS NOT NULL
+  UNION ALL SELECT -1, 0, 0, lk.a, lk.b, greatest(0.5::DOUBLE, {hav('p.lat', 'p.lon', 'q.lat', 'q.lon')}) FROM lk JOIN (SELECT DISTINCT * FROM en) p ON p.node_id = lk.a JOIN (SELECT DISTINCT * FROM en) q ON q.node_id = lk.b)
+SELECT CAST(way_id AS BIGINT) AS way_id, CAST(seq AS INT) AS seq, CAST(part AS INT) AS part, a, b, floor(len * 1000 + 0.5) / 1000 AS length_m FROM al WHERE len > 0.01""")
 def _(w: World):
     n = N.node_network(all_segments(w))
     return n.select("way_id", "seq", "part", "a", "b", geo.js_round(F.col("length_m"), 3).alias("length_m"))
@@ -135,13 +151,29 @@ def station_origins(w: World):
     return spatial.snap_to_node(w.stations, road_nodes(w), 400).select(F.col("id").alias("origin"), "node_id")
 
 
-@query("path_costs", "O117")
+HOPS = f"""{ROAD_EDGES}, hp AS (SELECT a AS src, b AS dst, len * (1.0::DOUBLE + 0.6::DOUBLE * 45.0 / greatest(15, speed)) AS c, len AS l, len / (speed / 3.6::DOUBLE) AS s, way_id FROM re),
+hb AS (SELECT src, dst, c, l, s, way_id FROM hp UNION ALL SELECT dst, src, c, l, s, way_id FROM hp)"""
+ORIGINS = f"""rn AS (SELECT a AS id, ay AS lat, ax AS lon FROM re UNION SELECT b, b_y, b_x FROM re),
+sd AS (SELECT s.id, rn.id AS node_id, {hav('s.lat', 's.lon', 'rn.lat', 'rn.lon')} AS m FROM d_stations s JOIN rn ON abs(s.lat - rn.lat) < 0.006 AND abs(s.lon - rn.lon) < 0.01),
+og AS (SELECT id AS origin, node_id FROM sd WHERE m <= 400 QUALIFY row_number() OVER (PARTITION BY id ORDER BY m, node_id) = 1)"""
+#: Labels that get cheaper round by round; each round replaces those it improves.
+LABELS = """p(origin, node_id, cost, length_m, seconds) USING KEY (origin, node_id) AS (SELECT origin, node_id, 0.0::DOUBLE AS cost, 0.0::DOUBLE AS length_m, 0.0::DOUBLE AS seconds FROM og UNION
+  SELECT p.origin, hb.dst, min(p.cost + hb.c), arg_min(p.length_m + hb.l, p.cost + hb.c), arg_min(p.seconds + hb.s, p.cost + hb.c) FROM p JOIN hb ON hb.src = p.node_id JOIN og ON og.origin = p.origin
+  LEFT JOIN recurring.p AS r ON r.origin = p.origin AND r.node_id = hb.dst WHERE p.cost + hb.c <= {most} AND (r.cost IS NULL OR p.cost + hb.c < r.cost) GROUP BY p.origin, hb.dst)"""
+
+
+@query("path_costs", "O117", f"""WITH RECURSIVE {HOPS}, {ORIGINS}, {LABELS.format(most=2000)}
+SELECT origin, node_id, floor(cost * 1000 + 0.5) / 1000 AS cost, floor(length_m * 100 + 0.5) / 100 AS length_m, floor(seconds * 100 + 0.5) / 100 AS seconds FROM p""")
 def _(w: World):
     c = N.shortest_costs(N.build_edges(w.dataset, "road"), station_origins(w), max_cost=2000)
     return c.select("origin", "node_id", geo.js_round(F.col("cost"), 3).alias("cost"), geo.js_round(F.col("length_m"), 2).alias("length_m"), geo.js_round(F.col("seconds"), 2).alias("seconds"))
 
 
-@query("line_routes", "O118")
+@query("line_routes", "O118", f"""WITH RECURSIVE {HOPS},
+sg AS (SELECT re.way_id AS line_id, seq - 1 AS idx, a AS src, b AS dst, (SELECT max(c) FROM hb WHERE hb.src = re.a AND hb.dst = re.b AND hb.way_id = re.way_id) AS c FROM re),
+og AS (SELECT src AS origin, src AS node_id, least(1500, max(c)) AS most FROM sg GROUP BY src), {LABELS.format(most='og.most')}
+SELECT line_id, count(*) AS segments, min(CASE WHEN p.cost IS NULL THEN CAST(idx AS INT) END) AS first_broken, CASE WHEN bool_and(p.cost IS NOT NULL) THEN CAST(floor(sum(length_m) + 0.5) AS BIGINT) ELSE 0 END AS length_m,
+  CASE WHEN bool_and(p.cost IS NOT NULL) THEN CAST(floor(sum(seconds) + 0.5) AS BIGINT) ELSE 0 END AS seconds FROM sg LEFT JOIN p ON p.origin = sg.src AND p.node_id = sg.dst GROUP BY line_id""")
 def _(w: World):
     # A line along each road, which stops at every node of it.
     stops = w.way_nodes.join(N.network_ways(w.ways, "road").select("way_id"), "way_id", "left_semi").select(

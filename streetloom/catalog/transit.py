@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from streetloom.catalog import query
 from streetloom.catalog.elements import hav
 from streetloom.catalog.people import ACT, CATCH, GRID, activity, contributions
-from streetloom.catalog.roads import NB, TOP, road_nodes
+from streetloom.catalog.roads import NB, ROAD_EDGES, TOP
 from streetloom.functions import geo
 from streetloom.operators import network as N, population as P, transit as TR
 from streetloom.plans.demo import World
@@ -21,15 +21,16 @@ WALKS = f"{NB}, {TOP.format(48)}, wk AS (SELECT x.a AS src, x.b AS dst, CAST(flo
 
 
 def _layers() -> str:
-    out = ["k0 AS (SELECT id AS origin, id AS station, 0 AS r, 0 AS w, 0::BIGINT AS ms, id IN (SELECT src FROM rd) AS served FROM d_stations)"]
+    """Labels by number of legs: b is time, whether a walk came first, line and stop of the first ride."""
+    out = ["k0 AS (SELECT id AS origin, id AS station, 0 AS r, 0 AS w, [0, 0, -1, -1]::BIGINT[] AS b, id IN (SELECT src FROM rd) AS served FROM d_stations)"]
     for k in range(1, 7):
         p = f"k{k - 1}"
         walk = " AND NOT p.served" if k == 1 else ""
-        out.append(f"""k{k} AS (SELECT origin, station, r, w, min(ms) AS ms, bool_or(served) AS served FROM (
-          SELECT p.origin, rd.dst AS station, p.r + 1 AS r, p.w, p.ms + rd.ms AS ms, p.served FROM {p} p JOIN rd ON rd.src = p.station AND p.r < 4
-          UNION ALL SELECT p.origin, wk.dst, p.r, p.w + 1, p.ms + wk.ms, p.served FROM {p} p JOIN wk ON wk.src = p.station AND p.w < 2{walk}) q WHERE ms <= 28800000 GROUP BY origin, station, r, w)""")
+        out.append(f"""k{k} AS (SELECT origin, station, r, w, min(b) AS b, bool_or(served) AS served FROM (
+          SELECT p.origin, rd.dst AS station, p.r + 1 AS r, p.w, [p.b[1] + rd.ms, p.b[2], CASE WHEN p.b[3] < 0 THEN rd.line_id ELSE p.b[3] END, CASE WHEN p.b[3] < 0 THEN rd.src ELSE p.b[4] END] AS b, p.served FROM {p} p JOIN rd ON rd.src = p.station AND p.r < 4
+          UNION ALL SELECT p.origin, wk.dst, p.r, p.w + 1, [p.b[1] + wk.ms, {'1' if k == 1 else 'p.b[2]'}, p.b[3], p.b[4]], p.served FROM {p} p JOIN wk ON wk.src = p.station AND p.w < 2{walk}) q WHERE b[1] <= 28800000 GROUP BY origin, station, r, w)""")
     out.append("kk AS (" + " UNION ALL ".join(f"SELECT * FROM k{k}" for k in range(1, 7)) + ")")
-    out.append("""it AS (SELECT origin, dest, ms, r, w FROM (SELECT origin, station AS dest, ms, r, w, row_number() OVER (PARTITION BY origin, station ORDER BY ms, r, w) AS n FROM kk WHERE origin <> station) q WHERE n = 1 AND r > 0)""")
+    out.append("""it AS (SELECT origin, dest, b[1] AS ms, r, w, b[2] AS wf, b[3] AS fl, b[4] AS fs FROM (SELECT origin, station AS dest, b, r, w, row_number() OVER (PARTITION BY origin, station ORDER BY b[1], r, w) AS n FROM kk WHERE origin <> station) q WHERE n = 1 AND r > 0)""")
     return ", ".join(out)
 
 
@@ -59,9 +60,20 @@ def _(w: World):
     return TR.itineraries(w.stations, rides(w), walks(w)).select("origin", "dest", "ms", "rides", "walks")
 
 
+@query("journey_legs", "O122", f"""WITH {ITIN}, n AS (SELECT origin, count(*) AS dests, sum(r + w) AS legs, sum(ms) AS ms FROM it GROUP BY origin) SELECT origin, dests, CAST(legs AS BIGINT) AS legs, CAST(legs AS BIGINT) AS joined, CAST(ms AS BIGINT) AS ms FROM n""")
+def _(w: World):
+    """Legs of all journeys from back pointers: as many as rides and walks, each beginning where the one before ends, together as long as the journey."""
+    labels = TR.journey_labels(w.stations, rides(w), walks(w))
+    legs = TR.journey_legs(labels, TR.best_journeys(labels))
+    after = legs.select("origin", "dest", (F.col("leg") + 1).alias("leg"), F.col("dst").alias("before"))
+    joined = F.coalesce(F.col("before"), F.when(F.col("leg") == 1, F.col("origin"))) == F.col("src")
+    return legs.join(after, ["origin", "dest", "leg"], "left").groupBy("origin").agg(
+        F.countDistinct("dest").alias("dests"), F.count("*").alias("legs"), F.count_if(joined).alias("joined"), F.sum("ms").alias("ms"))
+
+
 OD = f"""{GRID} {ACT} {CATCH}, {ITIN}, st AS (SELECT s.id, s.lat, s.lon, CASE WHEN d.coverage > 0 THEN d.coverage ELSE d.demand END AS cov, floor(d.demand * 0.22::DOUBLE + 0.5) AS trips,
    coalesce(n.k, 0) AS lines FROM d_stations s JOIN demand d ON d.id = s.id LEFT JOIN (SELECT station_id, count(DISTINCT line_id) AS k FROM d_line_stops GROUP BY station_id) n ON n.station_id = s.id),
-pp AS (SELECT i.origin, i.dest, i.r, i.w, o.trips, {hav('o.lat', 'o.lon', 'd.lat', 'd.lon')} AS m, d.cov, d.lines FROM it i JOIN st o ON o.id = i.origin AND o.trips > 0 JOIN st d ON d.id = i.dest AND d.cov > 0),
+pp AS (SELECT i.origin, i.dest, i.r, i.w, i.wf, i.fl, i.fs, o.trips, {hav('o.lat', 'o.lon', 'd.lat', 'd.lon')} AS m, d.cov, d.lines FROM it i JOIN st o ON o.id = i.origin AND o.trips > 0 JOIN st d ON d.id = i.dest AND d.cov > 0),
 pw AS (SELECT *, CASE WHEN m <= 15000 THEN 'local' WHEN m <= 100000 THEN 'regional' ELSE 'long' END AS band, (pow(cov, 0.75) + pow(300.0::DOUBLE, 0.75)) * (1 + lines) / pow(1 + m / 4000.0, 0.85) AS wt FROM pp),
 mx AS (SELECT origin, sum(x) AS x FROM (SELECT DISTINCT origin, band, CASE band WHEN 'local' THEN 0.76 WHEN 'regional' THEN 0.2 ELSE 0.04 END::DOUBLE AS x FROM pw) q GROUP BY origin),
 od AS (SELECT pw.*, trips * (CASE band WHEN 'local' THEN 0.76 WHEN 'regional' THEN 0.2 ELSE 0.04 END::DOUBLE / mx.x) * wt / sum(wt) OVER (PARTITION BY pw.origin, band) AS people FROM pw JOIN mx ON mx.origin = pw.origin)"""
@@ -97,20 +109,52 @@ def _(w: World):
     return s.select("origin", "spawn", "served", "reach", "destinations", F.get("top", 0)["dest"].alias("first_dest"))
 
 
-@query("od_line_loads", "O124")
+@query("od_line_loads", "O124", f"""WITH {OD} SELECT fl AS line_id, fs AS station_id, band, floor(sum(people) * 100 + 0.5) / 100 AS people, count(DISTINCT dest) AS destinations, floor(sum(CASE WHEN wf = 1 THEN people ELSE 0 END) * 100 + 0.5) / 100 AS walked_first
+FROM od WHERE people >= 0.02 GROUP BY fl, fs, band""")
 def _(w: World):
     return TR.od_line_loads(od(w)).select("line_id", "station_id", "band", geo.js_round(F.col("people"), 2).alias("people"), "destinations",
                                           geo.js_round(F.col("walked_first"), 2).alias("walked_first"))
 
 
-@query("imported_stations", "O119")
+STATION_TAGS = {"subway": (0, {"railway": "station", "station": "subway"}), "rail": (0, {"railway": "station"}), "tram": (4, {"railway": "tram_stop"}), "bus": (6, {"highway": "bus_stop"})}
+PLANE = "({0}x - {1}.lon) * (pi() / 180) * 6378137.0 * cos({1}.lat * (pi() / 180)) AS x{2}, ({0}y - {1}.lat) * (pi() / 180) * 6378137.0 AS y{2}"
+
+
+@query("imported_stations", "O119", f"""WITH RECURSIVE {ROAD_EDGES},
+rl AS (SELECT DISTINCT r.node_id AS id, n.lat, n.lon FROM d_way_nodes r JOIN o_ways w ON w.id = r.way_id AND t['railway'] = 'rail' JOIN d_nodes n ON n.id = r.node_id),
+ca AS (SELECT id, 6 AS rule, 'bus' AS kind, t['name'] AS name, lat, lon FROM o_nodes WHERE t['highway'] = 'bus_stop'
+ UNION ALL SELECT 20000000000000 + k.c * 1000000000 + s.id, CASE s.kind WHEN 'bus' THEN 6 WHEN 'tram' THEN 4 ELSE 0 END, s.kind, s.name, s.lat + k.d, s.lon FROM d_stations s CROSS JOIN (VALUES (0, 0.0::DOUBLE), (1, 0.00015::DOUBLE), (2, 0.00033::DOUBLE)) k(c, d)),
+ex AS (SELECT id + CASE WHEN id % 2 = 0 THEN 0 ELSE 7000000000 END AS osm_id, 'bus' AS kind, lat, lon FROM o_nodes WHERE tags IS NOT NULL AND id % 9 = 0),
+nw AS (SELECT * FROM ca WHERE id NOT IN (SELECT osm_id FROM ex)),
+di AS (SELECT *, id AS node_id FROM nw WHERE (kind = 'bus' AND id IN (SELECT a FROM re UNION SELECT b FROM re)) OR (kind <> 'bus' AND id IN (SELECT id FROM rl))),
+rs AS (SELECT * FROM nw WHERE id NOT IN (SELECT id FROM di)),
+q AS (SELECT rs.id, re.way_id, re.seq, re.a, re.b, {PLANE.format('a', 'rs', 1)}, {PLANE.format('b_', 'rs', 2)} FROM rs JOIN re ON rs.kind = 'bus' AND abs(ay - rs.lat) < 0.003 AND abs(ax - rs.lon) < 0.004),
+qt AS (SELECT *, greatest(0.0, least(1.0, -(x1 * (x2 - x1) + y1 * (y2 - y1)) / nullif(pow(x2 - x1, 2) + pow(y2 - y1, 2), 0))) AS t FROM q),
+qd AS (SELECT *, sqrt(pow(x1 + t * (x2 - x1), 2) + pow(y1 + t * (y2 - y1), 2)) AS m FROM qt),
+sb AS (SELECT id, CASE WHEN t <= 0.5 THEN a ELSE b END AS node_id FROM qd WHERE m <= 80 QUALIFY row_number() OVER (PARTITION BY id ORDER BY m, way_id, seq) = 1),
+sr AS (SELECT rs.id, rl.id AS node_id, {hav('rs.lat', 'rs.lon', 'rl.lat', 'rl.lon')} AS m FROM rs JOIN rl ON rs.kind <> 'bus' AND abs(rs.lat - rl.lat) < 0.003 AND abs(rs.lon - rl.lon) < 0.004 QUALIFY m <= 200 AND row_number() OVER (PARTITION BY rs.id ORDER BY m, rl.id) = 1),
+li AS (SELECT * FROM di UNION ALL SELECT rs.*, x.node_id FROM rs JOIN (SELECT id, node_id FROM sb UNION ALL SELECT id, node_id FROM sr) x ON x.id = rs.id),
+fr AS (SELECT * FROM li WHERE NOT EXISTS (SELECT 1 FROM ex WHERE ex.kind = li.kind AND abs(ex.lat - li.lat) < 0.0003 AND abs(ex.lon - li.lon) < 0.0005 AND {hav('ex.lat', 'ex.lon', 'li.lat', 'li.lon')} <= 25)),
+ne AS (SELECT a.id AS hi, b.id AS lo FROM fr a JOIN fr b ON a.kind = b.kind AND (b.rule < a.rule OR (b.rule = a.rule AND b.id < a.id)) AND abs(a.lat - b.lat) < 0.0003 AND abs(a.lon - b.lon) < 0.0005 AND {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 25),
+st(id, state) USING KEY (id) AS (SELECT id, CASE WHEN id IN (SELECT hi FROM ne) THEN 0 ELSE 1 END AS state FROM fr UNION
+ SELECT u.id, CASE WHEN bool_or(l.state = 1) THEN 2 ELSE 1 END FROM recurring.st AS u JOIN ne ON ne.hi = u.id JOIN recurring.st AS l ON l.id = ne.lo
+ WHERE u.state = 0 AND EXISTS (SELECT 1 FROM st) GROUP BY u.id HAVING bool_or(l.state = 1) OR NOT bool_or(l.state = 0))
+SELECT 'node' AS osm_type, li.id AS osm_id, li.kind, li.name, li.node_id, CAST(CASE WHEN li.kind = 'bus' THEN 450 ELSE 700 END AS INT) AS catchment_m,
+ concat('node:', CASE li.rule WHEN 0 THEN 'railway=station' WHEN 4 THEN 'railway=tram_stop' ELSE 'highway=bus_stop' END) AS source FROM li JOIN st ON st.id = li.id AND st.state = 1""")
 def _(w: World):
     from streetloom.functions import tags as T
-    t = F.col("tags")
-    # Stops of the lattice, every ninth of them imported before under another id.
+    # Stops of the lattice, every ninth of them imported before under its own or another id, and three tagged nodes at each station, which stand too close to one another.
     existing = w.nodes.where("tags IS NOT NULL AND id % 9 = 0").select(
-        F.lit("node").alias("osm_type"), (F.col("id") + F.when(F.col("id") % 2 == 0, 0).otherwise(7_000_000_000)).alias("osm_id"), T.station_kind(t).alias("kind"), "lat", "lon")
-    return TR.import_stations(w.dataset, existing, road_nodes(w))["created"].select("osm_type", "osm_id", "kind", "name", "node_id", "catchment_m", "source")
+        F.lit("node").alias("osm_type"), (F.col("id") + F.when(F.col("id") % 2 == 0, 0).otherwise(7_000_000_000)).alias("osm_id"), T.station_kind(F.col("tags")).alias("kind"), "lat", "lon")
+    tags = F.coalesce(*[F.when(F.col("kind") == k, F.create_map(*[F.lit(x) for kv in t.items() for x in kv], F.lit("name"), F.col("name"))) for k, (_, t) in STATION_TAGS.items()])
+    copies = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.lit(d).alias("d")) for c, d in ((0, 0.0), (1, 0.00015), (2, 0.00033))])).alias("k")
+    stations = w.stations.select("id", "lat", "lon", tags.alias("tags"), copies).select(
+        (F.lit(20_000_000_000_000) + F.col("k.c") * 1_000_000_000 + F.col("id")).alias("id"), (F.col("lat") + F.col("k.d")).alias("lat"), "lon", F.lit(1).alias("version"), "tags")
+    ds = w.dataset.with_(nodes=w.nodes.unionByName(stations))
+    rail = N.build_edges(w.dataset, "rail")
+    ends = rail.select(F.col("a").alias("id"), F.col("a_lat").alias("lat"), F.col("a_lon").alias("lon")).unionByName(
+        rail.select(F.col("b").alias("id"), F.col("b_lat").alias("lat"), F.col("b_lon").alias("lon"))).distinct()
+    return TR.import_stations(ds, existing, ends, N.build_edges(w.dataset, "road"))["created"].select("osm_type", "osm_id", "kind", "name", "node_id", "catchment_m", "source")
 
 
 @query("line_comparison", "O143", f"""WITH {CUM}, p AS (SELECT id AS station_id, CAST(catchment_m AS BIGINT) AS pop FROM d_stations), s AS (SELECT line_id, count(*) AS stops FROM d_line_stops GROUP BY line_id),

@@ -84,21 +84,6 @@ def boxes_touch(min_lat: Column, max_lat: Column, min_lon: Column, max_lon: Colu
             & (max_lat >= box["min_lat"]) & (min_lat <= box["max_lat"]))
 
 
-def layout_cell(lat: Column, lon: Column, deg: float) -> Column:
-    """Row-major cell number used for file layout and partition pruning."""
-    per_row = int(math.ceil(360 / deg)) + 1
-    return F.floor((lat + 90) / deg) * per_row + F.floor((lon + 180) / deg)
-
-
-def box_cells(box: dict, deg: float) -> list[int]:
-    """The layout cells that a box covers, as literals for an ``IN`` filter that prunes partitions."""
-    per_row = int(math.ceil(360 / deg)) + 1
-    def span(lo: float, hi: float, shift: float) -> range:
-        return range(math.floor((lo + shift) / deg), math.floor((hi + shift) / deg) + 1)
-    return [r * per_row + c for r in span(box["min_lat"], box["max_lat"], 90)
-            for c in span(box["min_lon"], box["max_lon"], 180)]
-
-
 # ---- point and segment on a plane around the point ----------------------------------------------------
 
 def _plane(lat: Column, lon: Column, p_lat: Column, p_lon: Column) -> tuple[Column, Column]:

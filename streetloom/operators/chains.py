@@ -45,25 +45,26 @@ def chain_positions(ways: DataFrame, keys: list[str]) -> DataFrame:
 
 def _ranked(states: DataFrame, links: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame | None]:
     """For every (way, side it is left at) on a chain: last way and number of ways to it. Second: the ones on rings with the lowest way of
-    their ring, None if there are none."""
-    s = states.join(links, [*keys, "way_id", "side"], "left").select(
+    their ring, None if there are none. Pointers that have reached an end are set aside, written once; each round writes the open ones alone."""
+    columns = [*keys, "way_id", "side", "next_way", "next_side", "last_way", "behind", "low"]
+    s = cut_lineage(states.join(links, [*keys, "way_id", "side"], "left").select(
         *keys, "way_id", "side", F.col("to_way").alias("next_way"), (1 - F.col("at_side")).alias("next_side"), F.coalesce("to_way", "way_id").alias("last_way"),
-        F.when(F.col("to_way").isNull(), 0).otherwise(1).cast("long").alias("behind"), F.least("way_id", "to_way").alias("low"))
+        F.when(F.col("to_way").isNull(), 0).otherwise(1).cast("long").alias("behind"), F.least("way_id", "to_way").alias("low")))
+    open_, done = s.where("next_way IS NOT NULL"), s.where("next_way IS NULL")
     before = None
     while True:
-        s = cut_lineage(s)
-        now = tuple(s.agg(F.count("next_way"), F.sum(F.when(F.col("next_way").isNotNull(), F.col("low")).cast("decimal(38,0)"))).first())
+        now = tuple(open_.agg(F.count("*"), F.sum(F.col("low").cast("decimal(38,0)"))).first())
         if not now[0] or now == before:
             break
         before = now
-        ahead = s.select(*keys, F.col("way_id").alias("next_way"), F.col("side").alias("next_side"), F.col("next_way").alias("_way"), F.col("next_side").alias("_side"), F.col("last_way").alias("_last"),
-                         F.col("behind").alias("_behind"), F.col("low").alias("_low"))
-        j = s.join(ahead, [*keys, "next_way", "next_side"], "left")
-        more = F.col("next_way").isNotNull()
-        s = j.select(*keys, "way_id", "side", F.col("_way").alias("next_way"), F.col("_side").alias("next_side"), F.when(more, F.col("_last")).otherwise(F.col("last_way")).alias("last_way"),
-                     (F.col("behind") + F.when(more, F.col("_behind")).otherwise(0)).alias("behind"), F.least("low", "_low").alias("low"))
-    rings = s.where("next_way IS NOT NULL").select(*keys, "way_id", "side", "low") if now[0] else None
-    return s.where("next_way IS NULL").select(*keys, "way_id", "side", "last_way", "behind"), rings
+        ahead = open_.unionByName(done).select(*keys, F.col("way_id").alias("next_way"), F.col("side").alias("next_side"), F.col("next_way").alias("_way"), F.col("next_side").alias("_side"), F.col("last_way").alias("_last"),
+                                               F.col("behind").alias("_behind"), F.col("low").alias("_low"))
+        j = open_.join(ahead, [*keys, "next_way", "next_side"])
+        s = cut_lineage(j.select(*keys, "way_id", "side", F.col("_way").alias("next_way"), F.col("_side").alias("next_side"), F.col("_last").alias("last_way"), (F.col("behind") + F.col("_behind")).alias("behind"),
+                                 F.least("low", "_low").alias("low")).select(*columns))
+        open_, done = s.where("next_way IS NOT NULL"), done.unionByName(s.where("next_way IS NULL"))
+    rings = open_.select(*keys, "way_id", "side", "low") if now[0] else None
+    return done.select(*keys, "way_id", "side", "last_way", "behind"), rings
 
 
 def chained_arrays(ways: DataFrame, keys: list[str], columns: list[str], *aggs: Column) -> DataFrame:

@@ -79,22 +79,36 @@ def _entries(paths: DataFrame, keys: list[str], kind: str) -> DataFrame:
         F.array_min(lon).alias("min_lon"), F.array_max(lon).alias("max_lon"), F.array("path").alias("geom"))
 
 
+def zoom_classes(ways: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, zoom, rep): zooms at which a group has the same ways share their lowest one, ``rep``. ``ways``: keys, zooms (array). Two zooms are alike if
+    every zoom set that occurs in the group has both or neither."""
+    g = ways.groupBy(*keys).agg(F.collect_set("zooms").alias("sets")).withColumn("all", F.array_distinct(F.flatten("sets")))
+    alike = lambda y, z: F.forall("sets", lambda s: F.array_contains(s, y) == F.array_contains(s, z))
+    pairs = F.transform("all", lambda z: F.struct(z.alias("zoom"), F.array_min(F.filter("all", lambda y: alike(y, z))).alias("rep")))
+    return g.select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.zoom", "p.rep")
+
+
 def line_entries(ways: DataFrame, units: list[str], lat0: Column) -> DataFrame:
-    """Display lines, one row per chain of ways with the same group key; ``part`` is the way the chain starts with, and tags and name are those of its
-    lowest way. ``ways``: units, zoom, way_id, tags, cls, node_ids, coords (open, classed, chosen)."""
-    keys = [*units, "zoom", "group_key"]
-    keyed = ways.withColumn("group_key", T.line_group_key(F.col("cls"), F.col("tags")))
-    head = F.min_by(F.struct("cls", T.line_tags(F.col("tags")).alias("tags"), F.col("tags")["name"].alias("name")), "way_id")
-    g = chained_arrays(keyed, keys, ["coords"], head.alias("h"), F.count("*").alias("ways"), F.sum(F.size("coords")).alias("rawnpts"))
+    """Display lines, one row per chain of ways with the same group key at each zoom; ``part`` is the way the chain starts with, and tags and name are those of its
+    lowest way. ``ways``: units, way_id, tags, cls, zooms, node_ids, coords (open, classed, chosen). Chains are made once for all zooms at which a
+    group has the same ways, and thinned for each zoom."""
+    group = [*units, "group_key"]
+    keyed = ways.withColumn("group_key", T.line_group_key(F.col("cls"), F.col("tags"))).withColumn(
+        "_head", F.struct("cls", T.line_tags(F.col("tags")).alias("tags"), F.col("tags")["name"].alias("name"))).drop("tags")
+    classes = cut_lineage(zoom_classes(keyed.select(*group, "zooms"), group))
+    members = keyed.join(classes.where("zoom = rep").drop("zoom"), group).where(F.array_contains("zooms", F.col("rep")))
+    g = chained_arrays(members, [*group, "rep"], ["coords"], F.min_by("_head", "way_id").alias("h"), F.count("*").alias("ways"), F.sum(F.size("coords")).alias("rawnpts"))
+    g = g.join(classes, [*group, "rep"])
     tol = meters_per_pixel(F.col("zoom"), lat0) * TOLERANCE_PX
+    keys = [*units, "zoom", "group_key"]
     g = g.select(*keys, F.col("chain").alias("part"), F.explode(S.generalised(F.col("coords"), tol, lat0, DIGITS)).alias("path"), "ways", "rawnpts", "h.*")
     return _entries(g, keys, "line").withColumn("family", T.line_family(F.col("cls")))
 
 
 def area_entries(ways: DataFrame, units: list[str], lat0: Column) -> DataFrame:
-    """Display areas, one row per closed way with an area class; ``part`` is the way."""
+    """Display areas, one row per closed way with an area class at each zoom; ``part`` is the way. ``units`` are columns that a way may have as well."""
     keys = [*units, "zoom", "group_key"]
-    keyed = ways.withColumn("cls", T.area_class(F.col("tags"))).where("cls IS NOT NULL").withColumn("group_key", T.area_group_key(F.col("cls"), F.col("tags")))
+    keyed = ways.withColumn("cls", T.area_class(F.col("tags"))).where("cls IS NOT NULL").withColumn("group_key", T.area_group_key(F.col("cls"), F.col("tags"))).withColumn("zoom", F.explode("zooms"))
     tol = meters_per_pixel(F.col("zoom"), lat0) * TOLERANCE_PX
     g = keyed.select(*keys, F.col("way_id").alias("part"), "cls", T.area_tags(F.col("tags")).alias("tags"), F.col("tags")["name"].alias("name"), F.lit(1).cast("long").alias("ways"),
                      F.size("coords").cast("long").alias("rawnpts"), F.explode(S.generalised(F.col("coords"), tol, lat0, DIGITS, ring=True)).alias("path"))
@@ -102,8 +116,8 @@ def area_entries(ways: DataFrame, units: list[str], lat0: Column) -> DataFrame:
 
 
 def _shown(ds: OsmDataset, zooms: list[int], detail: int) -> DataFrame:
-    """Ways with extent and the status they have at each zoom: invisible, lod with the
-    reason, nogfx or way. Each way meets only the zooms of a short constant list."""
+    """Ways with extent, classes and the status they have at each zoom: invisible, lod with the
+    reason, nogfx or way. Each way meets only the zooms of a short constant list; its tags stay behind."""
     ext = G.with_extents(ds)
     area = bbox_area_m2(F.col("min_lat"), F.col("max_lat"), F.col("min_lon"), F.col("max_lon"))
     w = ext.withColumn("zoom", F.explode(F.array(*[F.lit(z) for z in zooms])))
@@ -112,7 +126,8 @@ def _shown(ds: OsmDataset, zooms: list[int], detail: int) -> DataFrame:
               .when(F.col("min_lat").isNull(), "nogfx").otherwise("way"))
     sub = (F.when(F.col("_held") == "neverSend", F.concat(F.lit("neverSend:"), T.never_send_class(F.col("tags"))))
            .when(F.col("_held") == "roadClass", F.concat(F.lit("roadClass:"), T.road_rank(F.col("tags")).cast("string"))).otherwise(F.col("_held")))
-    return w.withColumn("_held", held).withColumn("status", status).withColumn("sub", F.when(F.col("status") == "lod", sub)).drop("_held")
+    return w.withColumn("_held", held).withColumn("status", status).withColumn("sub", F.when(F.col("status") == "lod", sub)).drop("_held").select(
+        "id", "zoom", "closed", "status", "sub", T.line_class(F.col("tags")).alias("cls"), T.area_class(F.col("tags")).alias("a_cls"), "min_lat", "max_lat", "min_lon", "max_lon")
 
 
 def chosen_classes(shown: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -120,7 +135,7 @@ def chosen_classes(shown: DataFrame, limit: int = LIMIT) -> DataFrame:
     zoom, so the running totals are small."""
 
     drawn = shown.where("status = 'way'")
-    counts = drawn.where(~F.col("closed")).select("zoom", T.line_class(F.col("tags")).alias("cls")).where("cls IS NOT NULL").groupBy("zoom", "cls").agg(F.count("*").alias("ways"))
+    counts = drawn.where(~F.col("closed")).select("zoom", "cls").where("cls IS NOT NULL").groupBy("zoom", "cls").agg(F.count("*").alias("ways"))
     picked = drawn.groupBy("zoom").agg(F.count("*").alias("picked"))
     room = max(1, int(limit * BUDGET))
     c = counts.join(picked, "zoom").withColumn("_first", T.line_always(F.col("cls")) | (F.col("ways") >= LEAST_WAYS))
@@ -134,12 +149,11 @@ def coverage(ds: OsmDataset, zooms: list[int], detail: int = 4, limit: int = LIM
     """Status of every way at every zoom: line, area, way, nogfx, invisible or lod (with the reason in ``sub``)."""
     shown = cut_lineage(_shown(ds, zooms, detail))
     picked = chosen_classes(shown, limit).withColumn("_chosen", F.lit(True))
-    c = shown.withColumn("cls", T.line_class(F.col("tags"))).join(picked, ["zoom", "cls"], "left")
+    c = shown.join(picked, ["zoom", "cls"], "left")
     line = (F.col("status") == "way") & ~F.col("closed") & F.coalesce("_chosen", F.lit(False))
-    a_cls = T.area_class(F.col("tags"))
-    area = (F.col("status") == "way") & F.col("closed") & a_cls.isNotNull()
-    return c.withColumn("sub", F.when(line, F.col("cls")).when(area, a_cls).otherwise(F.col("sub"))).withColumn(
-        "status", F.when(line, "line").when(area, "area").otherwise(F.col("status"))).drop("cls", "_chosen")
+    area = (F.col("status") == "way") & F.col("closed") & F.col("a_cls").isNotNull()
+    return c.withColumn("sub", F.when(line, F.col("cls")).when(area, F.col("a_cls")).otherwise(F.col("sub"))).withColumn(
+        "status", F.when(line, "line").when(area, "area").otherwise(F.col("status"))).drop("cls", "a_cls", "_chosen")
 
 
 def tile_coverage(ds: OsmDataset, grid: TileGrid, zooms: list[int] = BANDS, detail: int = 4) -> DataFrame:
@@ -152,17 +166,21 @@ def tile_coverage(ds: OsmDataset, grid: TileGrid, zooms: list[int] = BANDS, deta
                                                            q("min_lat", -1), q("max_lat", 1), q("min_lon", -1), q("max_lon", 1))
 
 
-def display_ways(ds: OsmDataset, zooms: list[int], detail: int = 4) -> DataFrame:
-    """Ways to be drawn as lines or areas at each zoom, with geometry: zoom, way_id, tags, status, cls, node_ids, coords.
+def display_ways(ds: OsmDataset, zooms: list[int], detail: int = 4, only: DataFrame | None = None) -> DataFrame:
+    """Ways to be drawn as lines or areas, with geometry: way_id, tags, status, cls, zooms (those where it is drawn), extent, node_ids, coords. ``only`` (way_id, zoom)
+    names the ways wanted at each zoom; no geometry is made of others.
 
     The coverage picks the geometry to fetch and is joined with it; the result feeds group sizes and groups of lines and of
     areas. Both are written once, because each would otherwise be computed several times.
     """
-    cov = cut_lineage(coverage(ds, zooms, detail).where(F.col("status").isin("line", "area")).select(
-        "id", "zoom", "tags", "status", "sub", "min_lat", "max_lat", "min_lon", "max_lon"))
-    wanted = cov.select(F.col("id").alias("way_id")).distinct()
+    drawn = coverage(ds, zooms, detail).where(F.col("status").isin("line", "area"))
+    if only is not None:
+        drawn = drawn.join(only.withColumnRenamed("way_id", "id"), ["id", "zoom"], "left_semi")
+    box = ["min_lat", "max_lat", "min_lon", "max_lon"]
+    cov = cut_lineage(drawn.groupBy("id").agg(F.array_sort(F.collect_list("zoom")).alias("zooms"), *[F.first(c).alias(c) for c in ("status", "sub", *box)]))
+    wanted = cov.select(F.col("id").alias("way_id"))
     geo = G.way_geometry(ds.way_nodes.join(wanted, "way_id", "left_semi"), ds.nodes)
-    return cut_lineage(cov.withColumnRenamed("id", "way_id").withColumnRenamed("sub", "cls").join(geo, "way_id").where(F.size("coords") >= 2))
+    return cut_lineage(cov.join(ds.ways.select("id", "tags"), "id").withColumnRenamed("id", "way_id").withColumnRenamed("sub", "cls").join(geo, "way_id").where(F.size("coords") >= 2))
 
 
 def display_lines(ds: OsmDataset, zoom: int, lat0: float, detail: int = 4, members: bool = True) -> DataFrame:
@@ -174,12 +192,13 @@ def display_lines(ds: OsmDataset, zoom: int, lat0: float, detail: int = 4, membe
 
 
 def relation_areas(ds: OsmDataset, zooms: list[int], lat0: Column) -> DataFrame:
-    """Display areas of area relations, one row per ring at each zoom where they show; group key ``rel:`` and the id, ``part`` the ring's number."""
+    """Display areas of area relations, one row per ring at each zoom where they show; group key ``rel:`` and the id, ``part`` twice the ring's number in
+    its role, one more for an inner ring."""
     rels = ds.relations.where(T.relation_area_like(F.col("tags"))).withColumn("zoom", F.explode(F.array(*[F.lit(z) for z in zooms]))).where(T.lod_visible(F.col("tags"), F.col("zoom"), "area"))
     rings = relation_rings(ds.with_(relations=ds.relations.where(T.relation_area_like(F.col("tags"))))).where("status = 'ring'")
     r = rings.join(rels.select(F.col("id").alias("relation_id"), "tags", "zoom"), "relation_id").withColumn("cls", T.area_class(F.col("tags")))
     tol = meters_per_pixel(F.col("zoom"), lat0) * TOLERANCE_PX
-    g = r.select("zoom", F.concat(F.lit("rel:"), F.col("relation_id").cast("string")).alias("group_key"), F.col("ring_no").cast("long").alias("part"), "cls", T.area_tags(F.col("tags")).alias("tags"),
+    g = r.select("zoom", F.concat(F.lit("rel:"), F.col("relation_id").cast("string")).alias("group_key"), (2 * F.col("ring_no") + F.when(F.col("role") == "inner", 1).otherwise(0)).cast("long").alias("part"), "cls", T.area_tags(F.col("tags")).alias("tags"),
                  F.col("tags")["name"].alias("name"), F.lit(1).cast("long").alias("ways"), F.size("coords").cast("long").alias("rawnpts"),
                  F.explode(S.generalised(F.col("coords"), tol, lat0, DIGITS, ring=True)).alias("path"))
     return _entries(g, ["zoom", "group_key"], "area").withColumn("family", T.area_family(F.col("cls")))
@@ -199,21 +218,38 @@ def stable_id(kind: Column, zoom: Column, tile: Column, key: Column) -> Column:
     return F.shiftright(F.conv(F.substring(F.sha1(text), 1, 14), 16, 10).cast("long"), 3)
 
 
-def bake_tiles(ds: OsmDataset, grid: TileGrid, zooms: list[int] = BANDS, detail: int = 4, only: DataFrame | None = None) -> DataFrame:
+def tile_index(ds: OsmDataset, grid: TileGrid, zooms: list[int] = BANDS, detail: int = 4) -> DataFrame:
+    """(zoom, tile, way_id) of the ways drawn in each tile, to be stored beside the tiles: a rebake finds its ways here."""
+    cov = coverage(ds, zooms, detail).where(F.col("status").isin("line", "area"))
+    return cov.select("zoom", F.explode(grid.tiles_of_box(*[F.col(c) for c in ("min_lat", "max_lat", "min_lon", "max_lon")])).alias("tile"), F.col("id").alias("way_id"))
+
+
+def write_tile_index(index: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    index.repartition("zoom", "tile").write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("zoom", "tile").parquet(path)
+
+
+def bake_tiles(ds: OsmDataset, grid: TileGrid, zooms: list[int] = BANDS, detail: int = 4, only: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
     """Display entries of every (zoom, tile). Classes are chosen once for the whole extent; a way goes to every tile its
-    extent touches. ``only`` (zoom, tile) limits the bake to some tiles."""
-    w = display_ways(ds, zooms, detail)
-    w = w.withColumn("tile", F.explode(grid.tiles_of_box(F.col("min_lat"), F.col("max_lat"), F.col("min_lon"), F.col("max_lon")))).drop("min_lat", "max_lat", "min_lon", "max_lon")
-    if only is not None:
-        w = w.join(only, ["zoom", "tile"], "left_semi")
+    extent touches. ``only`` (zoom, tile) limits the bake to some tiles; with ``index`` (``tile_index``) only the ways of those tiles get geometry."""
+    box = ["min_lat", "max_lat", "min_lon", "max_lon"]
+    tiles = F.explode(grid.tiles_of_box(*map(F.col, box)))
+    ways = index.join(only, ["zoom", "tile"], "left_semi").select("way_id", "zoom").distinct() if only is not None and index is not None else None
+    w = display_ways(ds, zooms, detail, ways)
     lat0 = F.lit(grid.lat0)
-    both = line_entries(w.where("status = 'line'"), ["tile"], lat0).unionByName(area_entries(w.where("status = 'area'"), ["tile"], lat0))
-    rel = relation_areas(ds, zooms, lat0)
-    rel = rel.withColumn("tile", F.explode(grid.tiles_of_box(F.col("min_lat"), F.col("max_lat"), F.col("min_lon"), F.col("max_lon"))))
+    lines = w.where("status = 'line'").withColumn("tile", tiles).drop(*box)
+    areas = w.where("status = 'area'").withColumn("_tiles", grid.tiles_of_box(*map(F.col, box))).drop(*box)
+    if only is not None:
+        here = only.groupBy("tile").agg(F.collect_set("zoom").alias("_only"))
+        lines = lines.join(here, "tile").withColumn("zooms", F.array_intersect("zooms", "_only")).where(F.size("zooms") > 0).drop("_only")
+    line = line_entries(lines, ["tile"], lat0)
+    # An area is thinned once per zoom, and its entry goes to all its tiles.
+    area = area_entries(areas, ["_tiles"], lat0).withColumn("tile", F.explode("_tiles")).drop("_tiles")
+    rel = relation_areas(ds, zooms, lat0).withColumn("tile", tiles)
+    area = area.unionByName(rel)
     if only is not None:
-        rel = rel.join(only, ["zoom", "tile"], "left_semi")
+        area = area.join(only, ["zoom", "tile"], "left_semi")
     key = F.concat_ws("\u0001", "group_key", F.col("part").cast("string"))
-    return both.unionByName(rel).withColumn("id", stable_id(F.col("kind"), F.col("zoom"), F.col("tile"), key))
+    return line.unionByName(area).withColumn("id", stable_id(F.col("kind"), F.col("zoom"), F.col("tile"), key))
 
 
 def write_tiles(tiles: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -257,8 +293,14 @@ def dirty_tiles(changes: DataFrame, grid: TileGrid, zooms: list[int] = BANDS) ->
     return c.where(~F.col("_in") | (F.col("zoom") >= F.col("lod_zoom"))).select("zoom", F.explode("tiles").alias("tile")).distinct()
 
 
-def rebake(ds: OsmDataset, dirty: DataFrame, grid: TileGrid, path: str, zooms: list[int] = BANDS) -> None:
-    write_tiles(bake_tiles(ds, grid, zooms, only=dirty), path, mode="overwrite")
+def rebake(ds: OsmDataset, dirty: DataFrame, grid: TileGrid, path: str, zooms: list[int] = BANDS, index_path: str | None = None) -> None:
+    """Bakes the dirty tiles again. With ``index_path``, where ``write_tile_index`` wrote, the index of those tiles is renewed first, from the coverage alone, and
+    geometry is made of their ways only."""
+    index = None
+    if index_path is not None:
+        write_tile_index(tile_index(ds, grid, zooms).join(dirty, ["zoom", "tile"], "left_semi"), index_path, mode="overwrite")
+        index = ds.ways.sparkSession.read.parquet(index_path)
+    write_tiles(bake_tiles(ds, grid, zooms, only=dirty, index=index), path, mode="overwrite")
 
 
 # ---- rings of relations --------------------------------------------------------------------------------------------

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from itertools import count
+from functools import reduce
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,8 +54,9 @@ def segment_crossings(segs: DataFrame, cell_m: float = CELL_M) -> DataFrame:
     cell that holds the crossing."""
     cols = ["way_id", "seq", "a", "a_lat", "a_lon", "b", "b_lat", "b_lon", "layer"]
     filed = segment_cells(segs.select(*cols), cell_m, pad_m=1.0)
-    left = filed.select(*[F.col(c).alias(f"i_{c}") for c in cols], "cell_row", "cell_col")
-    right = filed.select(*[F.col(c).alias(f"j_{c}") for c in cols], F.col("cell_row"), F.col("cell_col"))
+    meet = ["cell_row", "cell_col", "_layer"]
+    left = filed.select(*[F.col(c).alias(f"i_{c}") for c in cols], "cell_row", "cell_col", F.col("layer").alias("_layer"))
+    right = filed.select(*[F.col(c).alias(f"j_{c}") for c in cols], "cell_row", "cell_col", F.col("layer").alias("_layer"))
     c = {n: F.col(n) for n in left.columns + right.columns}
     after = (c["i_way_id"] < c["j_way_id"]) | ((c["i_way_id"] == c["j_way_id"]) & (c["i_seq"] < c["j_seq"]))
     apart = ((c["i_a"] != c["j_a"]) & (c["i_a"] != c["j_b"]) & (c["i_b"] != c["j_a"]) & (c["i_b"] != c["j_b"]))
@@ -63,7 +65,7 @@ def segment_crossings(segs: DataFrame, cell_m: float = CELL_M) -> DataFrame:
         return ((F.greatest(f"i_a_{k}", f"i_b_{k}") >= F.least(f"j_a_{k}", f"j_b_{k}"))
                 & (F.greatest(f"j_a_{k}", f"j_b_{k}") >= F.least(f"i_a_{k}", f"i_b_{k}")))
 
-    pairs = left.join(right, ["cell_row", "cell_col"]).where(after & apart & (c["i_layer"] == c["j_layer"]) & overlap("lat") & overlap("lon"))
+    pairs = left.join(right, meet).where(after & apart & overlap("lat") & overlap("lon"))
     rx, ry = c["i_b_lon"] - c["i_a_lon"], c["i_b_lat"] - c["i_a_lat"]
     sx, sy = c["j_b_lon"] - c["j_a_lon"], c["j_b_lat"] - c["j_a_lat"]
     qx, qy = c["j_a_lon"] - c["i_a_lon"], c["j_a_lat"] - c["i_a_lat"]
@@ -75,7 +77,7 @@ def segment_crossings(segs: DataFrame, cell_m: float = CELL_M) -> DataFrame:
     solved = solved.withColumn("lat", c["i_a_lat"] + ry * F.col("t")).withColumn("lon", c["i_a_lon"] + rx * F.col("t"))
     step = cell_m / M_PER_DEG_LAT
     home = (F.floor(F.col("lat") / step) == F.col("cell_row")) & (F.floor(F.col("lon") / row_lon_step(F.col("cell_row"), cell_m)) == F.col("cell_col"))
-    return solved.where(home).drop("cell_row", "cell_col")
+    return solved.where(home).drop(*meet)
 
 
 def junction_id(lat: Column, lon: Column) -> Column:
@@ -220,33 +222,56 @@ def edge_cost(length: Column, speed: Column) -> Column:
     return length * (F.lit(1.0) + 0.6 * 45.0 / F.greatest(F.lit(15), speed))
 
 
-def shortest_costs(edges: DataFrame, origins: DataFrame, max_cost: float, checkpoint_every: int = 4) -> DataFrame:
-    """Least cost from many origins to every node within ``max_cost``: (origin, node_id, cost, length_m, seconds, prev).
+LABEL = ["cost", "hops", "prev", "length_m", "seconds"]
 
-    Rounds of relaxation: only nodes that got cheaper in the last round are joined with the edges, and a partial
-    minimum per (origin, node) runs before the shuffle. Ends when a round improves nothing. ``origins``: origin, node_id.
-    """
+
+def shortest_costs(edges: DataFrame, origins: DataFrame, max_cost: float, width: float | None = None) -> DataFrame:
+    """Least cost from many origins to every node within ``max_cost``: (origin, node_id, cost, length_m, seconds, prev). ``origins``: origin, node_id.
+
+    Labels are settled in buckets of cost, ``width`` wide (by default the dearest edge). Within a bucket, rounds of relaxation go on from the labels that the last round
+    improved, until none does; what lies beyond waits, as its own table, for its bucket. A label that leads back to a settled node cannot come from farther than
+    one edge, so it is compared with the last buckets only: labels settled earlier are written and not read again. Each round shuffles the rows
+    it changed. Ties: fewer hops, then the lower previous node."""
     one = edges.select(F.col("a").alias("src"), F.col("b").alias("dst"), "length_m", "speed_kmh")
     hop = one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "length_m", "speed_kmh"))
-    hop = cut_lineage(hop.select("src", "dst", "length_m", edge_cost(F.col("length_m"), F.col("speed_kmh")).alias("c"),
-                                 (F.col("length_m") / (F.col("speed_kmh") / 3.6)).alias("s"), F.col("length_m").alias("l")).where(F.col("c") <= max_cost)
-                      .drop("length_m"))
+    hop = cut_lineage(hop.select("src", "dst", edge_cost(F.col("length_m"), F.col("speed_kmh")).alias("c"), (F.col("length_m") / (F.col("speed_kmh") / 3.6)).alias("s"), F.col("length_m").alias("l"))
+                      .where(F.col("c") <= max_cost))
+    most = hop.agg(F.max("c")).first()[0] or 1.0
+    width = width or most
+    back = ceil(most / width) + 1  # buckets in which a settled neighbour can lie
     zero = F.lit(0.0)
-    best = origins.select("origin", "node_id", zero.alias("cost"), zero.alias("length_m"), zero.alias("seconds"), F.lit(None).cast("long").alias("prev"), F.lit(0).alias("round"))
-    best = cut_lineage(best)
-    for r in count(1):
-        front = best.where(F.col("round") == r - 1)
-        step = front.join(hop, F.col("node_id") == F.col("src")).select(
-            "origin", F.col("dst").alias("node_id"), (F.col("cost") + F.col("c")).alias("cost"), (F.col("length_m") + F.col("l")).alias("length_m"),
-            (F.col("seconds") + F.col("s")).alias("seconds"), F.col("node_id").alias("prev"), F.lit(r).alias("round")).where(F.col("cost") <= max_cost)
-        row = F.struct("cost", "round", "prev", "length_m", "seconds")
-        # The minimum over old and new rows: an unchanged node keeps its old round and leaves the frontier.
-        best = best.unionByName(step).groupBy("origin", "node_id").agg(F.min(row).alias("b")).select("origin", "node_id", "b.*")
-        if r % checkpoint_every == 0:
-            best = cut_lineage(best)
-            if best.where(F.col("round") > r - 1).isEmpty():
-                break
-    return best.drop("round")
+    keys, label = ["origin", "node_id"], F.struct(*LABEL)
+
+    def best(df: DataFrame) -> DataFrame:
+        return df.groupBy(*keys).agg(F.min(label).alias("b")).select(*keys, "b.*")
+
+    waiting = cut_lineage(best(origins.select(*keys, zero.alias("cost"), F.lit(0).alias("hops"), F.lit(None).cast("long").alias("prev"), zero.alias("length_m"), zero.alias("seconds"))))
+    settled: list[tuple[int, DataFrame]] = []
+    while (least := waiting.agg(F.min("cost")).first()[0]) is not None:
+        bucket = int(least // width)
+        limit = width * (bucket + 1)
+        near = [old.select(*keys) for b, old in settled if b >= bucket - back]
+        # Tables of this bucket, one per round; a node improved again stands in several of them.
+        front = waiting.where(F.col("cost") < limit)
+        rounds, later = [front], [waiting.where(F.col("cost") >= limit)]
+        while not front.isEmpty():
+            step = best(front.join(hop, F.col("node_id") == F.col("src")).select(
+                "origin", F.col("dst").alias("node_id"), (F.col("cost") + F.col("c")).alias("cost"), (F.col("hops") + 1).alias("hops"), F.col("node_id").alias("prev"),
+                (F.col("length_m") + F.col("l")).alias("length_m"), (F.col("seconds") + F.col("s")).alias("seconds")).where(F.col("cost") <= max_cost))
+            for old in near:
+                step = step.join(old, keys, "left_anti")
+            step = cut_lineage(step)
+            later.append(step.where(F.col("cost") >= limit))
+            known = best(reduce(DataFrame.unionByName, rounds)).select(*keys, label.alias("_old"))
+            front = step.where(F.col("cost") < limit).join(known, keys, "left").where(F.col("_old").isNull() | (label < F.col("_old"))).drop("_old")
+            front = cut_lineage(front)
+            rounds.append(front)
+        done = cut_lineage(best(reduce(DataFrame.unionByName, rounds)))
+        settled.append((bucket, done))
+        waiting = cut_lineage(best(reduce(DataFrame.unionByName, later)).join(done.select(*keys), keys, "left_anti"))
+    if not settled:
+        return waiting.select("origin", "node_id", "cost", "length_m", "seconds", "prev")
+    return reduce(DataFrame.unionByName, [t for _, t in settled]).select("origin", "node_id", "cost", "length_m", "seconds", "prev")
 
 
 def route_lines(line_stops: DataFrame, edges: DataFrame, max_cost: float) -> tuple[DataFrame, DataFrame]:

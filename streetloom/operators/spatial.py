@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from streetloom.functions.geo import M_PER_DEG_LAT, M_PER_DEG_LON_EQUATOR, RAD, meters_between, segment_distance_m, segment_t
+from streetloom.session import cut_lineage
 
 MAX_LEVEL = 12
 
@@ -17,13 +18,17 @@ def _cell(value: Column, size: Column | float) -> Column:
 def box_join(features: DataFrame, boxes: DataFrame, base_deg: float = 0.1) -> DataFrame:
     """Pairs whose closed extents intersect. Both sides have min_lat..max_lon; those of ``boxes`` are renamed ``box_*``.
 
-    Each feature is filed on the level whose cells are at least as large as itself (at most 4 cells); each box is filed
-    on every level. A pair that shares several cells is kept only in the cell of the corner of its intersection, so no
-    distinct is needed. Hot cells are split by adaptive skew join.
+    Every extent has a level of its own, that whose cells are at least as large as itself, so it touches at most four cells there, and
+    no more on any coarser level. A pair meets on the coarser one of its two levels: boxes are filed on their own level and all above, features on
+    their own and on those above that are some box's own (a few numbers, read first). A view of the whole world is a few rows, and a small feature
+    is not spread for boxes that are small as well. A pair that shares several cells is kept only in the cell of the corner of its
+    intersection, so no distinct is needed. Hot cells are split by adaptive skew join.
     """
     coords = ["min_lat", "max_lat", "min_lon", "max_lon"]
-    extent = F.greatest(F.col("max_lat") - F.col("min_lat"), F.col("max_lon") - F.col("min_lon"))
-    level = F.greatest(F.lit(0), F.least(F.lit(MAX_LEVEL), F.ceil(F.log2(F.greatest(extent, F.lit(1e-9)) / base_deg)))).cast("int")
+
+    def own(p: str) -> Column:
+        extent = F.greatest(F.col(f"{p}max_lat") - F.col(f"{p}min_lat"), F.col(f"{p}max_lon") - F.col(f"{p}min_lon"))
+        return F.greatest(F.lit(0), F.least(F.lit(MAX_LEVEL), F.ceil(F.log2(F.greatest(extent, F.lit(1e-9)) / base_deg)))).cast("int")
 
     def spread(df: DataFrame, p: str) -> DataFrame:
         size = F.lit(base_deg) * F.pow(F.lit(2.0), F.col("_level"))
@@ -31,15 +36,18 @@ def box_join(features: DataFrame, boxes: DataFrame, base_deg: float = 0.1) -> Da
                 .withColumn("_y", F.explode(F.sequence(_cell(F.col(f"{p}min_lat"), F.col("_size")), _cell(F.col(f"{p}max_lat"), F.col("_size")))))
                 .withColumn("_x", F.explode(F.sequence(_cell(F.col(f"{p}min_lon"), F.col("_size")), _cell(F.col(f"{p}max_lon"), F.col("_size"))))))
 
-    left = spread(features.where(F.col("min_lat").isNotNull()).withColumn("_level", level), "")
-    b = boxes.select(*[F.col(c).alias(f"box_{c}") if c in coords else F.col(c) for c in boxes.columns])
-    right = spread(b.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(MAX_LEVEL)))), "box_").drop("_size")
-    pairs = left.join(right, ["_level", "_y", "_x"])
+    b = boxes.where(F.col("min_lat").isNotNull()).select(*[F.col(c).alias(f"box_{c}") if c in coords else F.col(c) for c in boxes.columns]).withColumn("_box_own", own("box_"))
+    levels = sorted(r[0] for r in b.select("_box_own").distinct().collect())
+    right = spread(b.withColumn("_level", F.explode(F.sequence("_box_own", F.lit(MAX_LEVEL)))), "box_").drop("_size")
+    left = features.where(F.col("min_lat").isNotNull()).withColumn("_own", own(""))
+    filed = F.array_distinct(F.concat(F.array("_own"), F.filter(F.array(*map(F.lit, levels)).cast("array<int>"), lambda x: x > F.col("_own"))))
+    pairs = spread(left.withColumn("_level", F.explode(filed)), "").join(right, ["_level", "_y", "_x"])
     touch = ((F.col("max_lon") >= F.col("box_min_lon")) & (F.col("min_lon") <= F.col("box_max_lon"))
              & (F.col("max_lat") >= F.col("box_min_lat")) & (F.col("min_lat") <= F.col("box_max_lat")))
     home = ((_cell(F.greatest("min_lat", "box_min_lat"), F.col("_size")) == F.col("_y"))
             & (_cell(F.greatest("min_lon", "box_min_lon"), F.col("_size")) == F.col("_x")))
-    return pairs.where(touch & home).drop("_level", "_y", "_x", "_size")
+    meeting = F.col("_level") == F.greatest("_own", "_box_own")
+    return pairs.where(meeting & touch & home).drop("_level", "_y", "_x", "_size", "_own", "_box_own")
 
 
 def point_box_join(points: DataFrame, boxes: DataFrame, base_deg: float = 0.1) -> DataFrame:
@@ -121,15 +129,24 @@ def snap_to_node(points: DataFrame, nodes: DataFrame, max_m: float) -> DataFrame
 
 
 def segment_cells(segs: DataFrame, cell_m: float, pad_m: float = 0.0) -> DataFrame:
-    """Segments exploded to the cells of a fixed grid that their padded extent covers. The grid uses one longitude
-    scale per row of latitude, so cells stay about square everywhere; long segments cover as many cells as they cross."""
+    """Segments exploded to the cells of a fixed grid within ``pad_m`` of them. The grid uses one longitude scale per row of latitude, so cells stay
+    about square everywhere. In each row only the columns count between the places where the segment enters and leaves the padded row, so
+    a diagonal covers the cells it runs through and not its whole extent."""
     step = cell_m / M_PER_DEG_LAT
     pad = pad_m / M_PER_DEG_LAT
     lo, hi = F.least("a_lat", "b_lat") - pad, F.greatest("a_lat", "b_lat") + pad
     rows = F.sequence(F.floor(lo / step), F.floor(hi / step))
-    lon_step = row_lon_step(F.col("cell_row"), cell_m)
-    lon_pad = F.lit(pad_m) / (F.lit(M_PER_DEG_LON_EQUATOR) * F.cos(F.least(F.lit(89.0), F.abs(F.col("cell_row") * step) + step) * RAD))
-    left, right = F.least("a_lon", "b_lon") - lon_pad, F.greatest("a_lon", "b_lon") + lon_pad
+    row = F.col("cell_row")
+    rise = F.nullif(F.col("b_lat") - F.col("a_lat"), F.lit(0.0))
+
+    def lon_at(lat: Column, level: str) -> Column:
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (lat - F.col("a_lat")) / rise))
+        return F.when(rise.isNull(), F.col(level)).otherwise(F.col("a_lon") + t * (F.col("b_lon") - F.col("a_lon")))
+
+    below, above = lon_at(row * step - pad, "a_lon"), lon_at((row + 1) * step + pad, "b_lon")
+    lon_pad = F.lit(pad_m) / (F.lit(M_PER_DEG_LON_EQUATOR) * F.cos(F.least(F.lit(89.0), F.abs(row * step) + step) * RAD))
+    lon_step = row_lon_step(row, cell_m)
+    left, right = F.least(below, above) - lon_pad, F.greatest(below, above) + lon_pad
     return (segs.withColumn("cell_row", F.explode(rows))
             .withColumn("cell_col", F.explode(F.sequence(F.floor(left / lon_step), F.floor(right / lon_step)))))
 
@@ -165,29 +182,87 @@ def snap_to_segment(points: DataFrame, segs: DataFrame, max_m: float) -> DataFra
         F.col("s.end_node").alias("end_node"), F.col("s.m").alias("distance_m"))
 
 
-def points_in_areas(points: DataFrame, rings: DataFrame, base_deg: float = 0.02) -> DataFrame:
-    """Even-odd point in polygon: (point_id, area_id) where the point crosses an odd number of edges over all rings of
-    the area, so holes count. ``points``: id, lat, lon; ``rings``: area_id, ring_no, coords ARRAY<STRUCT<lat,lon>>.
+#: Cell borders lie beside the places that coordinates of up to nine digits can have, so no corner of an area is on one.
+OFF_GRID = 0.00000000037
+RUN_LEVELS = 22
 
-    Only edges are shipped. An edge crosses the eastward ray of a point only if it spans the point's latitude and
-    reaches east of it, so an edge is filed per row of latitude it spans, and per column from the area's west edge up to
-    its own east end; each (point, edge) pair meets in one cell and the parity is a plain count.
-    """
+
+def edge_cells(edges: DataFrame, step: float) -> DataFrame:
+    """Edges (x1, y1, x2, y2) exploded to the cells they run through: ``_y``, ``_x``. A cell that is only touched may come along."""
+    spare = step * 1e-7
+    number = lambda v: F.floor((v - OFF_GRID) / step)
+    rise = F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0))
+
+    def x_at(lat: Column, level: str) -> Column:
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (lat - F.col("y1")) / rise))
+        return F.when(rise.isNull(), F.col(level)).otherwise(F.col("x1") + t * (F.col("x2") - F.col("x1")))
+
+    low, high = x_at(F.col("_y") * step + OFF_GRID - spare, "x1"), x_at((F.col("_y") + 1) * step + OFF_GRID + spare, "x2")
+    return (edges.withColumn("_y", F.explode(F.sequence(number(F.least("y1", "y2")), number(F.greatest("y1", "y2")))))
+            .withColumn("_x", F.explode(F.sequence(number(F.least(low, high) - spare), number(F.greatest(low, high) + spare)))))
+
+
+def run_blocks(first: Column, last: Column) -> Column:
+    """A run of columns as aligned blocks: level and number of blocks of 2^level columns, two per level at most."""
+    lo = [F.ceil(first / (1 << k)).cast("long") for k in range(RUN_LEVELS + 1)]
+    hi = [F.floor((last + 1) / (1 << k)).cast("long") for k in range(RUN_LEVELS + 1)]  # blocks lo .. hi - 1 lie in the run
+    block = lambda k, n: F.struct(F.lit(k).alias("level"), n.alias("block"))
+    out = []
+    for k in range(RUN_LEVELS):
+        more = lo[k + 1] < hi[k + 1]
+        out += [F.when((lo[k] < hi[k]) & (~more | (lo[k] < 2 * lo[k + 1])), block(k, lo[k])), F.when((lo[k] < hi[k]) & ((~more & (hi[k] - 1 > lo[k])) | (more & (hi[k] > 2 * hi[k + 1]))), block(k, hi[k] - 1))]
+    return F.array_compact(F.array(*out))
+
+
+def area_cover(rings: DataFrame, step: float) -> tuple[DataFrame, DataFrame]:
+    """Cells of areas, (border, inner). ``border``: area_id, _y, _x, the edges that run through the cell (x1 to y2), and ``inside``, whether the
+    cell's lower right corner is. ``inner``: area_id, _y, level, block: whole cells inside, as runs between border cells of a row.
+
+    The corner's parity comes from the places where edges cross the lower line of the row, in order from east to west; the same
+    parity holds for all cells up to the next border cell. So an area has as many rows as its edges run through cells, however large it is."""
     n = F.size("coords")
     edges = rings.select("area_id", F.explode(F.filter(F.zip_with(
         "coords", F.concat(F.slice("coords", 2, F.greatest(n - 1, F.lit(0))), F.slice("coords", 1, 1)),
         lambda p, q: F.struct(p["lat"].alias("y1"), p["lon"].alias("x1"), q["lat"].alias("y2"), q["lon"].alias("x2"))),
-        lambda e: e["y1"] != e["y2"])).alias("e")).select("area_id", "e.*")
-    west = rings.select("area_id", F.array_min(F.transform("coords", lambda p: p["lon"])).alias("w")).groupBy("area_id").agg(F.min("w").alias("west"))
-    filed = (edges.join(west, "area_id")
-             .withColumn("_y", F.explode(F.sequence(F.floor(F.least("y1", "y2") / base_deg), F.floor(F.greatest("y1", "y2") / base_deg))))
-             .withColumn("_x", F.explode(F.sequence(F.floor(F.col("west") / base_deg), F.floor(F.greatest("x1", "x2") / base_deg)))))
-    p = points.select(F.col("id").alias("point_id"), "lat", "lon").withColumn("_y", F.floor(F.col("lat") / base_deg)) \
-        .withColumn("_x", F.floor(F.col("lon") / base_deg))
-    crosses = ((F.col("y1") > F.col("lat")) != (F.col("y2") > F.col("lat"))) & (
-        F.col("lon") < (F.col("x1") - F.col("x2")) * (F.col("lat") - F.col("y2")) / (F.col("y1") - F.col("y2")) + F.col("x2"))
-    return (p.join(filed, ["_y", "_x"]).where(crosses).groupBy("point_id", "area_id").agg(F.count("*").alias("_n"))
-            .where("_n % 2 = 1").drop("_n"))
+        lambda e: (e["y1"] != e["y2"]) | (e["x1"] != e["x2"]))).alias("e")).select("area_id", "e.*")
+    filed = cut_lineage(edge_cells(edges, step))
+    line = F.col("_y") * step + OFF_GRID
+    meets = (F.col("y1") > line) != (F.col("y2") > line)
+    crossings = filed.where(meets).select("area_id", "_y", "x1", "y1", "x2", "y2").distinct().select(
+        "area_id", "_y", ((F.col("x1") - F.col("x2")) * (line - F.col("y2")) / (F.col("y1") - F.col("y2")) + F.col("x2")).alias("x"), F.lit(1).alias("one"), F.lit(None).cast("long").alias("_x"))
+    cells = filed.select("area_id", "_y", "_x").distinct().select("area_id", "_y", ((F.col("_x") + 1) * step + OFF_GRID).alias("x"), F.lit(0).alias("one"), "_x")
+    row = Window.partitionBy("area_id", "_y")
+    marked = crossings.unionByName(cells).withColumn("inside", F.sum("one").over(row.orderBy(F.desc("x"))) % 2 == 1).where("_x IS NOT NULL")
+    marked = cut_lineage(marked.withColumn("_next", F.lead("_x").over(row.orderBy("_x"))).select("area_id", "_y", "_x", "inside", "_next"))
+    border = filed.join(marked.drop("_next"), ["area_id", "_y", "_x"])
+    shift = 1 << RUN_LEVELS - 1  # columns are counted from far west, so that none is negative
+    runs = marked.where("inside AND _next > _x + 1").select("area_id", "_y", F.explode(run_blocks(F.col("_x") + 1 + shift, F.col("_next") - 1 + shift)).alias("b"))
+    return border, runs.select("area_id", "_y", "b.level", "b.block")
+
+
+def points_in_areas(points: DataFrame, rings: DataFrame, base_deg: float = 0.02) -> DataFrame:
+    """Even-odd point in polygon: (point_id, area_id) where the eastward ray of the point crosses an odd number of edges over all rings of
+    the area, so holes count. ``points``: id, lat, lon; ``rings``: area_id, ring_no, coords ARRAY<STRUCT<lat,lon>>.
+
+    In a border cell the way goes east to the cell's side and down to its corner; the parity of the edges met, all of them edges of the cell, and that of the corner make the
+    parity of the point. Points in inner cells are inside without a look at an edge.
+    """
+    border, inner = area_cover(rings, base_deg)
+    inner = cut_lineage(inner)
+    levels = sorted(r[0] for r in inner.select("level").distinct().collect())
+    number = lambda c: F.floor((F.col(c) - OFF_GRID) / base_deg)
+    p = points.select(F.col("id").alias("point_id"), "lat", "lon", number("lat").alias("_y"), number("lon").alias("_x"))
+    right, bottom = (F.col("_x") + 1) * base_deg + OFF_GRID, F.col("_y") * base_deg + OFF_GRID
+    lat, lon, x1, y1, x2, y2 = (F.col(c) for c in ("lat", "lon", "x1", "y1", "x2", "y2"))
+    x_cross = (x1 - x2) * (lat - y2) / F.nullif(y1 - y2, F.lit(0.0)) + x2
+    y_cross = (y1 - y2) * (right - x2) / F.nullif(x1 - x2, F.lit(0.0)) + y2
+    east = ((y1 > lat) != (y2 > lat)) & (lon < x_cross) & (x_cross <= right)
+    down = ((x1 > right) != (x2 > right)) & (y_cross > bottom) & (y_cross <= lat)
+    met = p.join(border, ["_y", "_x"]).groupBy("point_id", "area_id").agg((F.count_if(east) + F.count_if(down) + F.max(F.col("inside").cast("int"))).alias("_n")).where("_n % 2 = 1").drop("_n")
+    if not levels:
+        return met
+    at = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright((F.col("_x") + (1 << RUN_LEVELS - 1)).cast("long"), k).alias("block")) for k in levels]))
+    return met.unionByName(p.select("point_id", "_y", at.alias("b")).select("point_id", "_y", "b.level", "b.block").join(inner, ["_y", "level", "block"]).select("point_id", "area_id"))
 
 
 def nearest_rank(pairs: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:

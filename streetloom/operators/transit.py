@@ -11,7 +11,7 @@ from streetloom.model import OsmDataset
 from streetloom.operators.geometry import located_refs
 from streetloom.operators.network import keep_apart
 from streetloom.operators.ordered import last_known, numbered
-from streetloom.operators.spatial import nearest_rank, neighbour_pairs, point_box_join, snap_to_node
+from streetloom.operators.spatial import nearest_rank, neighbour_pairs, point_box_join, snap_to_node, snap_to_segment
 from streetloom.session import cut_lineage
 
 # ---- Fixed values -------------------------------------------------------------------------------------------
@@ -25,6 +25,7 @@ IMPORT_RULES = [("railway", "station"), ("railway", "halt"), ("amenity", "bus_st
                 ("railway", "tram_stop"), ("railway", "subway_entrance"), ("highway", "bus_stop"),
                 ("public_transport", "platform"), ("public_transport", "stop_position")]
 IMPORT_APART_M = 25.0
+IMPORT_SNAP_RAIL_M, IMPORT_SNAP_BUS_M = 200.0, 80.0
 # ----------------------------------------------------------------------------------------------------------------
 
 
@@ -57,43 +58,77 @@ def walk_edges(links: DataFrame) -> DataFrame:
                         js_round((F.col("meters") / WALK_MPS + WALK_SEC) * 1000).alias("ms"))
 
 
-def itineraries(stations: DataFrame, rides: DataFrame, walks: DataFrame) -> DataFrame:
-    """Best journey from every station to every other within 4 rides, 2 walks and 8 hours: (origin, dest, ms, rides,
-    walks, legs). No walk comes first where the origin has a line. A pair whose best way is walking only is left out.
+LABEL_KEY = ["origin", "station", "rides", "walks"]
+LABEL = ["ms", "walk_first", "first_line", "first_stop", "by_line", "prev", "leg_m", "leg_ms"]
 
-    A label is (origin, station, rides, walks); it can only come from a label with one leg less, so six rounds of joins
-    with a minimum per label give exact results, and the number of rounds does not grow with the network.
-    """
+
+def journey_labels(stations: DataFrame, rides: DataFrame, walks: DataFrame, origins: DataFrame | None = None) -> DataFrame:
+    """Labels of the best journeys: LABEL_KEY and LABEL. No walk comes first where the origin has a line. ``origins`` (id) limits where journeys start; all stations by default.
+
+    A label can only come from one with one leg less, so six rounds of joins with a minimum per label are exact, and the number of rounds
+    does not grow with the network. A label carries the station and line it came by and its first ride, no list of legs. One that another label of its station, with no more rides, walks
+    and time, has reached before goes no further: whatever it led to is reached as well from there. Ties: no walk first, then line and stop of the first ride, of the last leg."""
     served = rides.select(F.col("src").alias("origin")).distinct().withColumn("served", F.lit(True))
-    leg_type = "array<struct<kind:string,line_id:bigint,src:bigint,dst:bigint,meters:bigint,ms:bigint>>"
-    rides = cut_lineage(rides.select("src", "dst", F.struct(F.lit("ride").alias("kind"), F.col("line_id"), "src", "dst", "meters", "ms").alias("leg")))
-    walks = cut_lineage(walks.select("src", "dst", F.struct(F.lit("walk").alias("kind"), F.lit(None).cast("long").alias("line_id"), "src", "dst", "meters", "ms").alias("leg")))
-    layer = stations.select(F.col("id").alias("origin")).join(served, "origin", "left").select(
-        "origin", F.col("origin").alias("station"), F.lit(0).alias("rides"), F.lit(0).alias("walks"), F.lit(0).cast("long").alias("ms"),
-        F.array().cast(leg_type).alias("legs"), F.coalesce("served", F.lit(False)).alias("served"))
-    layers = []
+    hop = cut_lineage(rides.select("src", "dst", "line_id", "meters", F.col("ms").alias("hop_ms")).unionByName(
+        walks.select("src", "dst", F.lit(None).cast("long").alias("line_id"), "meters", F.col("ms").alias("hop_ms"))))
+    null = F.lit(None).cast("long")
+    none = F.lit(-1).cast("long")
+    start = stations.select(F.col("id").alias("origin")) if origins is None else origins.select(F.col("id").alias("origin"))
+    layer = cut_lineage(start.join(served, "origin", "left").select(
+        "origin", F.col("origin").alias("station"), F.lit(0).alias("rides"), F.lit(0).alias("walks"), F.lit(0).cast("long").alias("ms"), F.lit(0).alias("walk_first"), none.alias("first_line"), none.alias("first_stop"),
+        F.coalesce("served", F.lit(False)).alias("served")))
+    every = None
     for legs in range(1, MAX_RIDES + MAX_WALKS + 1):
-        cur = layer
-        by_ride = cur.where(F.col("rides") < MAX_RIDES).join(rides, F.col("station") == F.col("src")).select(
-            "origin", F.col("dst").alias("station"), (F.col("rides") + 1).alias("rides"), "walks", (F.col("ms") + F.col("leg.ms")).alias("ms"),
-            F.concat("legs", F.array("leg")).alias("legs"), "served")
-        may_walk = (F.col("walks") < MAX_WALKS) & ~((F.lit(legs) == 1) & F.col("served"))
-        by_walk = cur.where(may_walk).join(walks, F.col("station") == F.col("src")).select(
-            "origin", F.col("dst").alias("station"), "rides", (F.col("walks") + 1).alias("walks"), (F.col("ms") + F.col("leg.ms")).alias("ms"),
-            F.concat("legs", F.array("leg")).alias("legs"), "served")
-        layer = by_ride.unionByName(by_walk).where(F.col("ms") <= MAX_JOURNEY_MS).groupBy("origin", "station", "rides", "walks").agg(
-            F.min(F.struct("ms", "legs", "served")).alias("b")).select("origin", "station", "rides", "walks", "b.*")
+        ride = F.col("line_id").isNotNull()
+        allowed = F.when(ride, F.col("rides") < MAX_RIDES).otherwise((F.col("walks") < MAX_WALKS) & (~F.col("served") if legs == 1 else F.lit(True)))
+        first = ride & (F.col("first_line") < 0)
+        step = layer.join(hop, F.col("station") == F.col("src")).where(allowed & (F.col("ms") + F.col("hop_ms") <= MAX_JOURNEY_MS)).select(
+            "origin", F.col("dst").alias("station"), (F.col("rides") + ride.cast("int")).alias("rides"), (F.col("walks") + (~ride).cast("int")).alias("walks"), (F.col("ms") + F.col("hop_ms")).alias("ms"),
+            (F.when(ride, 0).otherwise(1) if legs == 1 else F.col("walk_first")).alias("walk_first"), F.when(first, F.col("line_id")).otherwise(F.col("first_line")).alias("first_line"),
+            F.when(first, F.col("src")).otherwise(F.col("first_stop")).alias("first_stop"), F.coalesce("line_id", none).alias("by_line"), F.col("src").alias("prev"), F.col("meters").alias("leg_m"), F.col("hop_ms").alias("leg_ms"))
+        layer = step.groupBy(*LABEL_KEY).agg(F.min(F.struct(*LABEL)).alias("b")).select(*LABEL_KEY, "b.*")
+        if every is not None:
+            old = every.select("origin", "station", F.col("rides").alias("_r"), F.col("walks").alias("_w"), F.col("ms").alias("_ms"))
+            o, n = old.alias("o"), layer.alias("n")
+            beaten = (F.col("o.origin") == F.col("n.origin")) & (F.col("o.station") == F.col("n.station")) & (F.col("o._r") <= F.col("n.rides")) & (F.col("o._w") <= F.col("n.walks")) & (F.col("o._ms") <= F.col("n.ms"))
+            layer = n.join(o, beaten, "left_anti")
         layer = cut_lineage(layer)
-        layers.append(layer)
-    every = layers[0]
-    for x in layers[1:]:
-        every = every.unionByName(x)
-    best = every.where("origin <> station").groupBy("origin", F.col("station").alias("dest")).agg(F.min(F.struct("ms", "rides", "walks", "legs")).alias("b"))
+        every = layer if every is None else every.unionByName(layer)
+    return every.withColumn("by_line", F.when(F.col("by_line") >= 0, F.col("by_line")).otherwise(null))
+
+
+def best_journeys(labels: DataFrame) -> DataFrame:
+    """(origin, dest, ms, rides, walks, first_line, first_stop, walk_first) of the best label of each pair, fastest, then with the fewest rides, then
+    walks. A pair whose best way is walking only is left out."""
+    best = labels.where("origin <> station").groupBy("origin", F.col("station").alias("dest")).agg(
+        F.min(F.struct("ms", "rides", "walks", "first_line", "first_stop", "walk_first")).alias("b"))
     return best.select("origin", "dest", "b.*").where("rides > 0")
 
 
+def itineraries(stations: DataFrame, rides: DataFrame, walks: DataFrame, origins: DataFrame | None = None) -> DataFrame:
+    """Best journey from every station (or those of ``origins``) to every other within 4 rides, 2 walks and 8 hours, as in ``best_journeys``."""
+    return best_journeys(journey_labels(stations, rides, walks, origins))
+
+
+def journey_legs(labels: DataFrame, journeys: DataFrame) -> DataFrame:
+    """Legs of journeys, one row each: (origin, dest, leg, kind, line_id, src, dst, meters, ms), ``leg`` from 1. Each round goes one leg back, by a join with the label that a
+    journey has come from; a leg takes off one ride or one walk. ``journeys``: origin, dest, rides, walks."""
+    back = labels.select(*LABEL_KEY, "by_line", "prev", "leg_m", "leg_ms")
+    at = journeys.select("origin", "dest", F.col("dest").alias("station"), "rides", "walks")
+    out = None
+    for _ in range(MAX_RIDES + MAX_WALKS):
+        found = cut_lineage(at.join(back, LABEL_KEY))
+        ride = F.col("by_line").isNotNull()
+        leg = found.select("origin", "dest", (F.col("rides") + F.col("walks")).alias("leg"), F.when(ride, "ride").otherwise("walk").alias("kind"), F.col("by_line").alias("line_id"), F.col("prev").alias("src"),
+                           F.col("station").alias("dst"), F.col("leg_m").alias("meters"), F.col("leg_ms").alias("ms"))
+        out = leg if out is None else out.unionByName(leg)
+        at = found.select("origin", "dest", F.col("prev").alias("station"), F.when(ride, F.col("rides") - 1).otherwise(F.col("rides")).alias("rides"), F.when(ride, F.col("walks")).otherwise(F.col("walks") - 1).alias("walks")).where(
+            "rides + walks > 0")
+    return out
+
+
 def od_matrix(stations: DataFrame, line_stops: DataFrame, plans: DataFrame, walks: DataFrame, least: float = OD_LEAST_PEOPLE) -> DataFrame:
-    """People per day between stations: (origin, dest, band, meters, people, transfers, rides, walks, legs, kept).
+    """People per day between stations: (origin, dest, band, meters, people, transfers, rides, walks, first_line, first_stop, walk_first, kept).
 
     Destinations have coverage and a line (or a walk to one) and can be reached; the day's trips are split over bands by
     the mix of the bands present, and inside a band by weight. Pairs below ``least`` are kept as rows with ``kept`` false,
@@ -113,7 +148,8 @@ def od_matrix(stations: DataFrame, line_stops: DataFrame, plans: DataFrame, walk
     have = pool.groupBy("origin").agg(F.collect_set("band").alias("have"))
     pool = pool.join(have, "origin").withColumn("share", D.band_share(F.col("band"), F.col("have"))).drop("have")
     out = p.join(pool, ["origin", "band"]).withColumn("people", F.col("daily_trips") * F.col("share") * F.col("weight") / F.col("pool"))
-    return out.select("origin", "dest", "band", "meters", "people", (F.col("rides") - 1).alias("transfers"), "rides", "walks", "legs", (F.col("people") >= least).alias("kept"))
+    return out.select("origin", "dest", "band", "meters", "people", (F.col("rides") - 1).alias("transfers"), "rides", "walks", "first_line", "first_stop", "walk_first",
+                      (F.col("people") >= least).alias("kept"))
 
 
 def od_station(od: DataFrame, stations: DataFrame, top: int = 12) -> DataFrame:
@@ -134,10 +170,8 @@ def od_stats(od: DataFrame) -> DataFrame:
 
 def od_line_loads(od: DataFrame) -> DataFrame:
     """Boardings per line, station and band by the first ride of each journey, and how many walk to it first."""
-    ride = F.element_at(F.filter("legs", lambda g: g["kind"] == "ride"), 1)
-    first = od.where("kept").withColumn("_r", ride)
-    return first.groupBy(F.col("_r.line_id").alias("line_id"), F.col("_r.src").alias("station_id"), "band").agg(
-        F.sum("people").alias("people"), F.countDistinct("dest").alias("destinations"), F.sum(F.when(F.get("legs", 0)["kind"] == "walk", F.col("people")).otherwise(0.0)).alias("walked_first"))
+    return od.where("kept").groupBy(F.col("first_line").alias("line_id"), F.col("first_stop").alias("station_id"), "band").agg(
+        F.sum("people").alias("people"), F.countDistinct("dest").alias("destinations"), F.sum(F.when(F.col("walk_first") == 1, F.col("people")).otherwise(0.0)).alias("walked_first"))
 
 
 # ---- timetable --------------------------------------------------------------------------------------------------------
@@ -440,10 +474,26 @@ def write_lines_csv(table: DataFrame, path: str) -> None:
 
 # ---- import from tags ---------------------------------------------------------------------------------------------------------------
 
-def import_stations(ds: OsmDataset, existing: DataFrame, network_nodes: DataFrame, box: dict | None = None, max_snap_m: float = 300.0) -> dict[str, DataFrame]:
+def import_links(candidates: DataFrame, rail_nodes: DataFrame, roads: DataFrame) -> DataFrame:
+    """Where candidates join their network: (id, node_id, distance_m, direct). Buses use the road network, all other kinds the rail network. A candidate that
+    is a node of its network is that node. Else a bus stop takes the nearer end of the nearest road segment within 80 m, a station on rails the
+    nearest node within 200 m; the others have no row. ``candidates``: id, osm_type, osm_id, kind, lat, lon; ``roads``: edges."""
+    ends = roads.select(F.explode(F.array("a", "b")).alias("osm_id")).distinct()
+    bus = F.col("kind") == "bus"
+    of_network = rail_nodes.select(F.col("id").alias("osm_id"), F.lit(False).alias("_bus")).distinct().unionByName(ends.withColumn("_bus", F.lit(True)))
+    asked = candidates.select("id", "osm_type", "osm_id", "lat", "lon", bus.alias("_bus"))
+    direct = asked.where("osm_type = 'node'").join(of_network, ["osm_id", "_bus"], "left_semi")
+    rest = asked.join(direct.select("id"), "id", "left_anti")
+    on_road = snap_to_segment(rest.where("_bus"), roads, IMPORT_SNAP_BUS_M).select("id", F.col("end_node").alias("node_id"), "distance_m")
+    on_rail = snap_to_node(rest.where("NOT _bus"), rail_nodes, IMPORT_SNAP_RAIL_M).select("id", "node_id", "distance_m")
+    return direct.select("id", F.col("osm_id").alias("node_id"), F.lit(0.0).alias("distance_m"), F.lit(True).alias("direct")).unionByName(
+        on_road.unionByName(on_rail).withColumns({"distance_m": js_round(F.col("distance_m")).cast("double"), "direct": F.lit(False)}))
+
+
+def import_stations(ds: OsmDataset, existing: DataFrame, rail_nodes: DataFrame, roads: DataFrame, box: dict | None = None) -> dict[str, DataFrame]:
     """New stations from tagged nodes and ways. Candidates are taken in order of rule, nodes before ways, id; a candidate
     is skipped if its element was imported before, if a station of its kind already stands or was just taken within 25 m, or
-    if no network node is near. ``existing``: osm_type, osm_id, kind, lat, lon; ``network_nodes``: id, lat, lon."""
+    if it does not join the network of its kind (``import_links``). ``existing``: osm_type, osm_id, kind, lat, lon; ``rail_nodes``: id, lat, lon; ``roads``: edges."""
     t = F.col("tags")
     rule = F.lit(None).cast("int")
     for i in reversed(range(len(IMPORT_RULES))):
@@ -465,7 +515,7 @@ def import_stations(ds: OsmDataset, existing: DataFrame, network_nodes: DataFram
     new = c.join(existing.select("osm_type", "osm_id"), ["osm_type", "osm_id"], "left_anti")
     new = new.withColumn("id", F.col("osm_id") * 2 + F.col("_t"))
     # Candidates without a network node nearby never take a place.
-    snap = snap_to_node(new, network_nodes, max_snap_m)
+    snap = cut_lineage(import_links(new, rail_nodes, roads))
     linked = cut_lineage(new.join(snap, "id"))
     unlinked = new.join(snap, "id", "left_anti")
     near_old = neighbour_pairs(linked.select("id", "lat", "lon", "kind").unionByName(

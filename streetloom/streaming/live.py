@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from streetloom.functions.geo import EARTH_RADIUS_M
 from streetloom.operators.history import apply_changes
 from streetloom.session import shared_path
 
@@ -270,15 +272,46 @@ def ridership(events: DataFrame, span: str = "1 day", late: str = "1 hour", keys
             .select(F.col("w.start").alias("start"), *keys, "events", "riders"))
 
 
-def vehicle_cells(events: DataFrame, span: str = "5 minutes", slide: str = "1 minute", late: str = "1 minute", cell_deg: float = 0.01) -> DataFrame:
-    """Reports and vehicles per cell and line in sliding windows. ``events``: ts, vehicle_id, line_id, lat, lon."""
+def vehicle_cells(events: DataFrame, span: str = "5 minutes", slide: str = "1 minute", late: str = "1 minute", cell_deg: float = 0.01, error: float = 0.01) -> DataFrame:
+    """Reports and vehicles per cell and line in sliding windows. Vehicles are counted by a sketch of fixed size per window, with a relative ``error``; a few dozen come out
+    exact. ``events``: ts, vehicle_id, line_id, lat, lon."""
     w = F.window("ts", span, slide)
     y, x = F.floor(F.col("lat") / cell_deg), F.floor(F.col("lon") / cell_deg)
     return (events.withWatermark("ts", late).groupBy(w.alias("w"), y.alias("cell_y"), x.alias("cell_x"), "line_id")
-            .agg(F.count("*").alias("reports"), F.approx_count_distinct("vehicle_id").alias("vehicles"))
+            .agg(F.count("*").alias("reports"), F.approx_count_distinct("vehicle_id", error).alias("vehicles"))
             .select(F.col("w.start").alias("start"), "cell_y", "cell_x", "line_id", "reports", "vehicles"))
 
 
+def vehicle_speeds(events: DataFrame, keep_sec: int = 600, late: str = "10 minutes", cell_deg: float = 0.01) -> DataFrame:
+    """Speed and cell of each position report: (vehicle_id, event_id, ms, lat, lon, cell_y, cell_x, meters, speed_kmh), from the vehicle's report before, which is its state. The first
+    report, one after ``keep_sec`` of silence, and one at the same time as the one before have no speed. ``events``: vehicle_id, event_id, ms, lat, lon. Rows more than ``late``
+    behind are dropped; a vehicle is forgotten ``keep_sec`` after its last report."""
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = _ordered(batches, ["ms", "event_id"])
+        if not len(rows):
+            return
+        ms, lat, lon = (rows[c].to_numpy() for c in ("ms", "lat", "lon"))
+        last = state.get if state.exists else (int(ms[0]) - keep_sec * 1000 - 1, lat[0], lon[0])
+        since, y, x = (np.concatenate(([a], b[:-1])) for a, b in zip(last, (ms, lat, lon), strict=True))
+        half = np.sin(np.radians(lat - y) / 2) ** 2 + np.cos(np.radians(y)) * np.cos(np.radians(lat)) * np.sin(np.radians(lon - x) / 2) ** 2
+        meters, took = 2 * EARTH_RADIUS_M * np.arcsin(np.minimum(1.0, np.sqrt(half))), ms - since
+        known = (took > 0) & (took <= keep_sec * 1000)
+        speed = np.divide(meters * 3600, took, out=np.full(len(rows), np.nan), where=known)
+        state.update((int(ms[-1]), float(lat[-1]), float(lon[-1])))
+        _forget_at(state, int(ms[-1]) + keep_sec * 1000)
+        out = rows[["event_id", "ms", "lat", "lon"]].assign(
+            vehicle_id=key[0], cell_y=np.floor(lat / cell_deg).astype("int64"), cell_x=np.floor(lon / cell_deg).astype("int64"),
+            meters=pd.Series(np.where(known, meters, np.nan), index=rows.index), speed_kmh=pd.Series(speed, index=rows.index))
+        yield out[["vehicle_id", "event_id", "ms", "lat", "lon", "cell_y", "cell_x", "meters", "speed_kmh"]]
+
+    return _timed(events.select("vehicle_id", "event_id", "ms", "lat", "lon"), F.col("ms"), late).groupBy("vehicle_id").applyInPandasWithState(
+        step, "vehicle_id long, event_id long, ms long, lat double, lon double, cell_y long, cell_x long, meters double, speed_kmh double", "ms long, lat double, lon double", "append",
+        GroupStateTimeout.EventTimeTimeout)
+
+
 def delay_stream(obs: DataFrame, plan: DataFrame, tolerance_sec: int = 1800, trend_sec: int = 15, late: str = "10 minutes",
                  keep_sec: int = 86400) -> DataFrame:
     """Delay and trend of each stop observation: joined with the static plan within the tolerance, then compared with the

@@ -7,6 +7,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from streetloom.model import NODES, RELATION_MEMBERS, RELATIONS, WAY_NODES, WAYS, OsmDataset
 from streetloom.operators import geometry as G, history as H
 from streetloom.sources import layout, osm_files as X, osm_pbf as P
 
@@ -154,3 +155,51 @@ def test_lengths_skip_missing_nodes(spark, xml_path):
     ds = X.read_osm_xml(spark, xml_path)
     cut = ds.nodes.where("id <> 2")
     assert G.way_length(ds.way_nodes, cut).where("way_id = 100").first().length_m == pytest.approx(280.3, abs=1.5)
+
+
+def scanned_files(df):
+    """How many files the scan of ``df`` opened."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    while plan.children().size():
+        plan = plan.children().head()
+    return plan.metrics().get("numFiles").get().value()
+
+
+def test_box_reads_open_few_files(spark, tmp_path):
+    """A lattice of small ways, and some that span many cells; each box read against all rows."""
+    nodes, refs = [], []
+    for k in range(400):
+        lat, lon = 10 + k // 20, 20 + k % 20
+        reach = 0.01 if k % 50 else 0.3 * (1 + k // 50)
+        nodes += [(2 * k, lat + 0.5, lon + 0.5), (2 * k + 1, lat + 0.5 + reach, lon + 0.5 + reach)]
+        refs += [(k, 0, 2 * k), (k, 1, 2 * k + 1)]
+    nodes += [(9000, -90.0, -180.0), (9001, 90.0, 180.0)]
+    refs += [(900, 0, 9000), (900, 1, 9001), (901, 0, 777777)]
+    node = spark.createDataFrame([(i, a, o, 1, None, None, None, None) for i, a, o in nodes], NODES)
+    way = spark.createDataFrame([(i, 1, None, None, None, None, 2, False) for i in sorted({r[0] for r in refs})], WAYS)
+    ds = OsmDataset(node, way, spark.createDataFrame(refs, WAY_NODES), spark.createDataFrame([], RELATIONS), spark.createDataFrame([], RELATION_MEMBERS))
+    path = str(tmp_path / "d")
+    layout.write_dataset(ds, path, cell_deg=0.05)
+    places = {i: (a, o) for i, a, o in nodes}
+    total = scanned_files(spark.read.parquet(f"{path}/ways"))
+    for box in ((14.2, 15.8, 25.1, 26.9), (10.505, 10.505, 20.505, 20.505), (-90, 90, -180, 180), (-5, 0, 0, 5), (29.4, 31, 30, 41)):
+        b = dict(zip(("min_lat", "max_lat", "min_lon", "max_lon"), box, strict=True))
+        ways = layout.read_ways_in_box(spark, path, b)
+        touch = lambda p, q: q[1] >= box[2] and p[1] <= box[3] and q[0] >= box[0] and p[0] <= box[1]
+        want = {w: [places[2 * w], places[2 * w + 1]] for w in range(400) if touch(places[2 * w], places[2 * w + 1])} | {900: [places[9000], places[9001]]}
+        assert {r.id: [tuple(c) for c in r.coords] for r in ways.collect()} == want
+        assert sorted(r.id for r in layout.read_nodes_in_box(spark, path, b).collect()) == sorted(i for i, (a, o) in places.items() if box[0] <= a <= box[1] and box[2] <= o <= box[3])
+        if box[3] - box[2] < 10:
+            assert scanned_files(ways) <= total // 4, box
+    assert layout.read_dataset(spark, path).ways.count() == 402
+
+
+@pytest.mark.parametrize("rect", [((0, 0), (15, 15)), ((3, 5), (3, 5)), ((1, 2), (9, 6)), ((0, 7), (15, 8)), ((5, 5), (10, 10))])
+def test_runs_hold_every_cell(rect):
+    weave = lambda r, c: sum((r >> k & 1) << 2 * k + 1 | (c >> k & 1) << 2 * k for k in range(4))
+    inside = {weave(r, c) for r in range(rect[0][0], rect[1][0] + 1) for c in range(rect[0][1], rect[1][1] + 1)}
+    for most in (1, 3, 100):
+        runs = layout.runs_of(*rect, 4, most)
+        assert len(runs) <= most and all(any(a <= x <= b for a, b in runs) for x in inside)
+    assert {x for a, b in layout.runs_of(*rect, 4, 100) for x in range(a, b + 1)} == inside
