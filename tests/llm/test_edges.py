@@ -57,7 +57,26 @@ def test_templates_are_rejected_by_the_labels_of_their_branch(spark):
         (3000 + k, f"http://b.com/xx/{k}") for k in range(20)]
     df = spark.createDataFrame([(i, u, None, 1, 2, 3, 4, "n") for i, u in rows], PAGES)
     verdicts = {(r.host, r.template): r.verdict for r in filter_urls(df).collect()}
-    assert verdicts == {("a.com", "/de/{number}"): "block", ("a.com", "/xx/{number}"): "block", ("b.com", "/fr/{number}"): "allow", ("b.com", "/xx/{number}"): "allow"}
+    assert verdicts == {("a.com", "/{de|xx}/{number}"): "block", ("b.com", "/{fr|xx}/{number}"): "allow"}
+
+
+def test_a_branch_built_like_a_blocked_one_is_blocked(spark):
+    """Same shapes below: judged alike, with or without labels. Other shapes: not."""
+    rows = [(k, f"http://a.com/de/item/{k}.html") for k in range(200)] + [(300 + k, f"http://a.com/xx/item/{k}.html") for k in range(60)] + [(500 + k, f"http://a.com/about/{'abcdefgh'[k % 8]}{k}") for k in range(60)]
+    rows += [(1000 + k, f"http://b.com/de/{k}") for k in range(100)] + [(1200 + k, f"http://b.com/fr/{k}") for k in range(100)] + [(1400 + k, f"http://b.com/xx/{k}") for k in range(50)]
+    df = spark.createDataFrame([(i, u, None, 1, 2, 3, 4, "n") for i, u in rows], PAGES)
+    got = {}
+    for r in filter_urls(df).collect():
+        got.setdefault((r.host, r.path.split("/")[1]), set()).add((r.verdict, r.template))
+    assert got["a.com", "de"] == got["a.com", "xx"] == {("block", "/{de|xx}/item/{number.ext}")}
+    assert {v for v, _ in got["a.com", "about"]} == {"allow"}
+    assert {v for v, _ in got["b.com", "de"]} == {"block"} and {v for v, _ in got["b.com", "fr"]} == {"allow"} and {v for v, _ in got["b.com", "xx"]} == {"allow"}
+
+
+def test_templates_are_as_deep_as_paths(spark):
+    rows = [(k, f"http://c.net/a/b/c/d/e/f/g/h/i/{'x' if k % 2 else 'y'}/{k}") for k in range(40)] + [(100, "http://c.net/" + "q/" * 3000)]
+    df = spark.createDataFrame([(i, u, None, 1, 2, 3, 4, "n") for i, u in rows], PAGES)
+    assert {r.template for r in filter_urls(df).collect()} == {"/a/b/c/d/e/f/g/h/i/{x|y}/{number}", "/{any}/{...}"}
 
 
 def test_simhash(spark):
@@ -239,3 +258,51 @@ def test_pipeline_stages(spark, tmp_path):
             now = spark.read.parquet(path)
             assert now.columns == plain or k == len(corpus_pipeline.STAGES) - 1
         assert (now.count() > 0) == bool(rows)
+
+
+def test_every_class_of_near_duplicates_keeps_one_of_its_own_rows(spark):
+    """Ids that several texts share do not stand for a class."""
+    x, y, z = (" ".join(f"{c}{k}" for k in range(40)) for c in "xyz")
+    rows = [(5, x), (5, y), (5, z), (3, z), (None, y), (None, "no other has these words"), (None, "no other has these words")]
+    got = sorted(((r.doc_id, r.text) for r in drop_near_duplicates(plain_docs(spark, rows)).collect()), key=str)
+    assert got == sorted([(5, x), (5, y), (3, z), (None, "no other has these words")], key=str)
+
+
+def test_texts_with_one_hash_keep_their_own_lines(spark):
+    """Two texts without id whose 32-bit hashes agree; one has a line that another document had first."""
+    from pyspark.sql import functions as F
+    line = "a line that two documents have"
+    one = spark.range(150_000).select(F.concat(F.lit(f"{line}\nmore "), F.col("id").cast("string")).alias("a")).withColumn("h", F.hash("a"))
+    two = spark.range(150_000).select(F.concat(F.lit("wholly other text "), F.col("id").cast("string")).alias("b")).withColumn("h", F.hash("b"))
+    pair = one.join(two, "h").orderBy("a", "b").first()
+    got = drop_repeated_lines(plain_docs(spark, [(1, line), (None, pair.a), (None, pair.b)])).collect()
+    assert sorted(r.kept_text for r in got) == sorted([line, pair.a.split("\n")[1], pair.b])
+
+
+def test_numbers_that_look_like_letters_are_none(spark):
+    model = learn_languages(docs(spark))
+    rows = [(1, "½ ½ ②"), (2, "Ⅷ ² ①"), (3, "½and½ ²the"), (4, "x²")]
+    got = {r.doc_id: r.lang_pred for r in predict_languages(plain_docs(spark, rows), model).collect()}
+    assert got[1] == got[2] == "und" and got[3] != "und" and got[4] != "und"
+
+
+def test_an_id_with_many_rows_is_one_of_the_sample(spark):
+    rows = [(1, f"bad word{k} vile") for k in range(300)] + [(k, f"good text number {k}") for k in range(2, 40)]
+    known = [(1, 0, 1), *((k, 1, 0) for k in range(2, 40))]
+    model = learn_lines(plain_docs(spark, rows), labels(spark, known))
+    assert judge_quality(plain_docs(spark, rows), model).count() == len(rows)
+    assert score_toxicity(plain_docs(spark, rows), learn_toxicity(plain_docs(spark, rows), labels(spark, known))).count() == len(rows)
+
+
+@pytest.mark.parametrize("held", [1 << 10, 1 << 14, 80 << 20])
+def test_kept_stretches_do_not_change_segmentations(monkeypatch, held):
+    from streetloom.llm import pieces
+    rng = random.Random(2)
+    words = ["".join(rng.choice("etaoinsh") for _ in range(rng.randrange(1, 14))) for _ in range(300)]
+    texts = [" ".join(rng.choice(words) for _ in range(40)) for _ in range(30)]
+    whole = [pieces.Encoder(PIECES).encode_both([t])[0] for t in texts[:4]]
+    monkeypatch.setattr(pieces, "HELD", held)
+    monkeypatch.setattr(pieces, "RUN", 60)
+    e = pieces.Encoder(PIECES)
+    got = [x for k in range(0, 30, 3) for x in e.encode_both(texts[k : k + 3])]
+    assert got[:4] == whole and (held > 1 << 20 or len(e.known) < 260)
