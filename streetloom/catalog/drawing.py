@@ -118,13 +118,6 @@ def _(w: World):
     return t.select("cls", F.size("trail").cast("long").alias("nodes"), F.md5(F.array_join(F.transform("trail", lambda n: n.cast("string")), ",")).alias("trail"))
 
 
-@query("simplified_trails", "O96")
-def _(w: World):
-    g = G.way_geometry(w.way_nodes, w.nodes)
-    s = g.withColumn("thin", shapes.simplified(F.col("coords"), F.lit(30.0)))
-    return s.select("way_id", F.size("coords").alias("before"), F.size("thin").alias("after"))
-
-
 def walk(number: int) -> str:
     """WALK over r<number>, with names of its own."""
     return re.sub(r"\b(en|mt|lk|nx|wk|rg|ch|nd|r)\b", rf"\g<1>{number}", WALK)
@@ -138,22 +131,34 @@ def path_text(geom: str = "geom"):
 
 LAT0 = f"(({A} + {B}) / 2)"
 KEY = "concat_ws(chr(1), cv.sub, coalesce(t['name'], ''), coalesce(t['bridge'], ''), coalesce(t['tunnel'], ''), coalesce(t['layer'], '')"
-# Paths sc (pid, ring, zoom, pts) thinned by Douglas-Peucker: each stretch is cut at its farthest point while that is beyond a pixel.
-THIN = f"""sd AS (SELECT *, list_filter(pts, lambda p, i: i = 1 OR p <> pts[i - 1]) AS q, 156543.03392804097::DOUBLE * cos({LAT0} * (pi() / 180)) / pow(2, zoom) AS tol FROM sc),
-tp AS (SELECT pid, tol, i, q[i].y * 110574.0::DOUBLE AS u, q[i].x * (111320.0::DOUBLE * cos(radians({LAT0}))) AS v FROM (SELECT *, unnest(range(1, len(q) + 1)) AS i FROM sd WHERE len(q) >= CASE WHEN ring THEN 3 ELSE 2 END) z),
-kp(pid, lo, hi) AS (SELECT pid, 1::BIGINT, max(i)::BIGINT FROM tp GROUP BY pid UNION ALL
+# Points tp (pid, tol, i, u, v in metres) kept by Douglas-Peucker, as kk (pid, i): each stretch is cut at its farthest point while that is beyond the tolerance.
+KEPT = """kp(pid, lo, hi) AS (SELECT pid, 1::BIGINT, max(i)::BIGINT FROM tp GROUP BY pid UNION ALL
  SELECT pid, unnest([lo, far]), unnest([far, hi]) FROM (SELECT pid, lo, hi, best[2]::BIGINT AS far FROM (
   SELECT pid, lo, hi, max(tol) AS tol, min([-sqrt(pow(pu - share * du, 2) + pow(pv - share * dv, 2)), i]) AS best FROM (
    SELECT k.pid, k.lo, k.hi, p.i, p.tol, p.u - a.u AS pu, p.v - a.v AS pv, b.u - a.u AS du, b.v - a.v AS dv,
     CASE WHEN pow(b.u - a.u, 2) + pow(b.v - a.v, 2) > 0 THEN greatest(0, least(1, ((p.u - a.u) * (b.u - a.u) + (p.v - a.v) * (b.v - a.v)) / (pow(b.u - a.u, 2) + pow(b.v - a.v, 2)))) ELSE 0 END AS share
    FROM kp k JOIN tp p ON p.pid = k.pid AND p.i > k.lo AND p.i < k.hi JOIN tp a ON a.pid = k.pid AND a.i = k.lo JOIN tp b ON b.pid = k.pid AND b.i = k.hi) m GROUP BY pid, lo, hi) n WHERE -best[1] > tol) o),
-kk AS (SELECT pid, lo AS i FROM kp UNION SELECT pid, hi FROM kp),
+kk AS (SELECT pid, lo AS i FROM kp UNION SELECT pid, hi FROM kp)"""
+# Paths sc (pid, ring, zoom, pts) thinned to about a pixel.
+THIN = f"""sd AS (SELECT *, list_filter(pts, lambda p, i: i = 1 OR p <> pts[i - 1]) AS q, 156543.03392804097::DOUBLE * cos({LAT0} * (pi() / 180)) / pow(2, zoom) AS tol FROM sc),
+tp AS (SELECT pid, tol, i, q[i].y * 110574.0::DOUBLE AS u, q[i].x * (111320.0::DOUBLE * cos(radians({LAT0}))) AS v FROM (SELECT *, unnest(range(1, len(q) + 1)) AS i FROM sd WHERE len(q) >= CASE WHEN ring THEN 3 ELSE 2 END) z),
+{KEPT},
 th AS (SELECT sd.* EXCLUDE (pts, q, tol), list({{'y': CAST(floor(q[kk.i].y * 100000 + 0.5) AS BIGINT), 'x': CAST(floor(q[kk.i].x * 100000 + 0.5) AS BIGINT)}} ORDER BY kk.i) AS g, count(*) - CASE WHEN count(*) > 1 AND arg_min(q[kk.i], kk.i) = arg_max(q[kk.i], kk.i) THEN 1 ELSE 0 END AS different
  FROM sd JOIN kk ON kk.pid = sd.pid GROUP BY ALL),
 ds AS (SELECT * EXCLUDE (g, different), CAST(len(g) AS INT) AS npts, array_to_string(list_transform(g, lambda p: concat(p.y, ',', p.x)), ' ') AS path, list_min(list_transform(g, lambda p: p.y)) / 100000.0::DOUBLE AS min_lat, list_max(list_transform(g, lambda p: p.y)) / 100000.0::DOUBLE AS max_lat,
  list_min(list_transform(g, lambda p: p.x)) / 100000.0::DOUBLE AS min_lon, list_max(list_transform(g, lambda p: p.x)) / 100000.0::DOUBLE AS max_lon FROM th WHERE len(g) >= 2 AND (NOT ring OR different >= 3))"""
 
 
+@query("simplified_trails", "O96", f"""WITH RECURSIVE sc AS (SELECT r.way_id AS pid, list(n.lat ORDER BY r.seq) AS ys, list(n.lon ORDER BY r.seq) AS xs FROM d_way_nodes r JOIN d_nodes n ON n.id = r.node_id GROUP BY r.way_id),
+tp AS (SELECT pid, 30.0::DOUBLE AS tol, i, ys[i] * 110574.0::DOUBLE AS u, xs[i] * (111320.0::DOUBLE * cos(radians(list_avg(ys)))) AS v FROM (SELECT *, unnest(range(1, len(ys) + 1)) AS i FROM sc) z),
+{KEPT}
+SELECT sc.pid AS way_id, CAST(any_value(len(ys)) AS INT) AS before, CAST(count(*) AS INT) AS after, string_agg(concat(floor(ys[i] * 100000 + 0.5)::BIGINT, ',', floor(xs[i] * 100000 + 0.5)::BIGINT), ' ' ORDER BY i) AS path FROM sc JOIN kk ON kk.pid = sc.pid GROUP BY sc.pid""")
+def _(w: World):
+    g = G.way_geometry(w.way_nodes, w.nodes)
+    s = g.withColumn("thin", shapes.simplified(F.col("coords"), F.lit(30.0))).withColumn("geom", F.array("thin"))
+    return s.select("way_id", F.size("coords").alias("before"), F.size("thin").alias("after"), path_text().alias("path"))
+
+
 def drawn(tiles: bool) -> str:
     """Display entries ds of all zooms, lines by tile or over the whole extent, areas once each."""
     tile, on = (BOX_TILES, ON_TILES) if tiles else ("0", "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from streetloom.catalog import query
-from streetloom.functions import demand as D, geo, roads as R, tags as T
+from streetloom.functions import demand as D, geo, roads as R, sql as SQL, tags as T
 from streetloom.operators import rules as RU, spatial
 from streetloom.plans.demo import World
 
@@ -386,3 +386,26 @@ def _(w: World):
     from streetloom.operators.geometry import way_segments
     near = spatial.near_segments(w.stations, way_segments(w.way_nodes, w.nodes).where("gap = 1"), 300)
     return near.select("id", "way_id", F.col("seq").cast("int").alias("seq"), geo.js_round(F.col("t"), 6).alias("pos"), geo.js_round(F.col("m"), 2).alias("dist_m"))
+
+
+@query("sql_functions", "SQL functions", "SELECT f.name AS function, count(*) AS rows, count(*) AS same FROM o_features CROSS JOIN (VALUES " + ", ".join(f"('{r.name}')" for r in SQL.RULES) + ") AS f(name) GROUP BY f.name")
+def _(w: World):
+    """Every registered function beside the Column it is made of, over all features."""
+    SQL.register(w.spark)
+    f = w.features.select("id", "tags", F.col("zoom").cast("int").alias("zoom"), "closed", F.col("size").cast("double").alias("area_m2"), "min_lat", "max_lat", "min_lon", "max_lon", T.line_class(F.col("tags")).alias("line_cls"),
+                          T.area_class(F.col("tags")).alias("area_cls"), T.station_kind(F.col("tags")).alias("kind"), (F.col("size") * 731.0).alias("meters"), (F.col("id") % 90000).alias("sec"))
+    given = {"cls": "coalesce(line_cls, area_cls)", "ident": "id", "limit_kmh": "CAST(10 + id % 90 AS INT)", "congestion": "(id % 11) / 10D", "coverage": "CAST(id % 5000 AS DOUBLE)", "lines": "id % 7",
+             "clock": "concat(CAST(id % 30 AS STRING), ':', CAST(id % 60 AS STRING))", "lat1": "min_lat", "lat2": "max_lat", "lon1": "min_lon", "lon2": "max_lon", "lat": "min_lat", "lon": "min_lon"}
+    same = []
+    for r in SQL.RULES:
+        args = [given.get(n, n) for n in r.names()]
+        args = ["CAST(zoom AS DOUBLE)" if r.name == "meters_per_pixel" and a == "zoom" else a for a in args]
+        same.append(F.expr(f"{r.name}({', '.join(args)})").eqNullSafe(r.over(*map(F.expr, args))).alias(r.name))
+    # One pass for each few functions: all of them at once would be one very large expression.
+    out = None
+    for k in range(0, len(same), 6):
+        few = [r.name for r in SQL.RULES[k : k + 6]]
+        each = F.explode(F.array(*[F.struct(F.lit(n).alias("function"), F.col(n).alias("ok")) for n in few])).alias("s")
+        part = f.select(*same[k : k + 6]).select(each).groupBy("s.function").agg(F.count("*").alias("rows"), F.count_if("s.ok").alias("same"))
+        out = part if out is None else out.unionByName(part)
+    return out

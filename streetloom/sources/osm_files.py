@@ -74,7 +74,7 @@ def next_ids(raw: dict[str, DataFrame]) -> DataFrame:
 
 def normalise_elements(raw: dict[str, DataFrame], limit: int | None = None, max_tags: int | None = None) -> OsmDataset:
     """Version 1 when absent, editor = uid or else user, positions from 0, no invisible elements, no elements without id or
-    (nodes) coordinates, at most 200 tags of which the last value of a key counts."""
+    (nodes) coordinates; the last value of a key counts, and ``max_tags`` keeps that many tags of an element (all by default)."""
     def base(df: DataFrame) -> DataFrame:
         ok = df.where(F.col("id").isNotNull())
         if limit is not None:
