@@ -153,7 +153,7 @@ def _(w: World):
 
 
 @query("stream_vehicle_speeds", "S8", f"""
-WITH e AS (SELECT user_id AS vehicle_id, event_id, epoch_ms(ts) AS ms, 39.7::DOUBLE + (event_id * 37) % 1000 / 10000.0::DOUBLE AS lat, 116.1::DOUBLE + (event_id * 53) % 1000 / 10000.0::DOUBLE AS lon FROM events),
+WITH e AS (SELECT user_id AS vehicle_id, event_id, epoch_us(ts) // 1000 AS ms, 39.7::DOUBLE + (event_id * 37) % 1000 / 10000.0::DOUBLE AS lat, 116.1::DOUBLE + (event_id * 53) % 1000 / 10000.0::DOUBLE AS lon FROM events),
 l AS (SELECT *, ms - lag(ms) OVER w AS took, {hav('lag(lat) OVER w', 'lag(lon) OVER w', 'lat', 'lon')} AS m FROM e WINDOW w AS (PARTITION BY vehicle_id ORDER BY ms, event_id))
 SELECT vehicle_id, event_id, CAST(floor(lat / 0.01::DOUBLE) AS BIGINT) AS cell_y, CAST(floor(lon / 0.01::DOUBLE) AS BIGINT) AS cell_x, CASE WHEN took > 0 AND took <= 21600000 THEN floor(m * 3600 / took * 1000 + 0.5) / 1000 END AS speed_kmh FROM l""")
 def _(w: World):
