@@ -41,3 +41,10 @@ def test_vehicles_of_a_cell_are_counted_exactly(spark, tmp_path):
     s = spark.readStream.schema(e.schema).parquet(f"{tmp_path}/v")
     got = L.run_once(L.vehicle_cells(s, "1 hour", "1 hour"), "append", "exact").collect()
     assert [(r.reports, r.vehicles) for r in got] == [(40000, 20011)]
+
+
+def test_cropped_members_are_not_shuffled_after_they_meet_views(spark):
+    w = World(spark, SMALL)
+    plan = plan_of(DS.crop_members(w.dataset, w.views, min_members=4))
+    first = next(line for line in plan.split("\n") if "Join" in line)
+    assert "relation_id" in first and "view_id" not in first, first
