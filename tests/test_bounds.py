@@ -48,3 +48,14 @@ def test_cropped_members_are_not_shuffled_after_they_meet_views(spark):
     plan = plan_of(DS.crop_members(w.dataset, w.views, min_members=4))
     first = next(line for line in plan.split("\n") if "Join" in line)
     assert "relation_id" in first and "view_id" not in first, first
+
+
+def test_visibility_is_taken_where_it_is_known(spark):
+    row = spark.sql("SELECT 1L AS view_id, 14 AS zoom, 1L AS id, map('highway', 'primary') AS tags, false AS closed, 0D AS min_lat, 1D AS max_lat, 0D AS min_lon, 1D AS max_lon, _least FROM VALUES (14), (15) AS v(_least)")
+    assert {r._least: r.status for r in S.stage(row, 4).collect()} == {14: "returned", 15: "invisible"}
+
+
+def test_ledger_works_no_tags_out(spark):
+    w = World(spark, SMALL)
+    plan = plan_of(S.viewport(w.dataset, w.views)["ledger"].where("kind = 'way'"))
+    assert "highway" not in plan
