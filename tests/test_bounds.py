@@ -59,3 +59,16 @@ def test_ledger_works_no_tags_out(spark):
     w = World(spark, SMALL)
     plan = plan_of(S.viewport(w.dataset, w.views)["ledger"].where("kind = 'way'"))
     assert "highway" not in plan
+
+
+def test_punctuality_does_not_sort_the_stops(spark):
+    rows = [(k % 2, k % 5, (k * 37) % 200 - 80, k % 3 == 0) for k in range(100)]
+    d = spark.createDataFrame(rows, "line_id long, vehicle_id long, delay long, recovered boolean")
+    out = TR.punctuality(d)
+    deepest = [line for line in plan_of(out).split("\n") if "Aggregate" in line][-1]
+    assert "HashAggregate" in deepest, deepest
+    for r in out.collect():
+        mine = [x for x in rows if r.line_id in (None, x[0])]
+        most = max(x[2] for x in mine)
+        assert (r.tracked, r.max_delay, r.worst_vehicle) == (len(mine), most, min(x[1] for x in mine if x[2] == most))
+        assert r.avg_delay == math.floor(sum(x[2] for x in mine) / len(mine) + 0.5)
