@@ -72,3 +72,24 @@ def test_punctuality_does_not_sort_the_stops(spark):
         most = max(x[2] for x in mine)
         assert (r.tracked, r.max_delay, r.worst_vehicle) == (len(mine), most, min(x[1] for x in mine if x[2] == most))
         assert r.avg_delay == math.floor(sum(x[2] for x in mine) / len(mine) + 0.5)
+
+
+def test_own_vehicles_are_the_nearest_without_all_pairs(spark):
+    r = random.Random(3)
+    fleet = [(i, i % 3, 39.7 + r.random() * 0.1, 116.1 + r.random() * 0.1) for i in range(6000)] + [(7000 + i, 1, None, 116.0) for i in range(3)]
+    views = [(v, v % 3, y, y + 0.01, x, x + 0.02) for v, (y, x) in enumerate([(39.74, 116.13), (39.69, 116.2), (-40.0, -63.0), (10.0, 179.9), (39.75, 116.15), (60.0, 10.0)])]
+    f = spark.createDataFrame(fleet, "id long, owner long, lat double, lon double")
+    v = spark.createDataFrame(views, "view_id long, owner long, min_lat double, max_lat double, min_lon double, max_lon double")
+    box = v.select("view_id", F.col("owner").alias("viewer"), *[F.col(c).alias(f"box_{c}") for c in ("min_lat", "max_lat", "min_lon", "max_lon")])
+    assert TR.own_vehicles(f, box, 20, 16).count() < 6 * 2000 / 2
+
+    def meters(y, x, b, a):
+        h = math.sin(math.radians(b - y) / 2) ** 2 + math.cos(math.radians(y)) * math.cos(math.radians(b)) * math.sin(math.radians(a - x) / 2) ** 2
+        return 2 * 6378137.0 * math.asin(min(1.0, math.sqrt(h)))
+    got = {}
+    for x in TR.pick_visible(f, v, 20).collect():
+        got.setdefault(x.view_id, []).append((x.rank, x.id))
+    for view, owner, y1, y2, x1, x2 in views:
+        lost = [i for i, o, y, x in fleet if o == owner and y is None]
+        near = sorted((round(meters(y, x, (y1 + y2) / 2, (x1 + x2) / 2), 3), i) for i, o, y, x in fleet if o == owner and y is not None)
+        assert [i for _, i in sorted(got[view])] == (lost + [i for _, i in near])[:20]
