@@ -93,3 +93,17 @@ def test_own_vehicles_are_the_nearest_without_all_pairs(spark):
         lost = [i for i, o, y, x in fleet if o == owner and y is None]
         near = sorted((round(meters(y, x, (y1 + y2) / 2, (x1 + x2) / 2), 3), i) for i, o, y, x in fleet if o == owner and y is not None)
         assert [i for _, i in sorted(got[view])] == (lost + [i for _, i in near])[:20]
+
+
+def test_searches_stop_at_the_limit_of_their_origin(spark):
+    edges = spark.createDataFrame([(i, i + 1, 100.0, 45) for i in range(40)] + [(0, 3, 200.0, 45)], "a long, b long, length_m double, speed_kmh int")
+    one = 100 * 1.6
+    origins = spark.createDataFrame([(0, 0, one * 2.5), (20, 20, one)], "origin long, node_id long, most double")
+    got = {(r.origin, r.node_id): r.cost for r in N.shortest_costs(edges, origins, 5000.0).collect()}
+    assert set(got) == {(0, 0), (0, 1), (0, 2), (0, 3), (20, 19), (20, 20), (20, 21)}
+    assert math.isclose(got[0, 3], 2 * one)
+    # Stops that no edge joins are searched as far as before; a detour that is cheaper than the edge is found.
+    stops = spark.createDataFrame([(1, 0, 0), (1, 1, 3), (2, 0, 10), (2, 1, 15), (3, 0, 5), (3, 1, 39)], "line_id long, idx int, node_id long")
+    segments, lines = N.route_lines(stops, edges, one * 10)
+    assert {r.line_id: (r.cost and round(r.cost)) for r in segments.collect()} == {1: 320, 2: 800, 3: None}
+    assert {r.line_id: r.first_broken for r in lines.collect()} == {1: None, 2: None, 3: 0}
