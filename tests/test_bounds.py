@@ -107,3 +107,22 @@ def test_searches_stop_at_the_limit_of_their_origin(spark):
     segments, lines = N.route_lines(stops, edges, one * 10)
     assert {r.line_id: (r.cost and round(r.cost)) for r in segments.collect()} == {1: 320, 2: 800, 3: None}
     assert {r.line_id: r.first_broken for r in lines.collect()} == {1: None, 2: None, 3: 0}
+
+
+def test_journeys_are_searched_in_the_part_of_their_origin(spark):
+    st = spark.createDataFrame([(i, 39.8 + i % 7 * 0.001, 116.2 + i % 11 * 0.001) for i in range(150)], "id long, lat double, lon double")
+    stops = spark.createDataFrame([(i // 6 - k, i % 6 + 6 * k, i) for i in range(150) for k in (0, 1) if k == 0 or (i % 6 < 4 and i >= 6)], "line_id long, idx int, station_id long")
+    rides, walks = TR.ride_edges(TR.cumulative_stops(stops, st)), spark.createDataFrame([(0, 149, 80, 90000), (149, 0, 80, 90000)], "src long, dst long, meters long, ms long")
+    # No label is shuffled: nothing stands above the search but columns and filters.
+    plan = plan_of(TR.itineraries(st, rides, walks))
+    above = plan[:plan.index("FlatMapGroupsInPandas")]
+    assert "Exchange" not in above and "Join" not in above, above
+    parts = TR.journey_parts(st, rides, walks)
+    n = parts.where("own").groupBy("part").agg(F.countDistinct("src").alias("n")).toPandas().n
+    assert n.max() <= TR.PART_ORIGINS and n.sum() == 150
+    # The same labels whatever parts there are, alone too.
+    legs = TR.itinerary_legs(st, rides, walks)
+    whole = {(r.origin, r.dest): (r.legs, r.ms) for r in legs.groupBy("origin", "dest").agg(F.count("*").alias("legs"), F.sum("ms").alias("ms")).collect()}
+    alone = spark.createDataFrame([(149,)], "id long")
+    one = {(r.origin, r.dest): (r.rides + r.walks, r.ms) for r in TR.itineraries(st, rides, walks, alone).collect()}
+    assert one and one == {k: v for k, v in whole.items() if k[0] == 149}
