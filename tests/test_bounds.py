@@ -126,3 +126,12 @@ def test_journeys_are_searched_in_the_part_of_their_origin(spark):
     alone = spark.createDataFrame([(149,)], "id long")
     one = {(r.origin, r.dest): (r.rides + r.walks, r.ms) for r in TR.itineraries(st, rides, walks, alone).collect()}
     assert one and one == {k: v for k, v in whole.items() if k[0] == 149}
+
+
+def test_crossings_are_worked_out_for_overlapping_segments_alone(spark):
+    schema = "way_id long, seq int, a long, a_lat double, a_lon double, b long, b_lat double, b_lon double, layer int"
+    segs = spark.createDataFrame([(1, 1, 1, 39.8, 116.2, 2, 39.801, 116.201, 0), (2, 1, 3, 39.801, 116.2, 4, 39.8, 116.201, 0), (3, 1, 5, 39.8003, 116.2, 6, 39.8004, 116.2, 0)], schema)
+    x = N.segment_crossings(segs)
+    assert [(r.i_way_id, r.j_way_id, round(r.t, 6), round(r.u, 6)) for r in x.collect()] == [(1, 2, 0.5, 0.5)]
+    met = [line for line in plan_of(x).split("\n") if "Join" in line]
+    assert met and all(" / " not in line for line in met), met
