@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,14 +39,6 @@ def thin(xy: np.ndarray, tolerance: float) -> np.ndarray:
         kept = np.union1d(kept, split)
 
 
-def _points(coords) -> np.ndarray:
-    return np.array([(p["lat"], p["lon"]) for p in coords], float).reshape(-1, 2)
-
-
-def _structs(pts: np.ndarray) -> list[dict]:
-    return [{"lat": float(a), "lon": float(b)} for a, b in pts]
-
-
 def _without_repeats(pts: np.ndarray) -> np.ndarray:
     return pts[np.r_[True, (np.diff(pts, axis=0) != 0).any(axis=1)]] if len(pts) else pts
 
@@ -67,19 +60,100 @@ def generalise(pts: np.ndarray, zoom_tol_m: float, lat0: float, digits: int, rin
 
 # ---- the same as columns ---------------------------------------------------------------------------------------
 
+def thin_all(xy: np.ndarray, first: np.ndarray, size: np.ndarray, tolerance: np.ndarray) -> np.ndarray:
+    """``thin`` of many lines at once, laid one after the other: a mask of the points kept. ``first``, ``size``, ``tolerance``: per line. Ends of lines are kept, so no stretch runs over
+    the border of two; each round measures only the stretches that were split last."""
+    keep = np.ones(len(xy), bool)
+    work = (size > 2) & (tolerance > 0)
+    limit = np.repeat(tolerance, size)
+    inner = np.repeat(work, size)
+    inner[first[size > 0]] = False
+    inner[(first + size - 1)[size > 0]] = False
+    keep[inner] = False
+    inner = np.flatnonzero(inner)
+    while len(inner):
+        kept = np.flatnonzero(keep)
+        part = np.searchsorted(kept, inner) - 1
+        a = xy[kept[part]]
+        along = xy[kept[part + 1]] - a
+        length = np.einsum("ij,ij->i", along, along)
+        share = np.divide(np.einsum("ij,ij->i", xy[inner] - a, along), length, out=np.zeros(len(inner)), where=length > 0)
+        off = np.hypot(*(xy[inner] - a - np.clip(share, 0.0, 1.0)[:, None] * along).T)
+        order = np.lexsort((inner, -off, part))
+        farthest = order[np.r_[True, np.diff(part[order]) != 0]]
+        split = farthest[off[farthest] > limit[inner[farthest]]]
+        keep[inner[split]] = True
+        again = np.zeros(len(kept), bool)
+        again[part[split]] = True
+        inner = inner[again[part] & ~keep[inner]]
+    return keep
+
+
+def _flat(coords: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Points of a column of lines, one after the other, and their number per line (null: none)."""
+    size = np.asarray(pc.fill_null(pc.list_value_length(coords), 0)).astype(np.int64)
+    points = coords.flatten()
+    return np.column_stack([np.asarray(pc.fill_null(points.field(k), np.nan), float) for k in (0, 1)]).reshape(-1, 2), size
+
+
+def _starts(size: np.ndarray) -> np.ndarray:
+    return np.cumsum(size) - size
+
+
+def _lists(pts: np.ndarray, size: np.ndarray) -> pa.Array:
+    points = pa.StructArray.from_arrays([pa.array(pts[:, 0]), pa.array(pts[:, 1])], names=["lat", "lon"])
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), points)
+
+
+def _counts(mask: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(line[mask], minlength=n)
+
+
+def simplify_all(pts: np.ndarray, size: np.ndarray, tol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    first, line = _starts(size), np.repeat(np.arange(len(size)), size)
+    mean = np.zeros(len(size))
+    few = (size > 0) & (size < 8)  # numpy adds fewer than eight one by one
+    total = np.zeros(len(size))
+    for k in range(7):
+        more = few & (size > k)
+        total[more] += pts[first[more] + k, 0]
+    mean[few] = total[few] / size[few]
+    for i in np.flatnonzero(size >= 8):
+        mean[i] = pts[first[i]:first[i] + size[i], 0].mean()
+    scale = np.column_stack([np.full(len(pts), 110574.0), (111320.0 * np.cos(np.radians(mean)))[line]])
+    keep = thin_all(pts * scale, first, size, tol)
+    return pts[keep], _counts(keep, line, len(size))
+
+
+def generalise_all(pts: np.ndarray, size: np.ndarray, tol: np.ndarray, lat0: np.ndarray, digits: int, ring: bool) -> tuple[np.ndarray, np.ndarray]:
+    """``generalise`` of many lines: points left and their number per line, 0 where less than a line (or ring) is left."""
+    n, first, line = len(size), _starts(size), np.repeat(np.arange(len(size)), size)
+    new = np.ones(len(pts), bool)
+    new[1:] = (np.diff(pts, axis=0) != 0).any(axis=1)
+    new[first[size > 0]] = True
+    pts, line, size = pts[new], line[new], _counts(new, line, n)
+    scale = np.column_stack([np.full(len(pts), 110574.0), (111320.0 * np.cos(np.radians(lat0)))[line]])
+    keep = thin_all(pts * scale, _starts(size), size, tol)
+    good = size >= (3 if ring else 2)
+    pts, line, size = pts[keep], line[keep], _counts(keep, line, n)
+    if ring:
+        first = np.minimum(_starts(size), max(0, len(pts) - 1))
+        last = np.maximum(first + size - 1, 0)
+        closed = (size > 1) & (pts[first] == pts[last]).all(axis=1) if len(pts) else np.zeros(n, bool)
+        good &= size - closed >= 3
+    good &= size >= 2
+    f = 10.0 ** digits
+    return np.floor(pts[good[line]] * f + 0.5) / f, np.where(good, size, 0)
+
+
 def _kernel(returns: T.DataType):
     """Arrow UDF that the optimiser must not repeat: a filter on its result would otherwise run it a second time."""
-    return lambda fn: F.pandas_udf(fn, returns).asNondeterministic()
+    return lambda fn: F.arrow_udf(fn, returns).asNondeterministic()
 
 
 @_kernel(POINTS)
-def _simplified(coords: pd.Series, tol: pd.Series) -> pd.Series:
-    out = []
-    for c, t in zip(coords, tol):
-        pts = _points(c)
-        scale = np.array([110574.0, 111320.0 * np.cos(np.radians(pts[:, 0].mean()))]) if len(pts) else 1.0
-        out.append(_structs(pts[thin(pts * scale, float(t))]))
-    return pd.Series(out)
+def _simplified(coords: pa.Array, tol: pa.Array) -> pa.Array:
+    return _lists(*simplify_all(*_flat(coords), np.asarray(tol, float)))
 
 
 def simplified(coords: Column, tol_m: Column) -> Column:
@@ -87,9 +161,12 @@ def simplified(coords: Column, tol_m: Column) -> Column:
 
 
 @_kernel(PATHS)
-def _generalised(coords: pd.Series, tol: pd.Series, lat0: pd.Series, digits: pd.Series, ring: pd.Series) -> pd.Series:
-    found = (generalise(_points(c), t, y, k, bool(r)) for c, t, y, k, r in zip(coords, tol, lat0, digits, ring))
-    return pd.Series([[] if p is None or len(p) < 2 else [_structs(p)] for p in found])
+def _generalised(coords: pa.Array, tol: pa.Array, lat0: pa.Array, digits: pa.Array, ring: pa.Array) -> pa.Array:
+    pts, size = _flat(coords)
+    if not len(size):
+        return pa.array([], pa.list_(pa.list_(pa.struct([("lat", pa.float64()), ("lon", pa.float64())]))))
+    pts, size = generalise_all(pts, size, np.asarray(tol, float), np.asarray(lat0, float), digits[0].as_py(), ring[0].as_py())
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size > 0)], pa.int32()), _lists(pts, size[size > 0]))
 
 
 def generalised(coords: Column, tol_m: Column, lat0: Column, digits: int = 5, ring: bool = False) -> Column:

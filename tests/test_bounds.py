@@ -3,8 +3,10 @@
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from streetloom.functions import shapes as S2
 from streetloom.operators import datasets as DS, network as N, selection as S, transit as TR
 from streetloom.plans.demo import World
 from streetloom.streaming import live as L
@@ -135,3 +137,18 @@ def test_crossings_are_worked_out_for_overlapping_segments_alone(spark):
     assert [(r.i_way_id, r.j_way_id, round(r.t, 6), round(r.u, 6)) for r in x.collect()] == [(1, 2, 0.5, 0.5)]
     met = [line for line in plan_of(x).split("\n") if "Join" in line]
     assert met and all(" / " not in line for line in met), met
+
+
+def test_many_lines_are_thinned_together():
+    r = np.random.default_rng(5)
+    lines = [np.round(r.normal(40, 0.002, (k, 2)), 4) for k in r.integers(0, 25, 60)]
+    lines = [np.concatenate([p, p[:1]]) if i % 3 == 0 else p for i, p in enumerate(lines)]
+    size, tol, lat0 = np.array([len(p) for p in lines]), np.array([30.0, 150.0, 0.0] * 20), np.linspace(30, 50, 60)
+    for ring in (False, True):
+        got, left = S2.generalise_all(np.concatenate(lines), size, tol, lat0, 5, ring)
+        want = [S2.generalise(p, t, y, 5, ring) for p, t, y in zip(lines, tol, lat0)]
+        want = [np.zeros((0, 2)) if w is None or len(w) < 2 else w for w in want]
+        assert [len(w) for w in want] == list(left) and (np.concatenate(want) == got).all()
+    got, left = S2.simplify_all(np.concatenate(lines), size, tol)
+    want = [p[S2.thin(p * [110574.0, 111320.0 * np.cos(np.radians(p[:, 0].mean()))], t)] if len(p) else p for p, t in zip(lines, tol)]
+    assert [len(w) for w in want] == list(left) and (np.concatenate(want) == got).all()
