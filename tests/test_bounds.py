@@ -6,8 +6,8 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from streetloom.functions import shapes as S2
-from streetloom.operators import datasets as DS, network as N, selection as S, transit as TR
+from streetloom.functions import shapes as S2, tags as TG
+from streetloom.operators import datasets as DS, network as N, selection as S, spatial as SP, transit as TR
 from streetloom.plans.demo import World
 from streetloom.streaming import live as L
 from tests.conftest import SMALL
@@ -152,3 +152,33 @@ def test_many_lines_are_thinned_together():
     got, left = S2.simplify_all(np.concatenate(lines), size, tol)
     want = [p[S2.thin(p * [110574.0, 111320.0 * np.cos(np.radians(p[:, 0].mean()))], t)] if len(p) else p for p, t in zip(lines, tol)]
     assert [len(w) for w in want] == list(left) and (np.concatenate(want) == got).all()
+
+
+def test_tags_of_a_network_are_read_once_per_way(spark):
+    ways = spark.createDataFrame([(i, t) for i, t in enumerate(['{"highway":"primary"}', '{"railway":"rail","maxspeed":"80"}', '{"highway":"steps"}', '{"railway":"rail","service":"yard"}', None, "x"])], "id long, tags string")
+    ways = ways.withColumn("tags", TG.parse_tags(F.col("tags")))
+    for mode, want in (("road", [0]), ("rail", [1])):
+        w = N.network_ways(ways, mode)
+        assert "from_json" not in " ".join(line for line in plan_of(w).split("\n") if "Filter" in line)
+        assert [r.way_id for r in w.collect()] == want
+
+
+def test_distances_to_segments_are_worked_out_beside_them_alone(spark):
+    r = random.Random(11)
+    segs = [(i, 1, 2 * i, y, x, 2 * i + 1, y + r.uniform(-1, 1) * s, x + r.uniform(-1, 1) * s) for i, (y, x, s) in enumerate((r.uniform(60, 60.02), r.uniform(20, 20.04), r.choice([0.0, 0.001, 0.02])) for _ in range(120))]
+    points = [(i, r.uniform(60, 60.02), r.uniform(20, 20.04)) for i in range(200)]
+    s = spark.createDataFrame(segs, "way_id long, seq int, a long, a_lat double, a_lon double, b long, b_lat double, b_lon double")
+    near = SP.near_segments(spark.createDataFrame(points, "id long, lat double, lon double"), s, 80)
+    met = [line for line in plan_of(near).split("\n") if "Join" in line]
+    assert met and all("SQRT" not in line and " / " not in line for line in met), met
+    got = [(x.id, x.way_id) for x in near.collect()]
+    want = set()
+    for i, y, x in points:
+        k = math.radians(1) * 6378137.0
+        for w, _, _, ay, ax, _, by, bx in segs:
+            x1, y1, x2, y2 = (ax - x) * k * math.cos(math.radians(y)), (ay - y) * k, (bx - x) * k * math.cos(math.radians(y)), (by - y) * k
+            d2 = (x2 - x1) ** 2 + (y2 - y1) ** 2
+            t = max(0.0, min(1.0, -(x1 * (x2 - x1) + y1 * (y2 - y1)) / d2)) if d2 else 0.0
+            if math.hypot(x1 + t * (x2 - x1), y1 + t * (y2 - y1)) <= 80:
+                want.add((i, w))
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
