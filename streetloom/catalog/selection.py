@@ -11,6 +11,7 @@ from streetloom.functions import geo, tags as TG
 from streetloom.operators import geometry as G, selection as S
 from streetloom.operators.spatial import box_join, point_box_join, points_in_areas
 from streetloom.plans.demo import World
+from streetloom.session import cut_lineage
 
 EXT = """x AS (SELECT w.id, w.version, w.t, w.closed, e.* FROM o_ways w LEFT JOIN (SELECT r.way_id, min(n.lat) AS min_lat, max(n.lat) AS max_lat,
    min(n.lon) AS min_lon, max(n.lon) AS max_lon FROM d_way_nodes r JOIN d_nodes n ON n.id = r.node_id GROUP BY r.way_id) e ON e.way_id = w.id)"""
@@ -239,9 +240,10 @@ GROUP BY p.id, e.way_id HAVING count(*) % 2 = 1""")
 def _(w: World):
     closed = w.ways.where("closed").select(F.col("id").alias("way_id"))
     refs = w.way_nodes.join(closed, "way_id", "left_semi")
-    rings = G.way_geometry(refs, w.nodes).select(F.col("way_id").alias("area_id"), F.lit(0).alias("ring_no"), "coords")
+    located = cut_lineage(G.located_refs(refs, w.nodes))
+    rings = G.points_in_order(located).select(F.col("way_id").alias("area_id"), F.lit(0).alias("ring_no"), "coords")
     k = F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("k")
-    corner = G.located_refs(refs, w.nodes).where("seq = 0").select("way_id", "lat", "lon", k)
+    corner = located.where("seq = 0").select("way_id", "lat", "lon", k)
     pts = corner.select((F.col("way_id") * 10 + F.col("k")).alias("id"), (F.col("lat") + F.col("k") * F.lit(0.00025)).alias("lat"),
                         (F.col("lon") + F.col("k") * F.lit(0.0002)).alias("lon"))
     return points_in_areas(pts, rings)

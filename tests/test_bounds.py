@@ -182,3 +182,13 @@ def test_distances_to_segments_are_worked_out_beside_them_alone(spark):
             if math.hypot(x1 + t * (x2 - x1), y1 + t * (y2 - y1)) <= 80:
                 want.add((i, w))
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+
+
+def test_areas_meet_the_points_in_their_extent_alone(spark):
+    rings = [(k, 0, [(40 + k * 1e-4, 100.0), (40 + k * 1e-4, 100.00005), (40 + (k + 0.5) * 1e-4, 100.00005), (40 + (k + 0.5) * 1e-4, 100.0)]) for k in range(150)]
+    points = [(k, 40 + (k + 0.25) * 1e-4, 100.00002) for k in range(150)] + [(1000 + k, 40 + (k + 0.75) * 1e-4, 100.00002) for k in range(150)]
+    df = spark.createDataFrame(rings, "area_id long, ring_no int, coords array<struct<lat:double,lon:double>>")
+    got = SP.points_in_areas(spark.createDataFrame(points, "id long, lat double, lon double"), df)
+    met = [line for line in plan_of(got).split("\n") if "Join [_y" in line]
+    assert any("_s#" in line and "_e#" in line for line in met), met
+    assert sorted(map(tuple, got.collect())) == [(k, k) for k in range(150)]
