@@ -115,19 +115,26 @@ def area_entries(ways: DataFrame, units: list[str], lat0: Column) -> DataFrame:
     return _entries(g, keys, "area").withColumn("family", T.area_family(F.col("cls")))
 
 
-def _shown(ds: OsmDataset, zooms: list[int], detail: int) -> DataFrame:
-    """Ways with extent, classes and the status they have at each zoom: invisible, lod with the
-    reason, nogfx or way. Each way meets only the zooms of a short constant list; its tags stay behind."""
-    ext = G.with_extents(ds)
-    area = bbox_area_m2(F.col("min_lat"), F.col("max_lat"), F.col("min_lon"), F.col("max_lon"))
-    w = ext.withColumn("zoom", F.explode(F.array(*[F.lit(z) for z in zooms])))
-    held = T.lod_withhold(F.col("tags"), F.col("zoom"), area, F.col("closed"), detail)
-    status = (F.when(~T.lod_visible(F.col("tags"), F.col("zoom")), "invisible").when(F.col("_held").isNotNull(), "lod")
+BOX = ["min_lat", "max_lat", "min_lon", "max_lon"]
+
+
+def _classed(ds: OsmDataset, detail: int) -> DataFrame:
+    """Ways with extent, classes and all that their tags say about any zoom, one row per way; its tags stay behind."""
+    t = F.col("tags")
+    traits = F.struct(*[c.alias(k) for k, c in T.lod_traits(t, detail).items()], T.min_zoom_line(t).alias("least"))
+    return G.with_extents(ds).select("id", "closed", T.line_class(t).alias("cls"), T.area_class(t).alias("a_cls"), *BOX, bbox_area_m2(*map(F.col, BOX)).alias("_area"), traits.alias("_t"))
+
+
+def _shown(classed: DataFrame, zooms: list[int], detail: int) -> DataFrame:
+    """The status that ways have at each zoom: invisible, lod with the reason, nogfx or way. Each way meets only the zooms of a short constant list."""
+    w = classed.withColumn("zoom", F.explode(F.array(*[F.lit(z) for z in zooms])))
+    of = lambda k: F.col(f"_t.{k}")
+    held = T.lod_withheld({k: of(k) for k in T.lod_traits(F.lit(None), detail)}, F.col("zoom"), F.col("_area"), F.col("closed"), detail)
+    status = (F.when(F.col("zoom") < of("least"), "invisible").when(F.col("_held").isNotNull(), "lod")
               .when(F.col("min_lat").isNull(), "nogfx").otherwise("way"))
-    sub = (F.when(F.col("_held") == "neverSend", F.concat(F.lit("neverSend:"), T.never_send_class(F.col("tags"))))
-           .when(F.col("_held") == "roadClass", F.concat(F.lit("roadClass:"), T.road_rank(F.col("tags")).cast("string"))).otherwise(F.col("_held")))
-    return w.withColumn("_held", held).withColumn("status", status).withColumn("sub", F.when(F.col("status") == "lod", sub)).drop("_held").select(
-        "id", "zoom", "closed", "status", "sub", T.line_class(F.col("tags")).alias("cls"), T.area_class(F.col("tags")).alias("a_cls"), "min_lat", "max_lat", "min_lon", "max_lon")
+    sub = (F.when(F.col("_held") == "neverSend", F.concat(F.lit("neverSend:"), of("never")))
+           .when(F.col("_held") == "roadClass", F.concat(F.lit("roadClass:"), of("rank").cast("string"))).otherwise(F.col("_held")))
+    return w.withColumn("_held", held).withColumn("status", status).withColumn("sub", F.when(F.col("status") == "lod", sub)).drop("_held", "_t", "_area")
 
 
 def chosen_classes(shown: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -147,10 +154,11 @@ def chosen_classes(shown: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 def coverage(ds: OsmDataset, zooms: list[int], detail: int = 4, limit: int = LIMIT) -> DataFrame:
     """Status of every way at every zoom: line, area, way, nogfx, invisible or lod (with the reason in ``sub``)."""
-    shown = cut_lineage(_shown(ds, zooms, detail))
-    picked = chosen_classes(shown, limit).withColumn("_chosen", F.lit(True))
-    c = shown.join(picked, ["zoom", "cls"], "left")
-    line = (F.col("status") == "way") & ~F.col("closed") & F.coalesce("_chosen", F.lit(False))
+    classed = cut_lineage(_classed(ds, detail))
+    # Ways meet the chosen classes before they are spread over the zooms.
+    picked = chosen_classes(_shown(classed, zooms, detail), limit).groupBy("cls").agg(F.collect_set("zoom").alias("_chosen"))
+    c = _shown(classed.join(picked, "cls", "left"), zooms, detail)
+    line = (F.col("status") == "way") & ~F.col("closed") & F.coalesce(F.array_contains("_chosen", F.col("zoom")), F.lit(False))
     area = (F.col("status") == "way") & F.col("closed") & F.col("a_cls").isNotNull()
     return c.withColumn("sub", F.when(line, F.col("cls")).when(area, F.col("a_cls")).otherwise(F.col("sub"))).withColumn(
         "status", F.when(line, "line").when(area, "area").otherwise(F.col("status"))).drop("cls", "a_cls", "_chosen")

@@ -7,8 +7,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from streetloom.functions import shapes as S2, tags as TG
-from streetloom.operators import datasets as DS, network as N, selection as S, spatial as SP, transit as TR
+from streetloom.operators import datasets as DS, drawing as DR, network as N, selection as S, spatial as SP, transit as TR
 from streetloom.plans.demo import World
+from streetloom.session import cut_lineage
 from streetloom.streaming import live as L
 from tests.conftest import SMALL
 
@@ -192,3 +193,13 @@ def test_areas_meet_the_points_in_their_extent_alone(spark):
     met = [line for line in plan_of(got).split("\n") if "Join [_y" in line]
     assert any("_s#" in line and "_e#" in line for line in met), met
     assert sorted(map(tuple, got.collect())) == [(k, k) for k in range(150)]
+
+
+def test_coverage_reads_tags_once_per_way(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(DR, "cut_lineage", lambda df: written.append(df) or cut_lineage(df))
+    w = World(spark, SMALL)
+    out = DR.coverage(w.dataset, [10, 12, 14])
+    ways = w.ways.count()
+    assert [df.count() for df in written] == [ways] and out.count() == 3 * ways
+    assert "[highway]" not in plan_of(out)
