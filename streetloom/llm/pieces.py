@@ -20,12 +20,16 @@ NBEST = 4
 HELD = 80 << 20
 #: Characters, and stretches, whose lattices are searched at once; a longer stretch goes alone.
 FRESH, RUN = 2_000, 1 << 16
+#: Texts of at most so many characters are searched side by side, if there are so many.
+SHORT, MANY = 64, 64
 SLICE = 1 << 20
 UNKNOWN_PENALTY = 10.0
 
 
 #: The best segmentations of a stretch of text: score and ids of each, best first.
 Segment = list[tuple[float, bytes]]
+#: The same of many stretches: scores, a row each (-inf where there are fewer), how many bytes of ids each has, and those ids one after the other.
+Rows = tuple[np.ndarray, np.ndarray, bytes]
 
 
 def cost(name: str) -> int:
@@ -54,6 +58,9 @@ class Pieces:
             self.texts[i] = bytes([b])
         if self.unknown >= 0:
             self.texts[self.unknown] = " ⁇ ".encode()
+        self.letters = np.frombuffer(b"".join(self.texts), dtype=np.uint8)
+        self.widths = np.array(list(map(len, self.texts)), dtype=np.int64)
+        self.places = np.cumsum(self.widths) - self.widths
         #: The same model for stretches of normalised text: nothing is normalised again, and no space mark is put in front.
         model = ModelProto.FromString(sp.serialized_model_proto())
         model.normalizer_spec.Clear()
@@ -108,22 +115,35 @@ class Pieces:
         data = char.encode("utf-8", "replace")
         return [self.bytes[b] for b in data] if all(b in self.bytes for b in data) else [self.unknown]
 
+    def text(self, ids: bytes) -> str:
+        at = np.frombuffer(ids, dtype="<u4")
+        width = self.widths[at]
+        text = self.letters[np.arange(width.sum()) + np.repeat(self.places[at] - np.cumsum(width) + width, width)].tobytes().decode("utf-8", "replace")
+        return text[1:] if text.startswith(" ") else text
+
     def own(self, names: list[str]) -> list[bytes]:
         """What the model itself makes of each text (its BPE merges, if it is a BPE model): the ids of ``sp.encode``."""
         return [array("I", ids).tobytes() for ids in self.inner.encode(names, num_threads=1)]
 
     def best(self, names: list[str], n: int = NBEST) -> Iterator[Segment]:
+        """The ``n`` best paths through the lattice of each text."""
+        for scores, sizes, data in self.best_rows(names, n):
+            end = np.cumsum(sizes).reshape(sizes.shape).tolist()
+            for row, size, stop in zip(scores.tolist(), sizes.tolist(), end, strict=True):
+                yield [(score, data[b - a : b]) for score, a, b in zip(row, size, stop, strict=True) if score > -np.inf]
+
+    def best_rows(self, names: list[str], n: int = NBEST) -> Iterator[Rows]:
         """The ``n`` best paths through the lattice of each text, worked in runs."""
         start, held = 0, 0
         for i, name in enumerate(names):
             if i > start and (held + len(name) > RUN or i - start == FRESH):
-                yield from self.search_all(names[start:i], n)
+                yield self.search_all(names[start:i], n)
                 start, held = i, 0
             held += len(name)
         if start < len(names):
-            yield from self.search_all(names[start:], n)
+            yield self.search_all(names[start:], n)
 
-    def search_all(self, names: list[str], n: int) -> list[Segment]:
+    def search_all(self, names: list[str], n: int) -> Rows:
         """The ``n`` best paths through the lattice of each text. A forward Viterbi pass, over all texts side by side, gives the best score up to each
         place. Paths are then built from the end; the score of what is built plus the Viterbi score up to its start is exactly the best the path can come
         to, so a best-first (A*) search meets whole paths in order of their scores. Ties: the last piece that starts later, then the path reached first."""
@@ -156,7 +176,7 @@ class Pieces:
         score = np.where(piece >= 0, self.scores[piece], self.worst)
         reach = start - first[owner[start]] + size  # end, counted within the text
         end = start + owner[start] + size
-        order = np.lexsort((end, reach))
+        order = np.argsort((reach * (len(codes) + len(names) + 1) + end) * (self.longest + 1) + size)
         start, size, piece, score, reach, end = start[order], size[order], piece[order], score[order], reach[order], end[order]
         place = start + owner[start]  # a text of n characters has n + 1 places
         forward = np.full(len(codes) + len(names), -np.inf)
@@ -168,10 +188,85 @@ class Pieces:
                 first_of = np.nonzero(np.append(True, into[1:] != into[:-1]))[0]
                 forward[into[first_of]] = np.maximum.reduceat(forward[place[a:b]] + score[a:b], first_of)
         through = forward[place] + score
-        order = np.lexsort((-start, -through, end))
-        edges = through[order].tolist(), place[order].tolist(), score[order].tolist(), np.where(piece < 0, -1 - start, piece)[order].tolist()
-        into = np.searchsorted(end[order], np.arange(len(forward) + 1)).tolist()
-        return [self.search(whole, edges, into, a, a + m, n) for a, m in zip((first + np.arange(len(names))).tolist(), lengths.tolist(), strict=True)]
+        order = np.lexsort((-through, end))
+        edges = through[order], place[order], score[order], np.where(piece < 0, -1 - start, piece)[order]
+        into = np.searchsorted(end[order], np.arange(len(forward) + 1))
+        begin = first + np.arange(len(names))
+        if len(names) >= MANY and 0 < lengths.min() and lengths.max() <= SHORT:
+            return self.search_side_by_side(whole, edges, into, begin, begin + lengths, n)
+        lists, places = tuple(x.tolist() for x in edges), into.tolist()
+        scores, sizes, data = np.full((len(names), n), -np.inf), np.zeros((len(names), n), dtype=np.int64), []
+        for i, (a, m) in enumerate(zip(begin.tolist(), lengths.tolist(), strict=True)):
+            for k, (total, path) in enumerate(self.search(whole, lists, places, a, a + m, n)):
+                scores[i, k], sizes[i, k] = total, len(path)
+                data.append(path)
+        return scores, sizes, b"".join(data)
+
+    def search_side_by_side(self, whole: str, edges: tuple[np.ndarray, ...], into: np.ndarray, begin: np.ndarray, end: np.ndarray, n: int) -> Rows:
+        """``search`` of many short texts, each with a queue of its own: in every round all texts follow their best edges to the beginning, step by step,
+        then each takes the first entry of its queue. Of a queue only as many entries stay as paths are still wanted; those behind them never come out. Entries
+        lie in the order they were queued in, and sorting is stable, so ties fall as in ``search``."""
+        through, places, scores, ids = edges
+        edge_of, parent_of, made = [], [], 0  # what is built, as nodes that name an edge and the node behind it
+        rounds: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        queue = [np.empty(0, dtype=t) for t in (np.int64, np.float64, np.int64, np.float64, np.int64)]  # text, priority, edge, what is built: score and node
+        text, place, behind, node = np.arange(len(begin)), end, np.zeros(len(begin)), np.full(len(begin), -1)
+        while True:
+            pushed, total, last = [queue], np.zeros(len(begin)), np.full(len(begin), -1)
+            on, active = text, text
+            while True:
+                there = place == begin[on]
+                total[on[there]], last[on[there]] = behind[there], node[there]
+                if there.all():
+                    break
+                on, place, behind, node = on[~there], place[~there], behind[~there], node[~there]
+                edge = into[place]
+                others = np.minimum(into[place + 1] - edge - 1, n - 1 - len(rounds))  # best first
+                of = np.repeat(np.arange(len(on)), others)
+                other = edge[of] + 1 + np.arange(len(of)) - (np.cumsum(others) - others)[of]
+                pushed.append([on[of], -(behind[of] + through[other]), other, behind[of], node[of]])
+                edge_of.append(edge)
+                parent_of.append(node)
+                place, behind, node, made = places[edge], behind + scores[edge], np.arange(made, made + len(on)), made + len(on)
+            rounds.append((active, total[active], last[active]))
+            left = n - len(rounds)
+            queue = [np.concatenate(x) for x in zip(*pushed, strict=True)]
+            if not left or not len(queue[0]):
+                break
+            order = np.lexsort((queue[1], queue[0]))
+            queue = [x[order] for x in queue]
+            heads = np.nonzero(np.append(True, queue[0][1:] != queue[0][:-1]))[0]
+            rank = np.arange(len(order)) - np.repeat(heads, np.diff(np.append(heads, len(order))))
+            text, _, edge, behind, parent = (x[heads] for x in queue)
+            queue = [x[(rank > 0) & (rank < left)] for x in queue]
+            edge_of.append(edge)
+            parent_of.append(parent)
+            place, behind, node, made = places[edge], behind + scores[edge], np.arange(made, made + len(text)), made + len(text)
+        owner = np.concatenate([t for t, _, _ in rounds])
+        turn = np.repeat(np.arange(len(rounds)), [len(t) for t, _, _ in rounds])
+        order = np.argsort(owner * n + turn)
+        owner, turn = owner[order], turn[order]
+        total, at = (np.concatenate([x[k] for x in rounds])[order] for k in (1, 2))
+        value, parent = ids[np.concatenate(edge_of)], np.concatenate(parent_of)
+        none, steps = np.iinfo(np.int64).min, []
+        while (at >= 0).any():
+            steps.append(np.where(at >= 0, value[at], none))
+            at = np.where(at >= 0, parent[at], -1)
+        paths = np.stack(steps, axis=1)
+        built = paths != none
+        flat, size = paths[built], np.count_nonzero(built, axis=1)
+        bare = np.nonzero(flat < 0)[0]
+        if len(bare):  # characters without a piece become the pieces they are made of
+            spare = [self.spare(whole[-1 - p]) for p in flat[bare].tolist()]
+            more = np.ones(len(flat), dtype=np.int64)
+            more[bare] = list(map(len, spare))
+            size = np.add.reduceat(more, np.cumsum(size) - size)
+            at = np.repeat(flat < 0, more)
+            flat = np.repeat(flat, more)
+            flat[at] = [x for s in spare for x in s]
+        scores, sizes = np.full((len(begin), n), -np.inf), np.zeros((len(begin), n), dtype=np.int64)
+        scores[owner, turn], sizes[owner, turn] = total, 4 * size
+        return scores, sizes, flat.astype(np.uint32).tobytes()
 
     def search(self, whole: str, edges: tuple[list, ...], into: list[int], begin: int, end: int, n: int) -> Segment:
         """A* from place ``end`` back to ``begin``. The first edge into each place is the one on the best way; it would be the next to come out, so it
@@ -229,9 +324,6 @@ class Encoder:
         self.texts = np.empty(0, dtype=np.int32)
         self.held = 0
 
-    def names(self, text: str) -> list[str]:
-        return self.pieces.cut.findall(self.normal(text)) if text else []
-
     def keep(self, wanted: set[str]) -> None:
         """Forgets all but what ``wanted`` has and what several texts had; the latter fill half of HELD at most, most frequent first."""
         order = np.argsort(-self.texts, kind="stable").tolist()
@@ -257,17 +349,20 @@ class Encoder:
         if self.held + more > HELD:
             self.keep(names)
         self.held += more
-        numbers, ends = np.full((len(fresh), self.n + 1), np.inf), np.zeros((len(fresh), self.ends.shape[1]), dtype=np.int32)
-        for k, (own, found) in enumerate(zip(self.pieces.own(fresh), self.pieces.best(fresh, self.n), strict=True)):
-            top, ids = found[0]
-            self.known[fresh[k]] = len(self.ids)
-            self.ids.append(ids)
-            self.owns.append(ids if own == ids else own)
-            self.others.append(b"".join([x for _, x in found[1:]]))
-            numbers[k, :2] = top, len(ids) // 4
-            for i, (score, x) in enumerate(found[1:]):
-                numbers[k, 2 + i], ends[k, i] = top - score, len(x)
-        self.numbers, self.ends = np.concatenate((self.numbers, numbers)), np.concatenate((self.ends, ends.cumsum(axis=1, dtype=np.int32)))
+        self.known.update(zip(fresh, range(len(self.ids), len(self.ids) + len(fresh)), strict=True))
+        numbers, ends, best = [self.numbers], [self.ends], []
+        for scores, sizes, data in self.pieces.best_rows(fresh, self.n):
+            stop = np.cumsum(sizes.sum(axis=1))
+            first = stop - sizes.sum(axis=1)
+            rest = (first + sizes[:, 0]).tolist()
+            best += [data[a:b] for a, b in zip(first.tolist(), rest, strict=True)]
+            self.others += [data[a:b] for a, b in zip(rest, stop.tolist(), strict=True)]
+            numbers.append(np.column_stack((scores[:, 0], sizes[:, 0] // 4, scores[:, :1] - scores[:, 1:])))
+            others = sizes[:, 1:] if self.n > 1 else np.zeros((len(sizes), 1))
+            ends.append(others.cumsum(axis=1, dtype=np.int32))
+        self.ids += best
+        self.owns += [ids if own == ids else own for own, ids in zip(self.pieces.own(fresh), best, strict=True)]
+        self.numbers, self.ends = np.concatenate(numbers), np.concatenate(ends)
         self.texts = np.concatenate((self.texts, np.zeros(len(fresh), dtype=np.int32)))
 
     def other(self, i: int, k: int) -> bytes:
@@ -286,7 +381,11 @@ class Encoder:
     def encode_both(self, texts: list[str]) -> list[tuple[bytes, bytes, list[tuple[float, list[tuple[int, int, bytes]]]]]]:
         """For each text the model's own ids, and what ``combine`` gives. No piece lies across two stretches, so no merge does: the own ids
         of a text are those of its stretches."""
-        named = list(map(self.names, texts))
+        return self.encode_normal([self.normal(t) if t else "" for t in texts])
+
+    def encode_normal(self, normals: list[str]) -> list[tuple[bytes, bytes, list[tuple[float, list[tuple[int, int, bytes]]]]]]:
+        """``encode_both`` of texts that are normalised already."""
+        named = list(map(self.pieces.cut.findall, normals))
         self.learn(set().union(*named))
         return [(b"".join([self.owns[self.known[x]] for x in names]), *self.combine(names)) for names in named]
 
@@ -316,8 +415,7 @@ class Encoder:
     def decode(self, ids: bytes) -> str:
         """The text of ids: pieces one after the other, bytes joined to characters (what is no character becomes U+FFFD), space marks as spaces, without
         the one space that encoding puts in front."""
-        text = b"".join(map(self.pieces.texts.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
+        return self.pieces.text(ids)
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}
@@ -340,9 +438,9 @@ def encode_pieces(docs: DataFrame, model_path: str, n: int = NBEST, id_col: str
         e = encoder(model_path, n)
         for batch in batches:
             for part in slices(batch, "text", SLICE):
-                rows, texts = [], [t or "" for t in part.column("text").to_pylist()]
-                for text, (own, ids, best) in zip(texts, e.encode_both(texts), strict=True):
-                    normal = e.normal(text).replace(SPACE, " ") if text else ""
+                rows, normals = [], [e.normal(t) if t else "" for t in part.column("text").to_pylist()]
+                for text, (own, ids, best) in zip(normals, e.encode_normal(normals), strict=True):
+                    normal = text.replace(SPACE, " ")
                     normal = normal[1:] if normal.startswith(" ") else normal
                     rows.append((own, ids, [{"score": x, "changes": [{"place": p, "out": o, "ids": i} for p, o, i in c]} for x, c in best],
                                  e.decode(own) == normal == e.decode(ids)))

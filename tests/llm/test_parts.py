@@ -1,6 +1,7 @@
 """The parts that run without Spark, against brute force."""
 
 import itertools
+import random
 
 import numpy as np
 import public_tokenizers
@@ -8,10 +9,10 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from streetloom.llm import crf
+from streetloom.llm import crf, pieces
 from streetloom.llm.embeddings import block_links, unit_rows
 from streetloom.llm.packed_ids import BLOCK, from_bytes, pack, read_block, to_bytes, unpack
-from streetloom.llm.pieces import Encoder, alternative
+from streetloom.llm.pieces import Encoder, Pieces, alternative
 from streetloom.llm.quality import repeated_words
 from streetloom.llm.segments import chance_factor, decay_rate, maximal_segments, runs
 from streetloom.llm.simhash import covering_masks
@@ -164,3 +165,17 @@ def test_ids_are_those_of_the_model():
     for text, (own, _, _) in zip(texts, e.encode_both(texts), strict=True):
         assert list(memoryview(own).cast("I")) == e.pieces.sp.encode(text)
     assert len(e.encode_both(texts[:1])[0][0]) == 4 * 5
+
+
+def test_short_stretches_are_searched_side_by_side(monkeypatch):
+    p = Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    r = random.Random(9)
+    words = ["▁" + "".join(r.choice("abcdefghijklmnopéüß京Ŀ0123.,") for _ in range(r.randrange(0, 24))) for _ in range(400)] + ["aaaaaaaaaaaaaaaa", "▁", "ༀ"]
+    for n in (1, 2, 4, 7):
+        with monkeypatch.context() as m:
+            m.setattr(pieces, "MANY", len(words) + 1)
+            alone = list(p.best(words, n))
+        with monkeypatch.context() as m:
+            m.setattr(Pieces, "search", lambda *a: pytest.fail("a short stretch went alone"))
+            assert list(p.best(words, n)) == alone
+        assert max(map(len, alone)) == n
