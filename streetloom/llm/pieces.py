@@ -6,6 +6,7 @@ import heapq
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from streetloom.llm.common import slices
 SPACE = "▁"
 NBEST = 4
 #: Bytes that the stretches kept by one worker may take, as ``cost`` counts them.
-HELD = 80 << 20
+HELD = 160 << 20
 #: Characters, and stretches, whose lattices are searched at once; a longer stretch goes alone.
 FRESH, RUN = 2_000, 1 << 16
 #: Texts of at most so many characters are searched side by side, if there are so many.
@@ -33,8 +34,8 @@ Rows = tuple[np.ndarray, np.ndarray, bytes]
 
 
 def cost(name: str) -> int:
-    """Memory for what is kept of a stretch: its objects, and ids of its segmentations in proportion to its length."""
-    return 500 + 16 * len(name)
+    """Memory for what is kept of a stretch: its name, its numbers, and ids of its segmentations in proportion to its length."""
+    return 320 + 16 * len(name)
 
 
 class Pieces:
@@ -70,13 +71,22 @@ class Pieces:
         self.index()
 
     def cutter(self) -> re.Pattern:
-        """Cuts a text where no piece can lie across: before a space mark that follows another character, if no piece has one inside, and around
-        characters that occur in no piece of several characters."""
+        """Cuts a text where no piece can lie across: before a space mark that follows another character, if no piece has one inside, between characters that no
+        chain of pieces brings together (a letter and the comma after it), and around characters that occur in no piece of several characters."""
         long = [p for p in self.pieces if len(p) > 1]
-        joined = re.escape("".join(sorted({c for p in long for c in p} - {SPACE})))
         if any(SPACE in p.lstrip(SPACE) for p in long):
-            return re.compile(f"[{joined}{SPACE}]+|.", re.DOTALL)
-        return re.compile(f"{SPACE}*[{joined}]+|{SPACE}+|.", re.DOTALL) if joined else re.compile(".", re.DOTALL)
+            return re.compile(f"[{re.escape(''.join(sorted({c for p in long for c in p} - {SPACE})))}{SPACE}]+|.", re.DOTALL)
+        group: dict[str, list[str]] = {}
+        for p in long:
+            for c in p.lstrip(SPACE):
+                mine, other = group.setdefault(p.lstrip(SPACE)[0], [p.lstrip(SPACE)[0]]), group.setdefault(c, [c])
+                if mine is not other:
+                    mine, other = sorted((mine, other), key=len, reverse=True)
+                    mine += other
+                    group.update(dict.fromkeys(other, mine))
+        groups = sorted({id(g): sorted(g) for g in group.values()}.values(), key=lambda g: (-len(g), g))
+        runs = "|".join(f"[{re.escape(''.join(g))}]+" for g in groups)
+        return re.compile(f"{SPACE}*(?:{runs})|{SPACE}+|.", re.DOTALL) if runs else re.compile(".", re.DOTALL)
 
     def index(self) -> None:
         """A hash table of all beginnings of pieces: hash, and the piece's id, or -1 if the beginning is no piece itself."""
@@ -118,12 +128,20 @@ class Pieces:
     def text(self, ids: bytes) -> str:
         at = np.frombuffer(ids, dtype="<u4")
         width = self.widths[at]
-        text = self.letters[np.arange(width.sum()) + np.repeat(self.places[at] - np.cumsum(width) + width, width)].tobytes().decode("utf-8", "replace")
+        text = self.letters[gather(self.places[at], width)].tobytes().decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
-    def own(self, names: list[str]) -> list[bytes]:
-        """What the model itself makes of each text (its BPE merges, if it is a BPE model): the ids of ``sp.encode``."""
-        return [array("I", ids).tobytes() for ids in self.inner.encode(names, num_threads=1)]
+    def own(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """What the model itself makes of each text (its BPE merges, if it is a BPE model): the ids of ``sp.encode``, one text after the other, and how many each has."""
+        ids = self.inner.encode(names, num_threads=1)
+        return np.frombuffer(array("I", chain.from_iterable(ids)), dtype="<u4"), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def spells(self, ids: np.ndarray, sizes: np.ndarray, names: list[str]) -> np.ndarray:
+        """Whether the ids of each text, dealt by ``sizes``, are letter by letter that text."""
+        width = self.widths[ids]
+        letters = self.letters[gather(self.places[ids], width)].tobytes()
+        ends = np.append(0, np.cumsum(width))[np.cumsum(sizes)].tolist()
+        return np.array([letters[a:b] == x.replace(SPACE, " ").encode("utf-8", "surrogatepass") for a, b, x in zip([0, *ends], ends, names, strict=False)], dtype=bool)
 
     def best(self, names: list[str], n: int = NBEST) -> Iterator[Segment]:
         """The ``n`` best paths through the lattice of each text."""
@@ -303,71 +321,103 @@ def step(h: np.ndarray, codes: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(29)) | np.uint64(1)
 
 
+def gather(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs that start at ``first`` and have ``sizes`` entries, one run after the other."""
+    return np.arange(sizes.sum()) + np.repeat(first - np.cumsum(sizes) + sizes, sizes)
+
+
+class Known(dict):
+    """Numbers of stretches; one that is not known yet gets the next number and waits in ``fresh``."""
+
+    def __init__(self, names: list[str] = ()):
+        super().__init__(zip(names, range(len(names)), strict=True))
+        self.fresh: list[str] = []
+
+    def __missing__(self, name: str) -> int:
+        number = self[name] = len(self)
+        self.fresh.append(name)
+        return number
+
+
+class Ids:
+    """Ids of stretches, one stretch after the other."""
+
+    def __init__(self):
+        self.data, self.first, self.sizes = bytearray(), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.first = np.concatenate((self.first, len(self.data) // 4 + np.cumsum(sizes) - sizes))
+        self.sizes = np.concatenate((self.sizes, sizes))
+        self.data += ids.astype("<u4").tobytes()
+
+    def of(self, at: np.ndarray) -> np.ndarray:
+        return np.frombuffer(self.data, dtype="<u4")[gather(self.first[at], self.sizes[at])]
+
+    def only(self, at: np.ndarray) -> Ids:
+        out = Ids()
+        out.add(self.of(at), self.sizes[at])
+        return out
+
+
 class Encoder:
-    """Segmentations of whole texts. A text falls into stretches that no piece lies across; those are kept for the next texts, HELD bytes at most. When there
-    are more, those stay that the last texts had, and of the others those that several texts had, as far as there is room.
+    """Segmentations of whole texts. A text falls into stretches that no piece lies across; those are kept for the next texts, about HELD bytes. When there
+    are more, those stay that the last texts had more than once, most frequent first, in half of HELD.
 
-    Of a stretch are kept: the best ids, the model's own (the same object if they are equal), the other segmentations' ids in one row of
-    bytes with their ends, and in ``numbers`` its score, its count of ids and what each other segmentation loses."""
+    Of a stretch are kept: the model's own ids, the best ids, the ids of its other segmentations in one row (``ends`` has how many ids of it each leaves behind), whether its own
+    and its best ids spell it, how often it came, and in ``numbers`` its score, its count of best ids and what each other segmentation loses."""
 
     def __init__(self, model_path: str, n: int = NBEST):
         self.pieces, self.n = Pieces(model_path), n
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids: list[bytes] = []
-        self.owns: list[bytes] = []
-        self.others: list[bytes] = []
+        self.known = Known()
+        self.owns, self.ids, self.others = Ids(), Ids(), Ids()
         self.numbers = np.empty((0, self.n + 1))
-        self.ends = np.empty((0, max(1, self.n - 1)), dtype=np.int32)
-        self.texts = np.empty(0, dtype=np.int32)
+        self.ends = np.empty((0, self.n), dtype=np.int32)
+        self.spelled, self.came = np.empty(0, dtype=bool), np.empty(0, dtype=np.int64)
         self.held = 0
 
-    def keep(self, wanted: set[str]) -> None:
-        """Forgets all but what ``wanted`` has and what several texts had; the latter fill half of HELD at most, most frequent first."""
-        order = np.argsort(-self.texts, kind="stable").tolist()
-        names, room, stay = list(self.known), HELD // 2, []
-        for i in order:
-            if names[i] in wanted:
-                stay.append(i)
-            elif self.texts[i] > 1 and room > 0:
-                room -= cost(names[i])
-                stay.append(i)
-        stay.sort()
-        self.known = {names[i]: k for k, i in enumerate(stay)}
-        self.ids, self.owns, self.others = [self.ids[i] for i in stay], [self.owns[i] for i in stay], [self.others[i] for i in stay]
-        self.numbers, self.ends, self.texts = self.numbers[stay], self.ends[stay], np.ones(len(stay), dtype=np.int32)
-        self.held = sum(map(cost, self.known))
-
-    def learn(self, names: set[str]) -> None:
-        """All of ``names`` are known afterwards."""
-        fresh = list(names.difference(self.known))
+    def keep(self) -> None:
+        """Forgets what came once, and what has no room in half of HELD."""
+        names = list(self.known)
+        often = np.argsort(-self.came, kind="stable")[: np.count_nonzero(self.came > 1)]
+        room = np.cumsum(np.fromiter((cost(names[i]) for i in often.tolist()), np.int64, len(often)))
+        stay = np.sort(often[room <= HELD // 2])
+        self.held = int(room[len(stay) - 1]) if len(stay) else 0
+        self.known = Known([names[i] for i in stay.tolist()])
+        self.owns, self.ids, self.others = self.owns.only(stay), self.ids.only(stay), self.others.only(stay)
+        self.numbers, self.ends, self.spelled, self.came = self.numbers[stay], self.ends[stay], self.spelled[stay], np.ones(len(stay), dtype=np.int64)
+
+    def learn(self) -> None:
+        """Works out the segmentations of the stretches that wait."""
+        fresh, self.known.fresh = self.known.fresh, []
         if not fresh:
             return
-        more = sum(map(cost, fresh))
-        if self.held + more > HELD:
-            self.keep(names)
-        self.held += more
-        self.known.update(zip(fresh, range(len(self.ids), len(self.ids) + len(fresh)), strict=True))
-        numbers, ends, best = [self.numbers], [self.ends], []
+        self.held += sum(map(cost, fresh))
+        numbers, ends, others, best = [self.numbers], [self.ends], [], []
         for scores, sizes, data in self.pieces.best_rows(fresh, self.n):
-            stop = np.cumsum(sizes.sum(axis=1))
-            first = stop - sizes.sum(axis=1)
-            rest = (first + sizes[:, 0]).tolist()
-            best += [data[a:b] for a, b in zip(first.tolist(), rest, strict=True)]
-            self.others += [data[a:b] for a, b in zip(rest, stop.tolist(), strict=True)]
-            numbers.append(np.column_stack((scores[:, 0], sizes[:, 0] // 4, scores[:, :1] - scores[:, 1:])))
-            others = sizes[:, 1:] if self.n > 1 else np.zeros((len(sizes), 1))
-            ends.append(others.cumsum(axis=1, dtype=np.int32))
-        self.ids += best
-        self.owns += [ids if own == ids else own for own, ids in zip(self.pieces.own(fresh), best, strict=True)]
+            ids, sizes = np.frombuffer(data, dtype="<u4"), sizes // 4
+            first = np.zeros(sizes.shape, dtype=bool)
+            first[:, 0] = True
+            first = np.repeat(first.ravel(), sizes.ravel())
+            best.append(ids[first])
+            others.append(ids[~first])
+            numbers.append(np.column_stack((scores[:, 0], sizes[:, 0], scores[:, :1] - scores[:, 1:])))
+            ends.append(np.cumsum(sizes, axis=1, dtype=np.int32) - sizes[:, :1].astype(np.int32))
+        counts, left = np.concatenate(numbers[1:])[:, 1].astype(np.int64), np.concatenate(ends[1:])[:, -1].astype(np.int64)
+        best, (own, sizes) = np.concatenate(best), self.pieces.own(fresh)
+        self.owns.add(own, sizes)
+        self.ids.add(best, counts)
+        self.others.add(np.concatenate(others), left)
         self.numbers, self.ends = np.concatenate(numbers), np.concatenate(ends)
-        self.texts = np.concatenate((self.texts, np.zeros(len(fresh), dtype=np.int32)))
+        self.spelled = np.concatenate((self.spelled, self.pieces.spells(own, sizes, fresh) & self.pieces.spells(best, counts, fresh)))
+        self.came = np.concatenate((self.came, np.zeros(len(fresh), dtype=np.int64)))
 
     def other(self, i: int, k: int) -> bytes:
         """Ids of the segmentation of stretch ``i`` that comes ``k`` after its best."""
-        return self.others[i][int(self.ends[i, k - 2]) if k > 1 else 0 : int(self.ends[i, k - 1])]
+        first = int(self.others.first[i])
+        return bytes(self.others.data[4 * (first + int(self.ends[i, k - 1])) : 4 * (first + int(self.ends[i, k]))])
 
     def normal(self, text: str) -> str:
         return self.pieces.sp.normalize(text)
@@ -379,38 +429,58 @@ class Encoder:
         return [(ids, best) for _, ids, best in self.encode_both(texts)]
 
     def encode_both(self, texts: list[str]) -> list[tuple[bytes, bytes, list[tuple[float, list[tuple[int, int, bytes]]]]]]:
-        """For each text the model's own ids, and what ``combine`` gives. No piece lies across two stretches, so no merge does: the own ids
-        of a text are those of its stretches."""
-        return self.encode_normal([self.normal(t) if t else "" for t in texts])
-
-    def encode_normal(self, normals: list[str]) -> list[tuple[bytes, bytes, list[tuple[float, list[tuple[int, int, bytes]]]]]]:
-        """``encode_both`` of texts that are normalised already."""
-        named = list(map(self.pieces.cut.findall, normals))
-        self.learn(set().union(*named))
-        return [(b"".join([self.owns[self.known[x]] for x in names]), *self.combine(names)) for names in named]
-
-    def combine(self, names: list[str]) -> tuple[bytes, list[tuple[float, list[tuple[int, int, bytes]]]]]:
-        """The best ids of a text of these stretches, and for each of the N best: score and changes (place in the best ids, ids taken out, ids
-        put in), none for the first.
+        """For each text the model's own ids, the best ids, and for each of the N best its score and changes."""
+        return [x[:3] for x in self.encode_normal([self.normal(t) if t else "" for t in texts])]
+
+    def encode_normal(self, normals: list[str]) -> list[tuple[bytes, bytes, list[tuple[float, list[tuple[int, int, bytes]]]], bool]]:
+        """For each text, normalised already, the model's own ids, the best ids, for each of the N best its score and changes (place in the best ids, ids taken out, ids put in; none
+        for the first), and whether decoding own and best ids gives the text back. No piece lies across two stretches, so no merge does: ids of a text are those of its stretches."""
+        if self.held > HELD:
+            self.keep()
+        find, number, flat, ends = self.pieces.cut.findall, self.known.__getitem__, array("q"), []
+        for text in normals:
+            flat.extend(map(number, find(text)))
+            ends.append(len(flat))
+        self.learn()
+        at, ends = np.frombuffer(flat, dtype=np.int64), np.array(ends, dtype=np.int64)
+        self.came += np.bincount(at, minlength=len(self.known))
+        both = []
+        for x in (self.owns, self.ids):
+            data, stops = x.of(at).tobytes(), (4 * np.append(0, np.cumsum(x.sizes[at]))[ends]).tolist()
+            both.append([data[a:b] for a, b in zip([0, *stops], stops, strict=False)])
+        odd = np.append(0, np.cumsum(~self.spelled[at]))[np.append(0, ends)]
+        same = [self.decode(own) == plain(text) == self.decode(ids) if bad else True for text, own, ids, bad in zip(normals, *both, np.diff(odd).tolist(), strict=True)]
+        return list(zip(*both, self.combine(at, ends), same, strict=True))
+
+    def combine(self, at: np.ndarray, ends: np.ndarray) -> list[list[tuple[float, list[tuple[int, int, bytes]]]]]:
+        """Scores and changes of the N best of texts whose stretches stop at ``ends``.
 
         The score of a text is the sum over its stretches. One of the N best differs from the best in at most N - 1 stretches, and those are
         among the N - 1 whose second best loses least, so only these are combined."""
-        if not names:
-            return b"", [(0.0, [])]
-        at = list(map(self.known.__getitem__, names))
-        row = np.array(at)
-        self.texts[row] += 1
-        numbers = self.numbers[row]
-        scores, counts = numbers[:, 0], numbers[:, 1]
-        options: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
-        nearest = sorted(np.argsort(numbers[:, 2], kind="stable")[: self.n - 1].tolist()) if self.n > 1 else []
-        for i in nearest:
-            losses = numbers[i, 2:].tolist()
-            choices = [(0.0, ())] + [(loss, ((i, k + 1),)) for k, loss in enumerate(losses) if loss < np.inf]
-            options = heapq.nsmallest(self.n, ((a + b, x + y) for a, x in options for b, y in choices))
-        total = float(scores.sum())
-        change = lambda i, k: (int(counts[:i].sum()), int(counts[i]), self.other(at[i], k))
-        return b"".join(map(self.ids.__getitem__, at)), [(total - loss, [change(i, k) for i, k in x]) for loss, x in options]
+        out: list[list[tuple[float, list[tuple[int, int, bytes]]]]] = [[(0.0, [])] for _ in ends]
+        sizes = np.diff(ends, prepend=0)
+        texts = np.nonzero(sizes)[0]
+        if not len(texts):
+            return out
+        first, sizes, numbers = (ends - sizes)[texts], sizes[texts], self.numbers[at]
+        total, counts, rest = np.add.reduceat(numbers[:, 0], first), numbers[:, 1].astype(np.int64), numbers[:, 2].copy() if self.n > 1 else None
+        before, picks = np.cumsum(counts) - counts, np.full((len(texts), self.n - 1), -1)
+        for k in range(self.n - 1):
+            least = np.minimum.reduceat(rest, first)
+            hits = np.nonzero(rest == np.repeat(least, sizes))[0]
+            place = hits[np.searchsorted(hits, first)]
+            picks[:, k] = np.where(least < np.inf, place, -1)
+            rest[place] = np.inf
+        picks.sort(axis=1)
+        losses = numbers[picks, 2:].tolist()
+        for text, score, start, row, loss in zip(texts.tolist(), total.tolist(), before[first].tolist(), picks.tolist(), losses, strict=True):
+            options: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
+            for i, less in zip(row, loss, strict=True):
+                if i >= 0:
+                    choices = [(0.0, ())] + [(x, ((i, k + 1),)) for k, x in enumerate(less) if x < np.inf]
+                    options = heapq.nsmallest(self.n, ((a + b, x + y) for a, x in options for b, y in choices))
+            out[text] = [(score - x, [(int(before[i]) - start, int(counts[i]), self.other(int(at[i]), k)) for i, k in changes]) for x, changes in options]
+        return out
 
     def decode(self, ids: bytes) -> str:
         """The text of ids: pieces one after the other, bytes joined to characters (what is no character becomes U+FFFD), space marks as spaces, without
@@ -418,6 +488,12 @@ class Encoder:
         return self.pieces.text(ids)
 
 
+def plain(normal: str) -> str:
+    """A normalised text as decoding writes it."""
+    text = normal.replace(SPACE, " ")
+    return text[1:] if text.startswith(" ") else text
+
+
 _encoders: dict[tuple[str, int], Encoder] = {}
 
 
@@ -438,15 +514,11 @@ def encode_pieces(docs: DataFrame, model_path: str, n: int = NBEST, id_col: str
         e = encoder(model_path, n)
         for batch in batches:
             for part in slices(batch, "text", SLICE):
-                rows, normals = [], [e.normal(t) if t else "" for t in part.column("text").to_pylist()]
-                for text, (own, ids, best) in zip(normals, e.encode_normal(normals), strict=True):
-                    normal = text.replace(SPACE, " ")
-                    normal = normal[1:] if normal.startswith(" ") else normal
-                    rows.append((own, ids, [{"score": x, "changes": [{"place": p, "out": o, "ids": i} for p, o, i in c]} for x, c in best],
-                                 e.decode(own) == normal == e.decode(ids)))
+                rows = [(own, ids, [{"score": x, "changes": [{"place": p, "out": o, "ids": i} for p, o, i in c]} for x, c in best], same)
+                        for own, ids, best, same in e.encode_normal([e.normal(t) if t else "" for t in part.column("text").to_pylist()])]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))],
                                                  names=["doc_id", "ids", "best_ids", "nbest", "round_trip"])
-        e.keep(set())  # the worker may wait long for its next task
+        e.keep()  # the worker may wait long for its next task
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         encode, "doc_id long, ids binary, best_ids binary, nbest array<struct<score:double,changes:array<struct<place:long,out:int,ids:binary>>>>, round_trip boolean")

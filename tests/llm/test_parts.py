@@ -167,6 +167,19 @@ def test_ids_are_those_of_the_model():
     assert len(e.encode_both(texts[:1])[0][0]) == 4 * 5
 
 
+def test_stretches_end_where_no_piece_goes_on():
+    e = Encoder(public_tokenizers.path("piece_bpe_32k.model"), 4)
+    text = e.normal("Word, (word). word&&& déjà-vu 12,5  x")
+    names = e.pieces.cut.findall(text)
+    ends, starts = set(np.cumsum(list(map(len, names))).tolist()), {"▁Word", ",", "▁(", "word", ").", "▁word", "&&&", "▁déjà", "vu"}
+    assert starts <= set(names) and "".join(names) == text
+    for k in range(len(text)):
+        for x in range(k + 1, len(text) + 1):
+            assert text[k:x] not in e.pieces.pieces or not any(k < end < x for end in ends)
+    e.encode_both(["one word, then", "the word. And a word"])
+    assert sum("word" in x for x in e.known) == 1
+
+
 def test_short_stretches_are_searched_side_by_side(monkeypatch):
     p = Pieces(public_tokenizers.path("piece_bpe_32k.model"))
     r = random.Random(9)
