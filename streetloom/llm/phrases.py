@@ -5,8 +5,8 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,7 @@ SCALE = 1_000_000
 #: A prefix with one in HEAVY of all words, or more, has its stripe in SHARDS parts; there are HEAVY such prefixes at most.
 HEAVY, SHARDS = 10_000, 64
 HELD = 1 << 21
+WAITING = 1 << 16
 ID_BITS = 20
 CHUNK = 1 << 20
 SALT = 64
@@ -71,66 +72,84 @@ def is_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 class Words(dict):
-    """Numbers of the words of one language; CUT and words that are not ``common`` have -1."""
+    """Numbers of the words of one language, from 1; CUT has 0. ``codes`` and ``common``, whether a word has its bit, are there for the words up to the last ``look``."""
 
-    def __init__(self, lang: str, common: bytes | None):
-        super().__init__({CUT: -1})
-        self.lang, self.common, self.names, self.codes = lang, common, [], array("Q")
+    def __init__(self, lang: str, bits: bytes | None):
+        super().__init__({CUT: 0})
+        self.seed, self.bits, self.names = word_code(lang, b""), bits, [CUT]
+        self.codes, self.common = np.zeros(1, dtype=np.uint64), np.zeros(1, dtype=bool)
 
     def __missing__(self, word: bytes) -> int:
-        code = word_code(self.lang, word)
-        number = -1
-        at = place(code)
-        if self.common is None or self.common[at >> 3] >> (at & 7) & 1:
-            number = len(self.names)
-            self.names.append(word)
-            self.codes.append(code)
-        self[word] = number
+        number = self[word] = len(self.names)
+        self.names.append(word)
         return number
 
+    def look(self) -> None:
+        more = self.names[len(self.codes) :]
+        codes = np.fromiter(map(zlib.crc32, more, repeat(self.seed)), np.uint64, len(more))
+        found = np.ones(len(more), dtype=bool) if self.bits is None else is_set(np.frombuffer(self.bits, dtype=np.uint8), places([codes]))
+        self.codes, self.common = np.concatenate((self.codes, codes)), np.concatenate((self.common, found))
+
 
 class Stripes:
     """What one task has counted of phrases of ``size`` words and a next word: for each language, prefix -> next word -> count. It combines before the
-    shuffle and is given away when it holds HELD phrases or 2^ID_BITS words. Only phrases are counted whose shorter ones have their bit in
-    ``common`` (``common[k]``: of phrases of k + 1 words)."""
+    shuffle and is given away when it holds HELD phrases (single words are sums of a task) or 2^ID_BITS words. Only phrases are counted whose shorter ones have their bit in
+    ``common`` (``common[k]``: of phrases of k + 1 words). Texts wait, as numbers of their words, until there are WAITING of them."""
 
     def __init__(self, size: int, common: list[bytes], heavy: frozenset[tuple[str, bytes]] = frozenset()):
         self.size, self.common, self.heavy = size, common, heavy
         self.words: dict[str, Words] = {}
+        self.runs: dict[str, array] = {}
         self.phrases: dict[str, list[np.ndarray]] = {}
-        self.total: Counter[str] = Counter()
-        self.held = 0
+        self.singles: dict[str, np.ndarray] = {}
+        self.waiting, self.held = 0, 0
 
     def add(self, lang: str, text: bytes) -> Iterator[pa.RecordBatch]:
-        before = np.zeros(0, dtype=np.int64)
         for tokens in token_runs(text.lower().translate(PIECES)):
             full = sum(map(len, self.words.values())) + len(tokens) >= 1 << ID_BITS
-            if full or self.held + len(tokens) > HELD:
+            if full or self.size and self.held + self.waiting + len(tokens) > HELD:
                 yield from self.give()
             if full:
-                names = self.words[lang].names if len(before) else []
-                last = [names[i] if i >= 0 else CUT for i in before.tolist()]
-                self.words = {}
-                before = self.numbers(lang, last)
-            self.total[lang] += len(tokens) - tokens.count(CUT)
-            run = np.concatenate((before, self.numbers(lang, tokens)))
-            self.count(lang, run)
-            before = run[len(run) - min(self.size, len(run)) :]
-
-    def numbers(self, lang: str, tokens: list[bytes]) -> np.ndarray:
+                last = [self.words[lang].names[i] for i in self.runs.get(lang, ())]
+                self.words, self.runs = {}, {}
+                self.number(lang, last)
+            self.number(lang, tokens)
+            if self.waiting >= WAITING:
+                self.count_all()
+        if lang in self.runs:
+            self.runs[lang].append(0)
+
+    def number(self, lang: str, tokens: list[bytes]) -> None:
         if lang not in self.words:
             self.words[lang] = Words(lang, self.common[0] if self.common else None)
-        return np.fromiter(map(self.words[lang].__getitem__, tokens), np.int64, len(tokens))
+        self.runs.setdefault(lang, array("q")).extend(map(self.words[lang].__getitem__, tokens))
+        self.waiting += len(tokens)
+
+    def count_all(self) -> None:
+        """Counts what waits; of each language the last ``size`` words stay, since the text may go on."""
+        for lang, waits in self.runs.items():
+            run = np.array(waits, dtype=np.int64)
+            self.runs[lang] = waits[len(waits) - min(self.size, len(waits)) :]
+            if self.size:
+                self.count(lang, run)
+            else:
+                sums = np.bincount(run, minlength=len(self.words[lang].names))
+                if lang in self.singles:
+                    sums[: len(self.singles[lang])] += self.singles[lang]
+                self.singles[lang] = sums
+        self.waiting = 0
 
     def count(self, lang: str, run: np.ndarray) -> None:
-        n = len(run) - self.size
+        n, words = len(run) - self.size, self.words[lang]
         if n <= 0:
             return
-        at = np.nonzero(np.all([run[k : k + n] >= 0 for k in range(self.size + 1)], axis=0))[0]
-        if self.size > 1 and len(at):
-            codes = np.frombuffer(self.words[lang].codes, dtype=np.uint64)
+        words.look()
+        good = words.common[run]
+        at = np.nonzero(np.all([good[k : k + n] for k in range(self.size + 1)], axis=0))[0]
+        if self.size > 1:
+            bits = np.frombuffer(self.common[self.size - 1], dtype=np.uint8)
             for k in (0, 1):
-                at = at[is_set(np.frombuffer(self.common[self.size - 1], dtype=np.uint8), places([codes[run[at + k + j]] for j in range(self.size)]))]
+                at = at[is_set(bits, places([words.codes[run[at + k + j]] for j in range(self.size)]))]
         key = run[at]
         for k in range(1, self.size + 1):
             key = key << ID_BITS | run[at + k]
@@ -139,21 +158,26 @@ class Stripes:
 
     def give(self) -> Iterator[pa.RecordBatch]:
         """Rows of STRIPE, and, with words, one of size -1 per language with its number of words."""
-        if self.size == 0 and self.total:
-            many = len(self.total)
-            yield stripe_rows(list(self.total), -1, [b""] * many, np.arange(many), [b""] * many, np.array(list(self.total.values())), np.zeros(many, dtype=bool))
+        self.count_all()
+        if self.singles:
+            many = len(self.singles)
+            yield stripe_rows(list(self.singles), -1, [b""] * many, np.arange(many), [b""] * many, np.array([x[1:].sum() for x in self.singles.values()]), np.zeros(many, dtype=bool))
         mask = (1 << ID_BITS) - 1
-        for lang, parts in self.phrases.items():
-            keys, counts = np.unique(np.concatenate(parts), return_counts=True)
+        for lang, parts in (self.phrases or self.singles).items():
+            if self.size:
+                keys, counts = np.unique(np.concatenate(parts), return_counts=True)
+            else:
+                keys = np.nonzero(parts[1:])[0] + 1
+                counts = parts[keys]
             names = self.words[lang].names
             if not len(keys):
                 continue
             prefix, next_ = keys >> ID_BITS, keys & mask
             heads, code = np.unique(prefix, return_inverse=True) if self.size else (np.zeros(1, dtype=np.int64), np.zeros(len(keys), dtype=np.int64))
-            spelled = [b" ".join(names[h >> ID_BITS * k & mask] for k in range(self.size - 1, -1, -1)) for h in heads.tolist()]
+            spelled = [b" ".join([names[h >> ID_BITS * k & mask] for k in range(self.size - 1, -1, -1)]) for h in heads.tolist()]
             split = np.array([self.size == 0 or (lang, p) in self.heavy for p in spelled])
             yield stripe_rows([lang], self.size, spelled, code, [names[i] for i in next_.tolist()], counts, split)
-        self.phrases, self.total, self.held = {}, Counter(), 0
+        self.phrases, self.singles, self.held = {}, {}, 0
 
 
 def stripe_rows(langs: list[str], size: int, prefixes: list[bytes], prefix: np.ndarray, nexts: list[bytes], counts: np.ndarray, split: np.ndarray) -> pa.RecordBatch:

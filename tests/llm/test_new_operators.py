@@ -157,6 +157,30 @@ def test_stripes_do_not_depend_on_chunks(monkeypatch):
                 assert sums(size) == whole and whole
 
 
+def test_single_words_leave_a_task_once(monkeypatch):
+    from streetloom.llm import phrases
+    monkeypatch.setattr(phrases, "HELD", 3)
+    held, texts = Stripes(0, []), [("x", b"a b, a"), ("y", b"a"), ("x", b"b b c"), ("x", b""), ("y", b"d a")]
+    rows = [r for x in texts for b in held.add(*x) for r in b.to_pylist()] + [r for b in held.give() for r in b.to_pylist()]
+    assert sorted((r["lang"], w, n) for r in rows if r["size"] == 0 for w, n in zip(r["nexts"], r["counts"], strict=True)) == [
+        ("x", b"a", 2), ("x", b"b", 3), ("x", b"c", 1), ("y", b"a", 2), ("y", b"d", 1)]
+    assert sorted((r["lang"], r["counts"]) for r in rows if r["size"] < 0) == [("x", [6]), ("y", [3])]
+
+
+def test_phrases_lie_in_one_text_while_texts_wait_together(monkeypatch):
+    from streetloom.llm import phrases
+    every = [b"\xff" * (1 << phrases.MAP_BITS - 3)] * 2
+    for waiting in (1, 4, 1 << 16):
+        monkeypatch.setattr(phrases, "WAITING", waiting)
+        for size, want in ((1, {("x", b"a", b"b"): 2, ("x", b"b", b"c"): 1, ("y", b"c", b"a"): 1}), (2, {("x", b"a b", b"c"): 1})):
+            held, out = Stripes(size, every[:size]), {}
+            for b in [b for x in (("x", b"a b c"), ("x", b"c"), ("y", b"c a"), ("x", b"a b"), ("x", b"d. e")) for b in held.add(*x)] + list(held.give()):
+                for r in b.to_pylist():
+                    for w, n in zip(r["nexts"], r["counts"], strict=True):
+                        out[r["lang"], r["prefix"], w] = out.get((r["lang"], r["prefix"], w), 0) + n
+            assert out == want
+
+
 def test_single_words_have_the_bit_of_arrays_of_one():
     from streetloom.llm.phrases import place, places
     codes = np.random.default_rng(3).integers(0, 1 << 32, 500, dtype=np.uint64)
