@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,10 +13,11 @@ from streetloom.llm.common import stored
 from streetloom.operators.network import components
 
 THRESHOLD = 0.95
-BLOCK = 4096
+BLOCK = 8192
 TILE = 1024
-STEPS = (8, 16, 32)
-SLACK = 1e-9
+STEPS = (16, 32)
+#: What sums in single precision, of vectors of length 1, can be wrong by at most.
+SLACK = 1e-5
 
 
 def unit_rows(values: np.ndarray) -> np.ndarray:
@@ -26,9 +26,7 @@ def unit_rows(values: np.ndarray) -> np.ndarray:
     return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
 
 
-def matrix(column: pa.Array | pd.Series, width: int) -> np.ndarray:
-    if isinstance(column, pd.Series):
-        return np.array(column.tolist(), dtype=np.float64).reshape(-1, width)
+def matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
@@ -63,33 +61,28 @@ def join_roots(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
 
 
 class Side:
-    """One block of vectors: plain unit rows for the deciding product, rotated rows and suffix norms for the bounds."""
+    """One block of vectors: plain unit rows for the deciding product; for the bounds, in single precision, the leading components of rotated rows with the norm of the others behind them."""
 
     def __init__(self, values: np.ndarray, axes: np.ndarray, steps: tuple[int, ...]):
         self.unit = unit_rows(values)
-        self.turned = self.unit @ axes
-        squares = np.cumsum((self.turned**2)[:, ::-1], axis=1)[:, ::-1]
-        self.suffix = {k: np.sqrt(squares[:, k]) if k < squares.shape[1] else np.zeros(len(values)) for k in steps}
+        turned = self.unit @ axes
+        squares = np.cumsum((turned**2)[:, ::-1], axis=1)[:, ::-1]
+        self.bounds = {k: np.column_stack((turned[:, :k], np.sqrt(squares[:, k]) if k < squares.shape[1] else np.zeros(len(values)))).astype(np.float32) for k in steps}
 
 
 def tile_hits(a: Side, ra: slice, b: Side, rb: slice, steps: tuple[int, ...], threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one tile with cosine at the threshold or above. Leading components are added up step by step; what the others can
-    still add is at most the product of the suffix norms (Cauchy-Schwarz), and pairs that cannot reach the threshold stop there. The whole tile
-    goes on while many pairs are open; else only the open ones do. The product of the plain unit vectors decides."""
-    done, product, open_ = 0, 0.0, np.empty(0)
+    """Pairs of one tile with cosine at the threshold or above. What the components behind the leading ones can add is at most the product
+    of their norms (Cauchy-Schwarz), so one product of the leading ones and those norms bounds the cosine; pairs that cannot reach the threshold stop there. The whole tile
+    goes on to more components while many pairs are open; else only the open ones do. The product of the plain unit vectors, in double precision, decides."""
     for k in steps:
-        product = product + a.turned[ra, done:k] @ b.turned[rb, done:k].T
-        open_ = product + np.multiply.outer(a.suffix[k][ra], b.suffix[k][rb]) >= threshold - SLACK
-        done, n = k, np.count_nonzero(open_)
-        if n == 0:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        if n < open_.size // 16:
+        open_ = np.flatnonzero(a.bounds[k][ra] @ b.bounds[k][rb].T >= np.float32(threshold - SLACK))
+        if len(open_) < (ra.stop - ra.start) * (rb.stop - rb.start) // 64:
             break
     else:
         i, j = np.nonzero(a.unit[ra] @ b.unit[rb].T >= threshold)
         return i + ra.start, j + rb.start
-    i, j = np.nonzero(open_)
-    hits = []
+    i, j = np.divmod(open_, rb.stop - rb.start)
+    hits = [np.empty(0, dtype=bool)]
     for s in range(0, len(i), 1 << 16):
         x, y = i[s : s + (1 << 16)] + ra.start, j[s : s + (1 << 16)] + rb.start
         hits.append(np.einsum("ij,ij->i", a.unit[x], b.unit[y]) >= threshold)
@@ -167,11 +160,11 @@ def links_of_width(classes: DataFrame, width: int, n: int, threshold: float, blo
     dealt = classes.select("cid", "n", "v", group.alias("g")).withColumn("h", other).select(
         "cid", "n", "v", "g", F.least("g", "h").alias("low"), F.greatest("g", "h").alias("high"))
 
-    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("cid")
-        g = rows["g"].to_numpy()
-        cid, links, root = block_links(rows["cid"].to_numpy(), matrix(rows["v"], width), rows["n"].to_numpy(), np.nonzero(g == key[0])[0], np.nonzero(g == key[1])[0],
+    def compare(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("cid").combine_chunks()
+        g, low, high = rows["g"].to_numpy(), *(k.as_py() for k in key)
+        cid, links, root = block_links(rows["cid"].to_numpy(), matrix(rows["v"].chunk(0), width), rows["n"].to_numpy(), np.nonzero(g == low)[0], np.nonzero(g == high)[0],
                                        axes, threshold)
-        return pd.DataFrame({"cid": cid, "links": links, "root": root})
+        return pa.table({"cid": cid, "links": links, "root": root})
 
-    return dealt.groupBy("low", "high").applyInPandas(compare, "cid long, links long, root long")
+    return dealt.groupBy("low", "high").applyInArrow(compare, "cid long, links long, root long")

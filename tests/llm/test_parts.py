@@ -134,6 +134,23 @@ def test_word_encoder_is_the_tokenizer():
         assert np.frombuffer(e.encode(text.encode()), "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_bounds_of_flat_vectors_leave_few_pairs_and_lose_none():
+    from streetloom.llm.embeddings import STEPS, THRESHOLD, Side
+    r = np.random.default_rng(5)
+    x = unit_rows(r.normal(size=(1200, 64)))
+    other = unit_rows(r.normal(size=(1200, 64)))
+    other = unit_rows(other - (other * x).sum(axis=1, keepdims=True) * x)
+    cosine = 0.95 + r.choice([-1e-9, -1e-12, 0, 1e-12, 1e-9], 1200)
+    x = np.vstack((x, cosine[:, None] * x + np.sqrt(1 - cosine**2)[:, None] * other))
+    axes = np.linalg.qr(r.normal(size=(64, 64)))[0]
+    bounds = Side(x, axes, STEPS).bounds[STEPS[0]]
+    assert np.count_nonzero(bounds @ bounds.T >= THRESHOLD - 1e-5) < 4 * len(x)
+    n, ids, unit = len(x), np.arange(len(x)), unit_rows(x)
+    met, links, _ = block_links(ids, x, np.ones(n, dtype=np.int64), ids, ids, axes, THRESHOLD)
+    want = np.array([np.count_nonzero(np.einsum("ij,ij->i", unit, np.broadcast_to(u, unit.shape)) >= THRESHOLD) - 1 for u in unit])
+    assert np.array_equal(met, np.nonzero(want)[0]) and np.array_equal(links, want[want > 0])
+
+
 @pytest.mark.parametrize("n", [1, 2, 4])
 def test_n_best_against_all_segmentations(n):
     e = Encoder(public_tokenizers.path("piece_bpe_32k.model"), n)
