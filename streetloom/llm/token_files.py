@@ -25,6 +25,7 @@ CACHE_WORDS = 600_000
 WORDS_A_CALL = 5_000
 
 
+ASCII = re.compile(rb"([A-Za-z]+)([.,]*)")
 PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]*)")
 #: How a byte-level vocabulary writes bytes: the printable ones of Latin-1 as they are, the others as characters from 256 up.
 HIDDEN = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
@@ -33,7 +34,8 @@ HIDDEN = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
 class WordEncoder:
     """Ids of whole texts, by their words. The tokenizer cuts at white space before it merges, so a text's ids are those of its words
     one after the other; a word is encoded once and then looked up. The store is emptied when it holds ``CACHE_WORDS``. Latin words,
-    which need no other cleaning than lower case, go to the tokenizer's model at once; that is how most new words come."""
+    which need no other cleaning than lower case, go to the tokenizer's model at once; that is how most new words come. What is left of such a word
+    without capitals and marks is a word too, so it is kept and looked up as one."""
 
     def __init__(self, tokenizer_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -41,7 +43,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.model = self.tokenizer.model
         self.known: dict[bytes, bytes] = {}
-        self.marks: dict[str, bytes] = {"": b""}
+        self.marks: dict[bytes, bytes] = {b"": b""}
 
     def whole(self, words: list[str]) -> list[bytes]:
         """Ids of each word by all steps of the tokenizer."""
@@ -50,21 +52,29 @@ class WordEncoder:
         ends = (np.searchsorted(np.array(found.word_ids, dtype=np.int64), np.arange(len(words)), side="right") * 4).tolist()
         return [ids[b:e] for b, e in zip([0, *ends], ends, strict=False)]
 
+    def plain(self, letters: bytes) -> bytes:
+        """Ids of Latin letters in lower case."""
+        text = letters.decode() if letters.isascii() else letters.decode("latin-1").translate(HIDDEN)
+        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+
     def learn(self, words: list[bytes]) -> None:
-        others = []
+        others, known = [], self.known
         for word in words:
-            plain = PLAIN.fullmatch(text := word.decode("utf-8", "replace"))
-            if plain is None:
+            if (found := ASCII.fullmatch(word)) is not None:
+                letters, marks = found[1].lower(), found[2]
+            elif (found := PLAIN.fullmatch(text := word.decode("utf-8", "replace"))) is not None:
+                letters, marks = found[1].lower().encode(), found[2].encode()
+            else:
                 others.append((word, text))
                 continue
-            if (mark := self.marks.get(plain[2])) is None:
-                mark = self.whole([plain[2]])[0]
+            if (mark := self.marks.get(marks)) is None:
+                mark = self.whole([marks.decode()])[0]
                 if len(self.marks) < 64:
-                    self.marks[plain[2]] = mark
-            letters = plain[1].lower()
-            if not letters.isascii():
-                letters = letters.encode().decode("latin-1").translate(HIDDEN)
-            self.known[word] = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes() + mark
+                    self.marks[marks] = mark
+            if (ids := known.get(letters)) is None:
+                ids = known[letters] = self.plain(letters)
+            if word != letters:
+                known[word] = ids + mark
         for s in range(0, len(others), WORDS_A_CALL):
             part = others[s : s + WORDS_A_CALL]
             self.known.update(zip((w for w, _ in part), self.whole([t for _, t in part]), strict=True))
@@ -74,7 +84,7 @@ class WordEncoder:
         words = text.split()
         fresh = set(words).difference(self.known)
         if fresh:
-            if len(self.known) + len(fresh) > CACHE_WORDS:
+            if len(self.known) + 2 * len(fresh) > CACHE_WORDS:
                 self.known.clear()
                 fresh = set(words)
             self.learn(list(fresh))

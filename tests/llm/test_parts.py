@@ -134,6 +134,16 @@ def test_word_encoder_is_the_tokenizer():
         assert np.frombuffer(e.encode(text.encode()), "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_capitals_and_marks_do_not_tokenize_a_word_again(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    e, asked, plain = WordEncoder(path), [], WordEncoder.plain
+    monkeypatch.setattr(WordEncoder, "plain", lambda self, letters: asked.append(letters) or plain(self, letters))
+    texts = ["Word word, WORD. word,, wörd Wörd. WÖRD, x", "wörd word Ünter ünter. don't \u00d7 \u00ffa,"]
+    for text in texts:
+        assert list(memoryview(e.encode(text.encode())).cast("I")) == e.tokenizer.encode(text, add_special_tokens=False).ids
+    assert sorted(asked) == sorted(x.encode() for x in ("word", "wörd", "x", "ünter", "ÿa"))
+
+
 def test_bounds_of_flat_vectors_leave_few_pairs_and_lose_none():
     from streetloom.llm.embeddings import STEPS, THRESHOLD, Side
     r = np.random.default_rng(5)
