@@ -1,15 +1,17 @@
 """What keeps work in bounds on large tables: each test would fail on the form that did not."""
 
 import math
+import os
 import random
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from streetloom.functions import shapes as S2, tags as TG
+from streetloom.model import OsmDataset
 from streetloom.operators import datasets as DS, drawing as DR, network as N, selection as S, spatial as SP, transit as TR
 from streetloom.plans.demo import World
-from streetloom.session import cut_lineage
+from streetloom.session import cut_lineage, drop_cut
 from streetloom.streaming import live as L
 from tests.conftest import SMALL
 
@@ -53,6 +55,77 @@ def test_cropped_members_are_not_shuffled_after_they_meet_views(spark):
     assert "relation_id" in first and "view_id" not in first, first
 
 
+def shuffle_files(spark):
+    folder = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return sum(f.startswith("shuffle_") for d in folder for _, _, files in os.walk(d.toString()) for f in files)
+
+
+def test_a_cut_leaves_no_shuffle_behind(spark):
+    before = shuffle_files(spark)
+    cut = cut_lineage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n")))
+    assert shuffle_files(spark) <= before
+    assert sorted(r.n for r in cut.collect()) == [142] * 1 + [143] * 6
+    path = cut._jdf.queryExecution().logical().rdd().getCheckpointFile().get().removeprefix("file:")
+    assert os.path.isdir(path)
+    drop_cut(cut)
+    assert not os.path.exists(path)
+
+
+def test_pairs_of_relations_and_views_are_not_written(spark, monkeypatch):
+    cuts = []
+    monkeypatch.setattr(DS, "cut_lineage", lambda df: cuts.append(df.columns) or cut_lineage(df))
+    w = World(spark, SMALL)
+    DS.crop_members(w.dataset, w.views, min_members=4)
+    assert cuts and not any("view_id" in c for c in cuts)
+
+
+def test_members_that_views_keep(spark):
+    r = random.Random(8)
+    nodes = [(i, r.random() * 3, r.random() * 3, 1, None) for i in range(90)]
+    way_nodes = [(w, s, r.randrange(100)) for w in range(40) for s in range(2)] + [(90, 0, 500)]  # some nodes, and way 90 as a whole, are not there
+    tags = [None, {"type": "multipolygon"}, {"type": "route"}, {"type": "boundary", "boundary": "x", "landuse": "y"}]
+    relations = [(k, 1, 6, tags[k % 4]) for k in range(24)]
+    kinds = [("way", lambda: r.choice([*range(40), 90])), ("node", lambda: r.randrange(100)), ("relation", lambda: r.randrange(24))]
+    members = []
+    for k in range(24):
+        for q in range(6):
+            kind, pick = kinds[r.choice([0, 0, 0, 1, 2]) if k % 5 else 0]
+            members.append((k, q, kind, pick(), r.choice(["inner", "outer", "", None])))
+    views = [(v, y, y + 0.5, x, x + 0.4) for v, (y, x) in enumerate((r.random() * 3, r.random() * 3) for _ in range(9))]
+    ds = OsmDataset(spark.createDataFrame(nodes, "id long, lat double, lon double, version int, tags map<string,string>"), None, spark.createDataFrame(way_nodes, "way_id long, seq int, node_id long"),
+                    spark.createDataFrame(relations, "id long, version int, member_count int, tags map<string,string>"),
+                    spark.createDataFrame(members, "relation_id long, seq long, member_type string, member_ref long, role string"))
+    v = spark.createDataFrame(views, "view_id long, min_lat double, max_lat double, min_lon double, max_lon double")
+    at = {i: (y, y, x, x) for i, y, x, _, _ in nodes}
+
+    def around(boxes):
+        return (min(b[0] for b in boxes), max(b[1] for b in boxes), min(b[2] for b in boxes), max(b[3] for b in boxes)) if boxes else None
+
+    def touch(a, b):
+        return a[1] >= b[0] and a[0] <= b[1] and a[3] >= b[2] and a[2] <= b[3]
+    ways = {w: around([at[n] for x, _, n in way_nodes if x == w and n in at]) for w in [*range(40), 90]}
+    place = lambda kind, ref: ways[ref] if kind == "way" else at.get(ref) if kind == "node" else None
+    want = {}
+    for k, _, count, t in relations:
+        mine = [m for m in members if m[0] == k]
+        box = around([b for b in (place(m[2], m[3]) for m in mine) if b])
+        for i, y1, y2, x1, x2 in views:
+            if not box or not touch(box, (y1, y2, x1, x2)):
+                continue
+            py, px = (y2 - y1) * 0.25, (x2 - x1) * 0.25
+            c = (y1 - py, y2 + py, x1 - px, x2 + px)
+            crop = k % 4 not in (1, 3) and count > 4 and not (box[0] >= c[0] and box[1] <= c[1] and box[2] >= c[2] and box[3] <= c[3])
+            met = {}
+            for _, q, kind, ref, role in mine:
+                b = place(kind, ref)
+                met[q] = not crop or kind == "relation" or (touch(b, c) if b else kind == "way")
+            any_inner = any(met[m[1]] and m[4] == "inner" for m in mine)
+            want.update({(i, k, m[1]): (crop, met[m[1]] or (m[4] == "inner" and any_inner)) for m in mine})
+    got = DS.crop_members(ds, v, min_members=4).collect()
+    assert len(got) == len(want) and {(x.view_id, x.relation_id, x.seq): (x.crop, x.kept or False) for x in got} == want
+    assert any(c for c, _ in want.values()) and any(not kept for _, kept in want.values())
+
+
 def test_visibility_is_taken_where_it_is_known(spark):
     row = spark.sql("SELECT 1L AS view_id, 14 AS zoom, 1L AS id, map('highway', 'primary') AS tags, false AS closed, 0D AS min_lat, 1D AS max_lat, 0D AS min_lon, 1D AS max_lon, _least FROM VALUES (14), (15) AS v(_least)")
     assert {r._least: r.status for r in S.stage(row, 4).collect()} == {14: "returned", 15: "invisible"}
