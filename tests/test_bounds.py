@@ -11,7 +11,7 @@ from streetloom.functions import shapes as S2, tags as TG
 from streetloom.model import OsmDataset
 from streetloom.operators import datasets as DS, drawing as DR, network as N, selection as S, spatial as SP, transit as TR
 from streetloom.plans.demo import World
-from streetloom.session import cut_lineage, drop_cut
+from streetloom.session import cut_lineage, drop_cut, drop_table, write_table
 from streetloom.streaming import live as L
 from tests.conftest import SMALL
 
@@ -171,6 +171,31 @@ def test_own_vehicles_are_the_nearest_without_all_pairs(spark):
         assert [i for _, i in sorted(got[view])] == (lost + [i for _, i in near])[:20]
 
 
+def test_rounds_of_a_network_shrink_and_go(spark, monkeypatch):
+    r = random.Random(5)
+    side = 60
+    g = [(x * side + y, x * side + y + 1) for x in range(side) for y in range(side - 1)] + [(x * side + y, x * side + side + y) for x in range(side - 1) for y in range(side)]
+    g = [(a - 1000, b - 1000) if r.random() < 0.5 else (b - 1000, a - 1000) for a, b in g if r.random() < 0.5] + [(9000, 9000), (-1000, -1000)] + [(2 ** 62 + 7, k) for k in (-(2 ** 61), 10 ** 15)]
+    parent = {n: n for e in g for n in e}
+
+    def root(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+    for a, b in g:
+        lo, hi = sorted((root(a), root(b)))
+        parent[hi] = lo
+    written, gone = [], []
+    monkeypatch.setattr(N, "write_table", lambda df: written.append(write_table(df)) or written[-1])
+    monkeypatch.setattr(N, "drop_table", lambda spark, path: gone.append(path) or drop_table(spark, path))
+    got = N.network_components(spark.createDataFrame(g, "a long, b long"))
+    assert {x.node_id: x.component for x in got.collect()} == {n: root(n) for n in parent} and got.count() == len(parent)
+    kept = [df.count() for df, path in written if path not in gone]
+    assert len(gone) >= 3 and not any(os.path.exists(p.removeprefix("file:")) for p in gone)
+    assert sum(kept) < 5 * len(parent)
+    assert N.network_components(spark.createDataFrame([(3, 3)], "a long, b long")).collect() == [(3, 3)]
+
+
 def test_searches_stop_at_the_limit_of_their_origin(spark):
     edges = spark.createDataFrame([(i, i + 1, 100.0, 45) for i in range(40)] + [(0, 3, 200.0, 45)], "a long, b long, length_m double, speed_kmh int")
     one = 100 * 1.6
