@@ -210,6 +210,42 @@ def test_searches_stop_at_the_limit_of_their_origin(spark):
     assert {r.line_id: r.first_broken for r in lines.collect()} == {1: None, 2: None, 3: 0}
 
 
+def test_stops_that_an_edge_settles_are_not_searched(spark, monkeypatch):
+    r = random.Random(11)
+    g = [(r.randrange(30), r.randrange(30), float(r.randrange(50, 400)), r.choice([13, 24, 39, 80])) for _ in range(90)]
+    g = [(a, b, m, v) for a, b, m, v in g if a != b]
+    cost = lambda m, v: m * (1.0 + 0.6 * 45.0 / max(15, v))
+    hops, top = {}, 500.0
+    for a, b, m, v in g:
+        for x, y in ((a, b), (b, a)):
+            hops.setdefault(x, []).append((y, cost(m, v), m))
+    pairs = [(a, b) for a, b, _, _ in g] + [(r.randrange(30), r.randrange(30)) for _ in range(20)] + [(4, 4), (77, 77), (77, 3)]
+
+    def search(a):
+        best, todo = {}, [(0.0, 0, a, 0.0)]
+        while todo:
+            todo.sort()
+            c, n, x, m = todo.pop(0)
+            if x not in best:
+                best[x] = (c, m)
+                todo += [(c + d, n + 1, y, m + q) for y, d, q in hops.get(x, []) if c + d <= top]
+        return best
+    starts = []
+    real = N.shortest_costs
+    monkeypatch.setattr(N, "shortest_costs", lambda edges, origins, most: starts.append({x.origin for x in origins.collect()}) or real(edges, origins, most))
+    stops = spark.createDataFrame([(k, i, n) for k, p in enumerate(pairs) for i, n in enumerate(p)], "line_id long, idx int, node_id long")
+    segments, _ = N.route_lines(stops, spark.createDataFrame(g, "a long, b long, length_m double, speed_kmh int"), top)
+    got = {x.line_id: x for x in segments.collect()}
+    assert len(got) == len(pairs)
+    for k, (a, b) in enumerate(pairs):
+        want = search(a).get(b)
+        assert (got[k].cost is None) == (want is None) and (want is None or (math.isclose(got[k].cost, want[0], abs_tol=1e-9) and math.isclose(got[k].length_m, want[1], abs_tol=1e-9))), (a, b)
+    cheapest = {x: min(c for _, c, _ in e) for x, e in hops.items()}
+    direct = {(x, y): min(c for z, c, _ in e if z == y) for x, e in hops.items() for y, _, _ in e}
+    assert starts == [{a for a, b in pairs if a != b and not (direct.get((a, b), 1e9) <= min(top, cheapest.get(a, 0) + cheapest.get(b, 0)))}]
+    assert len(starts[0]) < len({a for a, _ in pairs})
+
+
 def test_journeys_are_searched_in_the_part_of_their_origin(spark):
     st = spark.createDataFrame([(i, 39.8 + i % 7 * 0.001, 116.2 + i % 11 * 0.001) for i in range(150)], "id long, lat double, lon double")
     stops = spark.createDataFrame([(i // 6 - k, i % 6 + 6 * k, i) for i in range(150) for k in (0, 1) if k == 0 or (i % 6 < 4 and i >= 6)], "line_id long, idx int, station_id long")
