@@ -246,6 +246,24 @@ def test_stops_that_an_edge_settles_are_not_searched(spark, monkeypatch):
     assert len(starts[0]) < len({a for a, _ in pairs})
 
 
+def test_sides_exploded_to_cells_do_not_go_through_the_driver(spark):
+    st = spark.createDataFrame([(i, 39.7 + i * 0.001, 116.1, 600) for i in range(9)], "id long, lat double, lon double, catchment_m int")
+    cells = spark.createDataFrame([(x, y, 1.0) for x in range(3) for y in range(3)], "cell_x long, cell_y long, pop double")
+    for df in (SP.radius_join(st, cells, "catchment_m", 250.0, 110574.0, 85395.6), SP.neighbour_pairs(st, 4000.0, ["catchment_m"]), SP.snap_to_node(st, st.select("id", "lat", "lon"), 400)):
+        assert "SortMergeJoin" in plan_of(df) and "BroadcastHashJoin" not in plan_of(df)
+
+
+def test_pairs_of_stations_are_worked_out_once(spark):
+    rows = [(o, d, float((o * 7 + d * 5) % 11) / 100) for o in range(4) for d in range(20) if o != d]
+    pairs = spark.createDataFrame(rows, "origin long, dest long, people double").withColumn("kept", F.col("people") >= 0.02)
+    out = TR.od_station(pairs.withColumn("people", F.col("people") + F.rand() * 0), spark.createDataFrame([(o, 5) for o in range(6)], "id long, daily_trips int"), top=3)
+    assert plan_of(out).count("rand(") == 1
+    for r in out.collect():
+        mine = sorted((-p, d) for o, d, p in rows if o == r.origin and p >= 0.02)
+        assert (r.destinations, r.served) == (len(mine), math.floor(-sum(p for p, _ in mine) + 0.5))
+        assert [(x.rank, x.dest) for x in r.top or []] == [(k + 1, d) for k, (_, d) in enumerate(mine[:3])]
+
+
 def test_journeys_are_searched_in_the_part_of_their_origin(spark):
     st = spark.createDataFrame([(i, 39.8 + i % 7 * 0.001, 116.2 + i % 11 * 0.001) for i in range(150)], "id long, lat double, lon double")
     stops = spark.createDataFrame([(i // 6 - k, i % 6 + 6 * k, i) for i in range(150) for k in (0, 1) if k == 0 or (i % 6 < 4 and i >= 6)], "line_id long, idx int, station_id long")
