@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from streetloom.functions import shapes as S2, tags as TG
 from streetloom.model import OsmDataset
 from streetloom.operators import datasets as DS, drawing as DR, network as N, selection as S, spatial as SP, transit as TR
-from streetloom.plans.demo import World
+from streetloom.plans.demo import FEATURE_TAGS, World
 from streetloom.session import cut_lineage, drop_cut, drop_table, write_table
 from streetloom.streaming import live as L
 from tests.conftest import SMALL
@@ -131,6 +131,20 @@ def test_visibility_is_taken_where_it_is_known(spark):
     assert {r._least: r.status for r in S.stage(row, 4).collect()} == {14: "returned", 15: "invisible"}
 
 
+def test_views_meet_what_tags_say_and_not_the_tags(spark, monkeypatch):
+    cuts = []
+    monkeypatch.setattr(S, "cut_lineage", lambda df: cuts.append(df.columns) or cut_lineage(df))
+    w = World(spark, SMALL)
+    S.viewport(w.dataset, w.views)
+    assert any("_traits" in c for c in cuts) and not any("length_m" in c or {"tags", "min_lat"} <= set(c) for c in cuts)
+    # Told from traits, a way has the status that its tags give it.
+    rows = [(z, t, z % 2 == 0, 0.00001 * 3 ** (z % 7)) for t in [None, *FEATURE_TAGS] for z in range(4, 20)]
+    df = spark.createDataFrame(rows, "zoom int, tags map<string,string>, closed boolean, max_lat double").withColumns({"min_lat": F.lit(0.0), "min_lon": F.lit(0.0), "max_lon": F.lit(0.001)})
+    said = df.withColumn("_least", TG.min_zoom_line(F.col("tags"))).withColumn("_traits", F.struct(*[c.alias(k) for k, c in TG.lod_traits(F.col("tags"), 4).items()])).drop("tags")
+    columns = ["zoom", "max_lat", "status"]
+    assert sorted(S.stage(said, 4).select(columns).collect()) == sorted(S.stage(df, 4).select(columns).collect())
+
+
 def test_ledger_works_no_tags_out(spark):
     w = World(spark, SMALL)
     plan = plan_of(S.viewport(w.dataset, w.views)["ledger"].where("kind = 'way'"))
